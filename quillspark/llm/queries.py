@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, vectors
+from quillspark.llm import bpe, canon, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +26,67 @@ def p1_turn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "turn_id", F.round("cosine", 4).alias("cosine"), "rank")
 
 
+def _p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, record_kind, record_id, value of every label, keyword and query, and the reference terms (record_id null)."""
+    turns, links = table(spark, sf_dir, "turns"), table(spark, sf_dir, "links")
+    parts = [
+        turns.select(F.lit("query").alias("kind"), F.lit("turn_query").alias("record_kind"), F.col("id").alias("record_id"), F.col("query").alias("value")),
+        links.select(F.lit("label").alias("kind"), F.lit("link_label").alias("record_kind"), F.col("id").alias("record_id"), F.col("label").alias("value")),
+        links.select(F.lit("keyword").alias("kind"), F.lit("link_keyword").alias("record_kind"), F.col("id").alias("record_id"), F.explode("keywords").alias("value")),
+    ]
+    records = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("reference", F.lit(False))
+    terms = table(spark, sf_dir, "canon_terms").select("kind", F.lit(None).cast("string").alias("record_kind"), F.lit(None).cast("string").alias("record_id"), F.col("term").alias("value"), F.lit(True).alias("reference"))
+    return canon.canonical(records.unionByName(terms), "kind", "value", "reference")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "canon_terms").select("term_id", F.col("kind").alias("k"), F.col("term").alias("t"))
+    found = _p2_values(spark, sf_dir).where(F.col("record_id").isNotNull() & (F.col("value") != F.col("canonical")))
+    # canon_terms is a fixed table of some 200 rows; Spark broadcasts it only below its threshold
+    return found.join(terms, (F.col("kind") == F.col("k")) & (F.col("canonical") == F.col("t"))).select("record_kind", "record_id", "term_id").distinct()
+
+
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value with the canonical member of its class."""
+    found = _p2_values(spark, sf_dir).where(F.col("record_id").isNotNull() & F.col("value").isNotNull())
+    return found.select("record_kind", "record_id", "value", "canonical").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p8_ids)
     return {q.__name__: q for q in names}
 
 
+def _text_literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _p2_sql(tail: str) -> str:
+    """The same classes by DuckDB's own NFC instead of a collation."""
+    letters = {a: b for a, b in canon.letter_map().items() if len(b) == 1}
+    form = f"regexp_replace(value, {_text_literal('[' + chr(92) + 'p{Cf}' + canon.INVISIBLE + ']')}, '', 'g')"
+    form = f"translate({form}, {_text_literal(''.join(letters))}, {_text_literal(''.join(letters.values()))})"
+    for a, b in canon.ligatures().items():
+        form = f"replace({form}, {_text_literal(a)}, {_text_literal(b)})"
+    form = f"trim(regexp_replace({form}, '[ \t]+', ' ', 'g'), ' ')"
+    return f"""
+    WITH v AS (
+      SELECT 'query' AS kind, 'turn_query' AS record_kind, id AS record_id, query AS value FROM turns
+      UNION ALL SELECT 'label', 'link_label', id, label FROM links
+      UNION ALL SELECT 'keyword', 'link_keyword', id, unnest(keywords) FROM links
+      UNION ALL SELECT kind, NULL, NULL, term FROM canon_terms),
+    f AS (SELECT *, nfc_normalize({form}) AS form FROM v WHERE value IS NOT NULL),
+    n AS (SELECT kind, form, value, bool_or(record_id IS NULL) AS is_ref, count(*) AS n FROM f GROUP BY ALL),
+    c AS (SELECT kind, form, first(value ORDER BY is_ref DESC, CASE WHEN is_ref THEN 0 ELSE -n END, value) AS canonical FROM n GROUP BY ALL)
+    {tail}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _p2_sql("SELECT DISTINCT record_kind, record_id, term_id FROM f JOIN c USING (kind, form) JOIN canon_terms t ON t.kind = f.kind AND t.term = canonical WHERE record_id IS NOT NULL AND value <> canonical"),
+        "p2_canonical": _p2_sql("SELECT DISTINCT record_kind, record_id, value, canonical FROM f JOIN c USING (kind, form) WHERE record_id IS NOT NULL"),
+    }
