@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, vectors
+from quillspark.llm import bpe, canon, conversations, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,12 +52,22 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_kind", "record_id", "value", "canonical").distinct()
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.rebuild(table(spark, sf_dir, "chat_messages"))
+    return found.select(F.col("conv_id").alias("session_id"), "pos", "message_id")
+
+
+def p7_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept conversations with one role per message."""
+    return conversations.rebuild(table(spark, sf_dir, "chat_messages"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p7_found, p7_messages, p8_ids)
     return {q.__name__: q for q in names}
 
 
@@ -85,8 +95,25 @@ def _p2_sql(tail: str) -> str:
     {tail}"""
 
 
+def _p7_sql(columns: str) -> str:
+    invisible = _text_literal("[\\s\\p{Z}\\p{Cc}\u2800\\p{Cf}" + canon.INVISIBLE + "]")
+    return f"""
+    WITH o AS (SELECT session_id, query, answer, ts, min(message_id) AS message_id, arg_min(coalesce(role, ''), message_id) AS role
+      FROM chat_messages GROUP BY session_id, query, answer, ts),
+    s AS (SELECT session_id AS conv_id, message_id, ts, coalesce(query, answer) AS text,
+      CASE WHEN query IS NOT NULL THEN 'user' WHEN answer IS NOT NULL THEN 'assistant' WHEN lower(trim(role)) IN ('assistant', 'bot', 'ai') THEN 'assistant' ELSE 'user' END AS role
+      FROM o WHERE NOT (query IS NULL AND answer IS NULL AND lower(trim(role)) = 'system')),
+    p AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM s
+      WINDOW w AS (PARTITION BY conv_id ORDER BY ts NULLS FIRST, role DESC, message_id)),
+    j AS (SELECT *, bool_or(coalesce(regexp_replace(text, {invisible}, '', 'g'), '') = '' OR role <> CASE WHEN pos % 2 = 1 THEN 'user' ELSE 'assistant' END OR n % 2 = 1)
+      OVER (PARTITION BY conv_id) AS broken FROM p)
+    SELECT {columns} FROM j WHERE NOT broken"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": _p7_sql("conv_id AS session_id, pos, message_id"),
+        "p7_messages": _p7_sql("conv_id, pos, message_id, role, text, ts"),
         "p2_found": _p2_sql("SELECT DISTINCT record_kind, record_id, term_id FROM f JOIN c USING (kind, form) JOIN canon_terms t ON t.kind = f.kind AND t.term = canonical WHERE record_id IS NOT NULL AND value <> canonical"),
         "p2_canonical": _p2_sql("SELECT DISTINCT record_kind, record_id, value, canonical FROM f JOIN c USING (kind, form) WHERE record_id IS NOT NULL"),
     }
