@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, conversations, vectors
+from quillspark.llm import bpe, canon, conversations, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,20 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_kind", "record_id", "value", "canonical").distinct()
 
 
+def _p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_options"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4_pieces(spark, sf_dir).where(F.col("piece_no") == 1).select("id", "field").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its place in the original."""
+    found = _p4_pieces(spark, sf_dir).select("id", "field", "piece_no", "start_index", "piece", "limit", "overlap")
+    return found.dropDuplicates(["id", "field", "piece_no"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.rebuild(table(spark, sf_dir, "chat_messages"))
     return found.select(F.col("conv_id").alias("session_id"), "pos", "message_id")
@@ -67,7 +81,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p7_found, p7_messages, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p4_found, p4_pieces, p7_found, p7_messages, p8_ids)
     return {q.__name__: q for q in names}
 
 
@@ -110,8 +124,17 @@ def _p7_sql(columns: str) -> str:
     SELECT {columns} FROM j WHERE NOT broken"""
 
 
+P4_FOUND_SQL = """
+    WITH o AS (SELECT file_id, arg_max(struct_pack(p := parent_size, c := child_size, v := overlap), updated_at) AS o FROM split_options GROUP BY file_id),
+    l AS (SELECT c.*, coalesce(o.p, 4000) AS parent_limit, coalesce(o.c, 1200) AS child_limit, coalesce(o.v, 150) AS lap
+      FROM chunks c LEFT JOIN o USING (file_id))
+    SELECT DISTINCT id, 'text' AS field FROM l WHERE lap < child_limit AND length(text) > CASE WHEN level = 0 THEN parent_limit ELSE child_limit END
+    UNION SELECT id, 'parent_text' FROM l WHERE lap < child_limit AND length(parent_text) > parent_limit"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": P4_FOUND_SQL,
         "p7_found": _p7_sql("conv_id AS session_id, pos, message_id"),
         "p7_messages": _p7_sql("conv_id, pos, message_id, role, text, ts"),
         "p2_found": _p2_sql("SELECT DISTINCT record_kind, record_id, term_id FROM f JOIN c USING (kind, form) JOIN canon_terms t ON t.kind = f.kind AND t.term = canonical WHERE record_id IS NOT NULL AND value <> canonical"),
