@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, conversations, splitting, vectors
+from quillspark.llm import bpe, canon, components, conversations, neardup, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,40 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.dropDuplicates(["id", "field", "piece_no"])
 
 
+def _p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key (kind and id), block and text: chunks are one block, each result list is another."""
+    chunks, results = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "search_results")
+    chunk = F.struct(F.lit("chunk").alias("record_kind"), F.col("id").alias("id"))
+    result = F.struct(F.lit("result").alias("record_kind"), F.col("result_id").alias("id"))
+    flat = chunks.where(~F.col("level").eqNullSafe(F.lit(0))).select(chunk.alias("key"), F.lit(None).cast("bigint").alias("block"), "text")
+    return flat.unionByName(results.select(result.alias("key"), F.col("query_id").alias("block"), "text"))
+
+
+def _p6_joined(spark: SparkSession, sf_dir: str, t: float) -> tuple[DataFrame, DataFrame]:
+    block = F.struct(F.col("key.record_kind"), F.col("block"))
+    return neardup.near_duplicates(_p6_records(spark, sf_dir), "key", "text", block, width=3, min_words=20, t=t)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = _p6_joined(spark, sf_dir, 0.6)
+    a = members.select(F.col("key").alias("ka"), F.col("cls").alias("a"))
+    b = members.select(F.col("key").alias("kb"), F.col("cls").alias("b"))
+    between = links.select("a", "b").join(a, "a").join(b, "b").select("ka", "kb")
+    within = a.join(b, F.col("a") == F.col("b")).where("ka.id < kb.id").select("ka", "kb")
+    pairs = between.unionByName(within)
+    return pairs.select(F.col("ka.record_kind").alias("record_kind"), F.least("ka.id", "kb.id").alias("id_a"), F.greatest("ka.id", "kb.id").alias("id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class, the number of links of the class, and its group (connected classes)."""
+    links, members = _p6_joined(spark, sf_dir, 0.6)
+    links = neardup.cut(links.select("a", "b"))
+    groups = components.components(links, "a", "b").select(F.col("vertex").alias("cls"), "component")
+    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
+    joined = members.join(groups, "cls", "left").join(degree, "cls", "left")
+    return joined.select("key.record_kind", "key.id", F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("group_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.rebuild(table(spark, sf_dir, "chat_messages"))
     return found.select(F.col("conv_id").alias("session_id"), "pos", "message_id")
@@ -81,7 +115,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p4_found, p4_pieces, p7_found, p7_messages, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p4_found, p4_pieces, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
     return {q.__name__: q for q in names}
 
 
