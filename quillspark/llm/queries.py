@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, components, conversations, neardup, splitting, vectors
+from quillspark.llm import bpe, canon, components, conversations, language, neardup, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,38 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_kind", "record_id", "value", "canonical").distinct()
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> language.Filter:
+    """Fitted on a bounded sample of labelled documents and questions."""
+    docs = language.sample(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    turns = language.sample(table(spark, sf_dir, "turns"), "id", "query", "lang")
+    return language.fit(docs[0] + turns[0], docs[1] + turns[1])
+
+
+def _p3_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_kind, record_id, label, lang, confidence, languages, segments of every row with a text; rows delivered twice stay."""
+    model = language_model(spark, sf_dir)
+    parts = []
+    for kind, name, key, text in (("document", "documents", "doc_id", "text"), ("chunk", "chunks", "id", "text"), ("turn", "turns", "id", "query")):
+        rows = table(spark, sf_dir, name).select(F.lit(kind).alias("record_kind"), F.col(key).cast("string").alias("record_id"), language.label_language(F.col("lang")).alias("label"), F.col(text).alias("text"))
+        parts.append(language.detect(rows, ["record_kind", "record_id", "label"], "text", model, open_end=kind == "turn"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _p3_detected(spark, sf_dir).where(F.col("lang").isNotNull())
+    wrong = ~F.col("label").eqNullSafe(F.col("lang")) | (F.size("languages") > 1)
+    return found.where(wrong).select("record_kind", "record_id", F.explode("languages").alias("lang")).distinct()
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every record with its language and confidence."""
+    found = _p3_detected(spark, sf_dir).select("record_kind", "record_id", "lang", "confidence", F.explode_outer("segments").alias("s"))
+    return found.select(
+        "record_kind", "record_id", F.col("lang").alias("record_lang"), F.round("confidence", 4).alias("record_confidence"),
+        F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"),
+    ).distinct()
+
+
 def _p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_options"))
 
@@ -115,7 +147,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p4_found, p4_pieces, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
     return {q.__name__: q for q in names}
 
 
