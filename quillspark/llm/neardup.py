@@ -17,8 +17,9 @@ size of the symmetric difference), both without loss, and are verified on the wh
 Equal sets are joined as one class: pairs are found between class representatives, and members are
 kept aside, so a group of copies of any size costs one row each.
 
-Shingles are `width` consecutive words; words are runs of letters and digits in lower case. Sets
-and shingles are compared by 64-bit hashes.
+Shingles are `width` consecutive words; words are runs of letters and digits in lower case. Shingles
+are compared by 32-bit hashes, which halves all that is shuffled (for two sets of 100 the chance
+that this changes their overlap by one is 1 in 400,000), sets by the 64-bit hash of all their shingles.
 
 Defined results: null, empty and short texts (under min_words words) have no part. Rows repeated
 under one key count once. A null block is a block of its own.
@@ -72,7 +73,7 @@ def shingle_sets(texts: list[str | None], salts: np.ndarray, width: int, min_wor
     for j in range(width):
         h = _mix(h * MIX + words[j : n + j])
     inner = row[:n] == row[width - 1 :]
-    row, h = row[:n][inner], h[inner]
+    row, h = row[:n][inner], h[inner] >> np.uint64(32)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
@@ -80,7 +81,7 @@ def shingle_sets(texts: list[str | None], salts: np.ndarray, width: int, min_wor
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (h >> np.uint64(32 - SKETCH_BITS)).astype(np.int64)
 
 
 def _sketch(rows: DataFrame, width: int, min_words: int) -> np.ndarray:
@@ -147,29 +148,47 @@ def _similar(size_a: np.ndarray, size_b: np.ndarray, bits_a: np.ndarray, bits_b:
     return (low >= t * high - 1e-9) & (differ <= (1 - t) / (1 + t) * (size_a + size_b) + 1e-9)
 
 
-def classes(records: DataFrame, key: str, text: str, block: Column | None, width: int, min_words: int, t: float) -> tuple[DataFrame, np.ndarray]:
-    """key, cls, shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary) of each record; the sketch."""
+def _rows(records: DataFrame, key: str, text: str, block: Column | None) -> DataFrame:
     salt = F.xxhash64(block) if block is not None else F.lit(0).cast("bigint")
-    rows = records.select(salt.alias("salt"), F.col(text).alias("text"), F.col(key).alias("key")).where(F.col("text").isNotNull())
-    total = _sketch(rows, width, min_words)
-    shared = records.sparkSession.sparkContext.broadcast(total)
-    kind = records.schema[key].dataType.simpleString()
+    return records.select(salt.alias("salt"), F.col(text).alias("text"), F.col(key).alias("key")).where(F.col("text").isNotNull())
+
+
+def _classes_of(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with a set, its place and size among the shingles, and the hash of the whole set."""
+    there, first, n = np.unique(row, return_index=True, return_counts=True)
+    cls = np.add.reduceat(_mix(_mix(h + MIX) * MIX), first) if len(first) else np.zeros(0, np.uint64)
+    return there, first, n, _mix(cls).view(np.int64)
+
+
+def memberships(rows: DataFrame, width: int, min_words: int) -> DataFrame:
+    """key and cls of each record that has a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, _, _, cls = _classes_of(*shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(there)), pa.array(cls)], names=["key", "cls"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, cls bigint").distinct()
+
+
+def class_sets(rows: DataFrame, total: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
+    """cls, shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class."""
+    shared = rows.sparkSession.sparkContext.broadcast(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, h = shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words)
+            _, first, n, cls = _classes_of(row, h)
             est = shared.value[_slot(h)]
             order = np.lexsort((h, est, row))
-            row, h, est = row[order], h[order], est[order]
-            there, first, n = np.unique(row, return_index=True, return_counts=True)
-            cls = np.add.reduceat(_mix(h + MIX), first) if len(first) else np.zeros(0, np.uint64)
-            two = np.arange(len(row)) - np.repeat(first, n) < np.repeat(_prefix(n, t, 2), n)
+            h, est = h[order], est[order]
+            two = np.arange(len(h)) - np.repeat(first, n) < np.repeat(_prefix(n, t, 2), n)
             heavy = np.stack([np.add.reduceat((est > d) & two, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32) for d in BOUNDARIES], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
-            small = pa.ListArray.from_arrays(pa.array((np.arange(len(there) + 1) * len(BOUNDARIES)).astype(np.int32)), pa.array(heavy.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(there)), pa.array(_mix(cls).view(np.int64)), lists, small], names=["key", "cls", "shingles", "heavy"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.astype(np.uint32).view(np.int32)))
+            small = pa.ListArray.from_arrays(pa.array((np.arange(len(cls) + 1) * len(BOUNDARIES)).astype(np.int32)), pa.array(heavy.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), lists, small], names=["cls", "shingles", "heavy"])
 
-    return rows.mapInArrow(run, f"key {kind}, cls bigint, shingles array<bigint>, heavy array<int>"), total
+    return rows.select("salt", "text").mapInArrow(run, "cls bigint, shingles array<int>, heavy array<int>").dropDuplicates(["cls"])
 
 
 def _boundary(sets: DataFrame, total: np.ndarray, t: float) -> int:
@@ -205,7 +224,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
         for batch in batches:
             cls, lists = batch.column(0).to_numpy(), batch.column(1)
             n = np.diff(lists.offsets.to_numpy().astype(np.int64))
-            h = lists.flatten().to_numpy().view(np.uint64)
+            h = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
             row = np.repeat(np.arange(len(cls)), n)
             begin = np.cumsum(n) - n
             pos = np.arange(len(h)) - np.repeat(begin, n)
@@ -234,17 +253,18 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
             for i in range(0, len(keys), 100_000):
                 r = rows[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(flags[i : i + 100_000]), *(pa.array(bits[r, w].view(np.int64)) for w in range(4))],
-                    names=["sig", "cls", "n", "role", "b0", "b1", "b2", "b3"],
+                    [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(cls[r]), pa.array(n[r] << 2 | flags[i : i + 100_000]), *(pa.array(bits[r, w].view(np.int64)) for w in range(4))],
+                    names=["sig", "cls", "n", "b0", "b1", "b2", "b3"],
                 )
 
-    fields = "sig bigint, cls bigint, n int, role tinyint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    fields = "sig bigint, cls bigint, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
 
         def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, cls, n, role = (part.column(c).to_numpy() for c in ("sig", "cls", "n", "role"))
+            key, cls, n = (part.column(c).to_numpy() for c in ("sig", "cls", "n"))
+            role, n = n & 3, n >> 2
             bits = np.stack([part.column(f"b{w}").to_numpy().view(np.uint64) for w in range(4)], axis=1)
             for i, j in _pairs_of_runs(key):
                 ok = ((role[i] | role[j]) != 1) & (cls[i] != cls[j])  # in a heavy list one of the two is large
@@ -278,7 +298,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
 
 def near_duplicates(records: DataFrame, key: str, text: str, block: Column | None = None, width: int = 5, min_words: int = 20, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b, similarity; membership: key, cls). A class is a set of equal shingle sets of a block."""
-    found, total = classes(records, key, text, block, width, min_words, t)
-    found = cut(found)
-    sets = found.groupBy("cls").agg(F.min(F.struct("key", "shingles", "heavy")).alias("s")).select("cls", "s.shingles", "s.heavy")
-    return similar_classes(cut(sets), total, t), found.select("key", "cls").distinct()
+    rows = _rows(records, key, text, block)
+    total = _sketch(rows, width, min_words)
+    sets = cut(class_sets(rows, total, width, min_words, t))
+    return similar_classes(sets, total, t), memberships(rows, width, min_words)
