@@ -4,6 +4,7 @@ A size-aware heavy-light join. Shingles get one global order by an estimate of t
 (a count sketch of fixed size, never below the true count). Two sets of similarity t share at least
 `l` shingles among the first |x| - ceil(t |x|) + l of each (the prefix). Hence, with a boundary D:
 
+* a block of few rows (such as one result list) is one inverted list and scanned whole;
 * light shingles of the prefix (at most D sets have one) are signatures by themselves: their
   inverted lists are short and scanned whole;
 * pairs that share no light shingle share two heavy ones in the 2-prefix. Sets with few heavy
@@ -40,7 +41,9 @@ from pyspark.sql import functions as F
 from quillspark.session import cut
 
 WORDS = re.compile(r"[^\W_]+")
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+#: Slots for the numbers of rows in blocks, and the size up to which a block is one inverted list by itself.
+BLOCK_BITS, SMALL_BLOCK = 18, 128
 SMALL = 48
 BOUNDARIES = [128, 256, 512, 1024, 2048, 4096, 8192]
 #: Relative costs for the choice of the boundary: a pair looked at in a list, a signature shuffled and sorted.
@@ -84,15 +87,31 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32 - SKETCH_BITS)).astype(np.int64)
 
 
-def _sketch(rows: DataFrame, width: int, min_words: int) -> np.ndarray:
-    """Upper bounds of the number of rows with a shingle, by slot: 2^20 sums, whatever the input's size."""
+def _block_slot(salts: np.ndarray) -> np.ndarray:
+    return salts & (2**BLOCK_BITS - 1)
+
+
+def _block_sizes(rows: DataFrame) -> np.ndarray:
+    """Upper bounds of the number of rows in a block, by slot: at most 2^18 rows reach the driver."""
+    counted = rows.groupBy(F.col("salt").bitwiseAND(2**BLOCK_BITS - 1).alias("slot")).count().toArrow()
+    sizes = np.zeros(2**BLOCK_BITS, np.int64)
+    sizes[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
+    return sizes
+
+
+def _sketch(rows: DataFrame, blocks: np.ndarray, width: int, min_words: int) -> np.ndarray:
+    """Upper bounds of the number of rows with a shingle, by slot, over all larger blocks: 2^22 sums, whatever the input's size."""
     parts, per = 64, 2**SKETCH_BITS // 64
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**SKETCH_BITS, np.int64)
         for batch in batches:
-            _, h = shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words)
-            total += np.bincount(_slot(h), minlength=len(total))
+            large = np.flatnonzero(shared.value[_block_slot(batch.column(0).to_numpy())] > SMALL_BLOCK)
+            if len(large):
+                batch = batch.take(pa.array(large))
+                _, h = shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words)
+                np.add.at(total, _slot(h), 1)
         slots = np.flatnonzero(total)
         for p in range(parts):
             own = slots[(slots >= p * per) & (slots < (p + 1) * per)]
@@ -111,9 +130,9 @@ def _sketch(rows: DataFrame, width: int, min_words: int) -> np.ndarray:
 
     summed = rows.select("salt", "text").mapInArrow(run, "part int, slots binary, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
     total = np.zeros(2**SKETCH_BITS, np.int64)
-    for part, sums in summed.collect():  # 64 rows, 8 MB in all
+    for part, sums in summed.collect():  # 64 rows, 32 MB in all
         total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int64)
-    return total
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
 def _prefix(n: np.ndarray, t: float, l: int) -> np.ndarray:
@@ -171,24 +190,28 @@ def memberships(rows: DataFrame, width: int, min_words: int) -> DataFrame:
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, cls bigint").distinct()
 
 
-def class_sets(rows: DataFrame, total: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
-    """cls, shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class."""
-    shared = rows.sparkSession.sparkContext.broadcast(total)
+def class_sets(rows: DataFrame, total: np.ndarray, blocks: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
+    """cls, list (of a small block, else null), shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class."""
+    shared = rows.sparkSession.sparkContext.broadcast((total, blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h = shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words)
-            _, first, n, cls = _classes_of(row, h)
-            est = shared.value[_slot(h)]
+            total, blocks = shared.value
+            salts = batch.column(0).to_numpy()
+            row, h = shingle_sets(batch.column(1).to_pylist(), salts, width, min_words)
+            there, first, n, cls = _classes_of(row, h)
+            small = blocks[_block_slot(salts[there])] <= SMALL_BLOCK
+            lists_of = pa.array(salts[there], pa.int64(), mask=~small)
+            est = np.where(np.repeat(small, n), 0, total[_slot(h)])
             order = np.lexsort((h, est, row))
             h, est = h[order], est[order]
             two = np.arange(len(h)) - np.repeat(first, n) < np.repeat(_prefix(n, t, 2), n)
             heavy = np.stack([np.add.reduceat((est > d) & two, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32) for d in BOUNDARIES], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.astype(np.uint32).view(np.int32)))
-            small = pa.ListArray.from_arrays(pa.array((np.arange(len(cls) + 1) * len(BOUNDARIES)).astype(np.int32)), pa.array(heavy.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls), lists, small], names=["cls", "shingles", "heavy"])
+            counts = pa.ListArray.from_arrays(pa.array((np.arange(len(cls) + 1) * len(BOUNDARIES)).astype(np.int32)), pa.array(heavy.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), lists_of, lists, counts], names=["cls", "list", "shingles", "heavy"])
 
-    return rows.select("salt", "text").mapInArrow(run, "cls bigint, shingles array<int>, heavy array<int>").dropDuplicates(["cls"])
+    return rows.select("salt", "text").mapInArrow(run, "cls bigint, list bigint, shingles array<int>, heavy array<int>").dropDuplicates(["cls"])
 
 
 def _boundary(sets: DataFrame, total: np.ndarray, t: float) -> int:
@@ -222,16 +245,22 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, lists = batch.column(0).to_numpy(), batch.column(1)
+            cls, lists = batch.column(0).to_numpy(), batch.column(2)
+            small = np.array(batch.column(1).is_valid())
+            own_list = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
             n = np.diff(lists.offsets.to_numpy().astype(np.int64))
             h = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
             row = np.repeat(np.arange(len(cls)), n)
             begin = np.cumsum(n) - n
             pos = np.arange(len(h)) - np.repeat(begin, n)
-            est = shared.value[_slot(h)]
+            est = np.where(small[row], 0, shared.value[_slot(h)])
             bits = _bits(row, h, len(cls))
             light = (est <= d) & (est > 1) & (pos < _prefix(n, t, 1)[row])
             out_key, out_row, out_large = [h[light]], [row[light]], [np.zeros(light.sum(), np.int8)]
+            # a small block is one inverted list
+            out_key.append(_mix(own_list[small] + MIX))
+            out_row.append(np.flatnonzero(small))
+            out_large.append(np.zeros(small.sum(), np.int8))
             heavy = (est > d) & (pos < _prefix(n, t, 2)[row])
             count = np.bincount(row[heavy], minlength=len(cls))
             large = count > SMALL
@@ -286,7 +315,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
         if kept is not None and len(kept):
             yield from pairs(kept)
 
-    signed = sets.select("cls", "shingles").mapInArrow(sign, fields)
+    signed = sets.select("cls", "list", "shingles").mapInArrow(sign, fields)
     sorted_ = signed.repartition("sig").sortWithinPartitions("sig")
     candidates = sorted_.mapInArrow(join, "a bigint, b bigint").distinct()
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -299,6 +328,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
 def near_duplicates(records: DataFrame, key: str, text: str, block: Column | None = None, width: int = 5, min_words: int = 20, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b, similarity; membership: key, cls). A class is a set of equal shingle sets of a block."""
     rows = _rows(records, key, text, block)
-    total = _sketch(rows, width, min_words)
-    sets = cut(class_sets(rows, total, width, min_words, t))
+    blocks = _block_sizes(rows)
+    total = _sketch(rows, blocks, width, min_words)
+    sets = cut(class_sets(rows, total, blocks, width, min_words, t))
     return similar_classes(sets, total, t), memberships(rows, width, min_words)

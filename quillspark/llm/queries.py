@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, components, conversations, language, neardup, splitting, vectors
+from quillspark.llm import bpe, canon, components, conversations, language, neardup, pairs, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,17 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.dropDuplicates(["id", "field", "piece_no"])
 
 
+def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect of every turn whose posterior exceeds the cutoff."""
+    labelled = pairs.label(table(spark, sf_dir, "turns"), language_model(spark, sf_dir))
+    return pairs.defects(labelled).groupBy("id", "defect").agg(F.round(F.max("posterior"), 4).alias("posterior"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = pairs.label(table(spark, sf_dir, "turns"), language_model(spark, sf_dir))
+    return pairs.defects(labelled).groupBy("id").agg(F.min_by("defect", "order").alias("defect"))
+
+
 def _p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key (kind and id), block and text: chunks are one block, each result list is another."""
     chunks, results = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "search_results")
@@ -147,7 +158,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
     return {q.__name__: q for q in names}
 
 
