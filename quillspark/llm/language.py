@@ -37,7 +37,9 @@ LABELS = {
     "en": ["en", "eng", "english"], "uk": ["uk", "ukr", "ua", "ukrainian"], "ru": ["ru", "rus", "russian"],
     "pl": ["pl", "pol", "polish"], "de": ["de", "deu", "ger", "german"],
 }
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 1500
+#: Sampled texts whose n-grams are held at once while fitting.
+FIT_BATCH = 200
 SIZES = (3, 4, 5)
 SLOT_BITS = 20
 #: Least share of all n-grams for a spelling (a language in one script) to count; least share of an n-gram's relative frequencies, and least count, for its bit to be set; more at the first fit, whose labels may be wrong.
@@ -212,23 +214,33 @@ class Filter:
         return np.maximum(0, (hits - self.false * total[:, None]) / (1 - self.false)), total
 
 
-def _fit_once(units: Units, h: np.ndarray, unit: np.ndarray, lang: np.ndarray, least: float) -> Filter:
-    """lang: of each unit, -1 for none."""
-    # Latin and other spellings of a language are counted apart, else the one thins out the other
-    latin = np.bincount(units.unit[(units.codes > 32) & (units.codes < 0x250)], minlength=units.n) > 0.7 * np.bincount(units.unit[units.codes > 32], minlength=units.n)
-    spelled = np.where(lang >= 0, lang + len(LANGS) * latin, -1)
-    own = spelled[unit]
-    h, own = h[own >= 0], own[own >= 0]
-    grams, place = np.unique(h, return_inverse=True)
-    count = np.stack([np.bincount(place[own == l], minlength=len(grams)) for l in range(2 * len(LANGS))], axis=1)
-    rate = count / np.maximum(1, count.sum(axis=0))
-    rate[:, count.sum(axis=0) < RARE * max(1, count.sum())] = 0  # a spelling as rare as wrong labels are
-    share = rate / np.maximum(1e-12, rate.sum(axis=1, keepdims=True))
-    top = np.sort(share, axis=1)
-    telling = top[:, -1] + top[:, -2] >= TELLING  # names and the like occur in all
-    member = (share >= least) & (count >= COUNT) & telling[:, None]
-    member = member[:, : len(LANGS)] | member[:, len(LANGS) :]
-    return Filter(grams, (member << np.arange(len(LANGS))).sum(axis=1))
+class _Counts:
+    """Numbers of each n-gram by spelling: a language in other scripts or in Latin script, else the one thins out the other."""
+
+    def __init__(self):
+        self.grams, self.count = np.zeros(0, np.uint64), np.zeros((0, 2 * len(LANGS)), np.int64)
+
+    def add(self, units: Units, unit: np.ndarray, h: np.ndarray, lang: np.ndarray) -> None:
+        """lang: of each unit, -1 for none."""
+        letters = np.bincount(units.unit[units.codes > 32], minlength=units.n)
+        latin = np.bincount(units.unit[(units.codes > 32) & (units.codes < 0x250)], minlength=units.n) > 0.7 * letters
+        own = np.where(lang >= 0, lang + len(LANGS) * latin, -1)[unit]
+        grams, place = np.unique(np.concatenate([self.grams, h[own >= 0]]), return_inverse=True)
+        count = np.zeros((len(grams), 2 * len(LANGS)), np.int64)
+        count[place[: len(self.grams)]] = self.count
+        np.add.at(count, (place[len(self.grams) :], own[own >= 0]), 1)
+        self.grams, self.count = grams, count
+
+    def filter(self, least: float) -> Filter:
+        count = self.count
+        rate = count / np.maximum(1, count.sum(axis=0))
+        rate[:, count.sum(axis=0) < RARE * max(1, count.sum())] = 0  # a spelling as rare as wrong labels are
+        share = rate / np.maximum(1e-12, rate.sum(axis=1, keepdims=True))
+        top = np.sort(share, axis=1)
+        telling = top[:, -1] + top[:, -2] >= TELLING  # names and the like occur in all
+        member = (share >= least) & (count >= COUNT) & telling[:, None]
+        member = member[:, : len(LANGS)] | member[:, len(LANGS) :]
+        return Filter(self.grams, (member << np.arange(len(LANGS))).sum(axis=1))
 
 
 def to_latin(text: str) -> str:
@@ -238,14 +250,21 @@ def to_latin(text: str) -> str:
 def fit(texts: list[str], langs: list[str]) -> Filter:
     """The filter of labelled texts; twice, the second time with the labels of the first."""
     extra = [to_latin(t) for t, l in zip(texts, langs) if l == "uk"]
-    texts, langs = [*texts, *extra], [*langs, *["uk"] * len(extra)]
-    units = Units(texts)
-    unit, h = units.grams()
-    lang = np.array([LANGS.index(l) for l in langs])[units.row] if len(units.row) else np.zeros(0, np.int64)
-    first = _fit_once(units, h, unit, lang, FIRST_SHARE)
-    hits, total = first.counts(units)
-    sure = hits.max(axis=1) > 0.5 * total if len(hits) else np.zeros(0, bool)
-    return _fit_once(units, h, unit, np.where(sure, hits.argmax(axis=1), -1), SHARE) if sure.any() else first
+    texts, langs = [*texts, *extra], np.array([LANGS.index(l) for l in [*langs, *["uk"] * len(extra)]], np.int64)
+    model = None
+    for least in (FIRST_SHARE, SHARE):
+        counts = _Counts()
+        for i in range(0, len(texts), FIT_BATCH):
+            units = Units(texts[i : i + FIT_BATCH])
+            if not units.n:
+                continue
+            lang = langs[i : i + FIT_BATCH][units.row]
+            if model is not None:
+                hits, total = model.counts(units)
+                lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), -1)
+            counts.add(units, *units.grams(), lang)
+        model = counts.filter(least)
+    return model
 
 
 def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:

@@ -64,69 +64,74 @@ def _tail(text: Column) -> Column:
     return F.regexp_replace(out, r"[*_\"'”“»)\]]+$", "")
 
 
-def _votes(q: Column, a: Column) -> dict[str, list[Column]]:
-    """The functions' votes for all defects but the last, from question and answer."""
-    vis = F.coalesce(visible(a), F.lit(""))
-    low = F.lower(F.trim(F.regexp_replace(F.coalesce(a, F.lit("")), r"[\s\p{Z}]+", " ")))
-    words = F.size(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+def _forms(rows: DataFrame) -> DataFrame:
+    """rows with the forms of question and answer that the functions look at, each made once."""
+    a = F.coalesce("answer", F.lit(""))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(skeleton(F.col(c)), F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", " "))
+    low = F.lower(F.trim(F.regexp_replace(a, r"[\s\p{Z}]+", " ")))
+    one = rows.withColumns({"_a": a, "_vis": F.coalesce(visible(F.col("answer")), F.lit("")), "_low": low, "_end": _tail(a), "_pq": plain("query")})
+    # only short answers can copy or refuse as a whole
+    one = one.withColumn("_pa", F.when(F.length("_a") <= 2 * F.length(F.coalesce("query", F.lit(""))) + 40, F.regexp_replace(plain("answer"), r"^(question|re|q|query|frage|питання|вопрос|pytanie) ", "")).otherwise(F.lit("")))
+    bags = one.withColumns({"_bq": F.array_sort(F.split("_pq", " ")), "_ba": F.array_sort(F.split("_pa", " "))})
+    sentences = F.filter(F.split(F.regexp_replace("_low", r"[*_>\"“”„]", ""), r"(?<=[.!?…])\s+"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    # 1 declines, 2 is a courtesy, 0 is anything else
+    decline, courtesy = _with_latin(DECLINE), _with_latin(COURTESY)
+    kinds = F.transform(sentences, lambda s: F.when(s.rlike(decline), 1).when(s.rlike(courtesy), 2).otherwise(0))
+    return bags.withColumns({
+        "_kinds": kinds,
+        "_common": F.size(F.array_intersect("_bq", "_ba")), "_union": F.size(F.array_union("_bq", "_ba")),
+        "_lines": F.size(F.split("_end", "\n")), "_prior": F.coalesce(F.get(F.split("_end", "\n"), F.size(F.split("_end", "\n")) - 2), F.lit("")),
+        "_last": F.trim(F.element_at(F.split(F.regexp_replace("_a", r"\s+$", ""), "\n"), -1)),
+        "_words": F.size(F.filter(F.split("_low", r"[^\p{L}\p{N}]+"), lambda w: w != "")),
+    })
+
+
+def _votes() -> dict[str, list[Column]]:
+    """The functions' votes for all defects but the last, on the columns of _forms."""
+    c = F.col
     vote = lambda yes, no=None: F.when(yes, 1).when(F.lit(True) if no is None else no, 0).otherwise(-1).cast("tinyint")
-    empty = vis == ""
-    symbols = vis.rlike(r"^[\p{P}\p{S}]+$")
+    vis, pq, pa_, end, last, words = c("_vis"), c("_pq"), c("_pa"), c("_end"), c("_last"), c("_words")
     placeholder = F.lower(vis).rlike(PLACEHOLDER)
-    nothing = empty | symbols | placeholder
-
-    # copies: words of both, in order and as a bag
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(skeleton(c), F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", " "))
-    pq = plain(q)
-    pa_ = F.regexp_replace(plain(a), r"^(question|re|q|query|frage|питання|вопрос|pytanie) ", "")
-    bag_q, bag_a = F.array_sort(F.split(pq, " ")), F.array_sort(F.split(pa_, " "))
-    common = F.size(F.array_intersect(bag_q, bag_a))
-    union = F.size(F.array_union(bag_q, bag_a))
+    nothing = (vis == "") | vis.rlike(r"^[\p{P}\p{S}]+$") | placeholder
+
+    # copies: the words of both, in order and as a bag
     long_enough = (F.length(pq) >= 3) & ~nothing
-    ratio = F.length(pa_) / F.greatest(F.length(pq), F.lit(1))
-    near = long_enough & (ratio.between(0.75, 1.3)) & (F.length(pq) < 2000)
+    near = long_enough & (F.length(pa_) / F.greatest(F.length(pq), F.lit(1))).between(0.75, 1.3)
+    close = near & (c("_common") >= 0.85 * c("_union"))
+    equal = long_enough & (pa_ == pq)
+    edits = F.when(near & (F.length(pq) < 500), F.levenshtein(pq, pa_)).otherwise(F.length(pq))
 
-    # refusals: sentences that decline, courtesies, and any others
-    sentences = F.filter(F.split(F.regexp_replace(low, r"[*_>\"“”„]", ""), r"(?<=[.!?…])\s+"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    decline, courtesy = _with_latin(DECLINE), _with_latin(COURTESY)
-    exists = F.exists(sentences, lambda s: s.rlike(decline))
-    others = F.size(F.filter(sentences, lambda s: ~s.rlike(decline) & ~s.rlike(courtesy)))
-    first = F.coalesce(F.get(F.filter(sentences, lambda s: ~s.rlike(courtesy)), F.lit(0)), F.lit(""))
+    # refusals: what is left beside declining and courtesies
+    declines = F.array_contains("_kinds", 1)
+    only = declines & ~F.array_contains("_kinds", 0)
+    first = F.coalesce(F.get(F.filter("_kinds", lambda k: k != 2), F.lit(0)), F.lit(0))
 
     # truncation: how the text ends
-    end = _tail(F.coalesce(a, F.lit("")))
-    last = F.element_at(F.split(end, "\n"), -1)
-    raw_last = F.trim(F.element_at(F.split(F.regexp_replace(F.coalesce(a, F.lit("")), r"\s+$", ""), "\n"), -1))
-    lines = F.size(F.split(end, "\n"))
-    stopped = end.rlike(r"[.!?…:;。]$") | F.coalesce(a, F.lit("")).rlike(r"[.!?…][\"'”“»)\]*_]*\s*$")
-    fence = (F.regexp_count(F.coalesce(a, F.lit("")), F.lit("```")) % 2) == 1
-    whole_fence = raw_last.rlike("^```$") & ~fence
-    item = raw_last.rlike(r"^([-*•]|\d+[.)])\s+\S") & (lines > 1)
-    row = raw_last.rlike(r"^\|")
-    cells = F.regexp_count(raw_last, F.lit(r"\|"))
-    prior = F.when(lines > 1, F.regexp_count(F.get(F.split(end, "\n"), lines - 2), F.lit(r"\|"))).otherwise(F.lit(0))
-    bare = raw_last.rlike(r"^([-*•]|\d+[.)])$") & (lines > 1)
-    prose = ~item & ~row & ~whole_fence & ~fence & ~nothing
-    opened = F.regexp_count(end, F.lit(r"\(")) > F.regexp_count(F.coalesce(a, F.lit("")), F.lit(r"\)"))
-    short = (words <= 4) & (lines == 1)
-    broken_row = row & ((cells < prior) | ~raw_last.endswith("|"))
+    stopped = end.rlike(r"[.!?…:;。]$") | c("_a").rlike(r"[.!?…][\"'”“»)\]*_]*\s*$")
+    fence = F.regexp_count(c("_a"), F.lit("```")) % 2 == 1
+    whole_fence = last.rlike("^```$") & ~fence
+    item = last.rlike(r"^([-*•]|\d+[.)])\s+\S") & (c("_lines") > 1)
+    bare = last.rlike(r"^([-*•]|\d+[.)])$") & (c("_lines") > 1)
+    row = last.rlike(r"^\|")
+    cells = lambda t: F.regexp_count(t, F.lit(r"\|"))
+    broken_row = row & ((cells(last) < cells(c("_prior"))) | ~last.endswith("|"))
+    broken = fence | bare | broken_row
+    prose = ~item & ~row & ~whole_fence & ~fence & ~nothing & ~bare
+    opened = cells_of(end, r"\(") > cells_of(c("_a"), r"\)")
+    short = (words <= 4) & (c("_lines") == 1)
+    open_prose = prose & ~stopped
     return {
-        "empty": [vote(nothing), vote(~vis.rlike(r"[\p{L}\p{N}]") | placeholder), vote(F.length(vis) <= 4, (F.length(vis) > 12))],
-        "copy": [
-            vote(long_enough & (pa_ == pq)),
-            vote(near & (common >= 0.85 * union)),
-            vote(near & (bag_q == bag_a) | (long_enough & (pa_ == pq)), ~(near & (common >= 0.6 * union))),
-            vote(near & (F.levenshtein(pq, pa_) <= 0.2 * F.length(pq)), ~(near & (common >= 0.85 * union))),
-        ],
-        "refusal": [vote(exists & (others == 0)), vote(first.rlike(decline)), vote(exists, ~exists), vote(exists & (F.size(sentences) <= 4) & (others == 0), ~exists | (others > 0))],
-        "truncated": [
-            vote(prose & ~stopped & ~short | fence | bare | broken_row),
-            vote(fence | bare | broken_row | (opened & prose & ~stopped) | (prose & ~stopped & (words >= 8)), stopped | item | whole_fence | (row & ~broken_row) | short),
-            vote(prose & ~stopped & ~short & last.rlike(r"[\p{L}\p{N},(\-–]$") | fence | bare | broken_row, stopped | short | item | whole_fence),
-        ],
+        "empty": [vote(nothing), vote(~vis.rlike(r"[\p{L}\p{N}]") | placeholder), vote(F.length(vis) <= 4, F.length(vis) > 12)],
+        "copy": [vote(equal), vote(close), vote((near & (c("_bq") == c("_ba"))) | equal, ~(near & (c("_common") >= 0.6 * c("_union")))), vote(near & (edits <= 0.2 * F.length(pq)), ~close)],
+        "refusal": [vote(only), vote(first == 1), vote(declines), vote(only & (F.size("_kinds") <= 4), ~only)],
+        "truncated": [vote((open_prose & ~short) | broken), vote(broken | (opened & open_prose) | (open_prose & (words >= 8)), stopped | item | whole_fence | row | short), vote((open_prose & ~short & end.rlike(r"[\p{L}\p{N},(\-–]$")) | broken, stopped | short | item | whole_fence)],
     }
 
 
+def cells_of(text: Column, mark: str) -> Column:
+    return F.regexp_count(text, F.lit(mark))
+
+
 def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
     """turns (id, query, answer, other columns) with o1, o2, o3: the votes on another language."""
     shared = turns.sparkSession.sparkContext.broadcast(model)
@@ -150,13 +155,14 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
             q, q_leads = hits_of(batch.column(q_at).to_pylist(), shared.value)
             a, _ = hits_of(batch.column(a_at).to_pylist(), shared.value)
             n = len(batch)
-            q_leads[np.arange(n), q.argmax(axis=1)] |= q.max(axis=1, initial=0) >= 2
+            most = q.max(axis=1, initial=0)
+            q_leads |= (q >= 0.5 * most[:, None]) & (most[:, None] >= 2)  # where it isn't clear, any of them
             best = a.max(axis=1, initial=0)
             own = np.where(q_leads, a, -1).max(axis=1, initial=-1)
             known = q_leads.any(axis=1) & (best >= 2)
             beyond = best - np.maximum(own, 0)
             strong = known & (beyond >= 8) & (beyond >= 0.3 * best)
-            some = known & (beyond >= 2) & (beyond >= 0.3 * best)
+            some = known & (beyond >= 5) & (beyond >= 0.5 * best)
             same = known & (beyond <= 0)
             votes = [np.where(some, 1, np.where(known, 0, -1)), np.where(strong, 1, np.where(same, 0, -1)), np.where(known & (own <= 0.35 * best), 1, np.where(known & (own >= 0.8 * best), 0, -1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v.astype(np.int8)) for v in votes)], names=[*keep, "o1", "o2", "o3"])
@@ -199,11 +205,11 @@ def label(turns: DataFrame, model: Filter) -> DataFrame:
     """id and the posterior of each defect (a column each) of each row."""
     rows = turns.select("id", "query", "answer").where(F.col("id").isNotNull())
     found = _language_votes(rows, model)
-    votes = _votes(F.col("query"), F.col("answer"))
+    votes = _votes()
     asked = F.coalesce(F.lower("query").rlike(ASKS_LANGUAGE), F.lit(False))
     other = [F.when(asked | (F.array(*votes["empty"])[0] == 1), F.lit(-1).cast("tinyint")).otherwise(F.col(f"o{i}")) for i in (1, 2, 3)]
     columns = {d: F.array(*v) for d, v in votes.items()} | {"other_language": F.array(*other)}
-    voted = found.select("id", *(columns[d].alias(d) for d in DEFECTS))
+    voted = _forms(found).select("id", *(columns[d].alias(d) for d in DEFECTS))
     # one pass over the rows; the combinations are counted for all defects at once
     key = F.concat_ws("|", *(F.array_join(F.transform(d, lambda v: v.cast("string")), ",") for d in DEFECTS))
     keyed = voted.select("id", key.alias("votes")).distinct()

@@ -53,9 +53,10 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> language.Filter:
-    """Fitted on a bounded sample of labelled documents and questions."""
+    """Fitted on a bounded sample of labelled documents and turns (question and answer)."""
+    both = table(spark, sf_dir, "turns").select("id", "lang", F.concat_ws("\n", "query", "answer").alias("text"))
     docs = language.sample(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    turns = language.sample(table(spark, sf_dir, "turns"), "id", "query", "lang")
+    turns = language.sample(both, "id", "text", "lang")
     return language.fit(docs[0] + turns[0], docs[1] + turns[1])
 
 
