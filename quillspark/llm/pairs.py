@@ -161,8 +161,8 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
             own = np.where(q_leads, a, -1).max(axis=1, initial=-1)
             known = q_leads.any(axis=1) & (best >= 2)
             beyond = best - np.maximum(own, 0)
-            strong = known & (beyond >= 8) & (beyond >= 0.3 * best)
-            some = known & (beyond >= 5) & (beyond >= 0.5 * best)
+            strong = known & (beyond >= 12) & (beyond >= 0.3 * best)
+            some = known & (beyond >= 10) & (beyond >= 0.5 * best)
             same = known & (beyond <= 0)
             votes = [np.where(some, 1, np.where(known, 0, -1)), np.where(strong, 1, np.where(same, 0, -1)), np.where(known & (own <= 0.35 * best), 1, np.where(known & (own >= 0.8 * best), 0, -1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v.astype(np.int8)) for v in votes)], names=[*keep, "o1", "o2", "o3"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, components, conversations, language, neardup, pairs, splitting, vectors
+from quillspark.llm import bpe, canon, components, conversations, language, neardup, pairs, readability, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,8 +158,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return readability.levels(docs, "doc_id", "text", table(spark, sf_dir, "reading_labels").select("doc_id", "band"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p10_levels(spark, sf_dir).where(F.col("band") != "standard").select("doc_id", "band")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade and band of every document with running text."""
+    return _p10_levels(spark, sf_dir).withColumn("grade", F.round("grade", 4))
+
+
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids, p10_found, p10_levels)
     return {q.__name__: q for q in names}
 
 
