@@ -42,6 +42,8 @@ SAMPLE_ROWS = 1500
 FIT_BATCH = 200
 SIZES = (3, 4, 5)
 SLOT_BITS = 20
+#: Letters whose n-grams are held at once, and characters of the texts that are.
+BLOCK, CHARS = 2**18, 2_000_000
 #: Least share of all n-grams for a spelling (a language in one script) to count; least share of an n-gram's relative frequencies, and least count, for its bit to be set; more at the first fit, whose labels may be wrong.
 RARE = 0.02
 TELLING = 0.75
@@ -161,29 +163,39 @@ class Units:
             return False
         return bool(m and m[0].strip())
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Unit and hash of each n-gram that lies in one word with at most its two edges."""
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Unit and hash of each n-gram that lies in one word with at most its two edges, for BLOCK letters at a time."""
         c, u = self.codes.astype(np.uint64), self.unit
         space = self.codes == 32
-        units, hashes = [], []
-        for n in SIZES:
-            m = len(c) - n + 1
-            if m <= 0:
-                continue
-            ok = u[:m] == u[n - 1 :]
-            for j in range(1, n - 1):
-                ok &= ~space[j : m + j]
-            at = np.flatnonzero(ok)
-            h = np.full(len(at), n, np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3) + c[at + j]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            units.append(u[at])
-            hashes.append(h ^ (h >> np.uint64(32)))
-        if not units:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(units), np.concatenate(hashes)
+        for low in range(0, len(c), BLOCK):
+            units, hashes = [], []
+            for n in SIZES:
+                high = min(low + BLOCK, len(c) - n + 1)
+                if high <= low:
+                    continue
+                ok = u[low:high] == u[low + n - 1 : high + n - 1]
+                for j in range(1, n - 1):
+                    ok &= ~space[low + j : high + j]
+                at = low + np.flatnonzero(ok)
+                h = np.full(len(at), n, np.uint64)
+                for j in range(n):
+                    h = h * np.uint64(0x100000001B3) + c[at + j]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                units.append(u[at])
+                hashes.append(h ^ (h >> np.uint64(32)))
+            if units:
+                yield np.concatenate(units), np.concatenate(hashes)
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about CHARS characters (a longer text is a part by itself), which bounds the memory of a task."""
+    sizes = np.array([len(t) if t else 0 for t in batch.column(text).to_pylist()], np.int64)
+    part = np.cumsum(sizes) // CHARS
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if high > low:
+            yield batch.slice(low, high - low)
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,13 +216,17 @@ class Filter:
 
     def counts(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits of each unit and language, and the n-grams of each unit."""
-        unit, h = units.grams()
-        a, b = _slots(h)
-        found = self.bits[a] & self.bits[b]
-        total = np.bincount(unit, minlength=units.n).astype(float)
-        # an n-gram in the filters of all languages tells nothing
-        found[found == (1 << len(LANGS)) - 1] = 0
-        hits = np.stack([np.bincount(unit[(found >> l) & 1 == 1], minlength=units.n) for l in range(len(LANGS))], axis=1)
+        hits, total = np.zeros((units.n, len(LANGS))), np.zeros(units.n)
+        for unit, h in units.blocks():
+            a, b = _slots(h)
+            found = self.bits[a] & self.bits[b]
+            low, high = int(unit.min(initial=units.n)), int(unit.max(initial=-1)) + 1
+            if high <= low:
+                continue
+            total[low:high] += np.bincount(unit - low, minlength=high - low)
+            found[found == (1 << len(LANGS)) - 1] = 0  # what is in the filters of all languages tells nothing
+            for l in range(len(LANGS)):
+                hits[low:high, l] += np.bincount(unit[(found >> l) & 1 == 1] - low, minlength=high - low)
         return np.maximum(0, (hits - self.false * total[:, None]) / (1 - self.false)), total
 
 
@@ -262,7 +278,8 @@ def fit(texts: list[str], langs: list[str]) -> Filter:
             if model is not None:
                 hits, total = model.counts(units)
                 lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), -1)
-            counts.add(units, *units.grams(), lang)
+            for unit, h in units.blocks():
+                counts.add(units, unit, h, lang)
         model = counts.filter(least)
     return model
 
@@ -305,7 +322,7 @@ def detect(df: DataFrame, keep: list[str], text: str, model: Filter, open_end: b
     names = np.array([*LANGS, None], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(keep))):
             n = len(batch)
             units = Units(batch.column(len(keep)).to_pylist())
             lang, conf, hits = segments(units, shared.value)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.canon import skeleton
 from quillspark.llm.conversations import visible
-from quillspark.llm.language import LANGS, Filter, Units, to_latin
+from quillspark.llm.language import LANGS, Filter, Units, slices, to_latin
 from quillspark.session import cut
 
 DEFECTS = ["empty", "copy", "refusal", "truncated", "other_language"]
@@ -151,7 +151,7 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
         return whole, leads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, a_at)):
             q, q_leads = hits_of(batch.column(q_at).to_pylist(), shared.value)
             a, _ = hits_of(batch.column(a_at).to_pylist(), shared.value)
             n = len(batch)
