@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, canon, components, conversations, language, neardup, pairs, readability, splitting, vectors
+from quillspark.llm import bpe, canon, components, conversations, language, mixing, neardup, pairs, readability, splitting, vectors
 from quillspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _p9_sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights), weights
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chosen document of every mix, with its shard and place."""
+    return mixing.mixed(*_p9_sized(spark, sf_dir), "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares."""
+    found = mixing.shares(*_p9_sized(spark, sf_dir), "doc_id")
+    return found.select(*(F.round(c, 6).alias(c) if c in ("target_share", "reachable_share", "actual_share", "repeats") else c for c in found.columns))
+
+
 def _p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return readability.levels(docs, "doc_id", "text", table(spark, sf_dir, "reading_labels").select("doc_id", "band"))
@@ -173,7 +189,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids, p10_found, p10_levels)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)
     return {q.__name__: q for q in names}
 
 
