@@ -118,12 +118,13 @@ def mixed(docs: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     # a last block, of which only the beginning is wanted, is small: one of BLOCKS
     draw = Window.partitionBy("mix_id", "source", "block", "copy")
     order = draw.orderBy(F.xxhash64(F.lit(SEED + 1), "mix_id", "key"), "key")
-    fits = joined.where("limit is not null").withColumn("__until", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = joined.where("limit is not null").withColumn("__until", F.sum(F.when(F.col("tokens") <= F.col("limit"), F.col("tokens")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = fits.withColumn("__until", F.when(F.col("tokens") <= F.col("limit"), F.col("__until")).otherwise(float("inf")))
     fits = fits.withColumn("__gap", F.col("limit") - F.coalesce(F.max(F.when(F.col("__until") <= F.col("limit"), F.col("__until"))).over(draw), F.lit(0)))
-    # of the rest, the one document that closes the gap best, if it makes it smaller
+    # of the rest, the one document that closes the gap best, if it halves it
     rest = F.when(F.col("__until") > F.col("limit"), F.abs(F.col("tokens") - F.col("__gap")))
     ranked = fits.withColumn("__rest", rest).withColumn("__nth", F.row_number().over(draw.orderBy(F.col("__rest").asc_nulls_last(), "key")))
-    part = ranked.where("__until <= limit or (__nth = 1 and __rest < __gap)").drop("__until", "__gap", "__rest", "__nth")
+    part = ranked.where("__until <= limit or (__nth = 1 and __rest < __gap / 2)").drop("__until", "__gap", "__rest", "__nth")
     chosen = joined.where("limit is null").unionByName(part)
     local = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64(F.lit(SEED + 2), "mix_id", "key", "copy"), "key", "copy")
     return chosen.select("mix_id", "shard", F.row_number().over(local).alias("pos"), F.col("key").alias(key), "source", "copy", "tokens")
