@@ -4,7 +4,7 @@ Sizes are tokens of a public tokenizer. Every source is cut by a hash of the doc
 size, at most BLOCKS over all sources; only source and block totals reach the driver. The size of a mixture is the
 largest at which every source with documents reaches its share exactly without exceeding its cap of
 repetitions (where no source has a cap: as many tokens as there are). A source's quota is a number of whole passes
-over its blocks, a random part of its blocks, and the beginning of one more block in hash order.
+over its blocks, a random part of its blocks, and documents of a few more blocks in hash order.
 
 The block quotas are parted among output shards by a splitting tree: at each node a multivariate
 hypergeometric draw says how many blocks of each source go left, so all shards are random parts of one exact
@@ -28,6 +28,7 @@ from quillspark.llm import bpe
 from quillspark.session import cut
 
 BLOCKS = 2048
+LAST_BLOCKS = 8
 SHARD_TOKENS = 4_000_000
 MAX_SHARDS = 4096
 SEED = 20
@@ -92,11 +93,13 @@ def plan(docs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
             passes = int((quota + 1e-6) // sizes[s])
             out = [(s, b, copy, None) for copy in range(passes) for b in own]
             rest = quota - passes * sizes[s]
-            for b in rng.permutation(sorted(own)).tolist():
-                if rest < 0.5:
-                    break
-                out.append((s, b, passes, None if own[b] <= rest else float(rest)))
+            turn = rng.permutation(sorted(own)).tolist()
+            while turn and own[turn[0]] <= rest:
+                b = turn.pop(0)
+                out.append((s, b, passes, None))
                 rest -= own[b]
+            if rest >= 0.5:  # the last tokens come from documents of the next few blocks
+                out += [(s, b, passes, float(rest)) for b in turn[:LAST_BLOCKS]]
             drawn.append([out[i] for i in rng.permutation(len(out))])
             names.append(s)
         if not drawn:
@@ -115,8 +118,8 @@ def mixed(docs: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """mix_id, shard, pos, key, source, copy, tokens of each chosen document; docs as from sized()."""
     placed, draws = plan(docs, weights)
     joined = placed.join(draws, ["source", "block"])
-    # a last block, of which only the beginning is wanted, is small: one of BLOCKS
-    draw = Window.partitionBy("mix_id", "source", "block", "copy")
+    # the last blocks, of which only a part is wanted, are small: LAST_BLOCKS of BLOCKS
+    draw = Window.partitionBy("mix_id", "source", "copy")
     order = draw.orderBy(F.xxhash64(F.lit(SEED + 1), "mix_id", "key"), "key")
     fits = joined.where("limit is not null").withColumn("__until", F.sum(F.when(F.col("tokens") <= F.col("limit"), F.col("tokens")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     fits = fits.withColumn("__until", F.when(F.col("tokens") <= F.col("limit"), F.col("__until")).otherwise(float("inf")))
