@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.canon import invisible_class, skeleton
+from quillspark.session import cut
 
 SENTENCE = (10.0, 16.0)
 LABELS = 20_000
@@ -52,33 +53,37 @@ def running_text(text: Column) -> Column:
     return F.lower(F.trim(out))
 
 
+def _shape() -> tuple[str, str]:
+    """Letters, and v (Cyrillic vowel), w (Latin vowel) or c (other letter) for each; patterns of plain ASCII classes are fast."""
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xDF, 0x180), *range(0x430, 0x460), *range(0x490, 0x500)] if chr(c).isalpha()]
+    return "".join(letters), "".join("v" if c in CYRILLIC_VOWELS else "w" if c in LATIN_VOWELS else "c" for c in letters)
+
+
 def counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, language and script, and the counts that the formulas need."""
     rows = docs.select(F.col(key), running_text(F.col(text)).alias("t"))
-    n = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("double")
-    vowels = LATIN_VOWELS + CYRILLIC_VOWELS
-    other = rf"[\p{{L}}&&[^{vowels}]]"
-    syllable = rf"(?:{other}*(?:[{CYRILLIC_VOWELS}]|[{LATIN_VOWELS}]+))"
-    cyrillic = n(f"[{CYRILLIC_VOWELS}]")
+    rows = rows.select(key, "t", F.translate("t", *_shape()).alias("s"), F.regexp_replace("t", r"[^\p{L}]+", " ").alias("b"))
+    n = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("double")
+    several = lambda k: n("s", rf"(?:c*(?:v|w+)){{{k}}}[cvw'’ʼ-]*")
     counted = rows.select(
-        key, n(r"[.!?…]+[\"”»)]*(?=\s|$)").alias("sentences"), n(r"\p{L}[\p{L}\p{M}'’ʼ-]*").alias("words"), F.length(F.regexp_replace("t", r"[^\p{L}]+", "")).cast("double").alias("letters"),
-        cyrillic.alias("cyrillic"), n(f"[{LATIN_VOWELS}]+").alias("latin"), n(r"[bcdfghjkmnpqrstvwxz]e(?![\p{L}'])").alias("mute"),
-        n(syllable + r"{3}[\p{L}'’ʼ-]*").alias("three"), n(syllable + r"{4}[\p{L}'’ʼ-]*").alias("four"), n(syllable + r"{2}[\p{L}'’ʼ-]*").alias("two"),
-        n("[іїєґ]").alias("ukrainian"), n("[ыэъё]").alias("russian"), *(n(rf"(?<!\p{{L}})(?:{w})(?!\p{{L}})").alias("f_" + k.replace("-", "_")) for k, w in FUNCTION_WORDS.items()),
-        n("[łżąęśćńź]").alias("polish"), n("[äöüß]").alias("german"),
+        key, n("t", r"[.!?…]+[\"”»)]*(?=\s|$)").alias("sentences"), n("s", r"[cvw][cvw'’ʼ-]*").alias("words"), n("s", "[cvw]").alias("letters"),
+        n("s", "v").alias("cyrillic"), n("s", "w+").alias("latin"), n("t", r"[bcdfghjkmnpqrstvwxz]e(?![a-z'])").alias("mute"),
+        several(2).alias("two"), several(3).alias("three"), several(4).alias("four"), n("t", "[іїєґ]").alias("ukrainian"), n("t", "[ыэъё]").alias("russian"),
+        *(n("b", rf" (?:{w})(?= )").alias("f_" + k.replace("-", "_")) for k, w in FUNCTION_WORDS.items()), n("t", "[łżąęśćńź]").alias("polish"), n("t", "[äöüß]").alias("german"),
     )
     score = F.array(F.struct((F.col("f_en")).alias("s"), F.lit("en").alias("k")), F.struct((F.col("f_de") + 2 * F.col("german")).alias("s"), F.lit("de").alias("k")), F.struct((F.col("f_pl") + 2 * F.col("polish")).alias("s"), F.lit("pl").alias("k")), F.struct((F.col("f_uk_latin") * 1.01).alias("s"), F.lit("uk-latin").alias("k")))
     spelled = F.when(F.col("cyrillic") > F.col("latin"), F.when(F.col("ukrainian") >= F.col("russian"), "uk").otherwise("ru")).otherwise(F.array_max(score)["k"])
     # a mute e is no syllable in English, and words can't have less than one
     syllables = F.greatest(F.col("words"), F.col("cyrillic") + F.col("latin") - F.when(F.col("spelling") == "en", F.col("mute") * 0.7).otherwise(0.0))
     hard = F.when(F.col("spelling").isin("en", "de"), F.col("three")).otherwise(F.col("four"))
-    out = counted.where("words > 0 and sentences > 0").withColumn("spelling", spelled)
+    # written once, without texts: medians, labels and grades all read it
+    out = cut(counted).where("words > 0 and sentences > 0").withColumn("spelling", spelled)
     return out.select(key, "spelling", "words", "sentences", "letters", syllables.alias("syllables"), hard.alias("hard"), F.greatest(F.lit(0.0), F.col("words") - F.col("two")).alias("ones"))
 
 
 def grades(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, spelling, words, sentences, grade of each document with running text."""
-    rows = counts(docs, key, text).withColumns({"asw": F.col("syllables") / F.col("words"), "cpw": F.col("letters") / F.col("words"), "phw": F.col("hard") / F.col("words"), "ones": F.col("ones") / F.col("words")})
+    rows = counts(docs, key, text).withColumns({out: F.try_divide(c, "words") for out, c in (("asw", "syllables"), ("cpw", "letters"), ("phw", "hard"), ("ones", "ones"))})
     names = ["asw", "cpw", "phw", "ones"]
     # a row for each language and script: six at most
     medians = rows.groupBy("spelling").agg(F.count("*").alias("n"), *(F.percentile_approx(c, 0.5, 1000).alias("m_" + c) for c in names)).collect()
@@ -93,7 +98,7 @@ def grades(docs: DataFrame, key: str, text: str) -> DataFrame:
     cpw = F.col("cpw") / F.greatest(middle["cpw"], F.lit(0.1)) * LETTERS
     phw = F.col("phw") - middle["phw"] + 0.17
     ones = F.col("ones") - middle["ones"] + 0.6
-    asl = F.greatest(F.lit(SENTENCE[0]), F.least(F.lit(SENTENCE[1]), F.col("words") / F.col("sentences")))
+    asl = F.greatest(F.lit(SENTENCE[0]), F.least(F.lit(SENTENCE[1]), F.try_divide("words", "sentences")))
     estimates = F.array(
         0.39 * asl + 11.8 * asw - 15.59, 0.4 * (asl + 100 * phw), 1.043 * F.sqrt(F.greatest(F.lit(0.0), phw * asl * 30)) + 3.13,
         5.88 * cpw - 29.6 / asl - 15.8, 4.71 * cpw + 0.5 * asl - 21.43, 20 - 15 * ones,
