@@ -20,9 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.canon import invisible_class, skeleton
+from quillspark.llm.canon import INVISIBLE
 from quillspark.session import cut
 
+#: Zero-width and direction marks, soft hyphen.
+ZERO_WIDTH = "\u00ad\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff"
 SENTENCE = (10.0, 16.0)
 LABELS = 20_000
 #: Texts of a language and script that its medians need at least, else those of all texts hold.
@@ -33,24 +35,27 @@ SYLLABLES, LETTERS = 1.66, 5.0
 LATIN_VOWELS, CYRILLIC_VOWELS = "aeiouyäöüąęóéèêàáâíúýûôœæ", "аеёиоуыэюяіїє"
 #: Frequent function words, by which language and script are told for the medians.
 FUNCTION_WORDS = {
-    "en": "the|is|a|and|to|of|in|you|at|that", "de": "der|die|das|den|und|ist|im|in|du|nicht|wir|hier|des|zu|ein",
-    "pl": "jest|się|nie|na|do|to|w|i|z|o|oraz|mają|przez", "uk-latin": "i|na|u|do|z|ta|tse|my|ne|ia|pro|shcho|pid|abo|dlia|mozhut|za",
+    "en": "the|is|a|and|to|of|in|you|at|that|it", "de": "der|die|das|den|und|ist|im|in|du|nicht|wir|hier|des|zu|ein|für|von",
+    "pl": "jest|się|nie|na|do|to|w|i|z|o|oraz|mają|są|przez|po|że", "uk-latin": "i|na|u|do|z|ta|tse|my|ne|ia|pro|shcho|pid|abo|dlia|mozhut|za|iz",
+    "uk": "і|на|у|до|з|та|це|ми|не|я|про|що|під|або|для|можуть|мають|за|із|є|як|й", "ru": "и|на|в|до|с|это|мы|не|я|про|что|под|или|для|могут|должны|за|из|есть|как|о|к",
 }
-#: What is no running text, cut in this order.
+#: What is no running text: code, tags, links and addresses; lines of tables, headings and lists; lines without an end mark.
 NOT_RUNNING = [
-    r"(?s)```.*?(?:```|\z)", r"`[^`\n]*`", r"<\|[^|\n]*\|>", r"\[[^\]\n]*\]\([^)\n]*\)", r"<?https?://\S+>?",
+    r"(?s)```.*?(?:```|\z)|`[^`\n]*`|<\|[^|\n]*\|>|\[[^\]\n]*\]\([^)\n]*\)|<?https?://\S+>?",
     r"(?m)^[ \t]*(?:\||#+[ \t]|(?:[-*•]|\d+[.)])[ \t])[^\n]*$",
-    r"(?m)^(?![^\n]*[.!?…;:][\"”»)]*[ \t]*$)[ \t]*(?:\S+[ \t]+){0,7}\S+[ \t]*$",
+    r"(?m)^(?![^\n]*[.!?…;:][\"”»)]*[ \t\r]*$)[ \t]*(?:\S+[ \t]+){0,7}\S+[ \t\r]*$",
 ]
 
 
 def running_text(text: Column) -> Column:
-    """The sentences of a text, in small letters."""
-    odd = text.rlike(r"[＀-￯]|" + invisible_class())
-    out = F.regexp_replace(F.when(odd, skeleton(text)).otherwise(text), "\r", "")
+    """The sentences of a text, in small letters; full-width characters are plain, invisible ones gone."""
+    out = text
     for pattern in NOT_RUNNING:
         out = F.regexp_replace(out, pattern, "\n")
-    return F.lower(F.trim(out))
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+    # translate drops what has no counterpart
+    return F.lower(F.translate(F.trim(out), wide + INVISIBLE + ZERO_WIDTH, plain))
 
 
 def _shape() -> tuple[str, str]:
@@ -60,24 +65,30 @@ def _shape() -> tuple[str, str]:
 
 
 def counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, language and script, and the counts that the formulas need."""
-    rows = docs.select(F.col(key), running_text(F.col(text)).alias("t"))
-    rows = rows.select(key, "t", F.translate("t", *_shape()).alias("s"), F.regexp_replace("t", r"[^\p{L}]+", " ").alias("b"))
+    """key, language and script, and the counts that the formulas need.
+
+    Each form of the text is made once: the words between single blanks, their shape (consonants and
+    vowels), and their syllables alone (v for each, words apart).
+    """
     n = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("double")
-    several = lambda k: n("s", rf"(?:c*(?:v|w+)){{{k}}}[cvw'’ʼ-]*")
+    size = lambda column: F.length(column).cast("double")
+    rows = docs.select(F.col(key), running_text(F.col(text)).alias("t"))
+    rows = rows.select(key, n("t", r"[.!?…]+[\"”»)]*(?=\s|$)").alias("sentences"), F.concat(F.lit(" "), F.trim(F.regexp_replace("t", r"[^\p{L}]+", " ")), F.lit(" ")).alias("b"))
+    rows = rows.select("*", F.translate("b", *_shape()).alias("s"), size(F.replace("b", F.lit(" "), F.lit(""))).alias("letters"))
+    rows = rows.select("*", F.translate(F.regexp_replace("s", "w+", "v"), "c", "").alias("y"))
+    found = F.regexp_extract_all("b", F.lit(f" ({'|'.join(sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split('|')}))})(?= )"), F.lit(1))
     counted = rows.select(
-        key, n("t", r"[.!?…]+[\"”»)]*(?=\s|$)").alias("sentences"), n("s", r"[cvw][cvw'’ʼ-]*").alias("words"), n("s", "[cvw]").alias("letters"),
-        n("s", "v").alias("cyrillic"), n("s", "w+").alias("latin"), n("t", r"[bcdfghjkmnpqrstvwxz]e(?![a-z'])").alias("mute"),
-        several(2).alias("two"), several(3).alias("three"), several(4).alias("four"), n("t", "[іїєґ]").alias("ukrainian"), n("t", "[ыэъё]").alias("russian"),
-        *(n("b", rf" (?:{w})(?= )").alias("f_" + k.replace("-", "_")) for k, w in FUNCTION_WORDS.items()), n("t", "[łżąęśćńź]").alias("polish"), n("t", "[äöüß]").alias("german"),
+        key, "sentences", "letters", (size("b") - F.col("letters") - 1).alias("words"), n("s", "v").alias("cyrillic"), n("y", "v").alias("syllables"), n("b", "[bcdfghjkmnpqrstvwxz]e ").alias("mute"),
+        n("y", "v{2,}").alias("two"), n("y", "v{3,}").alias("three"), n("y", "v{4,}").alias("four"), found.alias("f"),
     )
-    score = F.array(F.struct((F.col("f_en")).alias("s"), F.lit("en").alias("k")), F.struct((F.col("f_de") + 2 * F.col("german")).alias("s"), F.lit("de").alias("k")), F.struct((F.col("f_pl") + 2 * F.col("polish")).alias("s"), F.lit("pl").alias("k")), F.struct((F.col("f_uk_latin") * 1.01).alias("s"), F.lit("uk-latin").alias("k")))
-    spelled = F.when(F.col("cyrillic") > F.col("latin"), F.when(F.col("ukrainian") >= F.col("russian"), "uk").otherwise("ru")).otherwise(F.array_max(score)["k"])
+    said = {k: F.size(F.filter("f", lambda w, ws=ws: w.isin(ws.split("|")))) for k, ws in FUNCTION_WORDS.items()}
+    best = lambda *names: F.array_max(F.array(*(F.struct(said[k].alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(names))))["k"]
+    spelled = F.when(F.col("cyrillic") * 2 > F.col("syllables"), best("uk", "ru")).otherwise(best("en", "de", "pl", "uk-latin"))
+    # written once, without texts: medians, labels and grades all read it
+    out = cut(counted.withColumn("spelling", spelled).drop("f")).where("words > 0 and sentences > 0")
     # a mute e is no syllable in English, and words can't have less than one
-    syllables = F.greatest(F.col("words"), F.col("cyrillic") + F.col("latin") - F.when(F.col("spelling") == "en", F.col("mute") * 0.7).otherwise(0.0))
+    syllables = F.greatest(F.col("words"), F.col("syllables") - F.when(F.col("spelling") == "en", F.col("mute") * 0.7).otherwise(0.0))
     hard = F.when(F.col("spelling").isin("en", "de"), F.col("three")).otherwise(F.col("four"))
-    # written once, without texts: medians, labels and grades all read it
-    out = cut(counted).where("words > 0 and sentences > 0").withColumn("spelling", spelled)
     return out.select(key, "spelling", "words", "sentences", "letters", syllables.alias("syllables"), hard.alias("hard"), F.greatest(F.lit(0.0), F.col("words") - F.col("two")).alias("ones"))
 
 
