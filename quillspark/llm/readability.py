@@ -81,7 +81,8 @@ def counts(docs: DataFrame, key: str, text: str) -> DataFrame:
         key, "sentences", "letters", (size("b") - F.col("letters") - 1).alias("words"), n("s", "v").alias("cyrillic"), n("y", "v").alias("syllables"), n("b", "[bcdfghjkmnpqrstvwxz]e ").alias("mute"),
         n("y", "v{2,}").alias("two"), n("y", "v{3,}").alias("three"), n("y", "v{4,}").alias("four"), found.alias("f"),
     )
-    said = {k: F.size(F.filter("f", lambda w, ws=ws: w.isin(ws.split("|")))) for k, ws in FUNCTION_WORDS.items()}
+    among = lambda ws: lambda w: w.isin(ws.split("|"))
+    said = {k: F.size(F.filter("f", among(ws))) for k, ws in FUNCTION_WORDS.items()}
     best = lambda *names: F.array_max(F.array(*(F.struct(said[k].alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(names))))["k"]
     spelled = F.when(F.col("cyrillic") * 2 > F.col("syllables"), best("uk", "ru")).otherwise(best("en", "de", "pl", "uk-latin"))
     # written once, without texts: medians, labels and grades all read it
