@@ -52,9 +52,9 @@ def normalize_text(text: Column) -> Column:
 def strip_markdown(text: Column) -> Column:
     """Headings as [Title], without code, images, emphasis and table rules; links as their labels; table rows tidied."""
     steps = [
-        (r"(?m)^#{1,6}[ \t]+([^\n]*[^\s])[ \t]*$", "\n[$1]"), (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"!\[[^\n]*?\]\([^\n]*?\)", ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*|__|\*|_", ""), (r"(?m)^\|[-:| ]+\|$", ""), (r"(?m)^\|(\s*\|)+[ \t]*$", ""),
-        (r"(?m)^\|[ \t]*([^\n]+?)[ \t]*\|$", "$1"), (r"(?m)[ \t]*\|[ \t]*", " | "),
+        (r"(?md)^#{1,6}[ \t]+([^\n]*[^\s])[ \t]*$", "\n[$1]"), (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"!\[[^\n]*?\]\([^\n]*?\)", ""),
+        (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*|__|\*|_", ""), (r"(?md)^\|[-:| ]+\|$", ""), (r"(?md)^\|(\s*\|)+[ \t]*$", ""),
+        (r"(?md)^\|[ \t]*([^\n]+?)[ \t]*\|$", "$1"), (r"(?m)[ \t]*\|[ \t]*", " | "),
     ]
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
@@ -189,7 +189,7 @@ def sane_keywords(keywords: Column) -> Column:
 
 def header_keywords(text: Column, most: int = 40) -> Column:
     """Words of the headings of the first three levels, also cut at inner capitals."""
-    heads = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,3}[ \t]+([^\n]+)$"), F.lit(1))
+    heads = F.regexp_extract_all(text, F.lit(r"(?md)^#{1,3}[ \t]+([^\n]+)$"), F.lit(1))
     parts = F.flatten(F.transform(heads, lambda h: F.split(F.regexp_replace(h, "[*_`~]", ""), r"[\s\-–—/|,;:()\[\]{}]+|(?=[A-Z])")))
     low = F.transform(parts, lambda w: F.lower(F.trim(w)))
     return F.slice(F.array_distinct(F.filter(low, lambda w: F.length(w) > 1)), 1, most)
