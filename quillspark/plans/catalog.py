@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import text_plans
+from quillspark.plans import search_plans, table_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [text_plans]
+MODULES = [text_plans, table_plans, search_plans]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_plans.frequency_keywords(spark, sf_dir)
+    """Hybrid search of all stored queries."""
+    return search_plans.hybrid_chunks(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
