@@ -41,6 +41,11 @@ DECLINE = [
     r"nie mog(ę|e) (odpowiedzieć|w tym pomóc|pomóc|udzielić|omawiać)", r"nie jestem w stanie", r"muszę odmówić", r"nie wolno mi", r"nie pozwalają", r"nie mam prawa", r"nie będę komentować", r"^bez komentarza", r"nie mam odpowiedzi", r"nic na ten temat nie znaleziono", r"(wolę|wolałbym|lepiej) nic nie (mówić|powiem)", r"wykracza(ją)? poza to|poza tym, czym",
     r"kann (ich )?(diese frage )?nicht (beantworten|helfen)|dabei kann ich nicht", r"nicht in der lage", r"(muss|müssen) (die antwort )?ablehnen", r"nicht erlaubt", r"lassen eine antwort nicht zu", r"darf ich (solche|keine|dazu)", r"äußere ich mich nicht", r"^kein kommentar", r"habe ich keine antwort|keine antwort", r"dazu in den dokumenten nichts gefunden|nichts gefunden", r"(sage|möchte) ich (lieber|dazu) nichts|lieber nichts", r"(liegt|liegen|geht|gehen) (über das hinaus|außerhalb)",
 ]
+#: Words of which every pattern of DECLINE holds one; the patterns are tried only where one occurs.
+CUES = (
+    "cannot not t unable decline refuse comment answer nothing outside не відмовити без нічого межі отказать ответа ничего рамки nie odmówić bez nic poza nicht ablehnen keine kein nichts darf äußere außerhalb hinaus"
+    " ne vidmovyty nichoho mezhi"
+).split()
 #: Courtesies and referrals that may stand beside a refusal.
 COURTESY = [
     r"^(hello|hi|hm|thank you for|thanks for|i see why|i understand|have a nice|please (ask|contact)|is there anything|sorry[.!]?$|better ask)", r"^(вітаю|добрий день|дякую|гм|розумію|гарного|зверніться|краще зверніться|чи можу|звертайтеся)",
@@ -77,12 +82,12 @@ def _forms(rows: DataFrame) -> DataFrame:
     # 1 declines, 2 is a courtesy, 0 is anything else
     decline, courtesy = _with_latin(DECLINE), _with_latin(COURTESY)
     kinds = F.transform(sentences, lambda s: F.when(s.rlike(decline), 1).when(s.rlike(courtesy), 2).otherwise(0))
+    bags = bags.withColumn("_tokens", F.filter(F.split("_low", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     return bags.withColumns({
-        "_kinds": kinds,
+        "_kinds": F.when(F.arrays_overlap("_tokens", F.array(*map(F.lit, CUES))), kinds).otherwise(F.array(F.lit(0))), "_words": F.size("_tokens"),
         "_common": F.size(F.array_intersect("_bq", "_ba")), "_union": F.size(F.array_union("_bq", "_ba")),
         "_lines": F.size(F.split("_end", "\n")), "_prior": F.coalesce(F.get(F.split("_end", "\n"), F.size(F.split("_end", "\n")) - 2), F.lit("")),
         "_last": F.trim(F.element_at(F.split(F.regexp_replace("_a", r"\s+$", ""), "\n"), -1)),
-        "_words": F.size(F.filter(F.split("_low", r"[^\p{L}\p{N}]+"), lambda w: w != "")),
     })
 
 
