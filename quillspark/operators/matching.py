@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contains(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needle, id of each needle (a column of that name) that occurs in a text (id, text); both in small letters.
+def contains(needles: DataFrame, texts: DataFrame, **measures: Column) -> DataFrame:
+    """needle, id and measures (columns made of needle and text) of each needle (a column of that name) that occurs in a text (id, text); both in small letters.
 
     A needle's first word lies within one word of the text. Needles and the distinct words of all texts meet on the
     first three characters of that word (fewer for shorter ones), then words lead back to texts, where the whole needle is checked.
@@ -22,4 +22,4 @@ def contains(needles: DataFrame, texts: DataFrame) -> DataFrame:
     parts = words.where("__w <> ''").select("__w", F.explode(F.array_distinct(grams)).alias("__g"))
     pairs = asked.join(parts, "__g").where(F.col("__w").contains(F.col("__f"))).select("needle", "__w").distinct()
     found = pairs.join(listed, "__w").select("needle", "id").distinct()
-    return found.join(low, "id").where(F.col("text").contains(F.col("needle"))).select("needle", "id")
+    return found.join(low, "id").where(F.col("text").contains(F.col("needle"))).select("needle", "id", *(c.alias(n) for n, c in measures.items()))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text, vectors
-from quillspark.operators.tables import keep_or_all, meaningful
+from quillspark.operators.matching import contains
+from quillspark.operators.tables import keep_or_all, meaningful, not_parent
 
 #: Rows of one block of queries, and of stored vectors; a task multiplies one of each.
 QUERY_BLOCK, BASE_BLOCK = 4096, 65_536
@@ -89,46 +90,58 @@ def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int = 500) ->
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 
 
-def hybrid_scores(candidates: DataFrame, mode: str = "balanced", least: int = 80) -> DataFrame:
-    """candidates (query_id, id, text, context_keywords, vector_score, keywords) with keyword_score and hybrid_score.
+def keyword_features(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """needle, id, tf, in_url of each word (needle) that occurs in a chunk's text (tf times, maybe within an address) or context keywords (tf 0 if only there).
+
+    Worked out once for a chunk and a word, however many queries ask for it.
+    """
+    urls = F.regexp_extract_all("text", F.lit(r"https?://\S+|\b[\w-]+\.[\w.-]+\.\w{2,}\b"), F.lit(0))
+    in_text = contains(words, chunks.select("id", "text"), tf=scoring.occurrences(F.col("text"), F.col("needle")), in_url=F.exists(urls, lambda u: u.contains(F.col("needle"))))
+    in_context = contains(words, chunks.select("id", F.array_join("context_keywords", "\n").alias("text")), tf=F.lit(0), in_url=F.lit(False))
+    return in_text.unionByName(in_context).groupBy("needle", "id").agg(F.max("tf").alias("tf"), F.max("in_url").alias("in_url"))
+
+
+def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str = "balanced", least: int = 80) -> DataFrame:
+    """candidates (query_id, id, vector_score) with keyword_score and hybrid_score.
 
     Per query: short candidates drop out unless all are; matched keywords give a saturated frequency score, half a
     point each and two for one within an address; both scores are scaled to 0..1 over the candidates.
+    Only numbers follow the candidates: texts are looked at once per chunk, not once per query.
     """
     wv, wk, wanted, _ = scoring.MODES[mode]
-    rows = keep_or_all(candidates, meaningful(F.col("text"), least), "query_id")
-    low = F.lower("text")
+    sizes = chunks.select("id", F.size(F.split("text", r"\s+")).alias("__len"), F.coalesce(meaningful(F.col("text"), least), F.lit(False)).alias("__ok")).dropDuplicates(["id"])
+    rows = keep_or_all(candidates.join(sizes, "id"), F.col("__ok"), "query_id").withColumn("__mean", F.avg("__len").over(Window.partitionBy("query_id")))
     parts = F.flatten(F.transform("keywords", lambda k: F.concat(F.array(F.lower(k)), F.filter(F.split(F.lower(k), r"\s+"), lambda w: F.length(w) > 2))))
-    rows = rows.withColumns({"__low": low, "__all": F.array_distinct(parts), "__len": F.size(F.split("text", r"\s+"))})
-    context = F.transform(F.coalesce("context_keywords", F.array().cast("array<string>")), F.lower)
-    rows = rows.withColumn("__matched", F.filter("__all", lambda k: F.col("__low").contains(k) | F.exists(context, lambda c: c.contains(k))))
-    rows = rows.withColumn("__mean", F.avg("__len").over(Window.partitionBy("query_id")))
-    urls = F.regexp_extract_all("__low", F.lit(r"https?://\S+|\b[\w-]+\.[\w.-]+\.\w{2,}\b"), F.lit(0))
-    in_url = F.exists("__matched", lambda k: F.exists(urls, lambda u: u.contains(k)))
-    score = scoring.bm25(F.col("__low"), F.col("__matched"), F.col("__mean")) + 0.5 * F.size("__matched") + F.when(in_url, 2.0).otherwise(0.0)
-    rows = rows.withColumn("keyword_score", F.when(F.size("__matched") >= wanted, score).otherwise(0.0))
+    asked = queries.select("query_id", F.explode(F.array_distinct(parts)).alias("needle"))
+    hits = asked.join(keyword_features(chunks, asked.select("needle").distinct()), "needle").select("query_id", "id", "tf", "in_url")
+    rest = scoring.K1 * (1 - scoring.B + scoring.B * F.try_divide("__len", "__mean"))
+    term = F.when(F.col("tf") > 0, F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + rest)).otherwise(0.0)
+    scored = rows.join(hits, ["query_id", "id"], "left").groupBy("query_id", "id", "vector_score").agg(F.count("tf").alias("__n"), F.sum(term).alias("__bm25"), F.max("in_url").alias("__url"))
+    score = F.coalesce("__bm25", F.lit(0.0)) + 0.5 * F.col("__n") + F.when(F.col("__url"), 2.0).otherwise(0.0)
+    scored = scored.withColumn("keyword_score", F.when(F.col("__n") >= wanted, score).otherwise(0.0))
     hybrid = wv * scoring.min_max(F.col("vector_score"), "query_id") + wk * scoring.min_max(F.col("keyword_score"), "query_id")
-    return rows.withColumn("hybrid_score", hybrid).drop("__low", "__all", "__len", "__matched", "__mean")
+    return scored.withColumn("hybrid_score", hybrid).select("query_id", "id", "vector_score", "keyword_score", "hybrid_score")
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "balanced", size: int = 96, least: int = 80) -> DataFrame:
     """query_id, id, vector_score, keyword_score, hybrid_score, rank, text (with the parent's) of the best chunks of each query.
 
     chunks: id, text, parent_text, context_keywords, embedding, level, text_length; queries: query_id, vector, keywords.
+    Chunks delivered repeatedly under one id count once.
     """
-    able = chunks.where(~F.col("level").eqNullSafe(F.lit(0)))
+    able = chunks.where(not_parent())
     near = nearest(able, "id", "embedding", queries, "query_id", "vector", limit * scoring.MODES[mode][3], size).select("query_id", "id", F.col("score").alias("vector_score"))
-    if mode == "precise":
-        both = near
-    else:
+    both = near
+    if mode != "precise":
         listed = keyword_matches(able.where(F.col("text_length") >= least), queries.select("query_id", "keywords"))
-        only = listed.join(near, ["query_id", "id"], "left_anti").withColumn("vector_score", F.lit(0.01))
-        both = near.unionByName(only)
-    full = both.join(able.select("id", "text", "parent_text", "context_keywords"), "id").join(queries.select("query_id", "keywords"), "query_id")
-    scored = hybrid_scores(full, mode, least)
+        tagged = near.unionByName(listed.withColumn("vector_score", F.lit(None).cast("double")))
+        # found by both ways: the similarity counts
+        both = tagged.groupBy("query_id", "id").agg(F.coalesce(F.max("vector_score"), F.lit(0.01)).alias("vector_score"))
+    scored = hybrid_scores(both, able.select("id", "text", "context_keywords"), queries.select("query_id", "keywords"), mode, least)
     order = Window.partitionBy("query_id").orderBy(F.round("hybrid_score", 9).desc(), "id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return top.select("query_id", "id", "vector_score", "keyword_score", "hybrid_score", "rank", F.concat_ws(" ", "text", "parent_text").alias("text"))
+    full = top.join(able.select("id", F.concat_ws(" ", "text", "parent_text").alias("text")), "id").dropDuplicates(["query_id", "rank"])
+    return full.select("query_id", "id", "vector_score", "keyword_score", "hybrid_score", "rank", "text")
 
 
 def reciprocal_rank_fusion(lists: DataFrame, group: str, list_id: str, item: str, score: str, k: int = 60) -> DataFrame:

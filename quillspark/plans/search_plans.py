@@ -70,7 +70,7 @@ KEYWORD_SQL = f"WITH {_LISTED} SELECT query_id, id FROM m"
 
 
 def hybrid_chunks(spark, d):
-    found = retrieval.hybrid_search(chunks_of(spark, d), asked_of(spark, d), 10, "balanced")
+    found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, "balanced")
     return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", F.length("text").alias("length"))
 
 
