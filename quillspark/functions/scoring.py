@@ -38,7 +38,8 @@ def tier(score: Column, high: float = 0.85, low: float = 0.65) -> Column:
 def parsed_relevance(answer: Column) -> Column:
     """A number within a model's answer, also with a decimal comma, kept within 0 and 1; 0 if there is none."""
     number = F.regexp_extract(F.replace(F.trim(answer), F.lit(","), F.lit(".")), r"^[-+]?\d*\.?\d+", 0)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number.try_cast("double"))), F.lit(0.0))
+    # least and greatest pass over nulls, so the default comes first
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number.try_cast("double"), F.lit(0.0))))
 
 
 def normalized_strategy(name: Column) -> Column:
