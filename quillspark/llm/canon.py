@@ -85,9 +85,9 @@ def skeleton(value: Column) -> Column:
 def canonical(values: DataFrame, kind: str, value: str, preferred: str | None = None, out: str = "canonical", cls: str = "form") -> DataFrame:
     """values with the form of each value and the canonical member of its class within its kind.
 
-    preferred: a boolean column; where true, the spelling is a reference one.
+    preferred: a boolean column; where true, the spelling is a reference one. Columns named as the results give way.
     """
-    marked = values.withColumn(cls, F.collate(skeleton(F.col(value)), "UNICODE"))
+    marked = values.drop(out, cls).withColumn(cls, F.collate(skeleton(F.col(value)), "UNICODE"))
     prefer = F.coalesce(F.col(preferred), F.lit(False)) if preferred else F.lit(False)
     spelled = marked.where(F.col(value).isNotNull()).groupBy(F.col(kind).alias("__kind"), F.col(cls).alias("__form"), F.col(value).alias("__value")).agg(F.max(prefer).alias("__prefer"), F.count("*").alias("__n"))
     best = spelled.groupBy("__kind", "__form").agg(F.min(F.struct(~F.col("__prefer"), F.when(F.col("__prefer"), 0).otherwise(-F.col("__n")), "__value"))["__value"].alias(out))

@@ -318,6 +318,8 @@ def detect(df: DataFrame, keep: list[str], text: str, model: Filter, open_end: b
     """open_end: the last line may be a sentence without a mark at its end (as in questions typed in haste).
 
     The columns of keep, the main language and confidence, the languages with a full sentence, and the stretches (start, stop in code points)."""
+    if {"lang", "confidence", "languages", "segments"} & set(keep):
+        raise ValueError("columns to keep must not be named as the results")
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = np.array([*LANGS, None], dtype=object)
 

@@ -35,6 +35,7 @@ def cut_pattern(core: Column) -> Column:
 
 def pieces(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame:
     """The rows of df whose text is longer than limit, once for each piece, with piece_no from 0, start_index and piece."""
+    df = df.drop("piece_no", "start_index", "piece")  # columns of these names give way
     size = F.greatest(F.col(limit), F.lit(1))
     lap = F.when(F.col(overlap) >= size, F.floor(size / 2)).otherwise(F.greatest(F.col(overlap), F.lit(0))).cast("int")
     long = df.where(F.length(text) > size).withColumn("__lap", lap).withColumn("__core", (size - lap).cast("int"))

@@ -10,8 +10,8 @@ A query visits a shard, and a side of a tree node, unless the triangle inequalit
 factor prunes more at some loss. As a first bound of its k-th distance a query takes its k-th
 nearest vantage point. A query always visits its nearest shards until these hold k vectors.
 
-Shards larger than SPLIT_ROWS are split by a hash of the id, so a region that holds a third of all
-rows is spread over many tasks.
+Shards larger than SPLIT_ROWS are split by a hash of the id, and the queries that visit a shard by
+their own beyond SPLIT_QUERIES, so a region that holds a third of all rows or queries is spread over many tasks.
 
 Defined results: a vector is usable if it has exactly `size` values, all finite and not all zero;
 others, null and empty ones have no part. A row delivered repeatedly under one id counts once.
@@ -35,6 +35,7 @@ MAX_VANTAGES = 4096
 VISITS = 8
 LEAF = 512
 SPLIT_ROWS = 50_000
+SPLIT_QUERIES = 50_000
 #: Relaxation of the triangle inequality between shards, measured: recall 0.99 and more on the test tables.
 SHARD_FACTOR = 22.0
 #: Relaxation inside a shard's tree.
@@ -156,20 +157,32 @@ def nearest(
         parts = np.maximum(1, -(-sizes // SPLIT_ROWS))
         layout = spark.sparkContext.broadcast((sizes, parts))
 
+        def visits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows of x and the shards that they visit, and their first bounds."""
+            sizes = layout.value[0]
+            d = _chord(x @ shared.value.T)
+            order = np.argsort(d, axis=1)
+            d = np.take_along_axis(d, order, axis=1)
+            # a sample's k-th distance bounds that of all; a bisecting plane lies at least half the difference away
+            bound = d[:, k - 1 : k] if d.shape[1] >= k else np.full((len(d), 1), 2.0)
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            at, nth = np.nonzero(((d - d[:, :1]) / 2 * shard_factor <= bound) | (before < k))
+            return at, order[at, nth], bound
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(shared.value), np.int64)
+            for batch in batches:
+                x = _matrix(batch.column(1), size)
+                for i in range(0, len(x), 1024):
+                    total += np.bincount(visits(x[i : i + 1024])[1], minlength=len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["shard", "n"])
+
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v, (sizes, parts) = shared.value, layout.value
+            parts = layout.value[1]
             for batch in batches:
                 x = _matrix(batch.column(1), size)
                 for i in range(0, len(x), 1024):
-                    d = _chord(x[i : i + 1024] @ v.T)
-                    order = np.argsort(d, axis=1)
-                    d = np.take_along_axis(d, order, axis=1)
-                    # a sample's k-th distance bounds that of all; a bisecting plane lies at least half the difference away
-                    bound = d[:, k - 1 : k] if d.shape[1] >= k else np.full((len(d), 1), 2.0)
-                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                    visit = ((d - d[:, :1]) / 2 * shard_factor <= bound) | (before < k)
-                    at, nth = np.nonzero(visit)
-                    shard = order[at, nth]
+                    at, shard, bound = visits(x[i : i + 1024])
                     n = parts[shard]
                     at, shard, limit = np.repeat(at, n), np.repeat(shard, n), np.repeat(bound[at, 0], n)
                     part = np.arange(len(shard)) - np.repeat(np.cumsum(n) - n, n)
@@ -179,9 +192,17 @@ def nearest(
                         names=["qid", "shard", "part", "bound", "x"],
                     )
 
-        split = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("shard") + 1) if parts.max() > 1 else F.lit(1)
-        points = placed.select("id", "shard", F.pmod(F.xxhash64("id"), split).cast("int").alias("part"), "x")
-        asked = q.mapInArrow(route, f"qid {q_type}, shard int, part int, bound double, x binary")
+        q_parts = np.ones(len(vantage), np.int64)
+        for shard, n in q.mapInArrow(tally, "shard int, n bigint").groupBy("shard").agg(F.sum("n")).collect():  # at most MAX_VANTAGES rows
+            q_parts[shard] = max(1, -(-n // SPLIT_QUERIES))
+
+        def per_shard(values: np.ndarray) -> Column:
+            """The value of the row's shard; nearly all shards have 1."""
+            pairs = [F.lit(int(x)) for i in np.flatnonzero(values > 1) for x in (i, values[i])]
+            return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("shard")), F.lit(1)) if pairs else F.lit(1)
+
+        points = placed.select("id", "shard", F.pmod(F.xxhash64("id"), per_shard(parts)).cast("int").alias("part"), "x", F.explode(F.sequence(F.lit(0), per_shard(q_parts) - 1)).alias("turn"))
+        asked = q.mapInArrow(route, f"qid {q_type}, shard int, part int, bound double, x binary").withColumn("turn", F.pmod(F.xxhash64("qid"), per_shard(q_parts)).cast("int"))
 
         def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -197,7 +218,7 @@ def nearest(
                 found.append(pd.DataFrame({"qid": part["qid"].to_numpy()[at], "id": left["id"].to_numpy()[place[at, nth]], "cosine": cosine[at, nth].astype(float)}))
             return pd.concat(found, ignore_index=True)
 
-        top = points.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(search, empty)
+        top = points.groupBy("shard", "part", "turn").cogroup(asked.groupBy("shard", "part", "turn")).applyInPandas(search, empty)
     # one partitioning serves both; an id delivered with differing vectors keeps its best
     once = top.repartition("qid").groupBy("qid", "id").agg(F.max("cosine").alias("cosine"))
     if skip_self:

@@ -6,7 +6,7 @@ SCHEMA = "id string, text string, lim int, lap int, piece string"
 
 
 def run(spark, rows):
-    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).drop("piece")
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
     out = {}
     for r in splitting.pieces(df, "text", "lim", "lap").collect():
         out.setdefault(r["id"], []).append(r)

@@ -59,6 +59,7 @@ def test_tree_with_small_leaves_is_exact():
 
 def test_split_shards(spark, data, monkeypatch):
     monkeypatch.setattr(vectors, "SPLIT_ROWS", 30)
+    monkeypatch.setattr(vectors, "SPLIT_QUERIES", 5)
     base, queries = data
     assert run(spark, base, queries, shard_factor=1.0, tree_factor=1.0, max_vantages=4) == brute(base, queries, 5)
 
