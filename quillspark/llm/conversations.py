@@ -12,7 +12,8 @@ questions and replies must alternate from a question to a reply.
 
 Defined results: a null time sorts first; a text is blank if it is empty or nothing in it is visible;
 a row that lacks an id and links is a conversation of its own (and so has no reply: dropped).
-The longest conversation is handled by Spark's window sort, which spills; no group is collected.
+No conversation is held by one task: rows are sorted by range, so a long one lies in several
+partitions; each piece is numbered and checked by itself, and pieces meet as one row each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.canon import invisible_class
 from quillspark.llm.components import components
+from quillspark.session import cut
 
 #: Role names in use, in lower case.
 ASSISTANT = ["assistant", "bot", "ai", "model", "gpt", "agent", "system_assistant", "support"]
@@ -52,8 +54,8 @@ def _with_ids(messages: DataFrame, reply_to: str | None) -> DataFrame:
     return joined.withColumn("conv_id", F.coalesce(own, alone)).drop("component")
 
 
-def rebuild(messages: DataFrame, reply_to: str | None = None) -> DataFrame:
-    """conv_id, pos, message_id, role (user, assistant), text, ts of the messages of each kept conversation."""
+def rebuild(messages: DataFrame, reply_to: str | None = None, with_text: bool = True) -> DataFrame:
+    """conv_id, pos, message_id, role (user, assistant), ts and text (unless it isn't asked for) of the messages of each kept conversation."""
     wanted = ["message_id", "session_id", "role", "query", "answer", "ts", *([reply_to] if reply_to else [])]
     rows = _with_ids(messages.select(*wanted), reply_to)
     once = rows.groupBy("conv_id", "query", "answer", "ts").agg(F.min("message_id").alias("message_id"), F.min(F.struct("message_id", "role"))["role"].alias("role"))
@@ -61,12 +63,20 @@ def rebuild(messages: DataFrame, reply_to: str | None = None) -> DataFrame:
     empty = F.col("query").isNull() & F.col("answer").isNull()
     said = once.where(~(empty & role.isin(SYSTEM)))
     speaker = F.when(F.col("query").isNotNull(), "user").when(F.col("answer").isNotNull(), "assistant").when(role.isin(ASSISTANT), "assistant").otherwise("user")
-    said = said.select("conv_id", "message_id", "ts", speaker.alias("role"), F.coalesce("query", "answer").alias("text"))
-    blank = F.coalesce(visible(F.col("text")), F.lit("")) == ""
+    text = F.coalesce("query", "answer")
+    blank = F.coalesce(visible(text), F.lit("")) == ""
+    said = said.select("conv_id", "message_id", "ts", speaker.alias("role"), blank.alias("blank"), *([text.alias("text")] if with_text else []))
+    line = [F.col("ts").asc_nulls_first(), F.desc("role"), F.col("message_id")]
+    # the range a row falls into is written down, so that a lost executor can't change it
+    placed = cut(said.repartitionByRange(F.col("conv_id"), *line).withColumn("part", F.spark_partition_id()))
+    piece = Window.partitionBy("conv_id", "part")
+    rows = placed.withColumns({"nth": F.row_number().over(piece.orderBy(*line)), "before": F.lag("role").over(piece.orderBy(*line))})
+    wrong = F.col("blank") | F.coalesce(F.col("before") == F.col("role"), F.lit(False))
+    pieces = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.max(wrong).alias("wrong"), F.min_by("role", "nth").alias("first"), F.max_by("role", "nth").alias("last"))
+    # a conversation has no more pieces than there are partitions
     conv = Window.partitionBy("conv_id")
-    line = conv.orderBy(F.col("ts").asc_nulls_first(), F.desc("role"), "message_id")
-    placed = said.withColumn("pos", F.row_number().over(line)).withColumn("next", F.lead("role").over(line))
-    wanted_role = F.when(F.col("pos") % 2 == 1, "user").otherwise("assistant")
-    broken = blank | (F.col("role") != wanted_role) | (F.col("next").isNull() & (F.col("role") != "assistant"))
-    judged = placed.withColumn("broken", F.max(broken).over(conv))
-    return judged.where(~F.col("broken")).select("conv_id", "pos", "message_id", "role", "text", "ts")
+    ordered = conv.orderBy("part")
+    joints = pieces.withColumns({"skip": F.sum("n").over(ordered) - F.col("n"), "joint": F.coalesce(F.lag("last").over(ordered) == F.col("first"), F.lit(False)), "begin": F.first("first").over(ordered), "end": F.last("last").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    broken = F.max(F.col("wrong") | F.col("joint") | (F.col("begin") != "user") | (F.col("end") != "assistant")).over(conv)
+    kept = joints.withColumn("broken", broken).where(~F.col("broken")).select("conv_id", "part", "skip")
+    return rows.join(kept, ["conv_id", "part"]).select("conv_id", (F.col("skip") + F.col("nth")).cast("int").alias("pos"), "message_id", "role", *(["text"] if with_text else []), "ts")

@@ -145,7 +145,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = conversations.rebuild(table(spark, sf_dir, "chat_messages"))
+    found = conversations.rebuild(table(spark, sf_dir, "chat_messages"), with_text=False)
     return found.select(F.col("conv_id").alias("session_id"), "pos", "message_id")
 
 

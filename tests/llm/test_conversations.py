@@ -24,6 +24,18 @@ def test_rules(spark):
     assert kept(df) == [("a", 1, 1), ("a", 2, 2)]
 
 
+def test_one_conversation_over_many_partitions(spark):
+    n = 4000
+    rows = [(i, "long", None, f"q{i}" if i % 2 == 0 else None, f"a{i}" if i % 2 else None, i // 2) for i in range(n)] + [(n + i, "bad", None, "q", None, i) for i in range(500)]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = conversations.rebuild(frame(spark, rows), with_text=False).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert [(r["conv_id"], r["pos"], r["message_id"]) for r in found] == [("long", i + 1, i) for i in range(n)]
+
+
 def test_null_time_and_empty(spark):
     df = frame(spark, [(1, "a", None, "q", None, None), (2, "a", None, None, "r", 1)])
     assert kept(df) == [("a", 1, 1), ("a", 2, 2)]
