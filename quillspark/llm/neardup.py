@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.session import cut
 
@@ -99,40 +101,54 @@ def _block_sizes(rows: DataFrame) -> np.ndarray:
     return sizes
 
 
-def _sketch(rows: DataFrame, blocks: np.ndarray, width: int, min_words: int) -> np.ndarray:
-    """Upper bounds of the number of rows with a shingle, by slot, over all larger blocks: 2^22 sums, whatever the input's size."""
-    parts, per = 64, 2**SKETCH_BITS // 64
+PARTS = 64
+
+
+def _first_pass(rows: DataFrame, blocks: np.ndarray, width: int, min_words: int) -> DataFrame:
+    """One reading of all texts, written down: key and cls of each record that has a set, and each task's counts of shingle slots (part, packed)."""
+    per = 2**SKETCH_BITS // PARTS
     shared = rows.sparkSession.sparkContext.broadcast(blocks)
+    kind = rows.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+    names = ["key", "cls", "part", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**SKETCH_BITS, np.int64)
         for batch in batches:
-            large = np.flatnonzero(shared.value[_block_slot(batch.column(0).to_numpy())] > SMALL_BLOCK)
-            if len(large):
-                batch = batch.take(pa.array(large))
-                _, h = shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words)
-                np.add.at(total, _slot(h), 1)
+            salts = batch.column(0).to_numpy()
+            row, h = shingle_sets(batch.column(1).to_pylist(), salts, width, min_words)
+            there, _, n, cls = _classes_of(row, h)
+            large = np.repeat(shared.value[_block_slot(salts[there])] > SMALL_BLOCK, n)
+            np.add.at(total, _slot(h[large]), 1)
+            none = pa.nulls(len(there), pa.int32()), pa.nulls(len(there), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(there)).cast(arrow), pa.array(cls), *none], names=names)
         slots = np.flatnonzero(total)
-        for p in range(parts):
+        for p in range(PARTS):
             own = slots[(slots >= p * per) & (slots < (p + 1) * per)]
-            if len(own):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), pa.array([own.astype(np.int32).tobytes()]), pa.array([total[own].astype(np.int64).tobytes()])],
-                    names=["part", "slots", "sums"],
-                )
+            if len(own):  # distances and counts are small numbers, which pack well
+                packed = zlib.compress(np.diff(own, prepend=p * per).astype(np.uint32).tobytes() + total[own].astype(np.uint32).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([packed])], names=names)
+
+    return cut(rows.mapInArrow(run, f"key {kind.simpleString()}, cls bigint, part int, packed binary"))
+
+
+def _sketch(first: DataFrame) -> np.ndarray:
+    """Upper bounds of the number of rows with a shingle, by slot, over all larger blocks: 2^22 sums, whatever the input's size."""
+    per = 2**SKETCH_BITS // PARTS
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(per, np.int64)
         for batch in batches:
-            for s, n in zip(batch.column("slots").to_pylist(), batch.column("sums").to_pylist()):
-                total[np.frombuffer(s, np.int32) - key[0].as_py() * per] += np.frombuffer(n, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
+            for packed in batch.column("packed").to_pylist():
+                both = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+                total[np.cumsum(both[: len(both) // 2])] += both[len(both) // 2 :]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])], names=["part", "sums"])
 
-    summed = rows.select("salt", "text").mapInArrow(run, "part int, slots binary, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
-    total = np.zeros(2**SKETCH_BITS, np.int64)
-    for part, sums in summed.collect():  # 64 rows, 32 MB in all
-        total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int64)
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
+    summed = first.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(add, "part int, sums binary")
+    total = np.zeros(2**SKETCH_BITS, np.int32)
+    for part, sums in summed.collect():  # 64 rows, 16 MB in all
+        total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int32)
+    return total
 
 
 def _prefix(n: np.ndarray, t: float, l: int) -> np.ndarray:
@@ -146,25 +162,27 @@ def _bits(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
 
 
-def _pairs_of_runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, of equal keys in a sorted array, in blocks."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    ends = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+def _pairs_of_runs(key: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of equal keys and sizes in the proportion t at least, in an array sorted by key and size, in blocks."""
+    run = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.int64)
+    order = run << 32 | size
+    ends = np.searchsorted(order, run << 32 | np.floor(size / t + 1e-9).astype(np.int64), "right")
     rest = ends - np.arange(len(key)) - 1
     at = np.flatnonzero(rest)
     while len(at):
         total = np.cumsum(rest[at])
-        n = max(1, int(np.searchsorted(total, 2_000_000, "right")))
+        n = max(1, int(np.searchsorted(total, 1_000_000, "right")))
         now, at = at[:n], at[n:]
         left = np.repeat(now, rest[now])
         yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(rest[now]) - rest[now], rest[now])
 
 
 def _similar(size_a: np.ndarray, size_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, t: float) -> np.ndarray:
-    """False only where the sizes or the bitmaps rule out a similarity of t."""
-    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
-    return (low >= t * high - 1e-9) & (differ <= (1 - t) / (1 + t) * (size_a + size_b) + 1e-9)
+    """False only where the bitmaps rule out a similarity of t."""
+    differ = np.zeros(len(size_a), np.int64)
+    for w in range(bits_a.shape[1]):
+        differ += np.bitwise_count(bits_a[:, w] ^ bits_b[:, w])
+    return differ <= (1 - t) / (1 + t) * (size_a + size_b) + 1e-9
 
 
 def _rows(records: DataFrame, key: str, text: str, block: Column | None) -> DataFrame:
@@ -179,17 +197,6 @@ def _classes_of(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return there, first, n, _mix(cls).view(np.int64)
 
 
-def memberships(rows: DataFrame, width: int, min_words: int) -> DataFrame:
-    """key and cls of each record that has a set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            there, _, _, cls = _classes_of(*shingle_sets(batch.column(1).to_pylist(), batch.column(0).to_numpy(), width, min_words))
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(there)), pa.array(cls)], names=["key", "cls"])
-
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, cls bigint").distinct()
-
-
 def class_sets(rows: DataFrame, total: np.ndarray, blocks: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
     """cls, list (of a small block, else null), shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class."""
     shared = rows.sparkSession.sparkContext.broadcast((total, blocks))
@@ -295,7 +302,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
             key, cls, n = (part.column(c).to_numpy() for c in ("sig", "cls", "n"))
             role, n = n & 3, n >> 2
             bits = np.stack([part.column(f"b{w}").to_numpy().view(np.uint64) for w in range(4)], axis=1)
-            for i, j in _pairs_of_runs(key):
+            for i, j in _pairs_of_runs(key, n, t):
                 ok = ((role[i] | role[j]) != 1) & (cls[i] != cls[j])  # in a heavy list one of the two is large
                 i, j = i[ok], j[ok]
                 ok = _similar(n[i], n[j], bits[i], bits[j], t)
@@ -316,7 +323,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
             yield from pairs(kept)
 
     signed = sets.select("cls", "list", "shingles").mapInArrow(sign, fields)
-    sorted_ = signed.repartition("sig").sortWithinPartitions("sig")
+    sorted_ = signed.repartition("sig").sortWithinPartitions("sig", "n")
     candidates = sorted_.mapInArrow(join, "a bigint, b bigint").distinct()
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
@@ -329,6 +336,7 @@ def near_duplicates(records: DataFrame, key: str, text: str, block: Column | Non
     """(links between classes: a, b, similarity; membership: key, cls). A class is a set of equal shingle sets of a block."""
     rows = _rows(records, key, text, block)
     blocks = _block_sizes(rows)
-    total = _sketch(rows, blocks, width, min_words)
+    first = _first_pass(rows, blocks, width, min_words)
+    total = _sketch(first)
     sets = cut(class_sets(rows, total, blocks, width, min_words, t))
-    return similar_classes(sets, total, t), memberships(rows, width, min_words)
+    return similar_classes(sets, total, t), first.where("key is not null").select("key", "cls").distinct()
