@@ -46,6 +46,7 @@ WORDS = re.compile(r"[^\W_]+")
 SKETCH_BITS = 22
 #: Slots for the numbers of rows in blocks, and the size up to which a block is one inverted list by itself.
 BLOCK_BITS, SMALL_BLOCK = 18, 128
+BITMAP_BITS = 20
 SMALL = 48
 BOUNDARIES = [128, 256, 512, 1024, 2048, 4096, 8192]
 #: Relative costs for the choice of the boundary: a pair looked at in a list, a signature shuffled and sorted.
@@ -148,7 +149,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
     total = np.zeros(2**SKETCH_BITS, np.int32)
     for part, sums in summed.collect():  # 64 rows, 16 MB in all
         total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int32)
-    return total
+    return np.minimum(total, 65535).astype(np.uint16)  # far beyond all boundaries
 
 
 def _prefix(n: np.ndarray, t: float, l: int) -> np.ndarray:
@@ -197,13 +198,34 @@ def _classes_of(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return there, first, n, _mix(cls).view(np.int64)
 
 
-def class_sets(rows: DataFrame, total: np.ndarray, blocks: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
-    """cls, list (of a small block, else null), shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class."""
-    shared = rows.sparkSession.sparkContext.broadcast((total, blocks))
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """The 2^20 bits of a column of slots; at most 2^20 numbers reach the driver."""
+    bits = np.zeros(2**BITMAP_BITS, bool)
+    bits[slots.distinct().toArrow().column(0).to_numpy()] = True
+    return np.packbits(bits)
+
+
+def _bit_slot(column: str) -> Column:
+    return F.col(column).bitwiseAND(2**BITMAP_BITS - 1)
+
+
+def _has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (2**BITMAP_BITS - 1)
+    return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def class_sets(rows: DataFrame, first: DataFrame, shared, blocks: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
+    """cls, list (of a small block, else null), shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class.
+
+    Only sets that may occur more than once (by a bitmap of the repeated classes) are shuffled to find
+    their classes' single row; where the bitmap is full, that is all of them.
+    """
+    repeated = first.where("key is not null").groupBy("cls").count().where("count > 1").select(_bit_slot("cls").alias("slot"))
+    bits = rows.sparkSession.sparkContext.broadcast((_bitmap(repeated), blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, blocks = shared.value
+            total, (repeated, blocks) = shared.value, bits.value
             salts = batch.column(0).to_numpy()
             row, h = shingle_sets(batch.column(1).to_pylist(), salts, width, min_words)
             there, first, n, cls = _classes_of(row, h)
@@ -216,9 +238,11 @@ def class_sets(rows: DataFrame, total: np.ndarray, blocks: np.ndarray, width: in
             heavy = np.stack([np.add.reduceat((est > d) & two, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32) for d in BOUNDARIES], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.astype(np.uint32).view(np.int32)))
             counts = pa.ListArray.from_arrays(pa.array((np.arange(len(cls) + 1) * len(BOUNDARIES)).astype(np.int32)), pa.array(heavy.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls), lists_of, lists, counts], names=["cls", "list", "shingles", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), lists_of, lists, counts, pa.array(_has_bit(repeated, cls))], names=["cls", "list", "shingles", "heavy", "maybe"])
 
-    return rows.select("salt", "text").mapInArrow(run, "cls bigint, list bigint, shingles array<int>, heavy array<int>").dropDuplicates(["cls"])
+    every = cut(rows.select("salt", "text").mapInArrow(run, "cls bigint, list bigint, shingles array<int>, heavy array<int>, maybe boolean"))
+    once = every.where("not maybe").unionByName(cut(every.where("maybe").dropDuplicates(["cls"])))
+    return once.drop("maybe")
 
 
 def _boundary(sets: DataFrame, total: np.ndarray, t: float) -> int:
@@ -243,12 +267,11 @@ def sets_rows(row: list[float]) -> float:
     return max(row[2::3]) or 1.0
 
 
-def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
+def similar_classes(sets: DataFrame, total: np.ndarray, shared, t: float) -> DataFrame:
     """a, b, similarity of each pair of classes with a similarity of at least t; sets: cls, shingles, heavy, one row per class."""
     d = _boundary(sets, total, t)
     at = BOUNDARIES.index(d)
     any_large = not sets.where(F.element_at("heavy", at + 1) > SMALL).isEmpty()
-    shared = sets.sparkSession.sparkContext.broadcast(total)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +347,16 @@ def similar_classes(sets: DataFrame, total: np.ndarray, t: float) -> DataFrame:
 
     signed = sets.select("cls", "list", "shingles").mapInArrow(sign, fields)
     sorted_ = signed.repartition("sig").sortWithinPartitions("sig", "n")
-    candidates = sorted_.mapInArrow(join, "a bigint, b bigint").distinct()
+    candidates = cut(sorted_.mapInArrow(join, "a bigint, b bigint").distinct())
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("c")).select(_bit_slot("c").alias("slot"))
+    wanted = sets.sparkSession.sparkContext.broadcast(_bitmap(ends))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has_bit(wanted.value, batch.column(0).to_numpy())))
+
+    # only sets that may be an end of a candidate are shuffled
+    sets = sets.select("cls", "shingles").mapInArrow(pick, "cls bigint, shingles array<int>")
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     both = candidates.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
@@ -338,5 +370,6 @@ def near_duplicates(records: DataFrame, key: str, text: str, block: Column | Non
     blocks = _block_sizes(rows)
     first = _first_pass(rows, blocks, width, min_words)
     total = _sketch(first)
-    sets = cut(class_sets(rows, total, blocks, width, min_words, t))
-    return similar_classes(sets, total, t), first.where("key is not null").select("key", "cls").distinct()
+    shared = records.sparkSession.sparkContext.broadcast(total)
+    sets = class_sets(rows, first, shared, blocks, width, min_words, t)
+    return similar_classes(sets, total, shared, t), first.where("key is not null").select("key", "cls").distinct()
