@@ -93,7 +93,7 @@ def _fold() -> tuple[np.ndarray, np.ndarray]:
 class Units:
     """Sentences and lines of a batch of texts, and the hashed n-grams of each."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], keep_names: bool = False):
         self.row, self.start, self.end, self.full, self.last = [], [], [], [], []
         parts, units, raw = [], [], 0
         for i, text in enumerate(texts):
@@ -121,7 +121,7 @@ class Units:
         unit = np.repeat(np.arange(len(units)), units)
         table, upper = _fold()
         codes = np.minimum(codes, 65535)
-        folded = self._without_names(table[codes], upper[codes], unit, len(units))
+        folded = table[codes] if keep_names else self._without_names(table[codes], upper[codes], unit, len(units))
         keep = folded != 0
         folded, unit = folded[keep], unit[keep]
         # runs of non-letters become one space, each unit begins and ends with one
@@ -132,6 +132,7 @@ class Units:
         self.n = len(units)
         starts = (self.codes != 32) & (np.r_[True, (self.codes[:-1] == 32) | (self.unit[1:] != self.unit[:-1])] if len(self.codes) else np.zeros(0, bool))
         self.words = np.bincount(self.unit[starts], minlength=self.n)
+        self.word, self.unit_of_word = np.cumsum(starts) - 1, self.unit[starts]
         self.row = np.array(self.row, np.int64)
         self.full = np.array(self.full, bool)
         self.last = np.array(self.last, bool)
@@ -164,7 +165,7 @@ class Units:
         return bool(m and m[0].strip())
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Unit and hash of each n-gram that lies in one word with at most its two edges, for BLOCK letters at a time."""
+        """Word and hash of each n-gram that lies in one word with at most its two edges, for BLOCK letters at a time."""
         c, u = self.codes.astype(np.uint64), self.unit
         space = self.codes == 32
         for low in range(0, len(c), BLOCK):
@@ -182,7 +183,7 @@ class Units:
                     h = h * np.uint64(0x100000001B3) + c[at + j]
                 h ^= h >> np.uint64(29)
                 h *= np.uint64(0xBF58476D1CE4E5B9)
-                units.append(u[at])
+                units.append(self.word[at + 1])  # the first letter may be the blank before
                 hashes.append(h ^ (h >> np.uint64(32)))
             if units:
                 yield np.concatenate(units), np.concatenate(hashes)
@@ -215,19 +216,23 @@ class Filter:
         self.false = fill**2
 
     def counts(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected hits of each unit and language, and the n-grams of each unit."""
-        hits, total = np.zeros((units.n, len(LANGS))), np.zeros(units.n)
-        for unit, h in units.blocks():
+        """Corrected hits of each unit and language, and the n-grams of each unit. Only words that a language knows for the most part count for it."""
+        m = len(units.unit_of_word)
+        hits, total = np.zeros((m, len(LANGS))), np.zeros(m)
+        for word, h in units.blocks():
             a, b = _slots(h)
             found = self.bits[a] & self.bits[b]
-            low, high = int(unit.min(initial=units.n)), int(unit.max(initial=-1)) + 1
+            low, high = int(word.min(initial=m)), int(word.max(initial=-1)) + 1
             if high <= low:
                 continue
-            total[low:high] += np.bincount(unit - low, minlength=high - low)
+            total[low:high] += np.bincount(word - low, minlength=high - low)
             found[found == (1 << len(LANGS)) - 1] = 0  # what is in the filters of all languages tells nothing
             for l in range(len(LANGS)):
-                hits[low:high, l] += np.bincount(unit[(found >> l) & 1 == 1] - low, minlength=high - low)
-        return np.maximum(0, (hits - self.false * total[:, None]) / (1 - self.false)), total
+                hits[low:high, l] += np.bincount(word[(found >> l) & 1 == 1] - low, minlength=high - low)
+        hits = np.maximum(0, (hits - self.false * total[:, None]) / (1 - self.false))
+        hits[hits < MOSTLY * total[:, None]] = 0
+        own = np.stack([np.bincount(units.unit_of_word, weights=hits[:, l], minlength=units.n) for l in range(len(LANGS))], axis=1)
+        return own, np.bincount(units.unit_of_word, weights=total, minlength=units.n)
 
 
 class _Counts:
@@ -271,15 +276,16 @@ def fit(texts: list[str], langs: list[str]) -> Filter:
     for least in (FIRST_SHARE, SHARE):
         counts = _Counts()
         for i in range(0, len(texts), FIT_BATCH):
-            units = Units(texts[i : i + FIT_BATCH])
+            # with names: as they occur in all languages, their n-grams then tell nothing
+            units = Units(texts[i : i + FIT_BATCH], keep_names=True)
             if not units.n:
                 continue
             lang = langs[i : i + FIT_BATCH][units.row]
             if model is not None:
                 hits, total = model.counts(units)
                 lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), -1)
-            for unit, h in units.blocks():
-                counts.add(units, unit, h, lang)
+            for word, h in units.blocks():
+                counts.add(units, units.unit_of_word[word], h, lang)
         model = counts.filter(least)
     return model
 
@@ -293,6 +299,8 @@ def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_RO
 
 #: A unit's language counts if this share of its n-grams is known in it and the second is this much less.
 KNOWN, MARGIN = 0.45, 0.12
+#: Share of a word's n-grams that a language knows at least for the word to count.
+MOSTLY = 0.6
 #: Words that a sentence of another language has at least.
 WORDS = 3
 #: n-grams that it has beyond those of the text's main language: this many, or half of that and this share.
