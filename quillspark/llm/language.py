@@ -283,7 +283,7 @@ def fit(texts: list[str], langs: list[str]) -> Filter:
             lang = langs[i : i + FIT_BATCH][units.row]
             if model is not None:
                 hits, total = model.counts(units)
-                lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), -1)
+                lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), lang)
             for word, h in units.blocks():
                 counts.add(units, units.unit_of_word[word], h, lang)
         model = counts.filter(least)

@@ -15,6 +15,7 @@ and has no language. Rows delivered twice give one result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,9 @@ COURTESY = [
 ASKS_LANGUAGE = r"english|ukrainian|russian|polish|german|англійськ|українськ|російськ|польськ|німецьк|английск|украинск|русск|польск|немецк|angielsk|ukraińsk|rosyjsk|polsk|niemieck|englisch|ukrainisch|russisch|polnisch|deutsch|anhliisk|ukrainsk|rosiisk|polsk|nimetsk"
 
 
+CYRILLIC = re.compile("[\u0400-\u04ff]")
+
+
 def _with_latin(patterns: list[str]) -> str:
     """All patterns and the Latin spelling of the Cyrillic ones as one expression."""
     cyrillic = [p for p in patterns if any("Ѐ" <= c <= "ӿ" for c in p)]
@@ -151,7 +155,7 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
         if units.n:
             np.add.at(whole, units.row, hits)
             top = hits.max(axis=1)
-            lead = np.flatnonzero((top >= 3) & (units.words >= 2))
+            lead = np.flatnonzero((top >= 2) & (units.words >= 2))
             leads[units.row[lead], hits[lead].argmax(axis=1)] = True
         return whole, leads
 
@@ -168,6 +172,12 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
             beyond = best - np.maximum(own, 0)
             strong = known & (beyond >= 12) & (beyond >= 0.3 * best)
             some = known & (beyond >= 10) & (beyond >= 0.5 * best)
+            # a few words can belong to two languages of one script
+            answers, questions = batch.column(a_at).to_pylist(), batch.column(q_at).to_pylist()
+            few = np.array([t is not None and len(t.split()) <= 4 for t in answers], bool)
+            script = np.array([bool(CYRILLIC.search(x or "")) != bool(CYRILLIC.search(y or "")) for x, y in zip(answers, questions)], bool)
+            known &= ~few | script
+            some, strong = some & known, strong & known
             same = known & (beyond <= 0)
             votes = [np.where(some, 1, np.where(known, 0, -1)), np.where(strong, 1, np.where(same, 0, -1)), np.where(known & (own <= 0.35 * best), 1, np.where(known & (own >= 0.8 * best), 0, -1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v.astype(np.int8)) for v in votes)], names=[*keep, "o1", "o2", "o3"])
