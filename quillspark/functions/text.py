@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters and their Latin spelling.
 TO_LATIN = dict(zip(
-    "абвгґдежзиіїйклмнопрстуфхцчшщєюяьъёэы",
-    "a b v h g d e zh z y i i i k l m n o p r s t u f kh ts ch sh shch ie iu ia   yo e y".split(" "),
+    "абвгґдеєжзиіїйклмнопрстуфхцчшщьюяёэъы",
+    "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch  iu ia yo e  y".split(" "),
 ))
 #: Latin groups and letters and the Cyrillic letter for each, longest group first.
 TO_CYRILLIC = [

@@ -9,6 +9,7 @@ from quillspark.functions import scoring, vectors
 from quillspark.functions import text as T
 from quillspark.operators import answers as A
 from quillspark.operators import graph, links, retrieval
+from quillspark.plans import ask, ingest
 from quillspark.plans.table_plans import CHUNKS, LINKS, TURNS, chunks_of, links_of, turns_of
 from quillspark.session import table
 
@@ -292,6 +293,36 @@ CONFIDENCE_SQL = rf"""WITH r AS (SELECT * FROM search_results WHERE text IS NOT
   g AS (SELECT *, CASE tier WHEN 'HIGH' THEN true WHEN 'LOW' THEN false ELSE (s + 0.5) / 2 >= 0.65 END AS grounded, CASE WHEN tier = 'GRAY_ZONE' THEN 'YES' END AS verdict FROM f)
   SELECT query_id, round(s, 5) AS score, tier, grounded, verdict, CASE WHEN grounded AND tier <> 'LOW' THEN 'kept' ELSE '{A.FALLBACK}' END AS answer, grounded AND tier <> 'LOW' AS accepted FROM g"""
 
+def multi_query_chunks(spark, d):
+    """Two variants of each stored query, with its own and with another keyword, fused."""
+    asked = asked_of(spark, d)
+    extra = F.array_union("keywords", F.array(F.lit("onboarding")))
+    variants = asked.select("query_id", F.lit(0).alias("variant"), "vector", "keywords").unionByName(asked.select("query_id", F.lit(1).alias("variant"), "vector", extra.alias("keywords")))
+    return ask.retrieve(table(spark, d, "chunks"), variants, 10).select("query_id", "id", F.round("fused", 8).alias("fused"), "rank")
+
+
+def adaptive_chunks(spark, d):
+    found = ask.adaptive(table(spark, d, "chunks"), asked_of(spark, d), 10)
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), "hybrid")
+
+
+def ingested_documents(spark, d):
+    """The documents as parents and children with keywords and vectors, as they would be stored."""
+    files = table(spark, d, "documents").select(F.concat("file_id", F.lit("_"), F.col("doc_id"), F.lit(".md")).alias("name"), F.col("text").alias("raw"), T.strip_markdown(F.col("text")).alias("text"))
+    return ingest.ingest(files, "parent_child").select("id", "file_id", "parent_id", "level", "text_length", F.size("context_keywords").alias("keywords"))
+
+
+def result_prompts(spark, d):
+    """A prompt for each query from the texts of its shown results."""
+    rows = table(spark, d, "search_results").where("text is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "result_id"))).where("rank <= 7")
+    said = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"))
+    made = ask.prompt(F.concat(F.lit("query "), F.col("query_id")), F.col("context"))
+    return said.select("query_id", F.md5(made.cast("binary")).alias("digest"))
+
+
+PROMPT_SQL = """WITH r AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY pos, result_id) AS n FROM search_results WHERE text IS NOT NULL)
+  SELECT query_id, md5('Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || 'Question:' || chr(10) || 'query ' || query_id) AS digest FROM r WHERE n <= 7 GROUP BY query_id"""
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
@@ -300,5 +331,6 @@ QUERIES = {
         (vector_metrics, METRICS_SQL), (keyword_chunks, KEYWORD_SQL), (hybrid_chunks, HYBRID_SQL), (fused_results, FUSED_SQL), (merged_results, MERGED_SQL), (parent_contexts, PARENTS_SQL), (links_by_keywords, LINK_SEARCH_SQL), (link_scores, LINK_SCORE_SQL), (image_results, None),
         (graph_edges, f"WITH {GRAPH} SELECT src, dst, type FROM ed"), (graph_stats, f"WITH {GRAPH} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM ent WHERE type = 'parent') AS parents, (SELECT count(*) FROM ent WHERE type = 'child') AS children"),
         (graph_neighbourhood, NEIGHBOURHOOD_SQL), (graph_matches, MATCHES_SQL), (extracted_graph, None), (rerank_scores, RERANK_SQL), (listwise_scores, LISTWISE_SQL), (compressed_answers, COMPRESS_SQL), (result_citations, CITATIONS_SQL), (answer_confidence, CONFIDENCE_SQL),
+        (multi_query_chunks, None), (adaptive_chunks, None), (ingested_documents, None), (result_prompts, PROMPT_SQL),
     ]
 }
