@@ -71,7 +71,7 @@ def inserted_links(spark, d):
     return tables.insert_absent(old, new.dropDuplicates(["url"]).select("url"), "url").groupBy("url").agg(F.count("*").alias("n"))
 
 
-def links_without_results(spark, d):
+def chunks_without_results(spark, d):
     """Chunks that no result names: a delete by key."""
     keys = table(spark, d, "search_results").select(F.col("chunk_ref").alias("id"))
     return tables.delete(chunks_of(spark, d), keys, "id").select("id")
@@ -235,7 +235,7 @@ QUERIES = {
         (result_chunks, f"SELECT id, file_id, level FROM {CHUNKS} WHERE id IN (SELECT chunk_ref FROM search_results)"),
         (upserted_links, f"WITH l AS {LINKS} SELECT id, url FROM l WHERE created_at >= '2018-01-15' OR (created_at < '2018-01-15' AND (url IS NULL OR url NOT IN (SELECT url FROM l WHERE created_at >= '2018-01-15' AND url IS NOT NULL)))"),
         (inserted_links, f"WITH l AS {LINKS}, o AS (SELECT url FROM l WHERE created_at < '2018-01-15'), n AS (SELECT DISTINCT url FROM l WHERE created_at >= '2018-01-15' AND url NOT IN (SELECT url FROM o WHERE url IS NOT NULL)) SELECT url, count(*) AS n FROM (SELECT url FROM o UNION ALL SELECT url FROM n) GROUP BY url"),
-        (links_without_results, f"SELECT id FROM {CHUNKS} WHERE id NOT IN (SELECT chunk_ref FROM search_results WHERE chunk_ref IS NOT NULL)"),
+        (chunks_without_results, f"SELECT id FROM {CHUNKS} WHERE id NOT IN (SELECT chunk_ref FROM search_results WHERE chunk_ref IS NOT NULL)"),
         (pruned_turns, f"SELECT id, session_id FROM {TURNS} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC NULLS LAST, id DESC) <= 50"),
         (recent_history, f"WITH r AS (SELECT * FROM {TURNS} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC NULLS LAST, id DESC) <= 5) SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, id) AS pos FROM r"),
         (first_turns, f"SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, id) AS pos FROM {TURNS} QUALIFY pos <= 100"),
