@@ -48,7 +48,8 @@ def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: in
     clean = lambda w: F.regexp_replace(w, r"[^a-zа-яіїєґ]", "")
     asked = F.array_distinct(F.filter(F.transform(F.split(F.lower(F.col(query)), r"\s+"), clean), lambda w: F.length(w) > 2))
     rows = pairs.select(*key, F.col(body).alias("__b"), asked.alias("__q"), T.marked_sentences(F.col(body)).alias("__s"))
-    shared = lambda s: F.size(F.filter(F.split(F.lower(s), r"\s+"), lambda w: F.array_contains(F.col("__q"), clean(w))))
+    letters = lambda s: F.regexp_replace(F.lower(s), r"[^a-zа-яіїєґ\s]", "")
+    shared = lambda s: F.size(F.filter(F.split(letters(s), r"\s+"), lambda w: F.array_contains(F.col("__q"), w)))
     ranked = F.array_sort(F.transform("__s", lambda s, i: F.struct((-shared(s)).alias("m"), i.alias("i"), s.alias("s"), F.size(F.split(s, r"\s+")).alias("n"))))
     rows = rows.withColumn("__r", F.slice(ranked, 1, candidates))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("full"))
@@ -62,10 +63,9 @@ def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: in
     return out.select(*key, "relevant", "compressed", F.coalesce(F.try_divide(F.length("compressed"), F.length("__b")), F.lit(0.0)).alias("ratio"))
 
 
-def holds(haystack: Column, needle: Column, share: float = 0.6) -> Column:
-    """More than this share of the needle's words of three and more characters occur in haystack."""
+def holds(low: Column, needle: Column, share: float = 0.6) -> Column:
+    """More than this share of the needle's words of three and more characters occur in a text in small letters."""
     words = F.filter(F.split(F.lower(needle), r"\s+"), lambda w: F.length(w) > 2)
-    low = F.lower(haystack)
     return (F.size(words) > 0) & (F.size(F.filter(words, lambda w: low.contains(w))) > share * F.size(words))
 
 
@@ -75,8 +75,10 @@ def citations(answers: DataFrame, docs: DataFrame, group: str) -> DataFrame:
     answers: group, answer; docs: group, doc_pos, id, text.
     """
     found = F.regexp_extract_all("text", F.lit(r"[^.!?…]+[.!?…]+"), F.lit(0))
-    rows = docs.join(answers, group).select(group, "answer", "doc_pos", "id", F.posexplode(found).alias("n", "sentence"))
-    used = rows.where((F.length("sentence") >= 20) & holds(F.col("answer"), F.col("sentence")))
+    # made before the join: inside the test it would be made again for every word
+    low = answers.select(group, F.lower("answer").alias("__low"))
+    rows = docs.join(low, group).select(group, "__low", "doc_pos", "id", F.posexplode(found).alias("n", "sentence"))
+    used = rows.where((F.length("sentence") >= 20) & holds(F.col("__low"), F.col("sentence")))
     number = F.dense_rank().over(Window.partitionBy(group).orderBy("doc_pos"))
     return used.select(group, number.alias("number"), "doc_pos", "id", "n", "sentence")
 
@@ -100,8 +102,8 @@ def confidence(answers: DataFrame, chunks: DataFrame, group: str, similarity: Co
     answers: group, answer, vector; chunks: group, pos, text, embedding; similarity: of the two vectors.
     """
     words = F.regexp_extract_all(F.lower("answer"), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
-    rows = chunks.join(answers.withColumn("__w", words), group)
-    rows = rows.where((F.trim("answer") != "") & F.exists("__w", lambda w: F.lower(F.col("text")).contains(w)))
+    rows = chunks.withColumn("__t", F.lower("text")).join(answers.withColumn("__w", words), group)
+    rows = rows.where((F.trim("answer") != "") & F.exists("__w", lambda w: F.col("__t").contains(w)))
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("pos")) - 1).where(F.col("__n") < compare)
     best = rows.withColumn("__s", similarity).where("__s is not null").groupBy(group).agg(F.max(F.struct(F.col("__s").alias("s"), (-F.col("__n")).alias("n"))).alias("b"))
     joined = answers.select(group).join(best, group, "left")
