@@ -82,3 +82,30 @@ def test_ties_and_self(spark):
     same = frame(spark, [(f"t{i}", [1.0, 2.0]) for i in range(6)])
     found = vectors.nearest(same, "id", "v", same, "id", "v", k=2, size=2, skip_self=True).collect()
     assert len(found) == 12 and all(r["id"] != r["neighbor_id"] for r in found)
+
+
+def test_recall_of_rows_among_themselves(spark, monkeypatch):
+    """Rows within clusters and rows far from all others; the bound of the latter is wide."""
+    monkeypatch.setattr(vectors, "SPLIT_ROWS", 700)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 96))
+    x = np.concatenate([centers[rng.integers(0, 60, 2000)] + 0.45 * rng.normal(size=(2000, 96)), rng.normal(size=(2000, 96))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = frame(spark, [(f"t{i:04d}", r.tolist()) for i, r in enumerate(x)])
+    found = vectors.nearest(rows, "id", "v", rows, "id", "v", k=10, size=96, skip_self=True).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :10]
+    hits = np.zeros(len(x))
+    for r in found:
+        hits[int(r["id"][1:])] += int(r["neighbor_id"][1:]) in true[int(r["id"][1:])]
+    assert len(found) == 10 * len(x) and hits.mean() >= 9.7
+
+
+def test_groups_cover_all_shards():
+    x = np.random.default_rng(4).normal(size=(50, 8)).astype(np.float32)
+    sizes = np.full(50, 10)
+    sizes[7] = 900
+    group = vectors.grouped(x, sizes, 100)
+    rows = np.bincount(group, sizes)
+    assert rows.sum() == sizes.sum() and (rows > 0).all() and all(n <= 100 or (group == g).sum() == 1 for g, n in enumerate(rows))
