@@ -75,8 +75,8 @@ def nearest(
     return ranked.select(F.col("qid").alias(query_id), F.col("id").alias(out_id), "score", "rank")
 
 
-def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int = 500) -> DataFrame:
-    """query_id, id of the chunks that hold any keyword of a query as a word or a context keyword, the first `limit` by id.
+def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """query_id, id of the chunks that hold any keyword of a query as a word or a context keyword: all, or, for parity with the reference, the first `limit` by id.
 
     chunks: id, text, context_keywords; queries: query_id, keywords. An equi-join over words: only
     (word, id) pairs are shuffled, never texts.
@@ -86,6 +86,8 @@ def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int = 500) ->
     wanted = asked.select("word").distinct()
     listed = chunks.select("id", F.explode(plain).alias("word")).join(wanted, "word", "left_semi")
     found = asked.join(listed, "word").select("query_id", "id").distinct()
+    if limit is None:
+        return found
     w = Window.partitionBy("query_id").orderBy("id")
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 
@@ -123,17 +125,18 @@ def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame,
     return scored.withColumn("hybrid_score", hybrid).select("query_id", "id", "vector_score", "keyword_score", "hybrid_score")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "balanced", size: int = 96, least: int = 80) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "balanced", size: int = 96, least: int = 80, keyword_limit: int | None = None) -> DataFrame:
     """query_id, id, vector_score, keyword_score, hybrid_score, rank, text (with the parent's) of the best chunks of each query.
 
     chunks: id, text, parent_text, context_keywords, embedding, level, text_length; queries: query_id, vector, keywords.
-    Chunks delivered repeatedly under one id count once.
+    Chunks delivered repeatedly under one id count once. All chunks with a keyword are scored before the best are
+    kept; keyword_limit (500 in the reference) scores only the first by id.
     """
     able = chunks.where(not_parent())
     near = nearest(able, "id", "embedding", queries, "query_id", "vector", limit * scoring.MODES[mode][3], size).select("query_id", "id", F.col("score").alias("vector_score"))
     both = near
     if mode != "precise":
-        listed = keyword_matches(able.where(F.col("text_length") >= least), queries.select("query_id", "keywords"))
+        listed = keyword_matches(able.where(F.col("text_length") >= least), queries.select("query_id", "keywords"), keyword_limit)
         tagged = near.unionByName(listed.withColumn("vector_score", F.lit(None).cast("double")))
         # found by both ways: the similarity counts
         both = tagged.groupBy("query_id", "id").agg(F.coalesce(F.max("vector_score"), F.lit(0.01)).alias("vector_score"))

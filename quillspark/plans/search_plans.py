@@ -58,9 +58,13 @@ METRICS_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddi
   round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))), 4) AS manhattan FROM e a JOIN e b ON b.vec_id = a.vec_id + 1"""
 
 
+#: The reference looks at the first 500 keyword matches of a query by id, and so does the SQL of keyword_chunks and hybrid_chunks.
+PARITY_LIMIT = 500
+
+
 def keyword_chunks(spark, d):
     base = chunks_of(spark, d).where(~F.col("level").eqNullSafe(F.lit(0)) & (F.col("text_length") >= 80))
-    return retrieval.keyword_matches(base, asked_of(spark, d))
+    return retrieval.keyword_matches(base, asked_of(spark, d), PARITY_LIMIT)
 
 
 _LISTED = f"""a AS {ASKED}, c AS (SELECT id, text, parent_text, coalesce(context_keywords, []) AS kw, embedding, text_length FROM {CHUNKS} WHERE level IS DISTINCT FROM 0),
@@ -71,7 +75,7 @@ KEYWORD_SQL = f"WITH {_LISTED} SELECT query_id, id FROM m"
 
 
 def hybrid_chunks(spark, d):
-    found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, "balanced")
+    found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, "balanced", keyword_limit=PARITY_LIMIT)
     return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", F.length("text").alias("length"))
 
 

@@ -185,3 +185,12 @@ def test_understanding(spark):
     assert [(r.q, r.k) for r in df.withColumn("k", understanding.kind(F.col("q"))).collect()] == rows
     words = df.limit(1).select(understanding.expand(F.lit("Sick note for команди"), {"sick note": ["medical leave"], "команд": ["Team"]})).first()[0]
     assert set(words) == {"sick", "note", "for", "команди", "medical leave", "team"}
+
+
+def test_hybrid_search_scores_all_keyword_matches(spark):
+    rows = [(f"c{i:04d}", "alpha " + f"word{i} " * 30, [1.0, 0.0, 0.0] if i < 3 else None) for i in range(600)] + [("z", "alpha " * 30, None)]
+    chunks = spark.createDataFrame(rows, "id string, text string, embedding array<float>").selectExpr("*", "'' AS parent_text", "array() :: array<string> AS context_keywords", "1 AS level", "length(text) AS text_length")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0], ["alpha"])], "query_id int, vector array<float>, keywords array<string>")
+    assert "z" in {r["id"] for r in retrieval.hybrid_search(chunks, asked, 4, size=3).collect()}
+    assert "z" not in {r["id"] for r in retrieval.hybrid_search(chunks, asked, 4, size=3, keyword_limit=500).collect()}
+    assert retrieval.keyword_matches(chunks, asked).count() == 601 and retrieval.keyword_matches(chunks, asked, 500).count() == 500
