@@ -6,7 +6,7 @@ cut into units (sentences, lines); the bits of a unit's n-grams are counted per
 counts corrected by each language's false-positive rate, and the largest decides. The confidence
 (0 to 1) is the margin of the largest over the second in proportion to it, times the share of n-grams known.
 
-The filter is fitted on a bounded sample of labelled rows (at most SAMPLE_ROWS of each table); labels may be
+The filter is fitted on a bounded sample of labelled rows (at most SAMPLE_ROWS of each table, besides LANGUAGE_ROWS of each language); labels may be
 wrong: an n-gram belongs to a language only if its frequency there is a fair share of its frequencies
 in all, and the sample is labelled anew by the first fit for a second one. Ukrainian sentences
 are also added in Latin spelling.
@@ -21,12 +21,13 @@ and confidence 0. Texts of any length are processed whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.canon import INVISIBLE, letter_map
@@ -38,6 +39,8 @@ LABELS = {
     "pl": ["pl", "pol", "polish"], "de": ["de", "deu", "ger", "german"],
 }
 SAMPLE_ROWS = 1500
+#: Rows of each language that are in the sample at least, as far as there are any.
+LANGUAGE_ROWS = 300
 #: Sampled texts whose n-grams are held at once while fitting.
 FIT_BATCH = 200
 SIZES = (3, 4, 5)
@@ -290,11 +293,17 @@ def fit(texts: list[str], langs: list[str]) -> Filter:
     return model
 
 
-def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most `rows` labelled texts, those of smallest hash of key."""
+def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, least: int = LANGUAGE_ROWS) -> tuple[list[str], list[str]]:
+    """The `rows` labelled texts of smallest hash of key, and of each language the first `least` at least."""
     named = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(F.lit(7), key).alias("h")).where("l is not null and length(t) > 0")
-    got = named.orderBy("h", "t").limit(rows).collect()
-    return [r["t"] for r in got], [r["l"] for r in got]
+    w = Window.partitionBy("l").orderBy("h", "t")
+    got = named.orderBy("h", "t").limit(rows).withColumn("n", F.lit(0)).unionByName(named.withColumn("n", F.row_number().over(w)).where(F.col("n") <= least)).collect()
+    first = [r for r in got if r["n"] == 0]
+    there = Counter(r["l"] for r in first)
+    # both take the smallest hashes, so those of a language in the first part lead the second
+    more = [r for r in got if r["n"] > there[r["l"]]]
+    both = sorted(first + more, key=lambda r: (r["h"], r["t"]))
+    return [r["t"] for r in both], [r["l"] for r in both]
 
 
 #: A unit's language counts if this share of its n-grams is known in it and the second is this much less.

@@ -51,3 +51,9 @@ def test_held_out_accuracy(spark, model):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", language.label_language(F.col("lang")).alias("label"), "text").where("label is not null and length(text) > 200")
     found = language.detect(docs, ["doc_id", "label"], "text", model)
     assert found.agg(F.avg((F.col("label") == F.col("lang")).cast("int"))).first()[0] > 0.85
+
+
+def test_sample_holds_rare_languages(spark):
+    rows = [(f"e{i:04d}", f"text {i}", "en") for i in range(400)] + [(f"d{i}", f"Satz {i}", "de") for i in range(8)]
+    texts, langs = language.sample(spark.createDataFrame(rows, "k string, t string, l string"), "k", "t", "l", rows=40, least=5)
+    assert len(set(texts)) == len(texts) and langs.count("de") >= 5 and langs.count("en") >= 32 and len(texts) <= 45
