@@ -5,34 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and their Latin spelling.
-TO_LATIN = dict(zip(
-    "абвгґдеєжзиіїйклмнопрстуфхцчшщьюяёэъы",
-    "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch  iu ia yo e  y".split(" "),
-))
-#: Latin groups and letters and the Cyrillic letter for each, longest group first.
-TO_CYRILLIC = [
-    ("shch", "щ"), ("zh", "ж"), ("kh", "х"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("ye", "є"), ("ie", "є"), ("yu", "ю"), ("iu", "ю"), ("ya", "я"), ("ia", "я"), ("yi", "ї"),
-]
-SINGLE_LATIN, SINGLE_CYRILLIC = "bvhgdzklmnprstfaeiouy", "бвгґдзклмнпрстфаеіоуи"
-#: Endings of Ukrainian words, tried in this order.
-ENDINGS = (
-    "ського зького цького ський зький цький ськими зькими цькими ієм ієві єві єм ого ої ові ою ами ими ах ням ів ям ку ки ці ні ну ти ть ня у ю і а я е"
-).split()
-#: Patterns of attempts to override instructions.
-INJECTION = [
-    r"ignore (all|previous) instructions", r"disregard (all|previous) instructions", r"system prompt", r"you are chatgpt", r"use your own knowledge",
-    r"\bact as\s+(a\s+)?(different|another|new|unrestricted)", r"developer message", r"\bbypass\s+(security|filter|restriction|guard)", r"\boverride\s+(instructions|prompt|system)",
-]
-#: Patterns of questions that ask for a link.
-LINK_QUERY = [
-    r"посилання|лінк[аи]?|сайт|url\b|link\b|адрес[аи]|куди|де знайти|де відкрити", r"where.*link|give.*link|what.*url|send.*link|find.*link|open.*link",
-    r"\b(hrm|goals|figma|confluence|jira|slack|notion|drive|gitlab|github)\b",
-]
-#: Words that are no keywords.
-FREQUENCY_STOP = ["який", "якщо", "також", "this", "that", "which"]
-QUERY_STOP = ["хто", "що", "який", "яка", "де", "коли", "чому", "чи", "what", "is", "are", "how", "when", "where", "who", "on", "the", "a", "an", "in", "of", "tell", "me", "about", "does", "do", "did"]
-DOMAIN_STOP = ["com", "ua", "net", "org", "io", "co", "www", "http", "https"]
+from quillspark.functions.fixed import DOMAIN_STOP, ENDINGS, FREQUENCY_STOP, QUERY_STOP, SINGLE_CYRILLIC, SINGLE_LATIN, TO_CYRILLIC, TO_LATIN
+
 URL = r"https?://[^\s\"'<>]+"
 
 
@@ -155,12 +129,9 @@ def sanitize_output(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
-def unsafe(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(INJECTION))
-
-
-def asks_link(query: Column) -> Column:
-    return F.lower(query).rlike("(?iu)" + "|".join(LINK_QUERY))
+def holds_any(text: Column, patterns: list[str]) -> Column:
+    """Whether any of the caller's patterns (attempts to override instructions, requests for links and the like) occurs, in any case; no patterns: false."""
+    return F.lower(text).rlike("(?iu)" + "|".join(patterns)) if patterns else F.lit(False) & text.isNotNull()
 
 
 def valid_url(url: Column) -> Column:
@@ -187,6 +158,23 @@ def sane_keywords(keywords: Column) -> Column:
     return F.filter(keywords, sane)
 
 
+def frequent_words(text: Column, most: int = 15, stop: list[str] | None = None) -> Column:
+    """The most frequent words (of more than four characters) of a whole text as structs (n, word), earlier ones first at equal counts.
+
+    Counted within the row: words are sorted, and the bounds of their runs give the counts, so nothing is shuffled.
+    """
+    barred = FREQUENCY_STOP if stop is None else stop
+    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(barred))
+    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    # the first occurrence of each word, and where its run begins among the sorted ones
+    marked = F.transform(placed, lambda p, k: F.struct(p["w"].alias("w"), p["i"].alias("i"), k.alias("k")))
+    before = F.concat(F.array(F.lit("")), F.transform(placed, lambda p: p["w"]))
+    heads = F.filter(F.zip_with(marked, F.slice(before, 1, F.size(placed)), lambda m, b: F.struct(m["w"].alias("w"), m["i"].alias("i"), m["k"].alias("k"), (m["w"] != b).alias("new"))), lambda m: m["new"])
+    ends = F.concat(F.slice(F.transform(heads, lambda m: m["k"]), 2, F.greatest(F.size(heads), F.lit(1))), F.array(F.size(placed)))
+    counted = F.zip_with(heads, F.slice(ends, 1, F.size(heads)), lambda m, e: F.struct((m["k"] - e).alias("neg"), m["i"].alias("i"), m["w"].alias("w")))
+    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: F.struct((-s["neg"]).alias("n"), s["w"].alias("word")))
+
+
 def header_keywords(text: Column, most: int = 40) -> Column:
     """Words of the headings of the first three levels, also cut at inner capitals."""
     heads = F.regexp_extract_all(text, F.lit(r"(?md)^#{1,3}[ \t]+([^\n]+)$"), F.lit(1))

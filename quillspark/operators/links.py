@@ -6,30 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.fixed import ABBREVIATIONS, LINK_STOP
 from quillspark.operators.matching import contains
 
 #: The four forms of links, in the order in which a label is taken from: image, labelled, automatic, bare.
 FORMS = [(r"!\[([^\]]*)\]\(([^)]+)\)", "labelled"), (r"(?<!!)\[([^\]]+)\]\(([^)]+)\)", "labelled"), (r"<(https?://[^>]+)>", "plain"), (r"(?<![(\[\"'])(https?://[^\s\"'<>)\[\]]+)", "plain")]
-#: Words that are no keywords of a link.
-STOP = (
-    "the and for with this that from have will are was were been its our your their can not but has had all also more use used "
-    "що як де коли хто чому який яка яке які чи або та це є у в на до по про за але від при між через після перед над під"
-).split()
-#: Abbreviations and their other spellings.
-ABBREVIATIONS = {
-    "vpn": "впн", "впн": "vpn", "ip": "іп", "іп": "ip", "wifi": "вайфай wi-fi", "wi-fi": "вайфай wifi", "вайфай": "wifi wi-fi", "dns": "днс", "днс": "dns", "ssl": "ссл", "ссл": "ssl",
-    "https": "хттпс", "http": "хттп", "hrm": "хрм", "хрм": "hrm", "crm": "срм", "срм": "crm", "erp": "єрп", "єрп": "erp", "kpi": "кпі", "кпі": "kpi", "api": "апі", "апі": "api", "ui": "юай", "юай": "ui",
-}
-
 
 def with_abbreviations(words: Column) -> Column:
     """Each word followed by its other spellings, without repetition."""
-    pairs = F.create_map(*(x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))))
+    pairs = F.create_map(*(x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.coalesce(F.try_element_at(pairs, w), F.array().cast("array<string>"))))))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(T.link_tokens(text), lambda w: ~w.isin(STOP))
+    return F.filter(T.link_tokens(text), lambda w: ~w.isin(LINK_STOP))
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -124,12 +124,9 @@ def url_keywords(spark, d):
 
 
 def frequency_keywords(spark, d):
-    """The 15 most frequent longer words of each whole document; counted before they are ranked."""
+    """The 15 most frequent longer words of each whole document, counted within the row."""
     docs = table(spark, d, "documents").where("text is not null")
-    words = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"\s+")).alias("pos", "word")).where((F.length("word") > 4) & ~F.col("word").isin(T.FREQUENCY_STOP))
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counted.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("doc_id", "word", "n", "rank")
+    return docs.select("doc_id", F.posexplode(T.frequent_words(F.col("text"))).alias("rank", "w")).select("doc_id", "w.word", "w.n", (F.col("rank") + 1).alias("rank"))
 
 
 FREQUENCY_SQL = r"""WITH s AS (SELECT doc_id, regexp_split_to_array(lower(text), '\s+') AS l FROM documents WHERE text IS NOT NULL),
@@ -195,14 +192,19 @@ def _stem_sql() -> str:
     return f"SELECT word, CASE WHEN length(word) <= 4 THEN word {cases} ELSE word END AS stem FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}]+')) AS word FROM turns WHERE lang = 'uk') WHERE word <> ''"
 
 
+#: Patterns of a caller: attempts to override instructions, and requests for links.
+OVERRIDES = [r"(forget|drop) (your|the) (rules|instructions)", r"\bpretend to be\b", r"hidden (prompt|instructions)"]
+LINK_WISHES = [r"\b(link|url|address|page)\b", r"посилання|адрес|сторінк|страниц", r"\b(odnośnik|strona|seite)\b", r"which file|який файл|какой файл|który plik|welche datei"]
+
+
 def question_traits(spark, d):
     """Guards and detectors on each question."""
     turns = table(spark, d, "turns").where("query is not null").dropDuplicates(["id"])
     q = F.col("query")
-    return turns.select("id", T.unsafe(q).alias("unsafe"), T.asks_link(q).alias("asks_link"), T.latin_majority(q).alias("latin"))
+    return turns.select("id", T.holds_any(q, OVERRIDES).alias("unsafe"), T.holds_any(q, LINK_WISHES).alias("asks_link"), T.latin_majority(q).alias("latin"))
 
 
-TRAITS_SQL = f"""SELECT id, regexp_matches(query, {lit('(?i)' + '|'.join(T.INJECTION))}) AS unsafe, regexp_matches(lower(query), {lit('(?i)' + '|'.join(T.LINK_QUERY))}) AS asks_link,
+TRAITS_SQL = f"""SELECT id, regexp_matches(lower(query), {lit('(?i)' + '|'.join(OVERRIDES))}) AS unsafe, regexp_matches(lower(query), {lit('(?i)' + '|'.join(LINK_WISHES))}) AS asks_link,
   coalesce((length(query) - length(regexp_replace(query, '[a-zA-Z]', '', 'g'))) / nullif(length(query) - length(regexp_replace(query, '[a-zA-Zа-яіїєґёэъыА-ЯІЇЄҐ]', '', 'g')), 0) > 0.5, false) AS latin
   FROM (SELECT DISTINCT ON (id) * FROM turns) WHERE query IS NOT NULL"""
 
@@ -242,9 +244,29 @@ def id_distance(spark, d):
 DISTANCE_SQL = "SELECT DISTINCT chunk_id, parent_id, levenshtein(chunk_id, parent_id) AS distance FROM chunks WHERE parent_id IS NOT NULL AND chunk_id IS NOT NULL"
 
 
+#: A caller's rules: kind, pattern, and what must not occur.
+KIND_RULES = [
+    ("factual", r"\b(when|how many|how long)\b|^(коли|скільки|сколько|когда|kiedy|ile|wann|wie viele)", None),
+    ("wide", r"^(describe|explain|summarize|опиши|поясни|объясни|opisz|wyjaśnij|beschreibe)", r"\d"),
+    ("entity", r"\b(who|хто|кто|kto|wer)\b", None),
+    ("wide", r"^(what|що|что|co|was)\s+\S+(\s+\S+)?$", None),
+]
+
+
 def question_kinds(spark, d):
+    """Kind by rules, else by a model's answer (here the label of the language), and the kind's profile."""
     turns = table(spark, d, "turns").where("query is not null").dropDuplicates(["id"])
-    return understanding.with_profile(turns.select("id", understanding.kind(F.col("query")).alias("kind")), "kind")
+    said = F.when(F.col("lang") == "en", F.lit('Sure: {"type": "wide", "confidence": 0.9}')).when(F.col("lang") == "de", F.lit('{"type": "poem"}')).otherwise(F.lit("no idea"))
+    found = understanding.classified(turns.select("id", "query", said.alias("said")), "query", KIND_RULES, "said", LINK_WISHES)
+    return understanding.with_profile(found.select("id", "kind", "confidence", "search_mode"), "kind")
+
+
+def _kinds_sql() -> str:
+    rules = " ".join(f"WHEN regexp_matches(p, {lit(pattern)}){'' if barred is None else f' AND NOT regexp_matches(query, {lit(barred)})'} THEN {lit(kind)}" for kind, pattern, barred in KIND_RULES)
+    return f"""WITH t AS (SELECT id, query, lang, trim(regexp_replace(lower(trim(query, ' ')), '[?!.,;:]', '', 'g'), ' ') AS p, regexp_matches(lower(query), {lit('(?i)' + '|'.join(LINK_WISHES))}) AS link FROM (SELECT DISTINCT ON (id) * FROM turns) WHERE query IS NOT NULL),
+  r AS (SELECT *, CASE {rules} END AS ruled FROM t), k AS (SELECT id, link, coalesce(ruled, CASE WHEN lang = 'en' THEN 'wide' ELSE 'factual' END) AS kind, CASE WHEN ruled IS NOT NULL THEN 1.0 WHEN lang = 'en' THEN 0.9 ELSE 0.5 END AS confidence FROM r),
+  f AS (SELECT * FROM (VALUES ('entity', 16, 0.35, 'entity'), ('factual', 15, 0.45, 'balanced'), ('wide', 12, 0.38, 'wide')) AS v(kind, "limit", threshold, mode))
+  SELECT id, kind, confidence, CASE WHEN link THEN 'entity' ELSE mode END AS search_mode, "limit", threshold, mode FROM k JOIN f USING (kind)"""
 
 
 SYNONYMS = {"sick": ["лікарняний", "sick leave"], "відпустк": ["vacation", "days off"], "training": ["навчання", "courses"], "навчан": ["training"], "графік": ["schedule"], "sick note": ["medical leave"]}
@@ -306,7 +328,7 @@ QUERIES = {
     for f, sql in [
         (encoding_gate, ENCODING_SQL), (normalized_text, NORMALIZED_SQL), (stripped_markdown, STRIPPED_SQL), (word_counts, WORDS_SQL), (sentences, SENTENCES_SQL), (sections, SECTIONS_SQL), (file_ids, FILE_IDS_SQL), (sane_keywords, SANE_SQL),
         (header_keywords, HEADER_SQL), (url_keywords, None), (frequency_keywords, FREQUENCY_SQL), (path_keywords, PATH_SQL), (question_keywords, QUESTION_SQL), (latin_spelling, LATIN_SQL), (name_variants, None), (stems, _stem_sql()),
-        (question_traits, TRAITS_SQL), (negation, NEGATION_SQL), (sanitized_answers, SANITIZED_SQL), (url_kinds, URL_SQL), (id_distance, DISTANCE_SQL), (question_kinds, None), (expanded_questions, None), (document_links, None),
+        (question_traits, TRAITS_SQL), (negation, NEGATION_SQL), (sanitized_answers, SANITIZED_SQL), (url_kinds, URL_SQL), (id_distance, DISTANCE_SQL), (question_kinds, _kinds_sql()), (expanded_questions, None), (document_links, None),
         (document_link_labels, LINKS_SQL), (sentence_chunks, None), (overlapping_chunks, None), (semantic_chunks, None), (parent_child_chunks, None), (terminated_sentences, None),
     ]
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +14,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of this application's checkpoints, under the one that spark.checkpoint.dir names.
 
-    Only where that setting is absent, as in local tests, a temporary folder is used.
+    A session on one machine without that setting, as in tests, gets a temporary folder, removed at its end. A cluster
+    without it is an error: executors could not read each other's local folders.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_checkpoints(spark: SparkSession) -> None:
+    """Delete all that this application has checkpointed; for the end of a job, when its results are written.
+
+    While it runs, spark.cleaner.referenceTracking.cleanCheckpoints lets Spark drop what no plan refers to any more.
+    """
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(known.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -105,14 +105,26 @@ def test_sections(spark):
 
 def test_families(spark):
     text = "# One\n" + "Word word word. " * 60 + "\n## Two\nShort."
-    rows = list(chunking.family(text, "f", 400, 120, 30, True))
-    parents, kids = [r for r in rows if r[2] == 0], [r for r in rows if r[2] == 1]
-    assert all(len(r[6]) <= 400 for r in parents) and all(len(r[6]) <= 120 for r in kids) and {r[1] for r in kids} <= {r[0] for r in parents}
-    assert all(text[r[3] : r[4]].strip() == r[6] for r in kids) and parents[-1][5] == "## Two"
+    docs = spark.createDataFrame([(1, "f", text, 9), (2, None, "", 9), (3, "", None, 9), (4, None, "plain", 9), (5, "g", "# A\r\n\r\n \n# B", 9)], "k int, f string, t string, part int")
+    rows = chunking.parent_child_chunks(docs, "k", "f", "t", 400, 120, 30).collect()
+    assert {r.k for r in rows} == {1, 4, 5} and {r.chunk_id for r in rows if r.k == 4} == {"doc_p0", "doc_p0_c0"}
+    assert {(r.chunk_id, r.section_title) for r in rows if r.k == 5 and r.level == 0} == {("g_p0", "# A"), ("g_p1", "# B")}
+    mine = [r for r in rows if r.k == 1]
+    parents, kids = [r for r in mine if r.level == 0], [r for r in mine if r.level == 1]
+    assert all(len(r.text) <= 400 for r in parents) and all(len(r.text) <= 120 for r in kids) and {r.parent_id for r in kids} <= {r.chunk_id for r in parents}
+    assert all(text[r.start_index : r.end_index].strip() == r.text for r in kids) and parents[-1].section_title == "## Two"
     with pytest.raises(ValueError):
         chunking.parent_child_chunks(spark.createDataFrame([(1, "f", "t")], "k int, f string, t string"), "k", "f", "t", child_size=10, overlap=10)
 
 
+def test_spans():
+    text = "One two. Three four five six seven eight nine ten."
+    assert "".join(text[a:b] for a, b in chunking.spans(text, 9, window=5)) == text and chunking.spans(text, 9, window=5)[0] == (0, 8)
+    assert chunking.spans("x" * 25, 10, 3) == [(0, 10), (7, 17), (14, 24), (21, 25)] and chunking.spans("", 5) == []
+    lapped = chunking.spans("Word word word. " * 100, 120, 30)
+    assert all(b > a and 0 < b - a <= 120 for a, b in lapped) and all(c < b for (a, b), (c, _) in zip(lapped, lapped[1:])) and lapped[-1][1] == 1600
+
+
 def test_links(spark):
     text = "See [the wiki](https://a.b/wiki) and https://a.b/wiki or <https://c.d/v.mp4>.\n\n![](https://e.f/i.png) [m](mailto:x@y.z) [top](#top)"
     docs = spark.createDataFrame([(1, text), (2, None)], "k int, t string")
@@ -180,9 +192,13 @@ def test_grounding(spark):
 
 
 def test_understanding(spark):
-    rows = [("why is the company called so?", "factual"), ("What is payroll?", "wide"), ("tell me about Anna Lee", None), ("Tell me about remote work", "wide"), ("опиши відділ кадрів", "wide"), ("how do I get a badge", None), ("company", "wide")]
+    rules = [("factual", "^when", None), ("wide", "about", r"\d"), ("factual", "about", None)]
+    rows = [("When, about now?", "factual"), ("Tell me ABOUT it", "wide"), ("tell me about 12", "factual"), ("hello", None), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "q string, want string")
-    assert [(r.q, r.k) for r in df.withColumn("k", understanding.kind(F.col("q"))).collect()] == rows
+    assert [(r.q, r.k) for r in df.withColumn("k", understanding.kind(F.col("q"), rules)).collect()] == rows
+    said = spark.createDataFrame([("when?", '{"type": "wide", "confidence": 0.2}'), ("x link", 'so: {"type": "entity", "confidence": 0.8}'), ("x", "{broken"), ("x", '{"type": "poem"}'), (None, None)], "q string, a string")
+    found = understanding.classified(said, "q", rules, "a", ["link"]).collect()
+    assert [(r.kind, r.confidence, r.search_mode) for r in found] == [("factual", 1.0, "balanced"), ("entity", 0.8, "entity"), ("factual", 0.5, "balanced"), ("factual", 0.5, "balanced"), ("factual", 0.5, "balanced")]
     words = df.limit(1).select(understanding.expand(F.lit("Sick note for команди"), {"sick note": ["medical leave"], "команд": ["Team"]})).first()[0]
     assert set(words) == {"sick", "note", "for", "команди", "medical leave", "team"}
 
