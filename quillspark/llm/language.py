@@ -27,11 +27,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.fixed import TO_LATIN
 from quillspark.llm.canon import INVISIBLE, letter_map
+from quillspark.llm.samples import below, smallest
 
+#: Languages by default; a filter holds up to eight.
 LANGS = ["en", "uk", "ru", "pl", "de"]
 #: Forms of labels.
 LABELS = {
@@ -51,22 +54,19 @@ BLOCK, CHARS = 2**18, 2_000_000
 RARE = 0.02
 TELLING = 0.75
 FIRST_SHARE, SHARE, COUNT = 0.35, 0.22, 3
-#: The official Latin spelling of Ukrainian letters.
-LATIN = dict(zip("абвгґдеєжзиіїйклмнопрстуфхцчшщьюя’'", "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch  iu ia  ".split(" ")))
-
 #: Code, links, addresses, tags and references, which are no text.
-NOISE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]{1,300}>|https?://\S+|www\.\S+|\S+@\S+|\b[A-Z]{2,5}-\d+\b", re.S)
+NOISE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]+>|https?://\S+|www\.\S+|\S+@\S+|\b[A-Z]{2,5}-\d+\b", re.S)
 #: Quotations and asides, whose language doesn't count for the sentence around them.
-ASIDE = re.compile(r"«[^«»\n]{1,400}»|“[^“”\n]{1,400}[”“]|„[^„“”\n]{1,400}[“”]|\"[^\"\n]{1,400}\"|\([^()\n]{1,300}\)|\[[^\[\]\n]{1,300}\]")
+ASIDE = re.compile(r"«[^«»\n]+»|“[^“”\n]+[”“]|„[^„“”\n]+[“”]|\"[^\"\n]+\"|\([^()\n]+\)|\[[^\[\]\n]+\]")
 #: Ends of sentences and lines.
 ENDS = re.compile(r"[.!?…。．！？][.!?…]*[\"'”»)\]*_]*(?=\s|\Z)|\r?\n")
 
 
-def label_language(label: Column) -> Column:
-    """The language that a label names, in any of its common forms; null if it names none of LANGS."""
+def label_language(label: Column, labels: dict[str, list[str]] = LABELS) -> Column:
+    """The language that a label names, in any of its common forms; null if it names none of them."""
     first = F.element_at(F.split(F.lower(F.trim(label)), r"[-_ ]"), 1)
     out = F.lit(None).cast("string")
-    for code, forms in LABELS.items():
+    for code, forms in labels.items():
         out = F.when(first.isin(forms), code).otherwise(out)
     return out
 
@@ -210,18 +210,21 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Filter:
     """Bit-sliced Bloom filter of two probes, and the false-positive rate of each language."""
 
-    def __init__(self, grams: np.ndarray, langs: np.ndarray):
+    def __init__(self, grams: np.ndarray, members: np.ndarray, langs: list[str]):
+        if len(langs) > 8:
+            raise ValueError("a slot has a bit for eight languages at most")
+        self.langs = list(langs)
         self.bits = np.zeros(2**SLOT_BITS, np.uint8)
-        for l in range(len(LANGS)):
-            for slot in _slots(grams[(langs >> l) & 1 == 1]):
+        for l in range(len(langs)):
+            for slot in _slots(grams[(members >> l) & 1 == 1]):
                 np.bitwise_or.at(self.bits, slot, np.uint8(1 << l))
-        fill = np.array([((self.bits >> l) & 1).mean() for l in range(len(LANGS))])
+        fill = np.array([((self.bits >> l) & 1).mean() for l in range(len(langs))])
         self.false = fill**2
 
     def counts(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits of each unit and language, and the n-grams of each unit. Only words that a language knows for the most part count for it."""
-        m = len(units.unit_of_word)
-        hits, total = np.zeros((m, len(LANGS))), np.zeros(m)
+        m, many = len(units.unit_of_word), len(self.langs)
+        hits, total = np.zeros((m, many)), np.zeros(m)
         for word, h in units.blocks():
             a, b = _slots(h)
             found = self.bits[a] & self.bits[b]
@@ -229,28 +232,29 @@ class Filter:
             if high <= low:
                 continue
             total[low:high] += np.bincount(word - low, minlength=high - low)
-            found[found == (1 << len(LANGS)) - 1] = 0  # what is in the filters of all languages tells nothing
-            for l in range(len(LANGS)):
+            found[found == (1 << many) - 1] = 0  # what is in the filters of all languages tells nothing
+            for l in range(many):
                 hits[low:high, l] += np.bincount(word[(found >> l) & 1 == 1] - low, minlength=high - low)
         hits = np.maximum(0, (hits - self.false * total[:, None]) / (1 - self.false))
         hits[hits < MOSTLY * total[:, None]] = 0
-        own = np.stack([np.bincount(units.unit_of_word, weights=hits[:, l], minlength=units.n) for l in range(len(LANGS))], axis=1)
+        own = np.stack([np.bincount(units.unit_of_word, weights=hits[:, l], minlength=units.n) for l in range(many)], axis=1)
         return own, np.bincount(units.unit_of_word, weights=total, minlength=units.n)
 
 
 class _Counts:
     """Numbers of each n-gram by spelling: a language in other scripts or in Latin script, else the one thins out the other."""
 
-    def __init__(self):
-        self.grams, self.count = np.zeros(0, np.uint64), np.zeros((0, 2 * len(LANGS)), np.int64)
+    def __init__(self, langs: list[str]):
+        self.langs = langs
+        self.grams, self.count = np.zeros(0, np.uint64), np.zeros((0, 2 * len(langs)), np.int64)
 
     def add(self, units: Units, unit: np.ndarray, h: np.ndarray, lang: np.ndarray) -> None:
         """lang: of each unit, -1 for none."""
         letters = np.bincount(units.unit[units.codes > 32], minlength=units.n)
         latin = np.bincount(units.unit[(units.codes > 32) & (units.codes < 0x250)], minlength=units.n) > 0.7 * letters
-        own = np.where(lang >= 0, lang + len(LANGS) * latin, -1)[unit]
+        own = np.where(lang >= 0, lang + len(self.langs) * latin, -1)[unit]
         grams, place = np.unique(np.concatenate([self.grams, h[own >= 0]]), return_inverse=True)
-        count = np.zeros((len(grams), 2 * len(LANGS)), np.int64)
+        count = np.zeros((len(grams), 2 * len(self.langs)), np.int64)
         count[place[: len(self.grams)]] = self.count
         np.add.at(count, (place[len(self.grams) :], own[own >= 0]), 1)
         self.grams, self.count = grams, count
@@ -263,27 +267,28 @@ class _Counts:
         top = np.sort(share, axis=1)
         telling = top[:, -1] + top[:, -2] >= TELLING  # names and the like occur in all
         member = (share >= least) & (count >= COUNT) & telling[:, None]
-        member = member[:, : len(LANGS)] | member[:, len(LANGS) :]
-        return Filter(self.grams, (member << np.arange(len(LANGS))).sum(axis=1))
+        n = len(self.langs)
+        member = member[:, :n] | member[:, n:]
+        return Filter(self.grams, (member << np.arange(n)).sum(axis=1), self.langs)
 
 
 def to_latin(text: str) -> str:
-    return "".join(LATIN.get(c, c) for c in text.lower())
+    return "".join("" if c in "’'" else TO_LATIN.get(c, c) for c in text.lower())
 
 
-def fit(texts: list[str], langs: list[str]) -> Filter:
+def fit(texts: list[str], labels: list[str], langs: list[str] = LANGS) -> Filter:
     """The filter of labelled texts; twice, the second time with the labels of the first."""
-    extra = [to_latin(t) for t, l in zip(texts, langs) if l == "uk"]
-    texts, langs = [*texts, *extra], np.array([LANGS.index(l) for l in [*langs, *["uk"] * len(extra)]], np.int64)
+    extra = [to_latin(t) for t, l in zip(texts, labels) if l == "uk"]
+    texts, given = [*texts, *extra], np.array([langs.index(l) for l in [*labels, *["uk"] * len(extra)]], np.int64)
     model = None
     for least in (FIRST_SHARE, SHARE):
-        counts = _Counts()
+        counts = _Counts(langs)
         for i in range(0, len(texts), FIT_BATCH):
             # with names: as they occur in all languages, their n-grams then tell nothing
             units = Units(texts[i : i + FIT_BATCH], keep_names=True)
             if not units.n:
                 continue
-            lang = langs[i : i + FIT_BATCH][units.row]
+            lang = given[i : i + FIT_BATCH][units.row]
             if model is not None:
                 hits, total = model.counts(units)
                 lang = np.where(hits.max(axis=1) > 0.5 * total, hits.argmax(axis=1), lang)
@@ -293,17 +298,27 @@ def fit(texts: list[str], langs: list[str]) -> Filter:
     return model
 
 
-def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, least: int = LANGUAGE_ROWS) -> tuple[list[str], list[str]]:
-    """The `rows` labelled texts of smallest hash of key, and of each language the first `least` at least."""
-    named = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(F.lit(7), key).alias("h")).where("l is not null and length(t) > 0")
-    w = Window.partitionBy("l").orderBy("h", "t")
-    got = named.orderBy("h", "t").limit(rows).withColumn("n", F.lit(0)).unionByName(named.withColumn("n", F.row_number().over(w)).where(F.col("n") <= least)).collect()
-    first = [r for r in got if r["n"] == 0]
-    there = Counter(r["l"] for r in first)
-    # both take the smallest hashes, so those of a language in the first part lead the second
-    more = [r for r in got if r["n"] > there[r["l"]]]
-    both = sorted(first + more, key=lambda r: (r["h"], r["t"]))
-    return [r["t"] for r in both], [r["l"] for r in both]
+def sample(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS, least: int = LANGUAGE_ROWS, langs: list[str] = LANGS) -> tuple[list[str], list[str]]:
+    """Texts and languages of labelled rows: the `rows` of smallest hash of key, and of each language the first `least` at least.
+
+    Distinct rows are counted by language first; the counts give a bound for the hashes, and only rows below it are
+    gathered: little more than what is taken, however many partitions there are. Rows of equal hash count once.
+    """
+    named = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l"), F.xxhash64(F.lit(7), key).alias("h")).where(F.col("l").isin(langs) & (F.length("t") > 0))
+    n = {r["l"]: r["n"] for r in named.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row for each language
+    every = smallest(sum(n.values()), rows)
+    share = F.lit(every)
+    for l, of in n.items():
+        share = F.when(F.col("l") == l, max(every, smallest(of, least))).otherwise(share)
+    got = sorted(named.where(below(F.col("h"), share)).groupBy("h").agg(F.min(F.struct("t", "l")).alias("s")).select("h", "s.t", "s.l").collect())
+    # the first of all, and the first of each language
+    there: Counter = Counter()
+    out = []
+    for i, r in enumerate(sorted(got, key=lambda r: (r["h"], r["t"]))):
+        there[r["l"]] += 1
+        if i < rows or there[r["l"]] <= least:
+            out.append(r)
+    return [r["t"] for r in out], [r["l"] for r in out]
 
 
 #: A unit's language counts if this share of its n-grams is known in it and the second is this much less.
@@ -338,7 +353,8 @@ def detect(df: DataFrame, keep: list[str], text: str, model: Filter, open_end: b
     if {"lang", "confidence", "languages", "segments"} & set(keep):
         raise ValueError("columns to keep must not be named as the results")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = np.array([*LANGS, None], dtype=object)
+    langs = model.langs
+    names = np.array([*langs, None], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, len(keep))):
@@ -346,7 +362,7 @@ def detect(df: DataFrame, keep: list[str], text: str, model: Filter, open_end: b
             units = Units(batch.column(len(keep)).to_pylist())
             lang, conf, hits = segments(units, shared.value)
             row = units.row
-            whole = np.zeros((n, len(LANGS)))
+            whole = np.zeros((n, len(langs)))
             np.add.at(whole, row, hits)
             top = np.sort(whole, axis=1)
             main = np.where(top[:, -1] > 0, whole.argmax(axis=1), -1)
@@ -357,20 +373,20 @@ def detect(df: DataFrame, keep: list[str], text: str, model: Filter, open_end: b
             clear = (lang == own) | (beyond >= CLEAR) | ((beyond >= CLEAR_SHARE * hits.max(axis=1, initial=0)) & (beyond >= CLEAR / 2))
             whole_line = units.last & (units.words >= 5) if open_end else False
             full = (units.full | whole_line) & (units.words >= WORDS) & (lang >= 0) & clear
-            has = np.zeros((n, len(LANGS)), bool)
+            has = np.zeros((n, len(langs)), bool)
             has[row[full], lang[full]] = True
             none = ~has.any(axis=1) & (main >= 0)
             has[none, main[none]] = True
-            languages = [[LANGS[l] for l in np.flatnonzero(h)] for h in has]
+            languages = [[langs[l] for l in np.flatnonzero(h)] for h in has]
             spans = [[] for _ in range(n)]
             last = {}
             for i in np.flatnonzero(lang >= 0):  # neighbouring units of one language are one stretch
                 r, l = row[i], lang[i]
-                if r in last and last[r]["lang"] == LANGS[l]:
+                if r in last and last[r]["lang"] == langs[l]:
                     k = last[r]
                     k["stop"], k["confidence"] = units.end[i], max(k["confidence"], float(conf[i]))
                 else:
-                    last[r] = {"start": units.start[i], "stop": units.end[i], "lang": LANGS[l], "confidence": float(conf[i])}
+                    last[r] = {"start": units.start[i], "stop": units.end[i], "lang": langs[l], "confidence": float(conf[i])}
                     spans[r].append(last[r])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays(

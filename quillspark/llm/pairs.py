@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.canon import skeleton
 from quillspark.llm.conversations import visible
-from quillspark.llm.language import LANGS, Filter, Units, slices, to_latin
+from quillspark.llm.language import Filter, Units, slices, to_latin
 from quillspark.session import cut
 
 DEFECTS = ["empty", "copy", "refusal", "truncated", "other_language"]
@@ -151,7 +151,7 @@ def _language_votes(turns: DataFrame, model: Filter) -> DataFrame:
         """n-grams of each language in each text; languages that lead in one of its units."""
         units = Units(texts)
         hits, _ = model.counts(units)
-        whole, leads = np.zeros((len(texts), len(LANGS))), np.zeros((len(texts), len(LANGS)), bool)
+        whole, leads = np.zeros((len(texts), len(model.langs))), np.zeros((len(texts), len(model.langs)), bool)
         if units.n:
             np.add.at(whole, units.row, hits)
             top = hits.max(axis=1)

@@ -17,7 +17,8 @@ A shard larger than SPLIT_ROWS is split by a hash of the id, and the queries tha
 their own beyond SPLIT_QUERIES, so a region that holds a third of all rows or queries is spread over many tasks.
 
 Defined results: a vector is usable if it has exactly `size` values, all finite and not all zero;
-others, null and empty ones have no part. A row delivered repeatedly under one id counts once.
+others, null and empty ones have no part. A row delivered repeatedly under one id counts once; if its
+vectors differ, with the smallest in each group, and of several groups with the nearest.
 Ties in the cosine fall to the smaller id. Fewer than k usable vectors: all of them.
 """
 
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.samples import below, smallest
+
 #: Bound of the sample that the top level is fitted on; at most 4096 x 96 floats are broadcast.
 MAX_VANTAGES = 4096
 #: Visited shards per query that the number of vantage points is balanced for.
@@ -155,7 +158,9 @@ def nearest(
 
     n_queries = max(1, q.count())
     m = int(min(max_vantages, max(4, math.sqrt(VISITS * n_queries))))
-    rows = b.orderBy(F.xxhash64("id"), "id").limit(2 * m).toArrow()  # some are delivered twice
+    # the rows of smallest hash, twice as many as some are alike; rows delivered twice count once
+    n_base = b.agg(F.approx_count_distinct(F.xxhash64("id"), 0.02)).first()[0]
+    rows = b.where(below(F.xxhash64("id"), smallest(n_base, 2 * m))).groupBy("id").agg(F.min("v").alias("v")).select("v").toArrow()
     empty = f"qid {q_type}, id {id_type}, cosine double"
     if rows.num_rows == 0:
         top = spark.createDataFrame([], empty)
@@ -207,6 +212,10 @@ def nearest(
             at, to = np.repeat(at, n), np.repeat(to, n)
             return at, to, np.arange(len(to)) - np.repeat(np.cumsum(n) - n, n)
 
+        def turns(to: np.ndarray) -> pa.Array:
+            """Into how many turns the queries of each group are split."""
+            return pa.array(split.value[to], pa.int32())
+
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1), size)
@@ -215,7 +224,7 @@ def nearest(
                     at, to, part = repeated(np.arange(len(some)), layout.value[0][(some @ shared.value.T).argmax(axis=1)])
                     raw = [r.tobytes() for r in some]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(i + at)), pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array([raw[a] for a in at], pa.binary())], names=["qid", "grp", "part", "x"]
+                        [batch.column(0).take(pa.array(i + at)), pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array([raw[a] for a in at], pa.binary()), turns(to)], names=["qid", "grp", "part", "x", "turns"]
                     )
 
         def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,28 +244,27 @@ def nearest(
                     sent = [batch.column(0).take(at), pa.array(to, pa.int32()), pa.array(nth, pa.int32()), batch.column(3).take(at), batch.column(4).take(at), pa.nulls(kept - n, batch.column(5).type), pa.nulls(kept - n, batch.column(6).type)]
                     carried = [batch.column(0), batch.column(1), batch.column(2), pa.nulls(n, pa.binary()), batch.column(4), batch.column(5), batch.column(6)]
                     for columns in (carried, sent):
-                        yield pa.RecordBatch.from_arrays(columns, names=["qid", "grp", "part", "x", "kth", "ids", "cosines"])
+                        whither = columns[1].to_numpy(zero_copy_only=False)
+                        yield pa.RecordBatch.from_arrays([*columns, turns(whither)], names=["qid", "grp", "part", "x", "kth", "ids", "cosines", "turns"])
 
         q_parts = np.ones(len(parts), np.int64)
         for grp, n in q.mapInArrow(tally, "grp int, n bigint").groupBy("grp").agg(F.sum("n")).collect():  # at most MAX_VANTAGES rows
             q_parts[grp] = max(1, -(-n // SPLIT_QUERIES))
 
-        def of(key: str, values: np.ndarray, default: int) -> Column:
-            """The value of the row's shard or group."""
-            pairs = [F.lit(int(x)) for i in np.flatnonzero(values != default) for x in (i, values[i])]
-            return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(key)), F.lit(default)) if pairs else F.lit(default)
+        split = spark.sparkContext.broadcast(q_parts)
 
         def to_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in assign(batches):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layout.value[0][batch.column(1).to_numpy()], pa.int32())], names=["id", "shard", "x", "grp"])
+                grp = layout.value[0][batch.column(1).to_numpy()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grp, pa.int32()), pa.array(layout.value[3][grp], pa.int32()), turns(grp)], names=["id", "shard", "x", "grp", "parts", "turns"])
 
-        ready = b.mapInArrow(to_group, f"id {id_type}, shard int, x binary, grp int")
-        points = ready.select("id", "shard", "x", "grp", F.pmod(F.xxhash64("id"), of("grp", parts, 1)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), of("grp", q_parts, 1) - 1)).alias("turn"))
-        turn = F.pmod(F.xxhash64("qid"), of("grp", q_parts, 1)).cast("int")
+        ready = b.mapInArrow(to_group, f"id {id_type}, shard int, x binary, grp int, parts int, turns int")
+        points = ready.select("id", "shard", "x", "grp", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        turn = F.pmod(F.xxhash64("qid"), "turns").cast("int")
 
         def best_of(left: pd.DataFrame, right: pd.DataFrame, again: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
             """Slices of the queries with cosines and ids' places of up to k nearest rows, and the ids; again: another group was searched before, up to kth."""
-            left = left.drop_duplicates("id").sort_values("id", ignore_index=True)
+            left = left.sort_values(["id", "x"]).drop_duplicates("id", ignore_index=True)
             rows = np.frombuffer(b"".join(left["x"]), np.float32).reshape(-1, size)
             trees = {int(s): (VantageTree(rows[at]), at) for s, at in left.groupby("shard").indices.items()}
             for i in range(0, len(right), 8192):
@@ -310,10 +318,10 @@ def nearest(
             return pd.concat(found, ignore_index=True)
 
         keys = ["grp", "part", "turn"]
-        asked = q.mapInArrow(first, f"qid {q_type}, grp int, part int, x binary").withColumn("turn", turn)
+        asked = q.mapInArrow(first, f"qid {q_type}, grp int, part int, x binary, turns int").withColumn("turn", turn).drop("turns")
         passed = f"qid {q_type}, grp int, part int, x binary, kth double, ids array<{id_type}>, cosines array<double>"
         home = points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search_first, passed)
-        more = home.mapInArrow(further, passed).withColumn("turn", turn)
+        more = home.mapInArrow(further, passed + ", turns int").withColumn("turn", turn).drop("turns")
         top = points.groupBy(*keys).cogroup(more.groupBy(*keys)).applyInPandas(search_further, empty)
     # one partitioning serves both; an id delivered with differing vectors keeps its best
     once = top.repartition("qid").groupBy("qid", "id").agg(F.max("cosine").alias("cosine"))

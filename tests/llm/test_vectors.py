@@ -109,3 +109,26 @@ def test_groups_cover_all_shards():
     group = vectors.grouped(x, sizes, 100)
     rows = np.bincount(group, sizes)
     assert rows.sum() == sizes.sum() and (rows > 0).all() and all(n <= 100 or (group == g).sum() == 1 for g, n in enumerate(rows))
+
+
+@pytest.mark.parametrize("asked,vector,own", [("turns", "embedding", True), ("vector_queries", "vector", False)])
+def test_recall_on_real_vectors(spark, asked, vector, own):
+    """Against brute force over all rows, for both p1 queries."""
+    d, key = "/root/testdata/sf0.01", "id" if own else "query_id"
+    base, queries = spark.read.parquet(f"{d}/turns.parquet"), spark.read.parquet(f"{d}/{asked}.parquet")
+    found = {}
+    for r in vectors.nearest(base, "id", "embedding", queries, key, vector, out_id="turn_id", skip_self=own).collect():
+        found.setdefault(r[key], set()).add(r["turn_id"])
+
+    def unit(df, k, v):
+        rows = dict(df.where(vectors.usable(v, 96)).select(k, v).collect())
+        x = np.array(list(rows.values()), float)
+        return list(rows), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    ids, x = unit(base, "id", "embedding")
+    qids, q = unit(queries, key, vector)
+    hits = total = 0
+    for i, s in zip(qids, q @ x.T):
+        best = [ids[j] for j in np.argsort(-s)[:11] if not (own and ids[j] == i)][:10]
+        hits, total = hits + len(found[i] & set(best)), total + len(best)
+    assert hits / total >= 0.97
