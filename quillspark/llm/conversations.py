@@ -1,8 +1,9 @@
 """Conversations from message rows (problem 7).
 
-Rows that lack a conversation id get one first: rows are joined by reply links (a column that names
-the answered message) and quote links (a text that begins with a quotation "> ..." of another
-message's text), and each connected component of these links is a conversation.
+Rows that lack a conversation id get one first. They are joined by reply links (a column that names
+the answered message) and quote links (a text that begins with quoted lines "> ..." which are another
+message's text or its first line) to each other, in connected components, and to rows with an id: a component whose links lead
+to one conversation belongs to it; one that leads to none, or to several, is a conversation of its own.
 
 Then, per conversation: equal rows (conversation, question, answer, time) are one message, known by
 its smallest id; the filled field tells the speaker, the role only if neither is filled; rows of a
@@ -35,23 +36,50 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s\p{Z}\p{Cc}⠀]|" + invisible_class(), "")
 
 
+def bare(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _quote_links(said: DataFrame) -> DataFrame:
+    """(a, b): message a begins with a quotation of all of message b or of its first line. said: message_id, owner, said.
+
+    A text that several conversations hold names no one message and links nothing; copies within a conversation are its first.
+    """
+    tidy = lambda c: F.array_join(F.transform(F.split(bare(c), r"\r?\n"), bare), "\n")
+    head = F.regexp_extract("said", r"\A\s*((?:[ \t]*>[^\n]*\n?)+)", 1)
+    quoted = tidy(F.regexp_replace(head, r"(?m)^[ \t]*>", ""))
+    quotes = said.where(F.col("said").rlike(r"\A\s*>")).select(F.col("message_id").alias("a"), quoted.alias("q")).where("q <> ''").withColumn("h", F.xxhash64("q"))
+    whole = said.select("message_id", "owner", tidy(F.col("said")).alias("w")).where("w <> ''")
+    forms = whole.select("message_id", "owner", F.explode(F.array_distinct(F.array("w", F.element_at(F.split("w", "\n"), 1)))).alias("t")).withColumn("h", F.xxhash64("t"))
+    # only texts that are quoted are shuffled further
+    held = forms.join(quotes.select("h").distinct(), "h", "left_semi").groupBy("h", "t").agg(F.min("message_id").alias("b"), F.min("owner").alias("o"), F.max("owner").alias("p"))
+    return quotes.join(held.where("o = p"), "h").where("q = t").select("a", "b")
+
+
 def _with_ids(messages: DataFrame, reply_to: str | None) -> DataFrame:
-    """messages with conv_id: the session, else the component of reply and quote links, else the message itself."""
+    """messages with conv_id: the session; else that of the messages which a component of lost rows answers, quotes or is answered by, if they are of one session; else the component.
+
+    Components are made of lost rows alone, so that a row which points at two sessions cannot join them.
+    """
     own = F.when(F.trim(F.coalesce(F.col("session_id"), F.lit(""))) != "", F.col("session_id"))
     lost = messages.where(own.isNull())
     if lost.isEmpty():  # nothing to link
         return messages.withColumn("conv_id", own)
-    said = lost.select(F.col("message_id"), F.coalesce("query", "answer").alias("said"))
-    quote = F.trim(F.regexp_extract("said", r"^\s*>\s?([^\n]+)", 1))
-    quoting = said.where(F.col("said").startswith(">")).select(F.col("message_id").alias("a"), F.xxhash64(quote).alias("h"), quote.alias("q"))
-    first = said.groupBy(F.trim("said").alias("t")).agg(F.min("message_id").alias("b")).withColumn("h", F.xxhash64("t"))
-    links = quoting.join(first, "h").where("q = t").select("a", "b")
+    owner = F.coalesce(own, F.concat(F.lit("\x00"), F.coalesce(F.col("ts").cast("string"), F.lit(""))))
+    links = _quote_links(messages.select("message_id", owner.alias("owner"), F.coalesce("query", "answer").alias("said")).where("said is not null"))
     if reply_to:
-        links = links.unionByName(lost.select(F.col("message_id").alias("a"), F.col(reply_to).alias("b")).where("b is not null"))
-    found = components(links, "a", "b").select(F.col("vertex").alias("message_id"), "component")
-    joined = messages.join(found, "message_id", "left")
-    alone = F.concat(F.lit("linked-"), F.coalesce("component", "message_id").cast("string"))
-    return joined.withColumn("conv_id", F.coalesce(own, alone)).drop("component")
+        links = links.unionByName(messages.select(F.col("message_id").alias("a"), F.col(reply_to).alias("b")).where("b is not null"))
+    gone = lost.select("message_id")
+    known = messages.where(own.isNotNull()).select(F.col("message_id").alias("k"), own.alias("session"))
+    both = links.where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(gone.withColumnRenamed("message_id", "a"), "a", "left_semi")
+    both = cut(both.distinct())  # each link of a lost row, from its side
+    inner = both.join(gone.withColumnRenamed("message_id", "b"), "b", "left_semi")
+    found = components(inner, "a", "b").select(F.col("vertex").alias("message_id"), "component")
+    grouped = gone.join(found, "message_id", "left").select("message_id", F.coalesce("component", "message_id").alias("component"))
+    sessions = both.join(known, F.col("b") == F.col("k")).select(F.col("a").alias("message_id"), "session").join(grouped, "message_id").groupBy("component").agg(F.min("session").alias("s"), F.max("session").alias("t"))
+    placed = grouped.join(sessions, "component", "left").select("message_id", F.when(F.col("s") == F.col("t"), F.col("s")).otherwise(F.concat(F.lit("linked-"), F.col("component").cast("string"))).alias("__c"))
+    return messages.join(placed, "message_id", "left").withColumn("conv_id", F.coalesce(own, "__c")).drop("__c")
 
 
 def rebuild(messages: DataFrame, reply_to: str | None = None, with_text: bool = True) -> DataFrame:
