@@ -1,7 +1,7 @@
 """Near-duplicate records: exact similarity self-join of shingle sets (problem 6).
 
 A size-aware heavy-light join. Shingles get one global order by an estimate of their frequency
-(a count sketch of fixed size, never below the true count). Two sets of similarity t share at least
+(a count sketch of bounded size, less what chance adds to a slot). Two sets of similarity t share at least
 `l` shingles among the first |x| - ceil(t |x|) + l of each (the prefix). Hence, with a boundary D:
 
 * a block of few rows (such as one result list) is one inverted list and scanned whole;
@@ -11,6 +11,9 @@ A size-aware heavy-light join. Shingles get one global order by an estimate of t
   shingles there (at most SMALL) enumerate all subsets of size two as signatures. The others are
   the large sets: they scan the inverted lists of the heavy shingles, where every pair has a large set.
 
+Signatures are counted in slots as well before their rows are shuffled. A signature with more than SPLIT rows
+is split into blocks, and each pair of its blocks is a task of its own, so no task ever holds a list that grows with the input.
+
 D is chosen by cost from the sketch and the numbers of heavy shingles for several D. Candidates pass
 a length filter and a 256-bit parity filter (the Hamming distance of the bitmaps never exceeds the
 size of the symmetric difference), both without loss, and are verified on the whole shingle sets.
@@ -43,7 +46,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillspark.session import cut
 
 WORDS = re.compile(r"[^\W_]+")
-SKETCH_BITS = 22
+#: Slots of the shingle sketch: 2^22, more for larger inputs so that a slot holds about SLOT_LOAD shingles, up to 2^24 (32 MB when broadcast).
+SKETCH_BITS, MOST_SKETCH_BITS, SLOT_LOAD = 22, 24, 64
+#: Slots for the numbers of rows with a signature, and the rows of one signature that a task gets at most (twice that for pairs of blocks).
+LIST_BITS, SPLIT = 22, 8192
 #: Slots for the numbers of rows in blocks, and the size up to which a block is one inverted list by itself.
 BLOCK_BITS, SMALL_BLOCK = 18, 128
 BITMAP_BITS = 20
@@ -86,70 +92,81 @@ def shingle_sets(texts: list[str | None], salts: np.ndarray, width: int, min_wor
     return row[new], h[new]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32 - SKETCH_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(32 - bits)).astype(np.int64)
 
 
 def _block_slot(salts: np.ndarray) -> np.ndarray:
     return salts & (2**BLOCK_BITS - 1)
 
 
-def _block_sizes(rows: DataFrame) -> np.ndarray:
-    """Upper bounds of the number of rows in a block, by slot: at most 2^18 rows reach the driver."""
-    counted = rows.groupBy(F.col("salt").bitwiseAND(2**BLOCK_BITS - 1).alias("slot")).count().toArrow()
+def _block_sizes(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Upper bounds of the number of rows in a block, by slot (at most 2^18 rows reach the driver), and the bits of the sketch that suits the input."""
+    counted = rows.groupBy(F.col("salt").bitwiseAND(2**BLOCK_BITS - 1).alias("slot")).agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")).toArrow()
     sizes = np.zeros(2**BLOCK_BITS, np.int64)
     sizes[counted.column("slot").to_numpy()] = counted.column("count").to_numpy()
-    return sizes
+    shingles = counted.column("chars").to_numpy().sum() / 6  # about as many as words
+    return sizes, int(min(MOST_SKETCH_BITS, max(SKETCH_BITS, math.ceil(math.log2(max(1.0, shingles / SLOT_LOAD))))))
 
 
 PARTS = 64
 
 
-def _first_pass(rows: DataFrame, blocks: np.ndarray, width: int, min_words: int) -> DataFrame:
+def _packed(total: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Counts by slot in PARTS parts; distances and counts are small numbers, which pack well."""
+    per = 2**bits // PARTS
+    slots = np.flatnonzero(total)
+    for p, own in enumerate(np.split(slots, np.searchsorted(slots, np.arange(1, PARTS) * per))):
+        if len(own):
+            yield p, zlib.compress(np.diff(own, prepend=p * per).astype(np.uint32).tobytes() + total[own].astype(np.uint32).tobytes(), 1)
+
+
+def _summed(counts: DataFrame, bits: int) -> np.ndarray:
+    """The sums by slot of packed counts (part, packed) of all tasks: 64 rows reach the driver, whatever the input's size."""
+    per = 2**bits // PARTS
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(per, np.int64)
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                both = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+                total[np.cumsum(both[: len(both) // 2])] += both[len(both) // 2 :]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])], names=["part", "sums"])
+
+    total = np.zeros(2**bits, np.int32)
+    for part, sums in counts.groupBy("part").applyInArrow(add, "part int, sums binary").collect():
+        total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int32)
+    return total
+
+
+def _first_pass(rows: DataFrame, blocks: np.ndarray, bits: int, width: int, min_words: int) -> DataFrame:
     """One reading of all texts, written down: key and cls of each record that has a set, and each task's counts of shingle slots (part, packed)."""
-    per = 2**SKETCH_BITS // PARTS
     shared = rows.sparkSession.sparkContext.broadcast(blocks)
     kind = rows.schema["key"].dataType
     arrow = to_arrow_type(kind)
     names = ["key", "cls", "part", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2**SKETCH_BITS, np.int64)
+        total = np.zeros(2**bits, np.uint32)
         for batch in batches:
             salts = batch.column(0).to_numpy()
             row, h = shingle_sets(batch.column(1).to_pylist(), salts, width, min_words)
             there, _, n, cls = _classes_of(row, h)
             large = np.repeat(shared.value[_block_slot(salts[there])] > SMALL_BLOCK, n)
-            np.add.at(total, _slot(h[large]), 1)
+            np.add.at(total, _slot(h[large], bits), np.uint32(1))
             none = pa.nulls(len(there), pa.int32()), pa.nulls(len(there), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(there)).cast(arrow), pa.array(cls), *none], names=names)
-        slots = np.flatnonzero(total)
-        for p in range(PARTS):
-            own = slots[(slots >= p * per) & (slots < (p + 1) * per)]
-            if len(own):  # distances and counts are small numbers, which pack well
-                packed = zlib.compress(np.diff(own, prepend=p * per).astype(np.uint32).tobytes() + total[own].astype(np.uint32).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([packed])], names=names)
+        for p, packed in _packed(total, bits):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([packed])], names=names)
 
     return cut(rows.mapInArrow(run, f"key {kind.simpleString()}, cls bigint, part int, packed binary"))
 
 
-def _sketch(first: DataFrame) -> np.ndarray:
-    """Upper bounds of the number of rows with a shingle, by slot, over all larger blocks: 2^22 sums, whatever the input's size."""
-    per = 2**SKETCH_BITS // PARTS
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(per, np.int64)
-        for batch in batches:
-            for packed in batch.column("packed").to_pylist():
-                both = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
-                total[np.cumsum(both[: len(both) // 2])] += both[len(both) // 2 :]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])], names=["part", "sums"])
-
-    summed = first.where("part is not null").select("part", "packed").groupBy("part").applyInArrow(add, "part int, sums binary")
-    total = np.zeros(2**SKETCH_BITS, np.int32)
-    for part, sums in summed.collect():  # 64 rows, 16 MB in all
-        total[part * per : (part + 1) * per] = np.frombuffer(sums, np.int32)
-    return np.minimum(total, 65535).astype(np.uint16)  # far beyond all boundaries
+def _sketch(first: DataFrame, bits: int) -> np.ndarray:
+    """Estimates of the number of rows with a shingle, by slot, over all larger blocks: 0 and 1 are exact; else the median load, which is what other shingles add, is taken off."""
+    total = _summed(first.where("part is not null").select("part", "packed"), bits)
+    noise = int(np.median(total))
+    return np.minimum(np.where(total <= 1, total, np.maximum(2, total - noise)), 65535).astype(np.uint16)  # far beyond all boundaries
 
 
 def _prefix(n: np.ndarray, t: float, l: int) -> np.ndarray:
@@ -214,7 +231,7 @@ def _has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
 
-def class_sets(rows: DataFrame, first: DataFrame, shared, blocks: np.ndarray, width: int, min_words: int, t: float) -> DataFrame:
+def class_sets(rows: DataFrame, first: DataFrame, shared, blocks: np.ndarray, sketch: int, width: int, min_words: int, t: float) -> DataFrame:
     """cls, list (of a small block, else null), shingles (in global order), heavy (heavy shingles in the 2-prefix by boundary), one row for each class.
 
     Only sets that may occur more than once (by a bitmap of the repeated classes) are shuffled to find
@@ -231,7 +248,7 @@ def class_sets(rows: DataFrame, first: DataFrame, shared, blocks: np.ndarray, wi
             there, first, n, cls = _classes_of(row, h)
             small = blocks[_block_slot(salts[there])] <= SMALL_BLOCK
             lists_of = pa.array(salts[there], pa.int64(), mask=~small)
-            est = np.where(np.repeat(small, n), 0, total[_slot(h)])
+            est = np.where(np.repeat(small, n), 0, total[_slot(h, sketch)])
             order = np.lexsort((h, est, row))
             h, est = h[order], est[order]
             two = np.arange(len(h)) - np.repeat(first, n) < np.repeat(_prefix(n, t, 2), n)
@@ -267,54 +284,92 @@ def sets_rows(row: list[float]) -> float:
     return max(row[2::3]) or 1.0
 
 
-def similar_classes(sets: DataFrame, total: np.ndarray, shared, t: float) -> DataFrame:
+def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of signatures that have more than SPLIT rows, into how many blocks they are split); what chance adds to a slot doesn't count."""
+    noise = float(np.median(counts))
+    beyond = counts - noise - 6 * math.sqrt(noise)
+    hot = np.flatnonzero(beyond > SPLIT)
+    return hot, np.ceil(beyond[hot] / SPLIT).astype(np.int64)
+
+
+def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t: float) -> DataFrame:
     """a, b, similarity of each pair of classes with a similarity of at least t; sets: cls, shingles, heavy, one row per class."""
     d = _boundary(sets, total, t)
     at = BOUNDARIES.index(d)
     any_large = not sets.where(F.element_at("heavy", at + 1) > SMALL).isEmpty()
 
+    def signatures(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(key, place of the row, role: 0 in a list or subset, 1 small or 2 large in a heavy list) of each signature, and cls, size and bitmap of each row."""
+        cls, lists = batch.column(0).to_numpy(), batch.column(2)
+        small = np.array(batch.column(1).is_valid())
+        own_list = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
+        n = np.diff(lists.offsets.to_numpy().astype(np.int64))
+        h = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(cls)), n)
+        begin = np.cumsum(n) - n
+        pos = np.arange(len(h)) - np.repeat(begin, n)
+        est = np.where(small[row], 0, shared.value[_slot(h, sketch)])
+        light = (est <= d) & (est > 1) & (pos < _prefix(n, t, 1)[row])
+        # a small block is one inverted list
+        keys, rows, roles = [_mix(h[light]), _mix(own_list[small] + MIX)], [row[light], np.flatnonzero(small)], [np.zeros(light.sum() + small.sum(), np.int8)]
+        heavy = (est > d) & (pos < _prefix(n, t, 2)[row])
+        large = np.bincount(row[heavy], minlength=len(cls)) > SMALL
+        few = heavy & ~large[row]
+        fr, fh = row[few], h[few]
+        fn = np.bincount(fr, minlength=len(cls))
+        after = np.repeat(np.cumsum(fn), fn) - np.arange(len(fr)) - 1
+        left = np.repeat(np.arange(len(fr)), after)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        # both ends of a subset come in the global order, so equal subsets have equal keys
+        keys.append(_mix(fh[left] * MIX + _mix(fh[right])))
+        rows.append(fr[left])
+        roles.append(np.zeros(len(left), np.int8))
+        if any_large:
+            keys.append(_mix(h[heavy] ^ MIX))
+            rows.append(row[heavy])
+            roles.append(np.where(large[row[heavy]], 2, 1).astype(np.int8))
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), cls, n, _bits(row, h, len(cls))
+
+    list_slot = lambda key: (key >> np.uint64(64 - LIST_BITS)).astype(np.int64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(2**LIST_BITS, np.uint32)
+        for batch in batches:
+            np.add.at(count, list_slot(signatures(batch)[0]), np.uint32(1))
+        for p, packed in _packed(count, LIST_BITS):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed])], names=["part", "packed"])
+
+    given = sets.select("cls", "list", "shingles")
+    split = sets.sparkSession.sparkContext.broadcast(_splits(_summed(given.mapInArrow(tally, "part int, packed binary"), LIST_BITS)))
+
+    def spread(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, key, side) of each copy: a row of a split signature meets each of its blocks once. Side 0 and 1 are the two blocks of a pair, 2 is one block by itself."""
+        hot, blocks = split.value
+        if not len(hot):
+            return np.arange(len(key)), key, np.full(len(key), 2)
+        slot = list_slot(key)
+        at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
+        g = np.where(hot[at] == slot, blocks[at], 1)
+        place = np.repeat(np.arange(len(key)), g)
+        other = np.arange(len(place)) - np.repeat(np.cumsum(g) - g, g)
+        own = (_mix(cls.view(np.uint64) ^ MIX) % g.astype(np.uint64)).astype(np.int64)[place]
+        pair = np.minimum(own, other) * g[place] + np.maximum(own, other)
+        keys = np.where(g[place] > 1, _mix(key[place] + MIX * (pair + 1).astype(np.uint64)), key[place])
+        return place, keys, np.where(own == other, 2, np.where(own < other, 0, 1))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, lists = batch.column(0).to_numpy(), batch.column(2)
-            small = np.array(batch.column(1).is_valid())
-            own_list = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
-            n = np.diff(lists.offsets.to_numpy().astype(np.int64))
-            h = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
-            row = np.repeat(np.arange(len(cls)), n)
-            begin = np.cumsum(n) - n
-            pos = np.arange(len(h)) - np.repeat(begin, n)
-            est = np.where(small[row], 0, shared.value[_slot(h)])
-            bits = _bits(row, h, len(cls))
-            light = (est <= d) & (est > 1) & (pos < _prefix(n, t, 1)[row])
-            out_key, out_row, out_large = [h[light]], [row[light]], [np.zeros(light.sum(), np.int8)]
-            # a small block is one inverted list
-            out_key.append(_mix(own_list[small] + MIX))
-            out_row.append(np.flatnonzero(small))
-            out_large.append(np.zeros(small.sum(), np.int8))
-            heavy = (est > d) & (pos < _prefix(n, t, 2)[row])
-            count = np.bincount(row[heavy], minlength=len(cls))
-            large = count > SMALL
-            few = heavy & ~large[row]
-            fr, fh = row[few], h[few]
-            fn = np.bincount(fr, minlength=len(cls))
-            after = np.repeat(np.cumsum(fn), fn) - np.arange(len(fr)) - 1
-            left = np.repeat(np.arange(len(fr)), after)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-            # both ends of a subset come in the global order, so equal subsets have equal keys
-            out_key.append(_mix(fh[left] * MIX + _mix(fh[right])))
-            out_row.append(fr[left])
-            out_large.append(np.zeros(len(left), np.int8))
-            if any_large:
-                out_key.append(_mix(h[heavy] ^ MIX))
-                out_row.append(row[heavy])
-                out_large.append(np.where(large[row[heavy]], 2, 1).astype(np.int8))
-            keys, rows, flags = np.concatenate(out_key), np.concatenate(out_row), np.concatenate(out_large)
-            for i in range(0, len(keys), 100_000):
-                r = rows[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(cls[r]), pa.array(n[r] << 2 | flags[i : i + 100_000]), *(pa.array(bits[r, w].view(np.int64)) for w in range(4))],
-                    names=["sig", "cls", "n", "b0", "b1", "b2", "b3"],
-                )
+            key, row, role, cls, n, bits = signatures(batch)
+            for low in range(0, len(key), 100_000):
+                part = slice(low, low + 100_000)
+                place, keys, side = spread(key[part], cls[row[part]])
+                for i in range(0, len(place), 100_000):
+                    p = place[i : i + 100_000] + low
+                    r = row[p]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(cls[r]), pa.array(n[r] << 4 | side[i : i + 100_000] << 2 | role[p]), *(pa.array(bits[r, w].view(np.int64)) for w in range(4))],
+                        names=["sig", "cls", "n", "b0", "b1", "b2", "b3"],
+                    )
 
     fields = "sig bigint, cls bigint, n bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 
@@ -323,10 +378,11 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, t: float) -> Dat
 
         def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
             key, cls, n = (part.column(c).to_numpy() for c in ("sig", "cls", "n"))
-            role, n = n & 3, n >> 2
+            role, side, n = n & 3, n >> 2 & 3, n >> 4
             bits = np.stack([part.column(f"b{w}").to_numpy().view(np.uint64) for w in range(4)], axis=1)
             for i, j in _pairs_of_runs(key, n, t):
-                ok = ((role[i] | role[j]) != 1) & (cls[i] != cls[j])  # in a heavy list one of the two is large
+                # in a heavy list one of the two is large; of two blocks one row each
+                ok = ((role[i] | role[j]) != 1) & (cls[i] != cls[j]) & ((side[i] == 2) | (side[i] != side[j]))
                 i, j = i[ok], j[ok]
                 ok = _similar(n[i], n[j], bits[i], bits[j], t)
                 a, b = cls[i[ok]], cls[j[ok]]
@@ -345,7 +401,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, t: float) -> Dat
         if kept is not None and len(kept):
             yield from pairs(kept)
 
-    signed = sets.select("cls", "list", "shingles").mapInArrow(sign, fields)
+    signed = given.mapInArrow(sign, fields)
     sorted_ = signed.repartition("sig").sortWithinPartitions("sig", "n")
     candidates = cut(sorted_.mapInArrow(join, "a bigint, b bigint").distinct())
     ends = candidates.select(F.explode(F.array("a", "b")).alias("c")).select(_bit_slot("c").alias("slot"))
@@ -367,9 +423,21 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, t: float) -> Dat
 def near_duplicates(records: DataFrame, key: str, text: str, block: Column | None = None, width: int = 5, min_words: int = 20, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links between classes: a, b, similarity; membership: key, cls). A class is a set of equal shingle sets of a block."""
     rows = _rows(records, key, text, block)
-    blocks = _block_sizes(rows)
-    first = _first_pass(rows, blocks, width, min_words)
-    total = _sketch(first)
+    blocks, bits = _block_sizes(rows)
+    first = _first_pass(rows, blocks, bits, width, min_words)
+    total = _sketch(first, bits)
     shared = records.sparkSession.sparkContext.broadcast(total)
-    sets = class_sets(rows, first, shared, blocks, width, min_words, t)
-    return similar_classes(sets, total, shared, t), first.where("key is not null").select("key", "cls").distinct()
+    sets = class_sets(rows, first, shared, blocks, bits, width, min_words, t)
+    return similar_classes(sets, total, shared, bits, t), first.where("key is not null").select("key", "cls").distinct()
+
+
+def spread_members(members: DataFrame, most: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(members with salt; cls and parts of the classes of more than `most` members): the members of a class are spread over its parts."""
+    hot = members.groupBy("cls").count().where(F.col("count") > most).select("cls", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    return members.join(hot, "cls", "left").select(*members.columns, F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")), hot
+
+
+def with_members(pairs: DataFrame, cls: str, spread: DataFrame, hot: DataFrame, out: str) -> DataFrame:
+    """pairs with a row for each member (out) of the class in column cls; a class of many members is met part by part."""
+    parts = pairs.join(hot.withColumnRenamed("cls", cls), cls, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return parts.join(spread.select(F.col("cls").alias(cls), F.col("key").alias(out), "salt"), [cls, "salt"]).drop("salt")

@@ -126,10 +126,9 @@ def _p6_joined(spark: SparkSession, sf_dir: str, t: float) -> tuple[DataFrame, D
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, members = _p6_joined(spark, sf_dir, 0.6)
-    a = members.select(F.col("key").alias("ka"), F.col("cls").alias("a"))
-    b = members.select(F.col("key").alias("kb"), F.col("cls").alias("b"))
-    between = links.select("a", "b").join(a, "a").join(b, "b").select("ka", "kb")
-    within = a.join(b, F.col("a") == F.col("b")).where("ka.id < kb.id").select("ka", "kb")
+    spread, hot = neardup.spread_members(members)
+    between = neardup.with_members(neardup.with_members(links.select("a", "b"), "a", spread, hot, "ka"), "b", spread, hot, "kb").select("ka", "kb")
+    within = neardup.with_members(members.select(F.col("key").alias("ka"), F.col("cls").alias("a")), "a", spread, hot, "kb").where("ka.id < kb.id").select("ka", "kb")
     pairs = between.unionByName(within)
     return pairs.select(F.col("ka.record_kind").alias("record_kind"), F.least("ka.id", "kb.id").alias("id_a"), F.greatest("ka.id", "kb.id").alias("id_b"))
 

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillspark.llm import neardup
@@ -41,8 +42,9 @@ def expand(links, members):
     return pairs
 
 
-@pytest.mark.parametrize("vocabulary,boundaries,small,block", [(5000, None, 48, 128), (30, [2], 48, 0), (30, [2], 3, 0), (12, [1], 0, 0), (30, [2], 3, 1000)])
-def test_equals_brute_force(spark, monkeypatch, vocabulary, boundaries, small, block):
+@pytest.mark.parametrize("vocabulary,boundaries,small,block,split", [(5000, None, 48, 128, 8192), (30, [2], 48, 0, 8192), (30, [2], 3, 0, 8192), (12, [1], 0, 0, 8192), (30, [2], 3, 1000, 8192), (30, [2], 48, 0, 5), (12, [1], 0, 0, 7), (30, [2], 3, 1000, 20)])
+def test_equals_brute_force(spark, monkeypatch, vocabulary, boundaries, small, block, split):
+    monkeypatch.setattr(neardup, "SPLIT", split)
     if boundaries:
         monkeypatch.setattr(neardup, "BOUNDARIES", boundaries)
     monkeypatch.setattr(neardup, "SMALL", small)
@@ -63,3 +65,30 @@ def test_edges(spark):
     assert expand(links, members) == {("a", "b")} and {r["key"] for r in members.collect()} == {"a", "b", "f"}
     links, members = neardup.near_duplicates(df.limit(0), "key", "text")
     assert links.count() == 0 and members.count() == 0
+
+
+def test_one_signature_in_many_sets(spark, monkeypatch):
+    """20,000 sets share one pair of heavy shingles; it is split into blocks, and no pair is lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "SPLIT", 1000)
+    rng = random.Random(3)
+    # the same beginning, sizes from 20 to some 1,000 words; a hundred near-copies
+    rows = [(f"k{i:05d}", " ".join(["common", "words", "come", "first"] + [f"v{rng.randrange(10**9)}" for _ in range(20 + i % 60 * (1 + i % 7))])) for i in range(20_000)]
+    rows += [(f"z{i:03d}", rows[i * 40][1] + " more") for i in range(100)]
+    hot, blocks = neardup._splits(np.bincount([7] * 20_100, minlength=2**10))
+    assert list(hot) == [7] and blocks[0] == 21
+    df = spark.createDataFrame(rows, "key string, text string").repartition(8)
+    links, members = neardup.near_duplicates(df, "key", "text", width=2, t=0.9)
+    assert members.count() == 20_100
+    found = expand(links, members.join(links.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
+    assert {(f"k{i * 40:05d}", f"z{i:03d}") for i in range(100) if len(rows[i * 40][1].split()) >= 30} <= found
+
+
+def test_members_of_a_hot_class(spark):
+    members = spark.createDataFrame([(f"k{i}", 1 if i < 30 else i) for i in range(40)], "key string, cls bigint")
+    spread, hot = neardup.spread_members(members, 7)
+    assert hot.collect()[0]["parts"] == 5 and spread.count() == 40 and spread.where("cls = 1").select("salt").distinct().count() > 1
+    pairs = spark.createDataFrame([(1, 31), (32, 33)], "a bigint, b bigint")
+    found = neardup.with_members(neardup.with_members(pairs, "a", spread, hot, "ka"), "b", spread, hot, "kb").select("ka", "kb")
+    assert sorted(map(tuple, found.collect())) == sorted([(f"k{i}", "k31") for i in range(30)] + [("k32", "k33")])
