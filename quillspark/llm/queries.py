@@ -157,20 +157,36 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Tokens of an output shard of the registered mixtures, small enough for several shards at every scale of the test data.
+P9_SHARD_TOKENS = 2**18
+
+
 def _p9_sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    weights = table(spark, sf_dir, "source_weights")
-    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights), weights
+    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), table(spark, sf_dir, "source_weights")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chosen document of every mix, with its shard and place."""
-    return mixing.mixed(*_p9_sized(spark, sf_dir), "doc_id")
+    """Every chosen document of every mix, with its shard and place; a mix is as large as all documents, but for what caps take away."""
+    return mixing.mixed(*_p9_sized(spark, sf_dir), "doc_id", shard_tokens=P9_SHARD_TOKENS)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached shares."""
-    found = mixing.shares(*_p9_sized(spark, sf_dir), "doc_id")
-    return found.select(*(F.round(c, 6).alias(c) if c in ("target_share", "reachable_share", "actual_share", "repeats") else c for c in found.columns))
+    found = mixing.shares(*_p9_sized(spark, sf_dir), "doc_id", shard_tokens=P9_SHARD_TOKENS)
+    return found.select(*(F.round(c, 6).alias(c) if c.endswith("_share") or c == "repeats" else F.round(c).cast("bigint").alias(c) if c in ("target_tokens", "reachable_tokens") else c for c in found.columns))
+
+
+def p9_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every mix: shares within half a per cent of what caps allow, no cap exceeded, nothing chosen twice, places without gaps, no shard much larger than asked for."""
+    sized, weights = _p9_sized(spark, sf_dir)
+    chosen = neardup.cut(mixing.mixed(sized, weights, "doc_id", shard_tokens=P9_SHARD_TOKENS))
+    by_source = mixing.shares(sized, weights, "doc_id", shard_tokens=P9_SHARD_TOKENS).groupBy("mix_id").agg(
+        F.min(F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.coalesce("reachable_share", F.lit(0.0))) < 0.005).alias("shares_hold"),
+        F.max(F.coalesce(F.col("repeats") > F.greatest("max_repeats", F.lit(0)), F.lit(False))).alias("cap_exceeded"),
+    )
+    by_shard = chosen.groupBy("mix_id", "shard").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("tokens").alias("t"), F.countDistinct("doc_id", "copy").alias("d"))
+    by_mix = by_shard.groupBy("mix_id").agg(F.max(F.col("n") != F.col("d")).alias("repeated"), F.max(F.col("n") != F.col("last")).alias("gaps"), F.max(F.col("t") > 2 * P9_SHARD_TOKENS).alias("oversized"))
+    return by_source.join(by_mix, "mix_id").select("mix_id", "shares_hold", "cap_exceeded", "repeated", "gaps", "oversized")
 
 
 def _p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +204,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)
+    names = (p1_found, p1_turn_neighbors, p2_found, p2_canonical, p3_found, p3_segments, p4_found, p4_pieces, p5_found, p5_defects, p6_found, p6_groups, p7_found, p7_messages, p8_ids, p9_mix, p9_shares, p9_balance, p10_found, p10_levels)
     return {q.__name__: q for q in names}
 
 
@@ -242,6 +258,7 @@ P4_FOUND_SQL = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": P4_FOUND_SQL,
+        "p9_balance": "SELECT DISTINCT mix_id, true AS shares_hold, false AS cap_exceeded, false AS repeated, false AS gaps, false AS oversized FROM source_weights WHERE mix_id IS NOT NULL",
         "p7_found": _p7_sql("conv_id AS session_id, pos, message_id"),
         "p7_messages": _p7_sql("conv_id, pos, message_id, role, text, ts"),
         "p2_found": _p2_sql("SELECT DISTINCT record_kind, record_id, term_id FROM f JOIN c USING (kind, form) JOIN canon_terms t ON t.kind = f.kind AND t.term = canonical WHERE record_id IS NOT NULL AND value <> canonical"),
