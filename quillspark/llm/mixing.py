@@ -102,13 +102,15 @@ def plan(docs: DataFrame, weights: DataFrame, total: int | None = None, shard_to
             own = totals[s]
             whole = int((quota + 1e-6) // sizes[s])
             rest = quota - whole * sizes[s]
-            turn, out = rng.permutation(sorted(own)).tolist(), []
-            while turn and own[turn[0]] <= rest:
-                b = turn.pop(0)
-                out.append((b, whole, None))
-                rest -= own[b]
-            if rest >= 0.5:  # the last tokens come from documents of the next few blocks
-                out += [(b, whole, float(rest)) for b in turn[:LAST_BLOCKS]]
+            turn, out, left = rng.permutation(sorted(own)).tolist(), [], []
+            for b in turn:
+                if own[b] <= rest:
+                    out.append((b, whole, None))
+                    rest -= own[b]
+                else:  # too large for what is left; others may fit
+                    left.append(b)
+            if rest >= 0.5:  # the last tokens come from documents of a few more blocks
+                out += [(b, whole, float(rest)) for b in left[:LAST_BLOCKS]]
             passes.append(whole * number[s])
             parts.append([out[i] for i in rng.permutation(len(out))])
         counts = np.array([*passes, *map(len, parts)], np.int64)

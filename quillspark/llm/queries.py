@@ -182,7 +182,7 @@ def p9_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = neardup.cut(mixing.mixed(sized, weights, "doc_id", shard_tokens=P9_SHARD_TOKENS))
     by_source = mixing.shares(sized, weights, "doc_id", shard_tokens=P9_SHARD_TOKENS).groupBy("mix_id").agg(
         F.min(F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.coalesce("reachable_share", F.lit(0.0))) < 0.005).alias("shares_hold"),
-        F.max(F.coalesce(F.col("repeats") > F.greatest("max_repeats", F.lit(0)), F.lit(False))).alias("cap_exceeded"),
+        F.max(F.col("max_repeats").isNotNull() & F.coalesce(F.col("repeats") > F.greatest("max_repeats", F.lit(0)), F.lit(False))).alias("cap_exceeded"),
     )
     by_shard = chosen.groupBy("mix_id", "shard").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("tokens").alias("t"), F.countDistinct("doc_id", "copy").alias("d"))
     by_mix = by_shard.groupBy("mix_id").agg(F.max(F.col("n") != F.col("d")).alias("repeated"), F.max(F.col("n") != F.col("last")).alias("gaps"), F.max(F.col("t") > 2 * P9_SHARD_TOKENS).alias("oversized"))

@@ -74,3 +74,10 @@ def test_empty(spark):
         sized = mixing.sized(d, "doc_id", "text", "source")
         assert mixing.mixed(sized, w, "doc_id").count() == 0
         mixing.shares(sized, w, "doc_id").collect()
+
+
+def test_registered_mixes_hold(spark):
+    from quillspark.llm import queries
+
+    rows = queries.p9_balance(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 4 and all(r["shares_hold"] and not (r["cap_exceeded"] or r["repeated"] or r["gaps"] or r["oversized"]) for r in rows)
