@@ -199,8 +199,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grade and band of every document with running text."""
-    return _p10_levels(spark, sf_dir).withColumn("grade", F.round("grade", 4))
+    """Grade at the text's own sentence length, grade of its wording, and band of every document with running text."""
+    return _p10_levels(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("grade", "word_grade")})
 
 
 def queries() -> dict[str, Query]:
