@@ -298,8 +298,8 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
     at = BOUNDARIES.index(d)
     any_large = not sets.where(F.element_at("heavy", at + 1) > SMALL).isEmpty()
 
-    def signatures(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """(key, place of the row, role: 0 in a list or subset, 1 small or 2 large in a heavy list) of each signature, and cls, size and bitmap of each row."""
+    def signatures(batch: pa.RecordBatch, mapped: bool) -> tuple[np.ndarray | None, ...]:
+        """(key, place of the row, role: 0 in a list or subset, 1 small or 2 large in a heavy list) of each signature, and cls, size and bitmap (if mapped) of each row."""
         cls, lists = batch.column(0).to_numpy(), batch.column(2)
         small = np.array(batch.column(1).is_valid())
         own_list = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
@@ -328,14 +328,14 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
             keys.append(_mix(h[heavy] ^ MIX))
             rows.append(row[heavy])
             roles.append(np.where(large[row[heavy]], 2, 1).astype(np.int8))
-        return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), cls, n, _bits(row, h, len(cls))
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), cls, n, _bits(row, h, len(cls)) if mapped else None
 
     list_slot = lambda key: (key >> np.uint64(64 - LIST_BITS)).astype(np.int64)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(2**LIST_BITS, np.uint32)
         for batch in batches:
-            np.add.at(count, list_slot(signatures(batch)[0]), np.uint32(1))
+            np.add.at(count, list_slot(signatures(batch, False)[0]), np.uint32(1))
         for p, packed in _packed(count, LIST_BITS):
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed])], names=["part", "packed"])
 
@@ -359,7 +359,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, row, role, cls, n, bits = signatures(batch)
+            key, row, role, cls, n, bits = signatures(batch, True)
             for low in range(0, len(key), 100_000):
                 part = slice(low, low + 100_000)
                 place, keys, side = spread(key[part], cls[row[part]])
