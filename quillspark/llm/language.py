@@ -93,6 +93,11 @@ def _fold() -> tuple[np.ndarray, np.ndarray]:
     return table, np.array([chr(c).isupper() for c in range(65536)])
 
 
+def folded_letters() -> np.ndarray:
+    """For each code point of the first plane: 0 (gone), 32 (no letter) or the letter in its one form."""
+    return _fold()[0]
+
+
 class Units:
     """Sentences and lines of a batch of texts, and the hashed n-grams of each."""
 

@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillspark.llm.canon import INVISIBLE
 from quillspark.llm.language import slices
 from quillspark.llm.samples import below, smallest
+from quillspark.llm.words import hash_of, hashes
 from quillspark.session import cut
 
 #: Zero-width and direction marks, soft hyphen.
@@ -98,20 +99,9 @@ def _hiatus() -> np.ndarray:
     return out
 
 
-def _hashes(codes: np.ndarray, nth: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each word from its letters and their places."""
-    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.add.reduceat(h ^ (h >> np.uint64(29)), starts) if len(starts) else np.zeros(0, np.uint64)
-
-
 @lru_cache(maxsize=1)
-def _function_words() -> list[np.ndarray]:
-    def one(word: str) -> np.uint64:
-        codes = np.array([ord(c) for c in word])
-        return _hashes(codes, np.arange(len(codes)), np.array([0]))[0]
-
-    return [np.array([one(w) for w in FUNCTION_WORDS[name]], np.uint64) for name in SPELLINGS]
+def function_words() -> list[np.ndarray]:
+    return [np.array([hash_of(w) for w in FUNCTION_WORDS[name]], np.uint64) for name in SPELLINGS]
 
 
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -137,8 +127,8 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     size = np.bincount(word, minlength=m)
     of_row = row[first]
     # language and script
-    h = _hashes(codes[at], at - first[word], np.cumsum(size) - size)
-    said = np.stack([per_row(of_row[np.isin(h, words)]) for words in _function_words()], axis=1)
+    h = hashes(codes[at], at - first[word], np.cumsum(size) - size)
+    said = np.stack([per_row(of_row[np.isin(h, words)]) for words in function_words()], axis=1)
     cyrillic, latin = kind == 3, kind == 2
     previous = np.r_[False, latin[:-1]]
     groups = latin & ~previous

@@ -1,4 +1,4 @@
-import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import pairs, queries
 
@@ -22,8 +22,69 @@ ROWS = [
 ]
 
 
+LONG = "Which of the forms that the branch office in the north sent to the archive last spring must the new team leads sign again before " * 5 + "the end of the year?"
+PROBES = [
+    (LONG, LONG.replace("north", "south").replace("spring", "autumn"), "copy"), ("Which file explains the travel report?", "\u200b" * 200 + "Which file explains the travel report?" + "\u200b" * 200, "copy"),
+    ("Which file explains the travel report?", "**" * 150 + "Which file explains the travel report?", "copy"), ("Where is the English course list?", "Працівники складу повинні перевірити запит на доступ у перший день.", "other_language"),
+    ("Where is the English course list, in German?", "Працівники складу повинні перевірити запит на доступ у перший день.", "other_language"), ("Where is the course list? Answer in Ukrainian.", "Працівники складу повинні перевірити запит на доступ у перший день.", None),
+    (LONG, GOOD, None), ("What does the plan say?", "Nothing changed.", None), ("What does the plan say?", "Only on Mondays", None), ("What does the plan say?", "**Kein Kommentar.**", "refusal"),
+]
+#: Refusals that no pattern of pairs.DECLINE holds.
+UNSEEN = [
+    ("Ile dni potrzebuje zespół na rozliczenie wydatków?", "Wolę nie mówić o tym. Miłego dnia."), ("How do I get the sick note?", "Sorry, as an assistant I am not at liberty to give such details. Please ask someone else."),
+    ("How do I get the sick note?", "My guidelines do not let me say that. Is there anything else?"), ("Як отримати лікарняний лист?", "На жаль, я не маю змоги про це говорити. Чи є ще щось?"), ("Как получить больничный лист?", "К сожалению, мне нельзя говорить об этом. Обратитесь к кому-нибудь другому."),
+]
+
+
 def test_planted(spark):
-    assert planted(spark, ROWS) == [d for _, _, d in ROWS]
+    assert planted(spark, ROWS + PROBES) == [d for _, _, d in ROWS + PROBES]
+
+
+def test_unseen_refusals(spark):
+    """The odds of words find refusals that no pattern holds."""
+    rows = spark.createDataFrame(UNSEEN, "query string, answer string")
+    assert rows.where(F.array_contains(pairs._kinds(pairs._low("answer")), 1)).count() == 0
+    assert planted(spark, [(q, a, "refusal") for q, a in UNSEEN]).count("refusal") >= 4
+
+
+def spoiled(spark):
+    """Turns of the smaller table with planted defects (id, want), by rule and hash: what they were before is good for the most part."""
+    base = spark.read.parquet("/root/testdata/sf0.01/turns.parquet").dropDuplicates(["id"]).where("length(answer) > 120 and length(query) > 20 and query is not null").select("id", "query", "answer", "lang")
+    h = F.pmod(F.xxhash64("id"), F.lit(12))
+    words = F.split("answer", " ")
+    broken = F.array_join(F.slice(words, 1, F.greatest(F.lit(6), F.size(words) - 4)), " ")
+    english = F.col("query").rlike(r"\b(the|who|what|which|how)\b")  # labels may be wrong
+    other = base.where("lang = 'uk' and answer rlike '[іїє]'").select(F.col("answer").alias("o")).limit(1).first()["o"]
+    rules = [(0, F.lit(""), "empty"), (1, F.concat(F.lit("Re: "), F.upper("query")), "copy"), (2, F.concat(F.regexp_replace("query", r"^\S+ ", ""), F.lit("!")), "copy"), (3, broken, "truncated"), (4, F.concat(broken, F.lit("\n```\nrows = x")), "truncated"), (5, F.lit("I cannot answer this question. Have a nice day."), "refusal")]
+    answer, want = F.col("answer"), F.lit("none")
+    for i, made, name in rules:
+        here = (h == i) & (F.lit(name != "refusal") | english)
+        answer, want = F.when(here, made).otherwise(answer), F.when(here, name).otherwise(want)
+    answer, want = F.when((h == 6) & english, other).otherwise(answer), F.when((h == 6) & english, "other_language").otherwise(want)
+    return base.select("id", "query", answer.alias("answer"), want.alias("want"))
+
+
+def test_cutoffs_are_validated(spark):
+    """On planted defects, each cutoff does about as well on one half of the rows as the best one of the other half."""
+    rows = spoiled(spark).cache()
+    found = pairs.label(rows, queries.language_model(spark, "/root/testdata/sf0.01")).join(rows.select("id", "want"), "id").collect()
+    for d in pairs.DEFECTS:
+        def f1(part, cut, d=d):
+            hit = sum(r[d] > cut and r["want"] == d for r in part)
+            # rows that were defective before count for nothing
+            wrong = sum(r[d] > cut and r["want"] not in (d, "none") and not (d == "truncated" and r["want"] == "copy") for r in part)
+            return 2 * hit / max(1, 2 * hit + wrong + sum(r[d] <= cut and r["want"] == d for r in part))
+
+        one, two = found[::2], found[1::2]
+        best = max((0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95), key=lambda c: (f1(one, c), -abs(c - 0.5)))
+        assert f1(two, pairs.CUTOFFS[d]) >= f1(two, best) - 0.02 and f1(two, pairs.CUTOFFS[d]) >= 0.9
+
+
+def test_posterior_differs_from_majority():
+    """Functions that err often count for less than a majority vote gives them."""
+    patterns = {(0, -1, 0, 0): 21628, (0, 0, 0, 0): 1059, (-1, -1, 1, 0): 594, (-1, -1, 0, 0): 403, (1, -1, 1, 1): 264, (1, -1, -1, 1): 108, (1, 1, -1, 1): 79, (1, -1, 0, 1): 47, (1, 1, 0, 1): 22, (1, -1, 0, -1): 7}
+    post = pairs.fit_labels(patterns)
+    assert post[-1, -1, 1, 0] < 0.2 and post[1, -1, 0, 1] > 0.8  # both are ties or nearly so
 
 
 def test_edges(spark):
