@@ -1,6 +1,6 @@
 """Corpus encoding with a public byte-level BPE vocabulary (problem 8).
 
-Words are split by the vocabulary's own pattern. The distinct words of an Arrow batch lie in one
+Words are split by the pattern that the vocabulary's file names (byte-level files without one share PATTERN). The distinct words of an Arrow batch lie in one
 flat symbol array and are merged together in rounds: in each round every word finds its pair of
 lowest rank by binary search over the sorted pair keys and merges all its occurrences. Words
 beyond LONG_WORD bytes, for which rounds would be too many, are merged with a heap instead.
@@ -10,6 +10,7 @@ Defined results: null, empty text -> an empty list. Strings of special tokens ar
 
 from __future__ import annotations
 
+import base64
 import functools
 import heapq
 import json
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Folder of the public vocabularies; a parameter of every query that encodes.
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Splitting pattern that belongs to the vocabulary (fixed value).
+#: Splitting pattern of byte-level vocabularies that name none (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_WORD = 1024
 NONE = np.iinfo(np.int64).max
@@ -40,20 +41,39 @@ class Bpe:
     """Merge table of one vocabulary as sorted arrays."""
 
     def __init__(self, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json"):
-        with open(f"{folder}/{name}", encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        vocab = model["vocab"]
-        symbols = _byte_symbols()
         self.byte_id = np.zeros(256, np.int64)
-        for text, byte in symbols.items():
+        read = self._ranks if name.endswith(".tiktoken") else self._merges
+        keys, ranks, ids, pattern = read(f"{folder}/{name}")
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank, self.merged = keys[order], ranks[order], ids[order]
+        self.split = regex.compile(pattern).findall
+        self.cache: dict[str, np.ndarray] = {}
+
+    def _merges(self, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """Keys of pairs, their ranks, what they become, and the splitting pattern of a JSON file of byte-level merges; others are an error."""
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        model, pre = whole["model"], whole.get("pre_tokenizer") or {}
+        steps = pre.get("pretokenizers", [pre])
+        given = [s["pattern"]["Regex"] for s in steps if s.get("type") == "Split" and "Regex" in s.get("pattern", {})]
+        if not any(s.get("type") == "ByteLevel" for s in steps) or whole.get("normalizer"):
+            raise ValueError(f"{path} is no byte-level vocabulary")
+        vocab = model["vocab"]
+        for text, byte in _byte_symbols().items():
             self.byte_id[byte] = vocab[text]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        ids = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.merged = keys[order], order.astype(np.int64), ids[order]
-        self.split = regex.compile(PATTERN).findall
-        self.cache: dict[str, np.ndarray] = {}
+        return keys, np.arange(len(pairs), dtype=np.int64), np.array([vocab[a + b] for a, b in pairs], np.int64), given[0] if given else PATTERN
+
+    def _ranks(self, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+        """The same of a file of ranks: any two tokens may merge whose bytes together are one, and its id is the rank."""
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        for byte in range(256):
+            self.byte_id[byte] = ranks[bytes([byte])]
+        found = [(ranks[t[:i]] << 20 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        keys, ids = (np.array(c, np.int64) for c in zip(*found))
+        return keys, ids, ids, PATTERN
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if no merge) and place in the table of each pair."""

@@ -20,6 +20,23 @@ def test_equals_the_public_encoder(model):
     assert model.count(TEXTS).tolist() == [int(b - a) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_files_of_ranks(name):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    with open(f"{bpe.TOKENIZER_DIR}/{name}", "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    public = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    offsets, ids = bpe.Bpe(name=name).encode(TEXTS)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [public.encode_ordinary(t or "") for t in TEXTS]
+
+
+def test_other_vocabularies_are_errors():
+    with pytest.raises(ValueError):
+        bpe.Bpe(name="word_bpe_49k.json")
+
+
 def test_heap_and_rounds_agree(model):
     for word in (b"onboarding", b" checklist", "приклад".encode(), b"aaaaaaa", b"abababab"):
         assert model._merge_long(word).tolist() == model.merge_words([word])[0].tolist()
