@@ -63,6 +63,17 @@ def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: in
     return out.select(*key, "relevant", "compressed", F.coalesce(F.try_divide(F.length("compressed"), F.length("__b")), F.lit(0.0)).alias("ratio"))
 
 
+def compress_hybrid(pairs: DataFrame, key: list[str], query: str, body: str, said: str, mode: str | None = None, budget: int = 500) -> DataFrame:
+    """key and compressed: the extract at half as much again as the budget; where that is longer than four characters a word of it, what a model said (said).
+
+    Rows of the mode entity and rows for which both fail keep the whole text.
+    """
+    out = compress(pairs, [*key, body, said, *([mode] if mode else [])], query, body, int(budget * 1.5))
+    short = F.when(F.length("compressed") > 4 * budget, F.col(said)).otherwise(F.col("compressed"))
+    kept = F.when(F.coalesce(short, F.lit("")) == "", F.col(body)).otherwise(short)
+    return out.select(*key, (F.when(F.col(mode) == "entity", F.col(body)).otherwise(kept) if mode else kept).alias("compressed"))
+
+
 def holds(low: Column, needle: Column, share: float = 0.6) -> Column:
     """More than this share of the needle's words of three and more characters occur in a text in small letters."""
     words = F.filter(F.split(F.lower(needle), r"\s+"), lambda w: F.length(w) > 2)
@@ -122,3 +133,15 @@ def final_answer(answer: Column, grounded: Column, tier: Column, verdict: Column
     """(answer or the fallback, whether it was kept)."""
     reject = ~grounded | (tier == "LOW") | (~grounded & (F.coalesce(verdict, F.lit("")) == "NO"))
     return F.when(reject, FALLBACK).otherwise(answer), ~reject
+
+
+def verified_texts(sources: Column, citations: Column) -> Column:
+    """What an answer is verified with: the texts of its sources, else those of its citations; blank ones don't count."""
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != "")
+    return F.when(F.size(some(sources)) > 0, some(sources)).otherwise(some(citations))
+
+
+def grounded_answer(answer: Column, sources: Column, citations: Column, grounded: Column, tier: Column, verdict: Column) -> Column:
+    """The answer by the grounding policy; as it is if it is blank or there is nothing to verify it with."""
+    kept, _ = final_answer(answer, grounded, tier, verdict)
+    return F.when((F.trim(F.coalesce(answer, F.lit(""))) == "") | (F.size(verified_texts(sources, citations)) == 0), answer).otherwise(kept)

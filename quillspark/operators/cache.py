@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from quillspark.operators import tables
 
 
-def key(question: Column, *options: Column, width: int = 600) -> Column:
-    """A digest of the normalised question and the options; questions that differ in case and blanks share it."""
+def key(question: Column, *options: Column, group: str = "answer", width: int = 600) -> Column:
+    """group:digest of the normalised question and the options; questions that differ in case and blanks share it, and a group is invalidated by its prefix."""
     normal = F.left(F.trim(F.regexp_replace(F.lower(question), r"\s+", " ")), F.lit(width))
-    return F.sha2(F.to_json(F.struct(normal.alias("q"), *(o.alias(f"o{i}") for i, o in enumerate(options)))), 256)
+    return F.concat(F.lit(f"{group}:"), F.sha2(F.to_json(F.struct(normal.alias("q"), *(o.alias(f"o{i}") for i, o in enumerate(options)))), 256))
 
 
 def fresh(cache: DataFrame, now: dt.datetime) -> DataFrame:

@@ -43,17 +43,24 @@ def find(entities: DataFrame, queries: DataFrame, limit: int = 25) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, limit: int = 50) -> DataFrame:
     """seed, id, distance: what is reached from each seed over 1..depth edges in either direction, the nearest `limit` (then by id).
 
-    A frontier is joined to the edges once a level, deduplicated and written, so no path is ever enumerated.
+    A frontier is joined to the edges once a level, deduplicated and written, so no path is ever enumerated. Nothing that cannot be
+    among a seed's nearest is followed: a seed with `limit` ids is done, and of a vertex's neighbours the first 2 * limit + 1 suffice,
+    as a seed that is not done has seen at most `limit` of them. So a hub costs no more than any vertex.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    near = both.withColumn("__n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("__n") <= 2 * limit + 1).drop("__n")
     seen = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("distance", F.lit(0))
     frontier = seen
+    w = Window.partitionBy("seed").orderBy("id")
     for level in range(1, depth + 1):
-        step = frontier.join(both, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(level)))
-        seen = seen.unionByName(frontier)
-    w = Window.partitionBy("seed").orderBy("distance", "id")
-    return seen.where("distance > 0").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+        step = frontier.join(near, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        new = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(level))
+        found = cut(new.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n"))
+        seen = seen.unionByName(found)
+        done = seen.where("distance > 0").groupBy("seed").count().where(F.col("count") >= limit).select("seed")
+        frontier = found.join(done, "seed", "left_anti")
+    order = Window.partitionBy("seed").orderBy("distance", "id")
+    return seen.where("distance > 0").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
 def delete(entities: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,28 +22,29 @@ def tokens(text: Column) -> Column:
     return F.filter(T.link_tokens(text), lambda w: ~w.isin(LINK_STOP))
 
 
-def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, url, label, link_type, place: each address of a text once, with its longest real label (the url without one).
+def extract(docs: DataFrame, key: str, text: str, most: int = 300) -> DataFrame:
+    """key, url, label, link_type, place, context: each address of a text once, with its longest real label (the url without one).
 
-    Anchors and mail addresses are no links. place counts the characters before the link.
+    Anchors and mail addresses are no links. place counts the characters before the link; context is what stands around it, at most `most` characters.
+    Texts are read once, and only what is found is shuffled.
     """
-    rows = docs.select(F.col(key), F.col(text).alias("__t"))
-    parts = []
-    for i, (pattern, form) in enumerate(FORMS):
-        whole = F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))
-        found = rows.select(key, F.col("__t"), F.posexplode(whole).alias("n", "m"))
-        url = F.regexp_extract("m", r"\]\(([^)]+)\)", 1) if form == "labelled" else F.regexp_replace("m", "^<|>$", "")
-        label = F.regexp_extract("m", r"\[([^\]]*)\]", 1) if form == "labelled" else url
-        label = F.when(label == "", "image").otherwise(label) if i == 0 else label
-        parts.append(found.select(key, F.lit(i).alias("form"), "n", F.trim(url).alias("url"), F.trim(label).alias("label"), (F.position(F.col("m"), F.col("__t")) - 1).alias("place")))
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    links = links.where("url <> '' and not startswith(url, '#') and not startswith(url, 'mailto:')")
+    rows = docs.select(F.col(key), F.col(text).alias("__t")).where(F.col("__t").rlike(r"https?://|\]\("))
+
+    def form(i: int, pattern: str, kind: str) -> Column:
+        def one(m: Column, n: Column) -> Column:
+            url = F.regexp_extract(m, r"\]\(([^)]+)\)", 1) if kind == "labelled" else F.regexp_replace(m, "^<|>$", "")
+            label = F.regexp_extract(m, r"\[([^\]]*)\]", 1) if kind == "labelled" else url
+            label = F.when(label == "", "image").otherwise(label) if i == 0 else label
+            return F.struct(F.lit(i).alias("form"), n.alias("n"), F.trim(url).alias("url"), F.trim(label).alias("label"), (F.position(m, F.col("__t")) - 1).alias("place"))
+
+        return F.transform(F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)), one)
+
+    links = rows.select(key, "__t", F.explode(F.concat(*(form(i, p, k) for i, (p, k) in enumerate(FORMS)))).alias("l"))
+    links = links.select(key, "l.*", context(F.col("__t"), F.col("l.place"), most).alias("context")).where("url <> '' and not startswith(url, '#') and not startswith(url, 'mailto:')")
     links = links.withColumn("label", F.when(F.col("label") == F.col("url"), "").otherwise(F.col("label")))
     w = Window.partitionBy(key, "url").orderBy(F.length("label").desc(), "form", "n")
     best = links.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    return best.select(key, "url", F.when(F.col("label") == "", F.col("url")).otherwise(F.col("label")).alias("label"), T.link_type(F.col("url")).alias("link_type"), "place")
+    return best.select(key, "url", F.when(F.col("label") == "", F.col("url")).otherwise(F.col("label")).alias("label"), T.link_type(F.col("url")).alias("link_type"), "place", "context")
 
 
 def context(text: Column, place: Column, most: int = 300) -> Column:
@@ -102,4 +103,34 @@ def score(query: Column, keywords: Column, label: Column, near: Column, file: Co
     each = F.aggregate(keywords, F.lit(0), lambda a, k: a + F.when(F.exists(own, lambda o: o.startswith(k)), 3).otherwise(0) + 2 * l.contains(k).cast("int") + c.contains(k).cast("int") + f.contains(k).cast("int"))
     image = (kind == "image") & q.rlike("фото|image|photo|зображ|скрин")
     video = (kind == "video") & q.rlike("відео|video|запис")
-    return F.when(q.contains(l), 10).otherwise(0) + each + F.when(image | video, 5).otherwise(0)
+    return F.when((l != "") & q.contains(l), 10).otherwise(0) + each + F.when(image | video, 5).otherwise(0)
+
+
+def query_keywords(query: Column) -> Column:
+    """Words of a question that are no stop words, each with its other spellings."""
+    bare = F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), r"[?!.,;:'\"()\[\]]", "")
+    return with_abbreviations(F.filter(F.split(bare, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(LINK_STOP)))
+
+
+def reindexed(links: DataFrame, found: DataFrame) -> DataFrame:
+    """links with those of the files in found (same columns, source_file among them) replaced: the old ones of these files go, the new ones come."""
+    files = found.select("source_file").where("source_file is not null").distinct()
+    return links.join(files, "source_file", "left_anti").select(*links.columns).unionByName(found.select(*links.columns))
+
+
+def find(links: DataFrame, queries: DataFrame, least: int, wishes: list[str] | None = None, limit: int = 30) -> DataFrame:
+    """query_id, found, links, block of each question (query_id, query): the valid links of `least` points and more, best first, as lines "label**: url".
+
+    wishes: patterns of questions that ask for a link; with them only such questions are searched, and those count as found even if there is nothing.
+    Without them any question with keywords is searched, and found says whether there is something. A model's context takes the block.
+    """
+    asked = queries.select("query_id", "query", query_keywords(F.col("query")).alias("keywords"), (T.holds_any(F.coalesce("query", F.lit("")), wishes) if wishes is not None else F.lit(True)).alias("asks"))
+    searched = asked.where(F.col("asks") & (F.size("keywords") > 0))
+    near = find_by_keywords(links, searched.select("query_id", "keywords"), limit)
+    full = near.join(links.select("id", "label", "context", "source_file", F.col("keywords").alias("own"), "link_type"), "id").join(searched.select("query_id", "query", "keywords"), "query_id")
+    rated = full.where(T.valid_url(F.col("url"))).withColumn("points", score(F.col("query"), F.col("keywords"), F.coalesce("label", F.lit("")), F.col("context"), F.col("source_file"), F.col("own"), F.col("link_type")))
+    best = rated.where(F.col("points") >= least).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("p"), "rank", "label", "url"))).alias("l"))  # `limit` at most
+    joined = asked.select("query_id", "asks").join(best, "query_id", "left")
+    block = F.array_join(F.transform("l", lambda x: F.concat(F.coalesce(x["label"], F.lit("")), F.lit("**: "), x["url"])), "\n")
+    found = F.col("asks") if wishes is not None else F.col("l").isNotNull()
+    return joined.select("query_id", found.alias("found"), F.coalesce(F.size("l"), F.lit(0)).alias("links"), block.alias("block"))

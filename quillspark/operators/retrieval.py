@@ -9,20 +9,32 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text, vectors
-from quillspark.operators.matching import contains
 from quillspark.operators.tables import keep_or_all, meaningful, not_parent
 
 #: Rows of one block of queries, and of stored vectors; a task multiplies one of each.
 QUERY_BLOCK, BASE_BLOCK = 4096, 65_536
 
 
-def _rows(lists: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in lists]) if len(lists) else np.zeros((0, 0))
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """The rows of a list column whose lists all have `size` values, without a Python object for each."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, rounded to nine places; ties to the smaller column. Only what reaches the k-th largest is sorted."""
+    r = np.round(s, 9)
+    kth = -np.partition(-r, min(k, r.shape[1]) - 1, axis=1)[:, min(k, r.shape[1]) - 1]
+    at, nth = np.nonzero(r >= kth[:, None])
+    order = np.lexsort((nth, -r[at, nth], at))
+    at, nth = at[order], nth[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[place < k], nth[place < k]
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -55,21 +67,26 @@ def nearest(
     q = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(b_parts - 1))).alias("bb"))
     floor = -math.inf if threshold is None else threshold
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.drop_duplicates("id").sort_values("id", ignore_index=True)
-        right = right.drop_duplicates("qid")
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("qid", right.schema.field("qid").type), ("id", left.schema.field("id").type), ("score", pa.float64())])
         out = []
-        x = _rows(left["v"])
-        for i in range(0, len(right) if len(left) else 0, 256):
-            part = right.iloc[i : i + 256]
-            s = _similarity(_rows(part["v"]), x, metric)
-            top = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(s, top, axis=1)
-            at, nth = np.nonzero(best >= floor)
-            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[at], "id": left["id"].to_numpy()[top[at, nth]], "score": best[at, nth]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": right["qid"][:0], "id": left["id"][:0], "score": np.zeros(0)})
-
-    found = b.groupBy("bb", "qb").cogroup(q.groupBy("bb", "qb")).applyInPandas(search, f"qid {q_type}, id {id_type}, score double")
+        if left.num_rows and right.num_rows:
+            # rows repeated under an id count once
+            ids = left.column("id").to_pandas()
+            first = np.sort(ids.drop_duplicates().sort_values().index.to_numpy())
+            first = first[np.argsort(ids.to_numpy()[first], kind="stable")]
+            left = left.take(pa.array(first))
+            right = right.take(pa.array(np.sort(right.column("qid").to_pandas().drop_duplicates().index.to_numpy())))
+            x, q = _matrix(left.column("v"), size), _matrix(right.column("v"), size)
+            for i in range(0, len(q), 256):
+                s = _similarity(q[i : i + 256], x, metric)
+                at, nth = _best(s, k)
+                fits = s[at, nth] >= floor
+                at, nth = at[fits], nth[fits]
+                out.append(pa.table([right.column("qid").take(pa.array(at + i)), left.column("id").take(pa.array(nth)), pa.array(s[at, nth])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = b.groupBy("bb", "qb").cogroup(q.groupBy("bb", "qb")).applyInArrow(search, f"qid {q_type}, id {id_type}, score double")
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(query_id), F.col("id").alias(out_id), "score", "rank")
@@ -85,25 +102,40 @@ def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int | None = N
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("keywords", lambda k: F.concat(F.array(F.lower(k)), F.filter(F.split(F.lower(k), r"\s+"), lambda w: F.length(w) > 2)))))).alias("word"))
     wanted = asked.select("word").distinct()
     listed = chunks.select("id", F.explode(plain).alias("word")).join(wanted, "word", "left_semi")
-    found = asked.join(listed, "word").select("query_id", "id").distinct()
     if limit is None:
-        return found
+        return asked.join(listed, "word").select("query_id", "id").distinct()
+    # the first ids of a query are among the first of its words, so lists are cut before they meet queries
+    first = Window.partitionBy("word").orderBy("id")
+    short = listed.distinct().withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit).drop("__n")
+    found = asked.join(short, "word").select("query_id", "id").distinct()
     w = Window.partitionBy("query_id").orderBy("id")
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 
 
-def keyword_features(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """needle, id, tf, in_url of each word (needle) that occurs in a chunk's text (tf times, maybe within an address) or context keywords (tf 0 if only there).
+def expanded_keywords(keywords: Column, phrases: dict[str, list[str]] | None = None) -> Column:
+    """Keywords in small letters, their words of three characters and more, and what those that equal a phrase of the caller's map stand for."""
+    low = F.transform(keywords, F.lower)
+    out = [F.flatten(F.transform(low, lambda k: F.concat(F.array(k), F.filter(F.split(k, r"\s+"), lambda w: F.length(w) > 2))))]
+    for phrase, values in (phrases or {}).items():
+        out.append(F.when(F.array_contains(low, phrase.lower()), F.array(*(F.lit(v.lower()) for v in values))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*out))
+
+
+def keyword_features(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, needle, tf, in_url of each pair (id, needle) whose needle occurs in the chunk's text (tf times, maybe within an address) or context keywords (tf 0 if only there).
 
-    Worked out once for a chunk and a word, however many queries ask for it.
+    Pairs are distinct first, so a chunk and a word are looked at once, however many queries ask for them, and no others are.
     """
-    urls = F.regexp_extract_all("text", F.lit(r"https?://\S+|\b[\w-]+\.[\w.-]+\.\w{2,}\b"), F.lit(0))
-    in_text = contains(words, chunks.select("id", "text"), tf=scoring.occurrences(F.col("text"), F.col("needle")), in_url=F.exists(urls, lambda u: u.contains(F.col("needle"))))
-    in_context = contains(words, chunks.select("id", F.array_join("context_keywords", "\n").alias("text")), tf=F.lit(0), in_url=F.lit(False))
-    return in_text.unionByName(in_context).groupBy("needle", "id").agg(F.max("tf").alias("tf"), F.max("in_url").alias("in_url"))
+    low = chunks.select("id", F.lower("text").alias("__t"), F.transform("context_keywords", F.lower).alias("__k")).dropDuplicates(["id"])
+    joined = pairs.select("id", "needle").where("trim(needle) <> ''").distinct().join(low, "id")
+    tf = F.coalesce(scoring.occurrences(F.col("__t"), F.col("needle")), F.lit(0))
+    held = F.coalesce(F.exists("__k", lambda k: k.contains(F.col("needle"))), F.lit(False))
+    urls = F.regexp_extract_all("__t", F.lit(r"https?://\S+|\b[\w-]+\.[\w.-]+\.\w{2,}\b"), F.lit(0))
+    found = joined.select("id", "needle", tf.alias("tf"), held.alias("held"), F.when(tf > 0, F.exists(urls, lambda u: u.contains(F.col("needle")))).otherwise(False).alias("in_url"))
+    return found.where("tf > 0 or held").drop("held")
 
 
-def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str = "balanced", least: int = 80) -> DataFrame:
+def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str = "balanced", least: int = 80, phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """candidates (query_id, id, vector_score) with keyword_score and hybrid_score.
 
     Per query: short candidates drop out unless all are; matched keywords give a saturated frequency score, half a
@@ -113,9 +145,9 @@ def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame,
     wv, wk, wanted, _ = scoring.MODES[mode]
     sizes = chunks.select("id", F.size(F.split("text", r"\s+")).alias("__len"), F.coalesce(meaningful(F.col("text"), least), F.lit(False)).alias("__ok")).dropDuplicates(["id"])
     rows = keep_or_all(candidates.join(sizes, "id"), F.col("__ok"), "query_id").withColumn("__mean", F.avg("__len").over(Window.partitionBy("query_id")))
-    parts = F.flatten(F.transform("keywords", lambda k: F.concat(F.array(F.lower(k)), F.filter(F.split(F.lower(k), r"\s+"), lambda w: F.length(w) > 2))))
-    asked = queries.select("query_id", F.explode(F.array_distinct(parts)).alias("needle"))
-    hits = asked.join(keyword_features(chunks, asked.select("needle").distinct()), "needle").select("query_id", "id", "tf", "in_url")
+    asked = queries.select("query_id", F.explode(expanded_keywords(F.col("keywords"), phrases)).alias("needle"))
+    wishes = rows.select("query_id", "id").distinct().join(asked, "query_id")
+    hits = wishes.join(keyword_features(wishes, chunks), ["id", "needle"]).select("query_id", "id", "tf", "in_url")
     rest = scoring.K1 * (1 - scoring.B + scoring.B * F.try_divide("__len", "__mean"))
     term = F.when(F.col("tf") > 0, F.col("tf") * (scoring.K1 + 1) / (F.col("tf") + rest)).otherwise(0.0)
     scored = rows.join(hits, ["query_id", "id"], "left").groupBy("query_id", "id", "vector_score").agg(F.count("tf").alias("__n"), F.sum(term).alias("__bm25"), F.max("in_url").alias("__url"))
@@ -125,7 +157,7 @@ def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame,
     return scored.withColumn("hybrid_score", hybrid).select("query_id", "id", "vector_score", "keyword_score", "hybrid_score")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "balanced", size: int = 96, least: int = 80, keyword_limit: int | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "balanced", size: int = 96, least: int = 80, keyword_limit: int | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """query_id, id, vector_score, keyword_score, hybrid_score, rank, text (with the parent's) of the best chunks of each query.
 
     chunks: id, text, parent_text, context_keywords, embedding, level, text_length; queries: query_id, vector, keywords.
@@ -140,7 +172,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, mode:
         tagged = near.unionByName(listed.withColumn("vector_score", F.lit(None).cast("double")))
         # found by both ways: the similarity counts
         both = tagged.groupBy("query_id", "id").agg(F.coalesce(F.max("vector_score"), F.lit(0.01)).alias("vector_score"))
-    scored = hybrid_scores(both, able.select("id", "text", "context_keywords"), queries.select("query_id", "keywords"), mode, least)
+    scored = hybrid_scores(both, able.select("id", "text", "context_keywords"), queries.select("query_id", "keywords"), mode, least, phrases)
     order = Window.partitionBy("query_id").orderBy(F.round("hybrid_score", 9).desc(), "id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     full = top.join(able.select("id", F.concat_ws(" ", "text", "parent_text").alias("text")), "id").dropDuplicates(["query_id", "rank"])

@@ -47,13 +47,25 @@ def without_old(turns: DataFrame, cutoff: dt.datetime) -> DataFrame:
     return turns.where(F.col("ts").isNull() | (F.col("ts") > F.lit(cutoff)))
 
 
+def cleared(turns: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Turns without those of the sessions in gone (session_id); without gone, none at all."""
+    return turns.where("false") if gone is None else turns.join(gone.select("session_id").where("session_id is not null").distinct(), "session_id", "left_anti").select(*turns.columns)
+
+
+def created(feedback: DataFrame, new: DataFrame, now: dt.datetime) -> DataFrame:
+    """feedback with the new records, which are pending and made now."""
+    stamped = new.withColumns({"status": F.lit("pending"), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    return feedback.unionByName(stamped.select(*feedback.columns))
+
+
 def feedback_list(feedback: DataFrame, status: str, limit: int) -> DataFrame:
     """The newest records of a status (whatever its case)."""
     return feedback.where(F.lower("status") == status).orderBy(F.col("created_at").desc_nulls_last(), "id").limit(limit)
 
 
-def set_status(feedback: DataFrame, key: str, status: str) -> DataFrame:
-    return feedback.withColumn("status", F.when(F.col("id") == key, status).otherwise(F.col("status")))
+def set_status(feedback: DataFrame, which: Column, status: str) -> DataFrame:
+    """feedback with the status of the rows that which holds for."""
+    return feedback.withColumn("status", F.when(which, status).otherwise(F.col("status")))
 
 
 def evaluation_cases(feedback: DataFrame) -> DataFrame:

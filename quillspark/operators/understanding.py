@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 
-#: Retrieval profile of each kind: results, least score, mode.
-PROFILES = {"entity": (16, 0.35, "entity"), "factual": (15, 0.45, "balanced"), "wide": (12, 0.38, "wide")}
+#: Retrieval profile of each kind: results, least score, mode, rerank strategy, whether the graph is asked, and sampling (temperature, top_p, top_k, tokens, repeat penalty).
+PROFILES = {
+    "entity": (16, 0.35, "entity", "hybrid", True, 0.0, 1.0, 5, 10000, None),
+    "factual": (15, 0.45, "balanced", "listwise_llm", False, 0.3, 0.85, 20, 3200, 1.1),
+    "wide": (12, 0.38, "wide", "hybrid", True, 0.3, 1.0, 2, 7200, 1.2),
+}
+PROFILE_COLUMNS = ["limit", "threshold", "mode", "rerank_strategy", "use_graph", "temperature", "top_p", "top_k", "max_tokens", "repeat_penalty"]
 
 
 def kind(query: Column, rules: list[tuple[str, str, str | None]]) -> Column:
@@ -42,9 +47,9 @@ def classified(df: DataFrame, query: str, rules: list[tuple[str, str, str | None
 
 
 def with_profile(df: DataFrame, kind_column: str) -> DataFrame:
-    """limit, threshold and mode of the kind; an unknown kind counts as factual."""
+    """The profile (PROFILE_COLUMNS) of the kind; an unknown kind counts as factual. Hybrid search, transformation, reranking, compression, parents and citations are on for all, memory is off."""
     pick = lambda i: F.when(F.col(kind_column) == "entity", PROFILES["entity"][i]).when(F.col(kind_column) == "wide", PROFILES["wide"][i]).otherwise(PROFILES["factual"][i])
-    return df.withColumns({"limit": pick(0), "threshold": pick(1), "mode": pick(2)})
+    return df.withColumns({c: pick(i) for i, c in enumerate(PROFILE_COLUMNS)})
 
 
 def expand(query: Column, synonyms: dict[str, list[str]]) -> Column:

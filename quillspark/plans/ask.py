@@ -30,11 +30,20 @@ def retrieve(chunks: DataFrame, variants: DataFrame, limit: int = 10, mode: str
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def adaptive(chunks: DataFrame, queries: DataFrame, limit: int = 10, trust: float = 0.72, size: int = 96) -> DataFrame:
-    """query_id, id, score, hybrid: the nearest chunks of questions whose best three are near enough on average, hybrid search for the others."""
+def adaptive(chunks: DataFrame, queries: DataFrame, limit: int = 10, trust: float = 0.72, size: int = 96, entity: str | None = None) -> DataFrame:
+    """query_id, id, score, hybrid: the nearest chunks of questions whose best three are near enough on average, hybrid search for the others.
+
+    entity: a column that marks questions for a name; of these, one with keywords is sure only if a text of its best three holds one.
+    """
     able = chunks.where(~F.col("level").eqNullSafe(F.lit(0)))
     near = cut(retrieval.nearest(able, "id", "embedding", queries, "query_id", "vector", limit, size))
-    sure = near.where("rank <= 3").groupBy("query_id").agg(F.avg("score").alias("m")).where(F.col("m") >= trust).select("query_id")
+    best = near.where("rank <= 3")
+    sure = best.groupBy("query_id").agg(F.avg("score").alias("m")).where(F.col("m") >= trust).select("query_id")
+    if entity:
+        asked = queries.where(F.col(entity) & (F.size("keywords") > 0)).select("query_id", "keywords")
+        texts = best.join(asked, "query_id").join(able.select("id", F.lower("text").alias("__t")), "id")
+        held = texts.where(F.exists("keywords", lambda k: F.col("__t").contains(F.lower(k)))).select("query_id")
+        sure = sure.join(asked.select("query_id").join(held, "query_id", "left_anti"), "query_id", "left_anti")
     plain = near.join(sure, "query_id", "left_semi").select("query_id", "id", "score", F.lit(False).alias("hybrid"))
     rest = queries.join(sure, "query_id", "left_anti")
     other = retrieval.hybrid_search(chunks, rest, limit, "balanced", size).select("query_id", "id", F.col("hybrid_score").alias("score"), F.lit(True).alias("hybrid"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import search_plans, table_plans, text_plans
+from quillspark.plans import pipeline_plans, search_plans, table_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [text_plans, table_plans, search_plans]
+MODULES = [text_plans, table_plans, search_plans, pipeline_plans]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

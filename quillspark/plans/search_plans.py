@@ -9,7 +9,8 @@ from quillspark.functions import scoring, vectors
 from quillspark.functions import text as T
 from quillspark.operators import answers as A
 from quillspark.operators import graph, links, retrieval
-from quillspark.plans import ask, ingest
+from quillspark.functions.fixed import DOMAIN_STOP, FREQUENCY_STOP, TO_LATIN
+from quillspark.plans import ask, chunk_sql, ingest
 from quillspark.plans.table_plans import CHUNKS, LINKS, TURNS, chunks_of, links_of, turns_of
 from quillspark.session import table
 
@@ -67,31 +68,54 @@ def keyword_chunks(spark, d):
     return retrieval.keyword_matches(base, asked_of(spark, d), PARITY_LIMIT)
 
 
-_LISTED = f"""a AS {ASKED}, c AS (SELECT id, text, parent_text, coalesce(context_keywords, []) AS kw, embedding, text_length FROM {CHUNKS} WHERE level IS DISTINCT FROM 0),
-  w AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(keywords, lambda k: lower(k)), list_filter(flatten(list_transform(keywords, lambda k: regexp_split_to_array(lower(k), '\\s+'))), lambda p: length(p) > 2))) AS word FROM a),
-  i AS (SELECT DISTINCT id, unnest(list_concat(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), list_transform(kw, lambda k: lower(k)))) AS word FROM c WHERE text_length >= 80),
-  m AS (SELECT query_id, id FROM (SELECT DISTINCT query_id, id FROM w JOIN i USING (word)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 500)"""
-KEYWORD_SQL = f"WITH {_LISTED} SELECT query_id, id FROM m"
+_URL = "https?://\\S+|\\b[\\w-]+\\.[\\w.-]+\\.\\w{2,}\\b"
 
 
-def hybrid_chunks(spark, d):
-    found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, "balanced", keyword_limit=PARITY_LIMIT)
-    return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", F.length("text").alias("length"))
+def _listed_sql(asked: str, cap: int | None, least: int, n: str = "") -> str:
+    """Common table expressions a (queries), c (chunks), w (words of queries), m (keyword matches), each with the suffix n."""
+    limit = f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= {cap}" if cap else ""
+    return f"""a{n} AS {asked}, c{n} AS (SELECT id, text, parent_text, coalesce(context_keywords, []) AS kw, embedding, text_length FROM {CHUNKS} WHERE level IS DISTINCT FROM 0),
+  w{n} AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(keywords, lambda k: lower(k)), list_filter(flatten(list_transform(keywords, lambda k: regexp_split_to_array(lower(k), '\\s+'))), lambda p: length(p) > 2))) AS word FROM a{n}),
+  i{n} AS (SELECT DISTINCT id, unnest(list_concat(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), list_transform(kw, lambda k: lower(k)))) AS word FROM c{n} WHERE text_length >= {least}),
+  m{n} AS (SELECT query_id, id FROM (SELECT DISTINCT query_id, id FROM w{n} JOIN i{n} USING (word)) {limit})"""
 
 
-_URL = "https?://\\S+|\\b[\\w-]+\\.[\\w.-]+\\.\\w{2,}\\b"
-HYBRID_SQL = f"""WITH {_LISTED}, n AS (SELECT query_id, id, {_cosine_sql('v', 'e')} AS vs FROM (SELECT query_id, vector::DOUBLE[] AS v FROM a WHERE {USABLE.format('vector')}), (SELECT id, embedding::DOUBLE[] AS e FROM c WHERE {USABLE.format('embedding')})
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vs, 9) DESC, id) <= 30),
-  u AS (SELECT query_id, id, vs FROM n UNION ALL SELECT query_id, id, 0.01 FROM m ANTI JOIN n USING (query_id, id)),
-  t AS (SELECT u.*, c.text, c.parent_text, lower(c.text) AS low, c.kw, len(regexp_split_to_array(c.text, '\\s+')) AS dl, a.keywords,
-    (length(trim(c.text, ' ')) >= 80 OR regexp_matches(c.text, '{_URL}')) AND NOT regexp_matches(trim(c.text, ' '), '^\\[[^\\]]{{2,60}}\\][\\s\\\\]*$') AS keep FROM u JOIN c USING (id) JOIN a USING (query_id)),
-  k AS (SELECT *, bool_or(coalesce(keep, false)) OVER (PARTITION BY query_id) AS kept_any FROM t),
-  x AS (SELECT * EXCLUDE (keep, kept_any), list_distinct(list_concat(list_transform(keywords, lambda q: lower(q)), list_filter(flatten(list_transform(keywords, lambda q: regexp_split_to_array(lower(q), '\\s+'))), lambda p: length(p) > 2))) AS words, avg(dl) OVER (PARTITION BY query_id) AS mean FROM k WHERE coalesce(keep, false) OR NOT kept_any),
-  y AS (SELECT *, list_filter(words, lambda q: contains(low, q) OR len(list_filter(kw, lambda z: contains(lower(z), q))) > 0) AS hit FROM x),
-  z AS (SELECT *, CASE WHEN len(hit) >= 1 THEN coalesce(list_sum(list_transform(hit, lambda q: ((length(low) - length(replace(low, q, ''))) / length(q)) * 2.5 / ((length(low) - length(replace(low, q, ''))) / length(q) + 1.5 * (0.25 + 0.75 * dl / mean)))), 0) + 0.5 * len(hit)
-    + CASE WHEN len(list_filter(hit, lambda q: len(list_filter(regexp_extract_all(low, '{_URL}'), lambda l: contains(l, q))) > 0)) > 0 THEN 2 ELSE 0 END ELSE 0 END AS ks FROM y),
-  s AS (SELECT *, 0.75 * CASE WHEN max(vs) OVER g = min(vs) OVER g THEN 1 ELSE (vs - min(vs) OVER g) / (max(vs) OVER g - min(vs) OVER g) END + 0.25 * CASE WHEN max(ks) OVER g = min(ks) OVER g THEN 1 ELSE (ks - min(ks) OVER g) / (max(ks) OVER g - min(ks) OVER g) END AS hs FROM z WINDOW g AS (PARTITION BY query_id))
-  SELECT query_id, id, round(vs, 5) AS vector_score, round(ks, 5) AS keyword_score, round(hs, 5) AS hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY round(hs, 9) DESC, id) AS rank, length(concat_ws(' ', text, parent_text)) AS length FROM s QUALIFY rank <= 10"""
+KEYWORD_SQL = f"WITH {_listed_sql(ASKED, PARITY_LIMIT, 80)} SELECT query_id, id FROM m"
+
+
+def hybrid_sql(mode: str = "balanced", limit: int = 10, cap: int | None = None, least: int = 80, asked: str = ASKED, phrases: dict | None = None, n: str = "") -> str:
+    """Common table expressions that end in s<n>: query_id, id, vs, ks, hs, text, parent_text of all candidates, and t<n>: the best of them."""
+    wv, wk, wanted, more = scoring.MODES[mode]
+    keyword = f"UNION ALL SELECT query_id, id, 0.01 FROM m{n} ANTI JOIN n{n} USING (query_id, id)" if mode != "precise" else ""
+    extra = "".join(f", CASE WHEN list_contains(list_transform(keywords, lambda q: lower(q)), '{k}') THEN ['{"', '".join(v)}'] ELSE [] END" for k, v in (phrases or {}).items())
+    return f"""{_listed_sql(asked, cap, least, n)}, n{n} AS (SELECT query_id, id, {_cosine_sql('v', 'e')} AS vs FROM (SELECT query_id, vector::DOUBLE[] AS v FROM a{n} WHERE {USABLE.format('vector')}), (SELECT id, embedding::DOUBLE[] AS e FROM c{n} WHERE {USABLE.format('embedding')})
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vs, 9) DESC, id) <= {limit * more}),
+  u{n} AS (SELECT query_id, id, vs FROM n{n} {keyword}),
+  t1{n} AS (SELECT u{n}.*, c{n}.text, c{n}.parent_text, lower(c{n}.text) AS low, c{n}.kw, len(regexp_split_to_array(c{n}.text, '\\s+')) AS dl, a{n}.keywords,
+    (length(trim(c{n}.text, ' ')) >= {least} OR regexp_matches(c{n}.text, '{_URL}')) AND NOT regexp_matches(trim(c{n}.text, ' '), '^\\[[^\\]]{{2,60}}\\][\\s\\\\]*$') AS keep FROM u{n} JOIN c{n} USING (id) JOIN a{n} USING (query_id)),
+  k{n} AS (SELECT *, bool_or(coalesce(keep, false)) OVER (PARTITION BY query_id) AS kept_any FROM t1{n}),
+  x{n} AS (SELECT * EXCLUDE (keep, kept_any), list_distinct(flatten([list_transform(keywords, lambda q: lower(q)), list_filter(flatten(list_transform(keywords, lambda q: regexp_split_to_array(lower(q), '\\s+'))), lambda p: length(p) > 2){extra}])) AS words, avg(dl) OVER (PARTITION BY query_id) AS mean FROM k{n} WHERE coalesce(keep, false) OR NOT kept_any),
+  y{n} AS (SELECT *, list_filter(words, lambda q: contains(low, q) OR len(list_filter(kw, lambda z: contains(lower(z), q))) > 0) AS hit FROM x{n}),
+  z{n} AS (SELECT *, CASE WHEN len(hit) >= {wanted} THEN coalesce(list_sum(list_transform(hit, lambda q: ((length(low) - length(replace(low, q, ''))) / length(q)) * 2.5 / ((length(low) - length(replace(low, q, ''))) / length(q) + 1.5 * (0.25 + 0.75 * dl / mean)))), 0) + 0.5 * len(hit)
+    + CASE WHEN len(list_filter(hit, lambda q: len(list_filter(regexp_extract_all(low, '{_URL}'), lambda l: contains(l, q))) > 0)) > 0 THEN 2 ELSE 0 END ELSE 0 END AS ks FROM y{n}),
+  s{n} AS (SELECT *, {wv} * CASE WHEN max(vs) OVER g = min(vs) OVER g THEN 1 ELSE (vs - min(vs) OVER g) / (max(vs) OVER g - min(vs) OVER g) END + {wk} * CASE WHEN max(ks) OVER g = min(ks) OVER g THEN 1 ELSE (ks - min(ks) OVER g) / (max(ks) OVER g - min(ks) OVER g) END AS hs FROM z{n} WINDOW g AS (PARTITION BY query_id)),
+  t{n} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hs, 9) DESC, id) AS rank FROM s{n} QUALIFY rank <= {limit})"""
+
+
+_SHOWN = "SELECT query_id, id, round(vs, 5) AS vector_score, round(ks, 5) AS keyword_score, round(hs, 5) AS hybrid_score, rank, length(concat_ws(' ', text, parent_text)) AS length FROM t"
+
+
+def _hybrid_in(mode: str, cap: int | None = None, phrases: dict | None = None):
+    def run(spark, d):
+        found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, mode, keyword_limit=cap, phrases=phrases)
+        return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", F.length("text").alias("length"))
+
+    return run, f"WITH {hybrid_sql(mode, cap=cap, phrases=phrases)} {_SHOWN}"
+
+
+hybrid_chunks, HYBRID_SQL = _hybrid_in("balanced", PARITY_LIMIT)
+#: A caller's phrases and what they stand for.
+PHRASES = {"onboarding": ["onboard", "newcomer"], "відпустка": ["vacation", "leave"], "vpn": ["tunnel"]}
 
 
 def _ranked_lists(spark, d):
@@ -165,6 +189,27 @@ def image_results(spark, d):
     return retrieval.image_search(images, asked, 10, 0.3).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+IMAGE_RESULTS_SQL = f"""WITH i AS (SELECT query_id, result_id AS id, vector_score AS s, list_transform(coalesce(context_keywords, []), lambda k: lower(k)) AS k FROM search_results JOIN {CHUNKS} c ON c.id = chunk_ref WHERE vector_score IS NOT NULL AND query_id IN (SELECT query_id FROM vector_queries)),
+  b AS (SELECT query_id, id, k, CASE WHEN query_id % 2 <> 0 THEN s WHEN list_contains(k, 'index') THEN greatest(0, s - 0.2) ELSE least(1, s + 0.2) END AS s FROM i),
+  f AS (SELECT query_id, id, s + 0.2 * len(list_filter(['report', 'leave'], lambda w: len(list_filter(k, lambda x: contains(x, w) OR levenshtein(x, w) <= 1)) > 0)) AS s FROM b)
+  SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM f WHERE s >= 0.3 QUALIFY rank <= 10"""
+
+
+def image_matches(spark, d):
+    """Described images (here the turns, with the words of the question as keywords): the nearest 100 of at least the balanced similarity, then wanted and excluded words."""
+    base = turns_of(spark, d).select("id", "embedding", F.split(F.lower(F.coalesce("query", F.lit(""))), " ").alias("keywords"))
+    near = retrieval.nearest(base, "id", "embedding", table(spark, d, "vector_queries"), "query_id", "vector", 100, 96, threshold=scoring.THRESHOLDS["balanced"])
+    images = near.join(base.select("id", "keywords"), "id").select("query_id", "id", "keywords", "score")
+    asked = table(spark, d, "vector_queries").select("query_id", F.array(F.lit("report"), F.lit("leave")).alias("include"), F.array(F.lit("index")).alias("exclude"))
+    return retrieval.image_search(images, asked, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+IMAGE_MATCHES_SQL = f"""WITH q AS (SELECT query_id, vector::DOUBLE[] AS v FROM vector_queries WHERE {USABLE.format('vector')}), b AS (SELECT id, string_split(lower(coalesce(query, '')), ' ') AS k, embedding::DOUBLE[] AS e FROM {TURNS} WHERE {USABLE.format('embedding')}),
+  n AS (SELECT query_id, id, k, {_cosine_sql('v', 'e')} AS s FROM q, b QUALIFY s >= 0.65 AND row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) <= 100),
+  f AS (SELECT query_id, id, CASE WHEN list_contains(k, 'index') THEN greatest(0, s - 0.2) ELSE least(1, s + 0.2) END + 0.2 * len(list_filter(['report', 'leave'], lambda w: len(list_filter(k, lambda x: contains(x, w) OR levenshtein(x, w) <= 1)) > 0)) AS s FROM n)
+  SELECT query_id, id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM f WHERE s >= 0 QUALIFY rank <= 10"""
+
+
 def _graph(spark, d):
     rows = chunks_of(spark, d).where("chunk_id is not null")
     entities = rows.select(F.col("chunk_id").alias("id"), F.coalesce("section_title", "chunk_id").alias("name"), F.when(F.col("level") == 0, "parent").otherwise("child").alias("type"))
@@ -199,25 +244,47 @@ NEIGHBOURHOOD_SQL = f"""WITH {GRAPH}, b AS (SELECT DISTINCT src, dst FROM (SELEC
 
 
 def graph_matches(spark, d):
-    """Entities whose name holds a reference term."""
+    """Entities whose name holds a word of a reference term."""
     entities, _ = _graph(spark, d)
-    asked = table(spark, d, "canon_terms").where("kind <> 'query'").select(F.col("term_id").alias("query_id"), F.split("term", " ")[0].alias("query"))
-    return graph.find(entities, asked).select("query_id", "id", "type")
+    words = table(spark, d, "canon_terms").select("term_id", F.explode(F.array_distinct(F.split(F.lower("term"), r"[^\p{L}\p{N}]+"))).alias("query")).where(F.length("query") > 3)
+    return graph.find(entities, words.select(F.concat_ws(":", "term_id", "query").alias("query_id"), "query")).select("query_id", "id", "type")
 
 
-MATCHES_SQL = f"""WITH {GRAPH}, q AS (SELECT term_id AS query_id, lower(string_split(term, ' ')[1]) AS q FROM canon_terms WHERE kind <> 'query')
+MATCHES_SQL = f"""WITH {GRAPH}, q AS (SELECT DISTINCT term_id || ':' || w AS query_id, w AS q FROM (SELECT term_id, unnest(regexp_split_to_array(lower(term), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM canon_terms) WHERE length(w) > 3)
   SELECT query_id, id, type FROM q JOIN ent ON contains(lower(name), q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 25"""
 
 
-def extracted_graph(spark, d):
+def _extracted(spark, d):
     """Entities and edges from JSON answers, made of links as a model would give them."""
     made = F.to_json(F.struct(
-        F.array(F.struct(F.col("label").alias("name"), F.lit("Concept").alias("type")), F.struct(F.col("source_file").alias("name"), F.lit("Product").alias("type")), F.struct(F.lit("12 days").alias("name"), F.lit("concept").alias("type"))).alias("entities"),
-        F.array(F.struct(F.col("label").alias("from"), F.lit("part_of").alias("relation"), F.col("source_file").alias("to")), F.struct(F.col("label").alias("from"), F.lit("uses").alias("relation"), F.col("label").alias("to"))).alias("relations"),
+        F.array(F.struct(F.col("label").alias("name"), F.lit("Product").alias("type")), F.struct(F.concat(F.lit("Team "), "link_type").alias("name"), F.lit("Concept").alias("type")), F.struct(F.lit("12 days").alias("name"), F.lit("concept").alias("type"))).alias("entities"),
+        F.array(F.struct(F.col("label").alias("from"), F.lit("part_of").alias("relation"), F.concat(F.lit("team "), "link_type").alias("to")), F.struct(F.col("label").alias("from"), F.lit("uses").alias("relation"), F.col("label").alias("to"))).alias("relations"),
     ))
-    rows = links_of(spark, d).where("label is not null and source_file is not null").select(F.col("id").alias("link_id"), F.concat(F.lit("Here it is: "), made).alias("json"))
-    entities, _ = graph.extract(rows, "link_id", "json")
-    return entities.select("link_id", "id", "type")
+    rows = links_of(spark, d).where("label is not null and link_type is not null").select(F.col("id").alias("link_id"), F.concat(F.lit("Here it is: "), made).alias("json"))
+    return graph.extract(rows, "link_id", "json")
+
+
+def extracted_entities(spark, d):
+    return _extracted(spark, d)[0].select("link_id", "id", "type")
+
+
+def extracted_edges(spark, d):
+    return _extracted(spark, d)[1].select("link_id", "src", "dst", "type")
+
+
+def _extracted_sql() -> str:
+    noisy = "length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '[!?]') OR (NOT regexp_matches(t, '\\s') AND regexp_matches(t, '[._]')) OR regexp_matches(t, '^\\d+(\\s+\\S{1,6})?$') OR (type = 'concept' AND regexp_matches(t, '\\d'))"
+    latin = "lower(name)"
+    for a, b in TO_LATIN.items():
+        latin = f"replace({latin}, '{a}', '{b}')"
+    return f"""WITH l AS (SELECT id AS link_id, label, link_type FROM {LINKS} WHERE label IS NOT NULL AND link_type IS NOT NULL),
+  n AS (SELECT link_id, label AS name, 'product' AS type FROM l UNION ALL SELECT link_id, 'Team ' || link_type, 'concept' FROM l UNION ALL SELECT link_id, '12 days', 'concept' FROM l),
+  e AS (SELECT link_id, name, type, regexp_replace(regexp_replace({latin}, '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') || '_' || type AS id FROM (SELECT *, trim(name, ' ') AS t FROM n WHERE name <> '') WHERE NOT ({noisy}))"""
+
+
+EXTRACTED_ENTITIES_SQL = f"{_extracted_sql()} SELECT link_id, id, type FROM e"
+EXTRACTED_EDGES_SQL = f"""{_extracted_sql()}, i AS (SELECT link_id, lower(name) AS n, max(id) AS i FROM e GROUP BY ALL), r AS (SELECT link_id, lower(label) AS f, lower('team ' || link_type) AS t, 'PART_OF' AS type FROM l UNION ALL SELECT link_id, lower(label), lower(label), 'USES' FROM l)
+  SELECT DISTINCT r.link_id, a.i AS src, b.i AS dst, type FROM r JOIN i a ON a.link_id = r.link_id AND a.n = f JOIN i b ON b.link_id = r.link_id AND b.n = t WHERE a.i <> b.i"""
 
 
 def rerank_scores(spark, d):
@@ -305,15 +372,81 @@ def multi_query_chunks(spark, d):
     return ask.retrieve(table(spark, d, "chunks"), variants, 10).select("query_id", "id", F.round("fused", 8).alias("fused"), "rank")
 
 
+_TWO = f"(SELECT query_id * 10 AS query_id, vector, keywords FROM {ASKED} UNION ALL SELECT query_id * 10 + 1, vector, CASE WHEN list_contains(keywords, 'onboarding') THEN keywords ELSE list_append(keywords, 'onboarding') END FROM {ASKED})"
+MULTI_SQL = f"""WITH {hybrid_sql(asked=_TWO, n='p')}, missing AS (SELECT * FROM {_TWO} WHERE query_id // 10 NOT IN (SELECT query_id // 10 FROM tp)), {hybrid_sql('wide', least=0, asked='(SELECT * FROM missing)', n='q')},
+  l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hs DESC, id) AS n FROM (SELECT query_id, id, hs FROM tp UNION ALL SELECT query_id, id, hs FROM tq)), f AS (SELECT query_id // 10 AS query_id, id, sum(1.0 / (60 + n)) AS fused FROM l GROUP BY ALL)
+  SELECT query_id, id, round(fused, 8) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, id) AS rank FROM f QUALIFY rank <= 10"""
+
+
 def adaptive_chunks(spark, d):
-    found = ask.adaptive(table(spark, d, "chunks"), asked_of(spark, d), 10)
+    """Every third question asks for a name."""
+    asked = asked_of(spark, d).withColumn("entity", F.col("query_id") % 3 == 0)
+    found = ask.adaptive(table(spark, d, "chunks"), asked, 10, trust=0.6, entity="entity")
     return found.select("query_id", "id", F.round("score", 5).alias("score"), "hybrid")
 
 
+ADAPTIVE_SQL = f"""WITH nq AS (SELECT query_id, keywords, vector::DOUBLE[] AS v FROM {ASKED} WHERE {USABLE.format('vector')}), nb AS (SELECT id, text, embedding::DOUBLE[] AS e FROM {CHUNKS} WHERE level IS DISTINCT FROM 0 AND {USABLE.format('embedding')}),
+  near AS (SELECT query_id, id, keywords, text, {_cosine_sql('v', 'e')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nq, nb QUALIFY rank <= 10),
+  sure AS (SELECT query_id FROM near WHERE rank <= 3 GROUP BY query_id HAVING avg(score) >= 0.6 AND (query_id % 3 <> 0 OR len(any_value(keywords)) = 0 OR bool_or(len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) > 0))),
+  rest AS (SELECT * FROM {ASKED} WHERE query_id NOT IN (SELECT query_id FROM sure)), {hybrid_sql(asked='(SELECT * FROM rest)')}
+  SELECT query_id, id, round(score, 5) AS score, false AS hybrid FROM near WHERE query_id IN (SELECT query_id FROM sure) UNION ALL SELECT query_id, id, round(hs, 5), true FROM t"""
+
+
+def _files(spark, d):
+    return table(spark, d, "documents").select(F.concat("file_id", F.lit("_"), F.col("doc_id"), F.lit(".md")).alias("name"), F.col("text").alias("raw"), F.col("text").alias("text"))
+
+
 def ingested_documents(spark, d):
     """The documents as parents and children with keywords and vectors, as they would be stored."""
-    files = table(spark, d, "documents").select(F.concat("file_id", F.lit("_"), F.col("doc_id"), F.lit(".md")).alias("name"), F.col("text").alias("raw"), T.strip_markdown(F.col("text")).alias("text"))
-    return ingest.ingest(files, "parent_child").select("id", "file_id", "parent_id", "level", "text_length", F.size("context_keywords").alias("keywords"))
+    return ingest.ingest(_files(spark, d), "parent_child").select("id", "file_id", "parent_id", "level", "text_length", F.col("embedding").isNotNull().alias("embedded"))
+
+
+_FILE_ID = "left(lower(regexp_replace(file_id || '_' || doc_id, '[^a-zA-Z0-9]', '_', 'g')), 50)"
+_FILE_KEY = f"CASE WHEN length({_FILE_ID}) >= 50 THEN {_FILE_ID} || '_' || left(md5(file_id || '_' || doc_id || '.md'), 8) ELSE {_FILE_ID} END"
+INGESTED_SQL = f"""WITH RECURSIVE {chunk_sql.families(file_id=_FILE_KEY)}, o AS (SELECT f.*, {_FILE_KEY.replace('file_id', 'x.file_id').replace('doc_id', 'x.doc_id')} AS file FROM f JOIN documents x USING (doc_id))
+  SELECT chunk_id AS id, file AS file_id, parent_id, level, length(text) AS text_length, level = 1 AS embedded FROM o WHERE level = 0 OR ((length(text) >= 80 OR regexp_matches(text, '{_URL}')) AND regexp_matches(text, '[\\p{{L}}\\p{{N}}_]'))"""
+
+
+def file_keywords(spark, d):
+    """Keywords of each document as a file: frequent words, path, headings, addresses."""
+    rows = _files(spark, d).where("text is not null")
+    return rows.select("name", F.array_join(ingest.file_keywords(F.col("name"), F.col("raw"), F.col("text")), "|").alias("keywords"))
+
+
+def chunk_keywords(spark, d):
+    """Keywords of each chunk: its frequent words, its title and six words that stand for the file's."""
+    rows = chunks_of(spark, d).where("text is not null")
+    of_file = F.split(F.lit("alpha,beta,gamma,delta,epsilon,zeta,eta"), ",")
+    return rows.select("id", F.array_join(ingest.chunk_keywords(F.col("text"), F.col("section_title"), of_file), "|").alias("keywords"))
+
+
+_SANE = "list_filter({0}, lambda x: regexp_matches(x, '[a-zA-Z\\x{{0400}}-\\x{{04FF}}]') AND NOT contains(x, chr(65533)) AND NOT regexp_matches(x, '(?i)%[0-9a-f]{{2}}') AND length(x) - length(regexp_replace(x, '[\\x{{C0}}-\\x{{FF}}]', '', 'g')) <= 0.3 * length(regexp_replace(x, '\\s', '', 'g')) AND length(regexp_replace(x, '[\\w\\x{{0400}}-\\x{{04FF}}\\s\\-]', '', 'g')) <= 0.4 * length(regexp_replace(x, '\\s', '', 'g')))"
+_ONCE = "(SELECT list_filter(z, lambda e, i: list_position(z, e) = i) FROM (SELECT {0} AS z))"
+
+
+def _frequent_sql(source: str, key: str, most: int) -> str:
+    """q: key and its most frequent words in order."""
+    stop = "('" + "', '".join(FREQUENCY_STOP) + "')"
+    return f"""fs AS (SELECT {key}, regexp_split_to_array(lower(text), '\\s+') AS l FROM {source} WHERE text IS NOT NULL), fw AS (SELECT {key}, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM fs),
+  fc AS (SELECT {key}, word, count(*) AS n, min(pos) AS first FROM fw WHERE length(word) > 4 AND word NOT IN {stop} GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, first) AS r FROM fc QUALIFY r <= {most}),
+  q AS (SELECT {key}, list(word ORDER BY r) AS words FROM fr GROUP BY {key})"""
+
+
+CHUNK_KEYWORDS_SQL = f"""WITH {_frequent_sql(CHUNKS, 'id', 12)}, t AS (SELECT c.id, list_concat(coalesce(words, []), CASE WHEN section_title IS NULL THEN [] ELSE list_concat([section_title], list_filter(regexp_split_to_array(section_title, '\\s+'), lambda w: length(w) > 2)) END, ['alpha', 'beta', 'gamma', 'delta', 'epsilon', 'zeta']) AS l
+    FROM {CHUNKS} c LEFT JOIN q USING (id) WHERE c.text IS NOT NULL)
+  SELECT id, array_to_string({_SANE.format(_ONCE.format('l'))}, '|') AS keywords FROM t"""
+
+
+def _file_keywords_sql() -> str:
+    """Frequent words, and the lists of the SQL of path, header and url keywords joined behind them."""
+    split = "regexp_split_to_array({0}, '[./\\-_?&#=+:→\\[\\]()\\\\ |,\\s]')"
+    keep = f"length(x) > 1 AND length(x) < 30 AND NOT regexp_matches(x, '^\\d+$') AND NOT regexp_matches(x, '(?i)%[0-9a-f]{{2}}') AND NOT regexp_matches(x, '^[a-z0-9]{{20,}}$') AND x NOT IN ('" + "', '".join(DOMAIN_STOP) + "')"
+    heads = "regexp_extract_all(text, '(?m)^#{1,3}[ \\t]+([^\\n]+)$', 1)"
+    head = f"list_filter(flatten(list_transform({heads}, lambda h: list_transform(regexp_split_to_array(regexp_replace(regexp_replace(h, '[*_`~]', '', 'g'), '([A-Z])', chr(1) || '\\1', 'g'), '[\\s\\-–—/|,;:()\\[\\]{{}}\\x01]+'), lambda w: lower(trim(w, ' '))))), lambda w: length(w) > 1)"
+    path = "list_filter(list_transform(regexp_split_to_array(regexp_replace(file_id || '_' || doc_id, '([A-Z])', chr(1) || '\\1', 'g'), '[/\\\\\\s_\\-]+|\\x01'), lambda w: lower(w)), lambda w: length(w) > 2)"
+    urls = f"""list_filter(list_transform(flatten(list_transform(list_concat(regexp_extract_all(text, 'https?://([^\\s"''<>]+)', 1), regexp_extract_all(regexp_replace(text, 'https?://[^\\s"''<>]+', ' ', 'g'), '\\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?\\.){{1,5}}[a-zA-Z]{{2,10}}\\b')), lambda r: {split.format('r')})), lambda x: lower(trim(x, ' '))), lambda x: {keep})"""
+    return f"""WITH {_frequent_sql('documents', 'doc_id', 15)}, t AS (SELECT file_id || '_' || doc_id || '.md' AS name, list_concat(coalesce(words, []), {_ONCE.format(path)}[1:10], {_ONCE.format(head)}[1:40], {_ONCE.format(urls)}[1:50]) AS l FROM documents LEFT JOIN q USING (doc_id) WHERE text IS NOT NULL)
+  SELECT name, array_to_string({_SANE.format(_ONCE.format('l'))}, '|') AS keywords FROM t"""
 
 
 def result_prompts(spark, d):
@@ -327,14 +460,14 @@ def result_prompts(spark, d):
 PROMPT_SQL = """WITH r AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY pos, result_id) AS n FROM search_results WHERE text IS NOT NULL)
   SELECT query_id, md5('Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || 'Question:' || chr(10) || 'query ' || query_id) AS digest FROM r WHERE n <= 7 GROUP BY query_id"""
 
-QUERIES = {
+QUERIES = {"hybrid_chunks": (hybrid_chunks, HYBRID_SQL), "hybrid_entity_chunks": _hybrid_in("entity"), "hybrid_precise_chunks": _hybrid_in("precise"), "hybrid_wide_chunks": _hybrid_in("wide", phrases=PHRASES)} | {
     f.__name__: (f, sql)
     for f, sql in [
         (nearest_chunks, NEAREST_SQL), (near_turns_by_threshold, f"""WITH q AS (SELECT query_id, vector::DOUBLE[] AS v FROM vector_queries WHERE {USABLE.format('vector')}), b AS (SELECT id, embedding::DOUBLE[] AS e FROM {TURNS} WHERE {USABLE.format('embedding')}),
           s AS (SELECT query_id, id, {_cosine_sql('v', 'e')} AS score FROM q, b) SELECT query_id, id, round(score, 5) AS score FROM s WHERE score >= 0.65 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 100"""),
-        (vector_metrics, METRICS_SQL), (keyword_chunks, KEYWORD_SQL), (hybrid_chunks, HYBRID_SQL), (fused_results, FUSED_SQL), (merged_results, MERGED_SQL), (parent_contexts, PARENTS_SQL), (links_by_keywords, LINK_SEARCH_SQL), (link_scores, LINK_SCORE_SQL), (image_results, None),
+        (vector_metrics, METRICS_SQL), (keyword_chunks, KEYWORD_SQL), (fused_results, FUSED_SQL), (merged_results, MERGED_SQL), (parent_contexts, PARENTS_SQL), (links_by_keywords, LINK_SEARCH_SQL), (link_scores, LINK_SCORE_SQL), (image_results, IMAGE_RESULTS_SQL), (image_matches, IMAGE_MATCHES_SQL),
         (graph_edges, f"WITH {GRAPH} SELECT src, dst, type FROM ed"), (graph_stats, f"WITH {GRAPH} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM ent WHERE type = 'parent') AS parents, (SELECT count(*) FROM ent WHERE type = 'child') AS children"),
-        (graph_neighbourhood, NEIGHBOURHOOD_SQL), (graph_matches, MATCHES_SQL), (extracted_graph, None), (rerank_scores, RERANK_SQL), (listwise_scores, LISTWISE_SQL), (compressed_answers, COMPRESS_SQL), (result_citations, CITATIONS_SQL), (answer_confidence, CONFIDENCE_SQL),
-        (multi_query_chunks, None), (adaptive_chunks, None), (ingested_documents, None), (result_prompts, PROMPT_SQL),
+        (graph_neighbourhood, NEIGHBOURHOOD_SQL), (graph_matches, MATCHES_SQL), (extracted_entities, EXTRACTED_ENTITIES_SQL), (extracted_edges, EXTRACTED_EDGES_SQL), (rerank_scores, RERANK_SQL), (listwise_scores, LISTWISE_SQL), (compressed_answers, COMPRESS_SQL), (result_citations, CITATIONS_SQL), (answer_confidence, CONFIDENCE_SQL),
+        (multi_query_chunks, MULTI_SQL), (adaptive_chunks, ADAPTIVE_SQL), (ingested_documents, INGESTED_SQL), (file_keywords, _file_keywords_sql()), (chunk_keywords, CHUNK_KEYWORDS_SQL), (result_prompts, PROMPT_SQL),
     ]
 }

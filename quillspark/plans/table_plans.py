@@ -107,8 +107,7 @@ def pending_feedback(spark, d):
 
 def feedback_status(spark, d):
     """All pending records become reviewed."""
-    rows = feedback_of(spark, d)
-    return rows.select("id", F.when(F.lower("status") == "pending", "reviewed").otherwise(F.col("status")).alias("status"))
+    return sessions.set_status(feedback_of(spark, d), F.lower("status") == "pending", "reviewed").select("id", "status")
 
 
 def feedback_cases(spark, d):
@@ -215,6 +214,11 @@ def answer_events(spark, d):
     return answers.events(rows, "id", "answer").select("id", "seq", "event", F.when(F.col("event") == "token", F.col("payload")).alias("token"))
 
 
+_SANE = "trim(regexp_replace(regexp_replace(regexp_replace(answer, '(?is)<linksResult>.*?</linksResult>|<linkResults>.*?</linkResults>|<links_usage_rules>.*?</links_usage_rules>', '', 'g'), '(?i)</?(linksResult|linkResults|links_usage_rules)>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')"
+EVENTS_SQL = f"""WITH t AS (SELECT id, coalesce(regexp_extract_all({_SANE}, '\\s*\\S+'), []) AS l FROM {TURNS})
+  SELECT id, 0 AS seq, 'metadata' AS event, NULL AS token FROM t UNION ALL SELECT id, len(l) + 1, 'done', NULL FROM t UNION ALL SELECT id, generate_subscripts(l, 1), 'token', unnest(l) FROM t"""
+
+
 def event_windows(spark, d):
     return answers.windowed(table(spark, d, "events"), "ts", "event_type", "value").select("window_start", "event_type", "events", F.round("total", 4).alias("total"))
 
@@ -246,6 +250,6 @@ QUERIES = {
         (reply_rate, f"SELECT count(*) AS total, count(*) FILTER (a) AS passed, round(count(*) FILTER (a) / count(*), 6) AS rate, count(*) FILTER (a) / count(*) >= 0.6 AS ok FROM (SELECT coalesce(trim(answer, ' ') <> '', false) AS a FROM {TURNS})"),
         (score_histograms, HISTOGRAM_SQL), (filtered_chunks, f"SELECT id, level, text_length, lang FROM {CHUNKS} WHERE level IS DISTINCT FROM 0 AND text_length >= 200 AND lang IN ('en', 'uk')"),
         (leaf_chunks, "SELECT DISTINCT id, level, text_length FROM chunks WHERE level IS DISTINCT FROM 0 AND text_length >= 80"), (meaningful_results, MEANINGFUL_SQL), (strong_results, STRONG_SQL), (factual_results, FACTUAL_SQL), (context_documents, CONTEXT_SQL),
-        (children_of_parents, CHILDREN_SQL), (answer_events, None), (event_windows, "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"), (user_sessions, USER_SESSIONS_SQL),
+        (children_of_parents, CHILDREN_SQL), (answer_events, EVENTS_SQL), (event_windows, "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"), (user_sessions, USER_SESSIONS_SQL),
     ]
 }

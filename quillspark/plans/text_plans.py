@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import names, text as T
+from quillspark.functions.fixed import ABBREVIATIONS, LINK_STOP, NAME_ENDINGS, POPULAR
 from quillspark.operators import chunking, links as L, understanding
+from quillspark.plans import chunk_sql
 from quillspark.session import table
 
 SEPARATOR = "\u0002"
@@ -123,6 +125,14 @@ def url_keywords(spark, d):
     return docs.select("doc_id", F.array_join(F.array_sort(T.url_keywords(F.col("text"), 1000)), SEPARATOR).alias("keywords"))
 
 
+def _url_keywords_sql() -> str:
+    parts = "regexp_split_to_array({0}, '[./\\-_?&#=+:→\\[\\]()\\\\ |,\\s]')"
+    keep = f"length(x) > 1 AND length(x) < 30 AND NOT regexp_matches(x, '^\\d+$') AND NOT regexp_matches(x, '(?i)%[0-9a-f]{{2}}') AND NOT regexp_matches(x, '^[a-z0-9]{{20,}}$') AND x NOT IN ({', '.join(map(lit, T.DOMAIN_STOP))})"
+    return f"""WITH u AS (SELECT doc_id, regexp_extract_all(text, 'https?://([^\\s"''<>]+)', 1) AS a, regexp_extract_all(regexp_replace(text, 'https?://[^\\s"''<>]+', ' ', 'g'), '\\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?\\.){{1,5}}[a-zA-Z]{{2,10}}\\b') AS b FROM documents WHERE text IS NOT NULL),
+  k AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(list_concat(a, b), lambda r: {parts.format('r')})), lambda x: lower(trim(x, ' '))), lambda x: {keep}) AS l FROM u)
+  SELECT doc_id, array_to_string(list_sort(list_distinct(l)), {lit(SEPARATOR)}) AS keywords FROM k"""
+
+
 def frequency_keywords(spark, d):
     """The 15 most frequent longer words of each whole document, counted within the row."""
     docs = table(spark, d, "documents").where("text is not null")
@@ -179,17 +189,38 @@ LATIN_SQL = f"SELECT DISTINCT label, {_latin_sql('label')} AS latin, {_cyrillic_
 def name_variants(spark, d):
     """Spellings of the capitalised words of each question."""
     turns = table(spark, d, "turns").where("query is not null").dropDuplicates(["id"])
-    return turns.select("id", F.array_sort(names.query_name_variants(F.col("query"))).alias("variants"))
+    return turns.select("id", F.array_join(F.array_sort(names.query_name_variants(F.col("query"))), " ").alias("variants"))
+
+
+def names_sql(key: str) -> str:
+    """Common table expressions from o (key and a name o in small letters) to v (key, w): all spellings of each name.
+
+    Each rule is a case of its own; what stands before a rewritten ending or h is kept.
+    """
+    rules = [("([^sckzgdt]|^)h" if g == "h" else f"()({g})", new) for g, spellings in POPULAR.items() for new in spellings]
+    rules += [("()(i[iy])$", e) for e in names.ADJECTIVE] + [("()(hi[iy])$", "g" + e) for e in names.ADJECTIVE_G] + [("(.{2}[^i])y$", e) for e in names.SHORT_Y]
+    latin = [f"CASE WHEN regexp_matches(l, {lit(p)}) THEN regexp_replace(l, {lit(p)}, {lit(chr(92) + '1' + new)}, 'g') END" for p, new in rules]
+    stems = [f"CASE WHEN regexp_matches(c, {lit('.{3}' + e + '$')}) THEN regexp_replace(c, {lit(e + '$')}, '') END" for e in NAME_ENDINGS]
+    return f"""b AS (SELECT {key}, o, CASE WHEN regexp_matches(o, '[^a-z]') THEN {_latin_sql('o')} ELSE o END AS l, CASE WHEN regexp_matches(o, '[^a-z]') THEN o ELSE {_cyrillic_sql('o')} END AS c FROM o WHERE length(o) >= 2),
+  s AS (SELECT *, list_filter([{', '.join(stems)}], lambda x: x IS NOT NULL) AS stems FROM b),
+  v AS (SELECT DISTINCT {key}, w FROM (SELECT {key}, unnest(list_concat([o, l, c], [{', '.join(latin)}], stems, list_transform(stems, lambda x: {_latin_sql('x')}))) AS w FROM s) WHERE length(w) >= 2)"""
+
+
+NAMES_SQL = f"""WITH t AS (SELECT id, unnest(list_append(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: regexp_matches(x, '^[А-ЯІЇЄҐA-Z]') AND length(x) >= 2), '')) AS t FROM (SELECT DISTINCT ON (id) * FROM turns) WHERE query IS NOT NULL),
+  o AS (SELECT id, CASE WHEN length(p) >= 3 THEN regexp_replace(p, '[^a-zа-яіїєґё]', '', 'g') ELSE '' END AS o FROM (SELECT id, unnest(regexp_split_to_array(lower(t), '[{chunk_sql.BLANK}]+')) AS p FROM t)), {names_sql('id')},
+  k AS (SELECT id, list(w ORDER BY w) AS l FROM (SELECT id, w FROM v UNION SELECT id, lower(t) FROM t WHERE t <> '') GROUP BY id)
+  SELECT i.id, coalesce(array_to_string(l, ' '), '') AS variants FROM (SELECT DISTINCT id FROM t) i LEFT JOIN k USING (id)"""
 
 
 def stems(spark, d):
-    words = table(spark, d, "turns").where("lang = 'uk'").select(F.explode(F.split(F.lower("query"), r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    """The words of all questions with Cyrillic letters, whatever their label."""
+    words = table(spark, d, "turns").where(F.col("query").rlike("[а-яА-ЯіїєґІЇЄҐ]")).select(F.explode(F.split(F.lower("query"), r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
 def _stem_sql() -> str:
     cases = " ".join(f"WHEN word LIKE '%{e}' AND length(word) - {len(e)} >= 3 THEN left(word, length(word) - {len(e)})" for e in T.ENDINGS)
-    return f"SELECT word, CASE WHEN length(word) <= 4 THEN word {cases} ELSE word END AS stem FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}]+')) AS word FROM turns WHERE lang = 'uk') WHERE word <> ''"
+    return f"SELECT word, CASE WHEN length(word) <= 4 THEN word {cases} ELSE word END AS stem FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}]+')) AS word FROM turns WHERE regexp_matches(query, '[а-яА-ЯіїєґІЇЄҐ]')) WHERE word <> ''"
 
 
 #: Patterns of a caller: attempts to override instructions, and requests for links.
@@ -246,9 +277,9 @@ DISTANCE_SQL = "SELECT DISTINCT chunk_id, parent_id, levenshtein(chunk_id, paren
 
 #: A caller's rules: kind, pattern, and what must not occur.
 KIND_RULES = [
-    ("factual", r"\b(when|how many|how long)\b|^(коли|скільки|сколько|когда|kiedy|ile|wann|wie viele)", None),
+    ("factual", r"^(when|how many|how long|коли|скільки|сколько|когда|kiedy|ile|wann|wie viele)", None),
     ("wide", r"^(describe|explain|summarize|опиши|поясни|объясни|opisz|wyjaśnij|beschreibe)", r"\d"),
-    ("entity", r"\b(who|хто|кто|kto|wer)\b", None),
+    ("entity", r"^(who|хто|кто|kto|wer) ", None),
     ("wide", r"^(what|що|что|co|was)\s+\S+(\s+\S+)?$", None),
 ]
 
@@ -265,8 +296,9 @@ def _kinds_sql() -> str:
     rules = " ".join(f"WHEN regexp_matches(p, {lit(pattern)}){'' if barred is None else f' AND NOT regexp_matches(query, {lit(barred)})'} THEN {lit(kind)}" for kind, pattern, barred in KIND_RULES)
     return f"""WITH t AS (SELECT id, query, lang, trim(regexp_replace(lower(trim(query, ' ')), '[?!.,;:]', '', 'g'), ' ') AS p, regexp_matches(lower(query), {lit('(?i)' + '|'.join(LINK_WISHES))}) AS link FROM (SELECT DISTINCT ON (id) * FROM turns) WHERE query IS NOT NULL),
   r AS (SELECT *, CASE {rules} END AS ruled FROM t), k AS (SELECT id, link, coalesce(ruled, CASE WHEN lang = 'en' THEN 'wide' ELSE 'factual' END) AS kind, CASE WHEN ruled IS NOT NULL THEN 1.0 WHEN lang = 'en' THEN 0.9 ELSE 0.5 END AS confidence FROM r),
-  f AS (SELECT * FROM (VALUES ('entity', 16, 0.35, 'entity'), ('factual', 15, 0.45, 'balanced'), ('wide', 12, 0.38, 'wide')) AS v(kind, "limit", threshold, mode))
-  SELECT id, kind, confidence, CASE WHEN link THEN 'entity' ELSE mode END AS search_mode, "limit", threshold, mode FROM k JOIN f USING (kind)"""
+  f AS (SELECT * FROM (VALUES ('entity', 16, 0.35, 'entity', 'hybrid', true, 0.0, 1.0, 5, 10000, NULL), ('factual', 15, 0.45, 'balanced', 'listwise_llm', false, 0.3, 0.85, 20, 3200, 1.1), ('wide', 12, 0.38, 'wide', 'hybrid', true, 0.3, 1.0, 2, 7200, 1.2))
+    AS v(kind, "limit", threshold, mode, rerank_strategy, use_graph, temperature, top_p, top_k, max_tokens, repeat_penalty))
+  SELECT id, confidence, CASE WHEN link THEN 'entity' ELSE mode END AS search_mode, f.* FROM k JOIN f USING (kind)"""
 
 
 SYNONYMS = {"sick": ["лікарняний", "sick leave"], "відпустк": ["vacation", "days off"], "training": ["навчання", "courses"], "навчан": ["training"], "графік": ["schedule"], "sick note": ["medical leave"]}
@@ -279,12 +311,22 @@ def expanded_questions(spark, d):
     return turns.select("id", F.array_join(F.array_sort(understanding.expand(q, SYNONYMS)), SEPARATOR).alias("words"), F.array_join(understanding.translations(q, TRANSLATIONS), SEPARATOR).alias("translations"))
 
 
+def _expanded_sql() -> str:
+    stem = "CASE WHEN length(w) <= 4 THEN w " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) - {len(e)} >= 3 THEN left(w, length(w) - {len(e)})" for e in T.ENDINGS) + " ELSE w END"
+    fits = lambda k: f"contains(q, {lit(k)})" if " " in k else f"len(list_filter(l, lambda w: starts_with(w, {lit(k)}) OR starts_with({stem}, {lit(k)}) OR starts_with({lit(k)}, {stem}))) > 0"
+    more = ", ".join(f"CASE WHEN {fits(k)} THEN [{', '.join(lit(v.lower()) for v in vs)}] ELSE [] END" for k, vs in SYNONYMS.items())
+    told = ", ".join(f"CASE WHEN regexp_matches(query, {lit('(?i)' + p)}) THEN {lit(v)} END" for p, v in TRANSLATIONS)
+    latin = "coalesce((length(query) - length(regexp_replace(query, '[a-zA-Z]', '', 'g'))) / nullif(length(query) - length(regexp_replace(query, '[a-zA-Zа-яіїєґёэъыА-ЯІЇЄҐ]', '', 'g')), 0) > 0.5, false)"
+    return f"""WITH q AS (SELECT id, query, regexp_replace(lower(query), '[?!.,;:]', '', 'g') AS q FROM (SELECT DISTINCT ON (id) * FROM turns) WHERE query IS NOT NULL),
+  w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(q, '\\s+'), lambda x: regexp_replace(x, '[^a-zа-яіїєґёэъы0-9.\\-]', '', 'g')), lambda x: length(x) > 2) AS l FROM q)
+  SELECT id, array_to_string(list_sort(list_distinct(list_filter(flatten([l, {more}]), lambda x: length(x) > 2))), {lit(SEPARATOR)}) AS words,
+    CASE WHEN {latin} THEN array_to_string(list_filter([{told}], lambda x: x IS NOT NULL), {lit(SEPARATOR)}) ELSE '' END AS translations FROM w"""
+
+
 def document_links(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     found = L.extract(docs, "doc_id", "text")
-    near = L.context(F.col("text"), F.col("place"))
-    joined = found.join(docs.select("doc_id", "text"), "doc_id")
-    return joined.select("doc_id", "url", "label", "link_type", near.alias("context"), F.array_join(L.keywords(F.col("label"), F.col("url"), near), " ").alias("keywords"))
+    return found.select("doc_id", "url", "label", "link_type", "context", F.array_join(L.keywords(F.col("label"), F.col("url"), F.col("context")), " ").alias("keywords"))
 
 
 LINKS_SQL = r"""WITH f AS (
@@ -297,6 +339,29 @@ LINKS_SQL = r"""WITH f AS (
   SELECT doc_id, url, CASE WHEN label = '' THEN url ELSE label END AS label FROM h"""
 
 
+def _document_links_sql() -> str:
+    squeeze = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
+    tokens = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[\\s\\-_/|,;:()\\[\\]{{}}!?.''\"<>]+'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^\\d+$') AND w NOT IN ({', '.join(map(lit, LINK_STOP))}))"
+    known = "MAP {" + ", ".join(f"{lit(k)}: [{', '.join(map(lit, v))}]" for k, v in ABBREVIATIONS.items()) + "}"
+    once = lambda x: f"(SELECT list_filter(z, lambda e, i: list_position(z, e) = i) FROM (SELECT {x} AS z))"
+    spelled = lambda x: once(f"flatten(list_transform({x}, lambda w: list_concat([w], coalesce({known}[w], []))))")
+    return rf"""WITH f AS (
+    SELECT doc_id, text, 0 AS form, unnest(regexp_extract_all(text, '!\[([^\]]*)\]\(([^)]+)\)')) AS m, generate_subscripts(regexp_extract_all(text, '!\[([^\]]*)\]\(([^)]+)\)'), 1) AS n FROM documents
+    UNION ALL SELECT doc_id, text, 1, substr(unnest(l), 2), generate_subscripts(l, 1) FROM (SELECT doc_id, text, regexp_extract_all(' ' || text, '[^!]\[([^\]]+)\]\(([^)]+)\)') AS l FROM documents)
+    UNION ALL SELECT doc_id, text, 2, unnest(l), generate_subscripts(l, 1) FROM (SELECT doc_id, text, regexp_extract_all(text, '<https?://[^>]+>') AS l FROM documents)
+    UNION ALL SELECT doc_id, text, 3, unnest(l), generate_subscripts(l, 1) FROM (SELECT doc_id, text, regexp_extract_all(' ' || text, '[^(\["''](https?://[^\s"''<>)\[\]]+)', 1) AS l FROM documents)),
+  g AS (SELECT doc_id, text, form, n, position(m IN text) - 1 AS place, trim(CASE WHEN form < 2 THEN regexp_extract(m, '\]\(([^)]+)\)', 1) ELSE regexp_replace(m, '^<|>$', '', 'g') END, ' ') AS url,
+    trim(CASE WHEN form = 0 AND regexp_extract(m, '\[([^\]]*)\]', 1) = '' THEN 'image' WHEN form < 2 THEN regexp_extract(m, '\[([^\]]*)\]', 1) ELSE regexp_replace(m, '^<|>$', '', 'g') END, ' ') AS label FROM f),
+  h AS (SELECT * REPLACE (CASE WHEN label = url THEN '' ELSE label END AS label) FROM g WHERE url <> '' AND NOT starts_with(url, '#') AND NOT starts_with(url, 'mailto:') QUALIFY row_number() OVER (PARTITION BY doc_id, url ORDER BY length(CASE WHEN label = url THEN '' ELSE label END) DESC, form, n) = 1),
+  p AS (SELECT *, {squeeze("regexp_split_to_array(left(text, place), '\n[ \t\r]*\n')[-1] || regexp_split_to_array(substr(text, place + 1), '\n[ \t\r]*\n')[1]")} AS par, {squeeze("substr(text, greatest(place - 150, 0) + 1, place - greatest(place - 150, 0) + 150)")} AS win FROM h),
+  c AS (SELECT doc_id, url, CASE WHEN label = '' THEN url ELSE label END AS label, CASE WHEN length(par) BETWEEN 20 AND 600 THEN left(par, 300) ELSE win END AS near FROM p),
+  o AS (SELECT *, {spelled(rf"list_concat({tokens('label')}, list_transform(list_concat(list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1), '.'), lambda w: length(w) > 2 AND w NOT IN ('com', 'net', 'org', 'app', 'dev', 'www')), list_filter(regexp_split_to_array(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '[/\-_?&#=+]'), lambda w: length(w) > 2 AND NOT regexp_matches(w, '^\d+$'))), lambda w: lower(w)))")} AS own FROM c),
+  r AS (SELECT *, list_filter({tokens('near')}, lambda w: NOT list_contains(own, w)) AS rest FROM o),
+  k AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(rest), lambda w: struct_pack(n := -len(list_filter(rest, lambda x: x = w)), p := list_position(rest, w), w := w)))[1:15], lambda s: s.w) AS top FROM r)
+  SELECT doc_id, url, label, CASE WHEN regexp_matches(url, '(?i)\.(png|jpe?g|gif|webp|svg|ico|bmp)(\?.*)?$') THEN 'image' WHEN regexp_matches(url, '(?i)\.(mp4|webm|mov|avi|mkv)(\?.*)?$|youtu\.?be|vimeo\.com|loom\.com|wistia\.com') THEN 'video' ELSE 'url' END AS link_type, near AS context,
+    array_to_string({once(f"list_concat(own, {spelled('top')})")}[1:50], ' ') AS keywords FROM k"""
+
+
 def document_link_labels(spark, d):
     return L.extract(table(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "url", "label")
 
@@ -309,8 +374,17 @@ def overlapping_chunks(spark, d):
     return chunking.overlapping_chunks(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
+#: Letters whose numbers stand in for an embedding, so that SQL can have the same.
+LETTERS = "aeinorstаеиіноpст"
+
+
+def letter_counts(texts: list[str]) -> list[list[float] | None]:
+    found = [[float(t.count(c)) for c in LETTERS] for t in texts]
+    return [v if any(v) else None for v in found]
+
+
 def semantic_chunks(spark, d):
-    found = chunking.semantic_chunks(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    found = chunking.semantic_chunks(table(spark, d, "documents").where("text is not null"), "doc_id", "text", letter_counts)
     return found.where(F.length("chunk") >= 80)
 
 
@@ -327,8 +401,8 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
         (encoding_gate, ENCODING_SQL), (normalized_text, NORMALIZED_SQL), (stripped_markdown, STRIPPED_SQL), (word_counts, WORDS_SQL), (sentences, SENTENCES_SQL), (sections, SECTIONS_SQL), (file_ids, FILE_IDS_SQL), (sane_keywords, SANE_SQL),
-        (header_keywords, HEADER_SQL), (url_keywords, None), (frequency_keywords, FREQUENCY_SQL), (path_keywords, PATH_SQL), (question_keywords, QUESTION_SQL), (latin_spelling, LATIN_SQL), (name_variants, None), (stems, _stem_sql()),
-        (question_traits, TRAITS_SQL), (negation, NEGATION_SQL), (sanitized_answers, SANITIZED_SQL), (url_kinds, URL_SQL), (id_distance, DISTANCE_SQL), (question_kinds, _kinds_sql()), (expanded_questions, None), (document_links, None),
-        (document_link_labels, LINKS_SQL), (sentence_chunks, None), (overlapping_chunks, None), (semantic_chunks, None), (parent_child_chunks, None), (terminated_sentences, None),
+        (header_keywords, HEADER_SQL), (url_keywords, _url_keywords_sql()), (frequency_keywords, FREQUENCY_SQL), (path_keywords, PATH_SQL), (question_keywords, QUESTION_SQL), (latin_spelling, LATIN_SQL), (name_variants, NAMES_SQL), (stems, _stem_sql()),
+        (question_traits, TRAITS_SQL), (negation, NEGATION_SQL), (sanitized_answers, SANITIZED_SQL), (url_kinds, URL_SQL), (id_distance, DISTANCE_SQL), (question_kinds, _kinds_sql()), (expanded_questions, _expanded_sql()), (document_links, _document_links_sql()),
+        (document_link_labels, LINKS_SQL), (sentence_chunks, chunk_sql.SENTENCE_CHUNKS), (overlapping_chunks, chunk_sql.OVERLAPPING_CHUNKS), (semantic_chunks, chunk_sql.semantic_chunks(LETTERS)), (parent_child_chunks, chunk_sql.PARENT_CHILD), (terminated_sentences, chunk_sql.TERMINATED),
     ]
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import sanitize_output
@@ -20,6 +20,30 @@ def events(answers: DataFrame, key: str, answer: str, cites: str | None = None)
     return answers.select(key, F.posexplode(F.concat(*parts)).alias("seq", "e")).select(key, "seq", "e.event", "e.payload")
 
 
+def frames(stream: DataFrame, key: str) -> DataFrame:
+    """key, seq, frame: each event as a frame of server-sent events, up to the first done or error of its key."""
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("event").isin("done", "error").cast("int")).over(w), F.lit(0))
+    frame = F.concat(F.lit("event: "), "event", F.lit("\ndata: "), F.coalesce(F.regexp_replace("payload", "\n", "\ndata: "), F.lit("{}")), F.lit("\n\n"))
+    return stream.withColumn("__e", ended).where("__e = 0").select(key, "seq", frame.alias("frame"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Events of a first model, and where it ends in an error those of a second one after what was sent (without the error); its tokens may repeat."""
+    broken = first.where("event = 'error'").groupBy(key).agg(F.min("seq").alias("__s"))
+    kept = first.join(broken, key, "left").where("__s is null or seq < __s").select(*first.columns)
+    after = second.join(broken, key).withColumn("seq", (F.col("seq") + F.col("__s")).cast(first.schema["seq"].dataType)).where("event <> 'metadata'").select(*first.columns)
+    return kept.unionByName(after)
+
+
+def settled(stream: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """key, answer of each stream that is done and grounded (verdicts: key, grounded), for the cache: its tokens in order."""
+    done = stream.where("event = 'done'").select(key).distinct()
+    kept = stream.where("event = 'token'").join(done, key, "left_semi").join(verdicts.where("grounded").select(key), key, "left_semi")
+    # an answer is one row to begin with, and its tokens are one again
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda s: s["payload"]), "").alias("answer"))
+
+
 def deltas(partial: Column, sent: Column) -> Column:
     """What a longer sanitised prefix adds to what was sent; nothing if it isn't a continuation."""
     clean = sanitize_output(partial)
@@ -27,10 +51,14 @@ def deltas(partial: Column, sent: Column) -> Column:
 
 
 def lines(chunks: DataFrame, key: str, seq: str, chunk: str) -> DataFrame:
-    """key, line, text: the full lines of chunked text in order, as of newline-delimited JSON; the unended tail is the last line."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, chunk))), lambda s: s[chunk]), "")
-    rows = chunks.groupBy(key).agg(whole.alias("w"))
-    return rows.select(key, F.posexplode(F.split("w", "\n")).alias("line", "text")).where("trim(text) <> ''")
+    """key, line, text: the full lines of chunked text in order, as of newline-delimited JSON; the unended tail is the last line.
+
+    A line's number is the count of line ends before it, so only the pieces of one line meet, never a whole stream.
+    """
+    parts = chunks.select(key, seq, F.posexplode(F.split(F.coalesce(chunk, F.lit("")), "\n")).alias("__i", "__p"))
+    ends = F.sum((F.col("__i") > 0).cast("int")).over(Window.partitionBy(key).orderBy(seq, "__i"))
+    rows = parts.withColumn("line", ends).groupBy(key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, "__i", "__p"))), lambda s: s["__p"]), "").alias("text"))
+    return rows.where("trim(text) <> ''").select(key, "line", "text")
 
 
 def windowed(events: DataFrame, time: str, group: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
