@@ -11,7 +11,7 @@ A size-aware heavy-light join. Shingles get one global order by an estimate of t
   shingles there (at most SMALL) enumerate all subsets of size two as signatures. The others are
   the large sets: they scan the inverted lists of the heavy shingles, where every pair has a large set.
 
-Signatures are counted in slots as well before their rows are shuffled. A signature with more than SPLIT rows
+Signatures of heavy shingles are counted in slots as well before their rows are shuffled. A signature with more than SPLIT rows
 is split into blocks, and each pair of its blocks is a task of its own, so no task ever holds a list that grows with the input.
 
 D is chosen by cost from the sketch and the numbers of heavy shingles for several D. Candidates pass
@@ -298,8 +298,8 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
     at = BOUNDARIES.index(d)
     any_large = not sets.where(F.element_at("heavy", at + 1) > SMALL).isEmpty()
 
-    def signatures(batch: pa.RecordBatch, mapped: bool) -> tuple[np.ndarray | None, ...]:
-        """(key, place of the row, role: 0 in a list or subset, 1 small or 2 large in a heavy list) of each signature, and cls, size and bitmap (if mapped) of each row."""
+    def signatures(batch: pa.RecordBatch, every: bool) -> tuple[np.ndarray | None, ...]:
+        """(key, place of the row, role: 0 in a list or subset, 1 small or 2 large in a heavy list) of each signature (or of the heavy ones alone), and cls, size and bitmap (if every) of each row."""
         cls, lists = batch.column(0).to_numpy(), batch.column(2)
         small = np.array(batch.column(1).is_valid())
         own_list = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
@@ -309,9 +309,11 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
         begin = np.cumsum(n) - n
         pos = np.arange(len(h)) - np.repeat(begin, n)
         est = np.where(small[row], 0, shared.value[_slot(h, sketch)])
-        light = (est <= d) & (est > 1) & (pos < _prefix(n, t, 1)[row])
-        # a small block is one inverted list
-        keys, rows, roles = [_mix(h[light]), _mix(own_list[small] + MIX)], [row[light], np.flatnonzero(small)], [np.zeros(light.sum() + small.sum(), np.int8)]
+        keys, rows, roles = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+        if every:
+            light = (est <= d) & (est > 1) & (pos < _prefix(n, t, 1)[row])
+            # a small block is one inverted list
+            keys, rows, roles = [_mix(h[light]), _mix(own_list[small] + MIX)], [row[light], np.flatnonzero(small)], [np.zeros(light.sum() + small.sum(), np.int8)]
         heavy = (est > d) & (pos < _prefix(n, t, 2)[row])
         large = np.bincount(row[heavy], minlength=len(cls)) > SMALL
         few = heavy & ~large[row]
@@ -328,7 +330,7 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
             keys.append(_mix(h[heavy] ^ MIX))
             rows.append(row[heavy])
             roles.append(np.where(large[row[heavy]], 2, 1).astype(np.int8))
-        return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), cls, n, _bits(row, h, len(cls)) if mapped else None
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles), cls, n, _bits(row, h, len(cls)) if every else None
 
     list_slot = lambda key: (key >> np.uint64(64 - LIST_BITS)).astype(np.int64)
 
@@ -340,11 +342,13 @@ def similar_classes(sets: DataFrame, total: np.ndarray, shared, sketch: int, t:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed])], names=["part", "packed"])
 
     given = sets.select("cls", "list", "shingles")
-    split = sets.sparkSession.sparkContext.broadcast(_splits(_summed(given.mapInArrow(tally, "part int, packed binary"), LIST_BITS)))
+    # lists of light shingles and of small blocks are short by themselves, so only sets with heavy shingles are counted
+    heavy_sets = sets.where(F.element_at("heavy", at + 1) > 0).select("cls", "list", "shingles")
+    split = sets.sparkSession.sparkContext.broadcast(_splits(_summed(heavy_sets.mapInArrow(tally, "part int, packed binary"), LIST_BITS)))
 
     def spread(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, key, side) of each copy: a row of a split signature meets each of its blocks once. Side 0 and 1 are the two blocks of a pair, 2 is one block by itself."""
-        hot, blocks = split.value
+        hot, blocks = split.value  # slots: a light list in the slot of a split signature is split as well, at no loss
         if not len(hot):
             return np.arange(len(key)), key, np.full(len(key), 2)
         slot = list_slot(key)
@@ -431,13 +435,17 @@ def near_duplicates(records: DataFrame, key: str, text: str, block: Column | Non
     return similar_classes(sets, total, shared, bits, t), first.where("key is not null").select("key", "cls").distinct()
 
 
-def spread_members(members: DataFrame, most: int = SPLIT) -> tuple[DataFrame, DataFrame]:
-    """(members with salt; cls and parts of the classes of more than `most` members): the members of a class are spread over its parts."""
+def spread_members(members: DataFrame, most: int = SPLIT) -> tuple[DataFrame, DataFrame | None]:
+    """(members with salt; cls and parts of the classes of more than `most` members): the members of a class are spread over its parts. Without such classes (members, None)."""
     hot = members.groupBy("cls").count().where(F.col("count") > most).select("cls", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    if hot.isEmpty():
+        return members, None
     return members.join(hot, "cls", "left").select(*members.columns, F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")), hot
 
 
-def with_members(pairs: DataFrame, cls: str, spread: DataFrame, hot: DataFrame, out: str) -> DataFrame:
+def with_members(pairs: DataFrame, cls: str, spread: DataFrame, hot: DataFrame | None, out: str) -> DataFrame:
     """pairs with a row for each member (out) of the class in column cls; a class of many members is met part by part."""
+    if hot is None:
+        return pairs.join(spread.select(F.col("cls").alias(cls), F.col("key").alias(out)), cls)
     parts = pairs.join(hot.withColumnRenamed("cls", cls), cls, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return parts.join(spread.select(F.col("cls").alias(cls), F.col("key").alias(out), "salt"), [cls, "salt"]).drop("salt")

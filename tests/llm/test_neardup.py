@@ -89,6 +89,9 @@ def test_members_of_a_hot_class(spark):
     members = spark.createDataFrame([(f"k{i}", 1 if i < 30 else i) for i in range(40)], "key string, cls bigint")
     spread, hot = neardup.spread_members(members, 7)
     assert hot.collect()[0]["parts"] == 5 and spread.count() == 40 and spread.where("cls = 1").select("salt").distinct().count() > 1
+    assert neardup.spread_members(members, 50) == (members, None)
     pairs = spark.createDataFrame([(1, 31), (32, 33)], "a bigint, b bigint")
     found = neardup.with_members(neardup.with_members(pairs, "a", spread, hot, "ka"), "b", spread, hot, "kb").select("ka", "kb")
+    plain = neardup.with_members(pairs, "a", members, None, "ka")
+    assert plain.count() == 31
     assert sorted(map(tuple, found.collect())) == sorted([(f"k{i}", "k31") for i in range(30)] + [("k32", "k33")])
