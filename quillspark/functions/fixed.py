@@ -6,6 +6,8 @@ TO_LATIN = {
     "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
     "ш": "sh", "щ": "shch", "ь": "", "ю": "iu", "я": "ia", "ё": "yo", "э": "e", "ъ": "", "ы": "y",
 }
+#: What ids of graph entities spell otherwise.
+GRAPH_LATIN = {"є": "ye", "ї": "yi", "й": "y", "ю": "yu", "я": "ya"}
 #: Latin groups and letters and the Cyrillic letter for each, longest group first.
 TO_CYRILLIC = [
     ("shch", "щ"), ("zh", "ж"), ("kh", "х"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("ye", "є"), ("ie", "є"), ("yu", "ю"), ("iu", "ю"), ("ya", "я"), ("ia", "я"), ("yi", "ї"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.fixed import DOMAIN_STOP, ENDINGS, FREQUENCY_STOP, QUERY_STOP, SINGLE_CYRILLIC, SINGLE_LATIN, TO_CYRILLIC, TO_LATIN
+from quillspark.functions.fixed import DOMAIN_STOP, ENDINGS, FREQUENCY_STOP, GRAPH_LATIN, QUERY_STOP, SINGLE_CYRILLIC, SINGLE_LATIN, TO_CYRILLIC, TO_LATIN
 
 URL = r"https?://[^\s\"'<>]+"
 
@@ -71,13 +71,13 @@ def file_id(name: Column) -> Column:
     return F.left(F.lower(F.regexp_replace(F.regexp_replace(name, r"(?i)\.md$", ""), "[^a-zA-Z0-9]", "_")), F.lit(50))
 
 
-def to_latin(text: Column) -> Column:
+def to_latin(text: Column, table: dict[str, str] = TO_LATIN) -> Column:
     """Cyrillic letters in Latin spelling, all in small letters."""
     out = F.lower(text)
-    for a, b in TO_LATIN.items():
+    for a, b in table.items():
         if len(b) != 1:
             out = F.replace(out, F.lit(a), F.lit(b))
-    single = {a: b for a, b in TO_LATIN.items() if len(b) == 1}
+    single = {a: b for a, b in table.items() if len(b) == 1}
     return F.translate(out, "".join(single), "".join(single.values()))
 
 
@@ -220,5 +220,5 @@ def noisy_entity(name: Column, kind: Column) -> Column:
 
 
 def entity_id(name: Column, kind: Column) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(to_latin(name), "[^a-z0-9]+", "_"), "^_|_$", "")
+    slug = F.regexp_replace(F.regexp_replace(to_latin(name, TO_LATIN | GRAPH_LATIN), "[^a-z0-9]+", "_"), "^_|_$", "")
     return F.concat(slug, F.lit("_"), F.regexp_replace(F.lower(kind), "[^a-z0-9]", "_"))

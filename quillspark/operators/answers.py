@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text as T
+from quillspark.functions import vectors
 
 #: Fixed value: what stands for an answer without support.
 FALLBACK = "Немає релевантної відповіді"
@@ -31,6 +32,12 @@ def pointwise(score: Column, answer: Column) -> tuple[Column, Column]:
     return F.coalesce(number, F.lit(0.5)), F.coalesce(number, score, F.lit(0.5))
 
 
+def embedding_rerank(query: Column, stored: Column, embedded: Column) -> Column:
+    """Similarity of a question's vector to the stored one of a result, to that of its text where none is stored (embedded); 0 without both."""
+    own = F.when(F.size(stored) > 0, stored)
+    return F.coalesce(vectors.cosine(query, own), vectors.cosine(query, embedded), F.lit(0.0))
+
+
 def hybrid_rerank(score: Column, similarity: Column) -> Column:
     return 0.3 * F.coalesce(score, F.lit(0.0)) + 0.7 * similarity
 

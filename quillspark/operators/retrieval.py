@@ -7,6 +7,7 @@ pairs all rows in the JVM: the exact search replicates blocks of both sides and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +50,8 @@ def _similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.where(na * nb > 0, a @ b.T / np.where(na * nb > 0, na * nb, 1), 0.0)
 
 
-def nearest(
-    base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, size: int,
-    threshold: float | None = None, metric: str = "cosine", out_id: str = "id",
-) -> DataFrame:
-    """query_id, out_id, score, rank of the exact k nearest base rows of each query; ties by id.
-
-    Vectors of another size or with values that aren't finite have no part; rows repeated under an id count once.
-    """
-    id_type, q_type = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    b = base.select(F.col(base_id).alias("id"), F.col(base_vector).alias("v")).where(F.col("id").isNotNull() & vectors.valid(F.col("v"), size))
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v")).where(F.col("qid").isNotNull() & vectors.valid(F.col("v"), size))
-    q_parts = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    b_parts = max(1, math.ceil(b.count() / BASE_BLOCK), min(8, base.sparkSession.sparkContext.defaultParallelism // q_parts))
-    # each block of one side meets each block of the other exactly once
-    b = b.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(b_parts)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qb"))
-    q = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(b_parts - 1))).alias("bb"))
-    floor = -math.inf if threshold is None else threshold
+def _searcher(k: int, size: int, metric: str, floor: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The exact search of a block of queries (qid, v) in a block of rows (id, v)."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("qid", right.schema.field("qid").type), ("id", left.schema.field("id").type), ("score", pa.float64())])
@@ -86,12 +72,106 @@ def nearest(
                 out.append(pa.table([right.column("qid").take(pa.array(at + i)), left.column("id").take(pa.array(nth)), pa.array(s[at, nth])], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    found = b.groupBy("bb", "qb").cogroup(q.groupBy("bb", "qb")).applyInArrow(search, f"qid {q_type}, id {id_type}, score double")
+    return search
+
+
+def nearest(
+    base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, size: int,
+    threshold: float | None = None, metric: str = "cosine", out_id: str = "id",
+) -> DataFrame:
+    """query_id, out_id, score, rank of the exact k nearest base rows of each query; ties by id.
+
+    Vectors of another size or with values that aren't finite have no part; rows repeated under an id count once.
+    """
+    id_type, q_type = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    b = base.select(F.col(base_id).alias("id"), F.col(base_vector).alias("v")).where(F.col("id").isNotNull() & vectors.valid(F.col("v"), size))
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v")).where(F.col("qid").isNotNull() & vectors.valid(F.col("v"), size))
+    q_parts = max(1, math.ceil(q.count() / QUERY_BLOCK))
+    b_parts = max(1, math.ceil(b.count() / BASE_BLOCK), min(8, base.sparkSession.sparkContext.defaultParallelism // q_parts))
+    # each block of one side meets each block of the other exactly once
+    b = b.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(b_parts)).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qb"))
+    q = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(b_parts - 1))).alias("bb"))
+    floor = -math.inf if threshold is None else threshold
+
+    found = b.groupBy("bb", "qb").cogroup(q.groupBy("bb", "qb")).applyInArrow(_searcher(k, size, metric, floor), f"qid {q_type}, id {id_type}, score double")
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(query_id), F.col("id").alias(out_id), "score", "rank")
 
 
+#: Cells that rows are parted into, rows of the sample that they are fitted on, rows and queries of a cell that a task gets, and cells that a query looks into.
+CELLS, CELL_SAMPLE, CELL_ROWS, PROBES = 256, 16_384, 65_536, 16
+
+
+def _centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of `cells` groups of unit rows, by a few rounds of k-means from evenly spaced rows."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)]
+    for _ in range(rounds):
+        own = np.concatenate([(sample[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
+        total = np.zeros_like(centres)
+        np.add.at(total, own, sample)
+        n = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(n > 0, total / np.where(n > 0, n, 1), centres)
+    return centres
+
+
+def nearest_approximate(
+    base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, size: int, probes: int = PROBES, cells: int = CELLS, out_id: str = "id",
+) -> DataFrame:
+    """query_id, out_id, score, rank of k near base rows by cosine: rows lie in cells, and a query looks into the `probes` nearest cells.
+
+    Centres are fitted on a sample of CELL_SAMPLE rows of smallest hash; every row is in the index. A cell with more than CELL_ROWS rows is
+    split by a hash. With as many probes as cells the search is exact. Vectors of another size, not finite, or all zero have no part.
+    """
+    spark = base.sparkSession
+    id_type, q_type = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    fit = lambda v: vectors.valid(v, size) & F.exists(v, lambda x: x != 0)
+    b = base.select(F.col(base_id).alias("id"), F.col(base_vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & fit(F.col("v")))
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("v")).where(F.col("qid").isNotNull() & fit(F.col("v")))
+    n = max(1, b.count())
+    share = min(1.0, (CELL_SAMPLE + 7 * math.sqrt(CELL_SAMPLE)) / n)
+    taken = b.where(F.xxhash64("id").cast("double") <= F.lit(-(2.0**63) + 2.0**64 * share)).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").select("v").toArrow()
+    if taken.num_rows == 0:
+        return q.where("false").select(F.col("qid").alias(query_id), F.lit(None).cast(id_type).alias(out_id), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast(_centres(unit(_matrix(taken.column("v"), size)), cells))  # CELLS x size numbers
+    probes = min(probes, len(shared.value))
+
+    def near(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                s = unit(_matrix(batch.column(1), size)) @ shared.value.T
+                cell = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                at = pa.array(np.repeat(np.arange(len(s)), cell.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.reshape(-1).astype(np.int32))], names=[name, "v", "cell"])
+
+    placed = b.mapInArrow(lambda batches: near(batches, "id", 1), f"id {id_type}, v array<double>, cell int")
+    counts = placed.groupBy("cell").count().select(F.col("cell").alias("c"), F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))  # a row for each cell
+    rows = placed.join(counts, F.col("cell") == F.col("c")).select("id", "v", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    asked = q.mapInArrow(lambda batches: near(batches, "qid", probes), f"qid {q_type}, v array<double>, cell int").join(counts, F.col("cell") == F.col("c"))
+    asked = asked.select("qid", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_searcher(k, size, "cosine", -math.inf), f"qid {q_type}, id {id_type}, score double")
+    once = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(query_id), F.col("id").alias(out_id), "score", "rank")
+
+
+def repository_nearest(chunks: DataFrame, queries: DataFrame, limit: int, mode: str = "balanced", size: int = 96, least: int = 80) -> DataFrame:
+    """query_id, id, score, rank: the nearest stored chunks of a model, no parents, with texts long enough, of at least the mode's similarity."""
+    able = chunks.where(not_parent() & F.col("model").isNotNull() & F.coalesce(F.length(F.trim("text")) >= least, F.lit(False)))
+    return nearest(able, "id", "embedding", queries, "query_id", "vector", limit, size, threshold=scoring.THRESHOLDS.get(mode))
+
+
+def strong(results: DataFrame, group: str, item: str, score: str, threshold: float, gate: Column, first: int = 3) -> DataFrame:
+    """results of at least the threshold where the gate (such as a sure factual question) holds; a group that keeps none, its first ones. Elsewhere all stay."""
+    w = Window.partitionBy(group)
+    fits = F.coalesce(F.col(score) >= threshold, F.lit(False))
+    rows = results.withColumns({"__n": F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), item)), "__any": F.max(fits).over(w)})
+    return rows.where(~F.coalesce(gate, F.lit(False)) | F.when(F.col("__any"), fits).otherwise(F.col("__n") <= first)).drop("__n", "__any")
+
+
 def keyword_matches(chunks: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """query_id, id of the chunks that hold any keyword of a query as a word or a context keyword: all, or, for parity with the reference, the first `limit` by id.
 

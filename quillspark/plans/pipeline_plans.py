@@ -7,17 +7,21 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import names
+from quillspark.functions import names, scoring, vectors
 from quillspark.functions import text as T
 from quillspark.functions.fixed import ABBREVIATIONS, LINK_STOP, QUERY_STOP, TO_LATIN
 from quillspark.operators import answers as A
-from quillspark.operators import links, models, querying, reranking, retrieval, sessions, tables
+from quillspark.operators import cache, graph, links, models, querying, reranking, retrieval, sessions, tables
+from quillspark.plans import chunk_sql, ingest
+from quillspark.plans.search_plans import GRAPH, USABLE, _cosine_sql, _graph
 from quillspark.plans.table_plans import CHUNKS, FEEDBACK, LINKS, TURNS, chunks_of, feedback_of, links_of, turns_of
-from quillspark.plans.text_plans import LINK_WISHES, lit, names_sql
+from quillspark.plans.text_plans import LETTERS, LINK_WISHES, letter_counts, lit, names_sql
 from quillspark.session import table
 from quillspark.streaming import answers as S
 
 NOW = dt.datetime(2018, 2, 1)
+#: A chunk that letter_counts gives a vector.
+HAS_LETTERS = "regexp_matches(chunk, '[" + LETTERS + "]')"
 
 
 def question_variants(spark, d):
@@ -290,11 +294,126 @@ GROUNDED_SQL = f"""WITH t AS (SELECT id, answer, query, lag(answer) OVER (PARTIT
   SELECT id, texts, md5(coalesce(CASE WHEN trim(coalesce(answer, ''), ' ') = '' OR texts = 0 OR ok THEN answer ELSE {lit(A.FALLBACK)} END, '')) AS digest FROM v"""
 
 
+def repository_chunks(spark, d):
+    """Nearest stored chunks with a model and enough text, of at least the wide mode's similarity."""
+    found = retrieval.repository_nearest(chunks_of(spark, d), table(spark, d, "vector_queries"), 10, "wide")
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+REPOSITORY_SQL = f"""WITH q AS (SELECT query_id, vector::DOUBLE[] AS v FROM vector_queries WHERE {USABLE.format('vector')}), b AS (SELECT id, embedding::DOUBLE[] AS e FROM {CHUNKS} WHERE level IS DISTINCT FROM 0 AND model IS NOT NULL AND length(trim(text, ' ')) >= 80 AND {USABLE.format('embedding')}),
+  s AS (SELECT query_id, id, {_cosine_sql('v', 'e')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM q, b QUALIFY rank <= 10) SELECT query_id, id, round(score, 5) AS score, rank FROM s WHERE score >= 0.5"""
+
+
+def approximate_recall(spark, d):
+    """Approximate search of the turns against the exact one: for how many queries, and whether nine of ten neighbours at least are found."""
+    base, asked = turns_of(spark, d), table(spark, d, "vector_queries")
+    usable = lambda c: F.exists(c, lambda x: x != 0)
+    base, asked = base.where(usable("embedding")), asked.where(usable("vector"))
+    true = retrieval.nearest(base, "id", "embedding", asked, "query_id", "vector", 10, 96).select("query_id", "id")
+    found = retrieval.nearest_approximate(base, "id", "embedding", asked, "query_id", "vector", 10, 96).select("query_id", "id", F.lit(1).alias("hit"))
+    return true.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("holds"))
+
+
+RECALL_SQL = f"SELECT count(*) AS queries, true AS holds FROM vector_queries WHERE {USABLE.format('vector')} AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+
+
+def embedding_scores(spark, d):
+    """Similarity of each result to its query by the chunk's vector, else by a stand-in made of the text."""
+    rows = table(spark, d, "search_results").join(table(spark, d, "vector_queries").select("query_id", "vector"), "query_id").join(chunks_of(spark, d).select(F.col("id").alias("chunk_ref"), "embedding"), "chunk_ref", "left")
+    rows = rows.where(vectors.valid(F.col("vector"), 96) & (F.col("embedding").isNull() | (F.size("embedding") == 0) | vectors.valid(F.col("embedding"), 96)))
+    made = F.transform(F.sequence(F.lit(1), F.lit(96)), lambda i: (F.length("text") % (i + 1)).cast("double"))
+    return rows.select("query_id", "result_id", F.round(A.embedding_rerank(F.col("vector"), F.col("embedding"), made), 5).alias("score"))
+
+
+EMBEDDING_SQL = f"""WITH r AS (SELECT query_id, result_id, search_results.text AS text, vector::DOUBLE[] AS v, embedding::DOUBLE[] AS e FROM search_results JOIN vector_queries USING (query_id) LEFT JOIN {CHUNKS} c ON c.id = chunk_ref WHERE {USABLE.format('vector')} AND (embedding IS NULL OR len(embedding) = 0 OR ({USABLE.format('embedding')}))),
+  m AS (SELECT *, CASE WHEN len(e) > 0 THEN e WHEN text IS NOT NULL THEN list_transform(range(1, 97), lambda i: (length(text) % (i + 1))::DOUBLE) END AS w FROM r) SELECT query_id, result_id, round(coalesce({_cosine_sql('v', 'w')}, 0), 5) AS score FROM m"""
+
+
+def cached_answers(spark, d):
+    """Answers of one day in the cache, asked for by the questions of all; then those of one group are invalidated."""
+    rows = turns_of(spark, d).where("query is not null and answer is not null and lang is not null").select("id", "query", "answer", "ts", cache.key(F.col("query"), F.col("lang")).alias("key"))
+    early = rows.where(F.col("ts") < F.lit(dt.datetime(2018, 1, 10)))
+    best = early.groupBy("key").agg(F.min("answer").alias("value"))
+    store = cache.put(spark.createDataFrame([], "key string, value string, expires_at timestamp"), best, NOW)
+    got = cache.get(rows.select("id", "key", (F.length("query") % 5 == 0).alias("bypass")), store, NOW + dt.timedelta(seconds=100))
+    late = cache.get(rows.select("id", "key"), store, NOW + dt.timedelta(seconds=200)).where("value is not null").count()
+    gone = cache.invalidate(store, "answer:").count()
+    return got.select("id", F.md5(F.coalesce("value", F.lit("")).cast("binary")).alias("digest"), F.lit(late).alias("late"), F.lit(gone).alias("left"))
+
+
+CACHED_SQL = f"""WITH t AS (SELECT id, answer, ts, lang, length(query) % 5 = 0 AS bypass, left(trim(regexp_replace(lower(query), '\\s+', ' ', 'g'), ' '), 600) AS k FROM {TURNS} WHERE query IS NOT NULL AND answer IS NOT NULL AND lang IS NOT NULL),
+  s AS (SELECT k, lang, min(answer) AS v FROM t WHERE ts < '2018-01-10' GROUP BY ALL) SELECT id, md5(CASE WHEN bypass THEN '' ELSE coalesce(v, '') END) AS digest, 0 AS late, 0 AS left FROM t LEFT JOIN s USING (k, lang)"""
+
+
+def stream_deltas(spark, d):
+    """What each answer adds to its first half, cleaned of markup, and nothing where it is no continuation of what was sent."""
+    rows = turns_of(spark, d).where("answer is not null").select("id", "answer", F.when(F.length("answer") % 3 == 0, F.lit("other")).otherwise(T.sanitize_output(F.left("answer", F.floor(F.length("answer") / 2).cast("int")))).alias("sent"))
+    return rows.select("id", F.md5(S.deltas(F.col("answer"), F.col("sent")).cast("binary")).alias("digest"))
+
+
+DELTAS_SQL = f"WITH t AS (SELECT id, {_SANE.format('answer')} AS c, CASE WHEN length(answer) % 3 = 0 THEN 'other' ELSE {_SANE.format('left(answer, length(answer) // 2)')} END AS s FROM {TURNS} WHERE answer IS NOT NULL) SELECT id, md5(CASE WHEN starts_with(c, s) THEN substr(c, length(s) + 1) ELSE '' END) AS digest FROM t"
+
+
+def relevance_scores(spark, d):
+    """Numbers that a model's answers hold: here the rounded scores of results among words."""
+    rows = table(spark, d, "search_results")
+    said = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" "), F.col("pos"), F.lit(",5 of it"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("0."), F.col("pos"), F.lit(" is it"))).otherwise(F.lit("about 0.7"))
+    return rows.select("result_id", F.round(scoring.parsed_relevance(said), 6).alias("relevance"))
+
+
+RELEVANCE_SQL = "SELECT result_id, round(CASE WHEN pos % 3 = 0 THEN least(1, pos + 0.5) WHEN pos % 3 = 1 THEN ('0.' || pos)::DOUBLE ELSE 0 END, 6) AS relevance FROM search_results"
+
+
+def coerced_vectors(spark, d):
+    """Vectors out of what services answer: a list, an object, a list of objects, or something else."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    as_json = F.to_json(F.struct(F.col("v").alias("embedding")))
+    raw = F.when(F.col("vec_id") % 4 == 0, F.to_json("v")).when(F.col("vec_id") % 4 == 1, as_json).when(F.col("vec_id") % 4 == 2, F.concat(F.lit('{"data": ['), as_json, F.lit("]}"))).otherwise(F.lit("none"))
+    return rows.select("vec_id", F.size(vectors.coerce(raw)).alias("size"), F.round(F.coalesce(F.try_element_at(vectors.coerce(raw), F.lit(1)), F.lit(0.0)), 5).alias("first"))
+
+
+COERCED_SQL = "SELECT vec_id, CASE WHEN vec_id % 4 = 3 THEN 0 ELSE len(embedding) END AS size, round(CASE WHEN vec_id % 4 = 3 THEN 0 ELSE embedding[1]::DOUBLE END, 5) AS first FROM embeddings"
+
+
+def graph_without_parents(spark, d):
+    """The edges left when every third entity is deleted."""
+    entities, edges = _graph(spark, d)
+    _, left = graph.delete(entities, edges, entities.where(F.length("id") % 3 == 0))
+    return left
+
+
+def graph_blocks(spark, d):
+    """A block of sentences for the entities of each file, with the kinds of their edges."""
+    entities, edges = _graph(spark, d)
+    found = graph.render(entities.withColumn("file", F.regexp_replace("id", "_p[0-9]+(_c[0-9]+)?$", "")), edges, "file")
+    return found.select("file", F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+BLOCKS_SQL = f"""WITH {GRAPH}, k AS (SELECT id, string_agg(DISTINCT type, ', ' ORDER BY type) AS k FROM (SELECT src AS id, type FROM ed UNION ALL SELECT dst, type FROM ed) GROUP BY id)
+  SELECT regexp_replace(ent.id, '_p[0-9]+(_c[0-9]+)?$', '') AS file, md5(string_agg(name || ' is a ' || type || coalesce(' (connected via: ' || k || ')', ''), '. ' ORDER BY ent.id) || '.') AS digest FROM ent LEFT JOIN k USING (id) GROUP BY 1"""
+
+
+def entity_lookup(spark, d):
+    """Entities by the ids that chunks name as parents."""
+    entities, _ = _graph(spark, d)
+    keys = chunks_of(spark, d).where("parent_id is not null").select(F.col("parent_id").alias("id"))
+    return tables.lookup(entities, keys, "id").select("id", "name", "type")
+
+
+def semantic_ingest(spark, d):
+    """Documents as semantic chunks, as they would be stored."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("raw"), "text")
+    return ingest.ingest(files, "semantic", letter_counts, "letters").select("path", F.md5(F.col("text").cast("binary")).alias("digest"), "text_length", F.col("level").isNull().alias("flat")).distinct()
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
         (question_variants, _variants_sql()), (reranked_results, RERANKED_SQL), (pointwise_scores, POINTWISE_SQL), (name_ordered_results, NAME_ORDER_SQL), (entity_results, ENTITY_SQL), (links_for_questions, _links_sql(4, True)), (links_for_context, _links_sql(0, False)),
         (reindexed_links, REINDEXED_SQL), (compressed_contexts, COMPRESSED_SQL), (model_keywords, MODEL_KEYWORDS_SQL), (image_list, f"SELECT id, label, url FROM {LINKS} WHERE lower(link_type) = 'file' ORDER BY id LIMIT 1000"), (fallback_events, FALLBACK_SQL), (settled_answers, SETTLED_SQL),
         (cleared_turns, CLEARED_SQL), (created_feedback, CREATED_SQL), (session_number, f"SELECT count(DISTINCT session_id) AS sessions FROM {TURNS}"), (chunks_without_files, f"SELECT id, file_id FROM {CHUNKS} WHERE file_id NOT IN (SELECT file_id FROM split_options WHERE file_id IS NOT NULL)"), (grounded_answers, GROUNDED_SQL),
+        (repository_chunks, REPOSITORY_SQL), (approximate_recall, RECALL_SQL), (embedding_scores, EMBEDDING_SQL), (cached_answers, CACHED_SQL), (stream_deltas, DELTAS_SQL), (relevance_scores, RELEVANCE_SQL), (coerced_vectors, COERCED_SQL),
+        (graph_without_parents, f"WITH {GRAPH} SELECT src, dst, type FROM ed WHERE length(src) % 3 <> 0 AND length(dst) % 3 <> 0"), (graph_blocks, BLOCKS_SQL), (entity_lookup, f"WITH {GRAPH} SELECT id, name, type FROM ent WHERE id IN (SELECT parent_id FROM {CHUNKS})"),
+        (semantic_ingest, f"SELECT DISTINCT doc_id::VARCHAR AS path, md5(chunk) AS digest, length(chunk) AS text_length, true AS flat FROM ({chunk_sql.semantic_chunks(LETTERS)}) WHERE {HAS_LETTERS}"),
     ]
 }

@@ -9,7 +9,7 @@ from quillspark.functions import scoring, vectors
 from quillspark.functions import text as T
 from quillspark.operators import answers as A
 from quillspark.operators import graph, links, retrieval
-from quillspark.functions.fixed import DOMAIN_STOP, FREQUENCY_STOP, TO_LATIN
+from quillspark.functions.fixed import DOMAIN_STOP, FREQUENCY_STOP, GRAPH_LATIN, TO_LATIN
 from quillspark.plans import ask, chunk_sql, ingest
 from quillspark.plans.table_plans import CHUNKS, LINKS, TURNS, chunks_of, links_of, turns_of
 from quillspark.session import table
@@ -275,7 +275,7 @@ def extracted_edges(spark, d):
 def _extracted_sql() -> str:
     noisy = "length(t) < 2 OR length(t) > 60 OR regexp_matches(t, '[!?]') OR (NOT regexp_matches(t, '\\s') AND regexp_matches(t, '[._]')) OR regexp_matches(t, '^\\d+(\\s+\\S{1,6})?$') OR (type = 'concept' AND regexp_matches(t, '\\d'))"
     latin = "lower(name)"
-    for a, b in TO_LATIN.items():
+    for a, b in (TO_LATIN | GRAPH_LATIN).items():
         latin = f"replace({latin}, '{a}', '{b}')"
     return f"""WITH l AS (SELECT id AS link_id, label, link_type FROM {LINKS} WHERE label IS NOT NULL AND link_type IS NOT NULL),
   n AS (SELECT link_id, label AS name, 'product' AS type FROM l UNION ALL SELECT link_id, 'Team ' || link_type, 'concept' FROM l UNION ALL SELECT link_id, '12 days', 'concept' FROM l),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import sessions, tables
+from quillspark.operators import retrieval, sessions, tables
 from quillspark.session import table
 from quillspark.streaming import answers
 
@@ -177,15 +177,13 @@ STRONG_SQL = """SELECT result_id, query_id FROM search_results JOIN vector_queri
 
 
 def factual_results(spark, d):
-    """Results of at least 0.6, or the best three of a query that has none."""
+    """For surely factual queries (three of four) results of at least 0.6, or the best three of a query that has none; for the others all."""
     rows = table(spark, d, "search_results")
-    w = Window.partitionBy("query_id").orderBy(F.col("hybrid_score").desc_nulls_last(), "result_id")
-    rows = rows.withColumns({"__n": F.row_number().over(w), "__any": F.max(F.coalesce(F.col("hybrid_score") >= 0.6, F.lit(False))).over(Window.partitionBy("query_id"))})
-    return rows.where(F.when(F.col("__any"), F.col("hybrid_score") >= 0.6).otherwise(F.col("__n") <= 3)).select("result_id", "query_id")
+    return retrieval.strong(rows, "query_id", "result_id", "hybrid_score", 0.6, F.col("query_id") % 4 != 3).select("result_id", "query_id")
 
 
 FACTUAL_SQL = """WITH w AS (SELECT result_id, query_id, hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC NULLS LAST, result_id) AS n, bool_or(coalesce(hybrid_score >= 0.6, false)) OVER (PARTITION BY query_id) AS kept_any FROM search_results)
-  SELECT result_id, query_id FROM w WHERE CASE WHEN kept_any THEN hybrid_score >= 0.6 ELSE n <= 3 END"""
+  SELECT result_id, query_id FROM w WHERE query_id % 4 = 3 OR CASE WHEN kept_any THEN hybrid_score >= 0.6 ELSE n <= 3 END"""
 
 
 def context_documents(spark, d):

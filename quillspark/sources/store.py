@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.operators import tables
 
@@ -29,14 +30,16 @@ class Store:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.versions()[-1]}")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """A new version; a failed write leaves no _SUCCESS and so no version."""
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, sizes: dict[str, int] | None = None) -> None:
+        """A new version; a failed write leaves no _SUCCESS and so no version. sizes: of vector columns; a vector of another size (null ones aside) fails the write."""
         now = self.versions()
+        for column, size in (sizes or {}).items():
+            df = df.withColumn(column, F.when(F.col(column).isNull() | (F.size(column) == size), F.col(column)).otherwise(F.raise_error(F.lit(f"{column} has not {size} values"))))
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{(now[-1] if now else 0) + 1}")
 
-    def upsert(self, new: DataFrame, key: str) -> None:
-        self.write(tables.upsert(self.read(), new, key) if self.versions() else new)
+    def upsert(self, new: DataFrame, key: str, sizes: dict[str, int] | None = None) -> None:
+        self.write(tables.upsert(self.read(), new, key) if self.versions() else new, sizes=sizes)
 
     def delete(self, keys: DataFrame, key: str) -> None:
         self.write(tables.delete(self.read(), keys, key))

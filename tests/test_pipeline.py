@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import names
 from quillspark.operators import answers, cache, links, matching, models, querying, reranking, retrieval, sessions, tables
 from quillspark.plans import ingest
+from quillspark.sources.store import Store
 from quillspark.streaming import answers as S
 
 
@@ -131,3 +134,34 @@ def test_names_do_not_mix_files(spark):
 def test_delete_by_file(spark):
     rows = spark.createDataFrame([("1", "f"), ("2", "g"), ("3", None)], "id string, file_id string")
     assert {r.id for r in tables.delete(rows, spark.createDataFrame([("f",), (None,)], "file_id string"), "file_id").collect()} == {"2", "3"}
+
+
+def test_approximate_search(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 8))[rng.integers(0, 30, 900)] + 0.2 * rng.normal(size=(900, 8))
+    rows = [(f"b{i:03d}", v.tolist(), 1) for i, v in enumerate(x)] + [("b000", x[0].tolist(), 1), ("n", None, 1), ("z", [0.0] * 8, 1), ("s", [1.0], 1)]
+    base = spark.createDataFrame(rows, "id string, v array<double>, cell int")
+    asked = spark.createDataFrame([(i, (x[i * 7] + 0.05).tolist(), 1) for i in range(40)] + [(99, None, 1)], "q int, v array<double>, part int")
+    same = lambda a: sorted((r.q, r.id) for r in a.collect())
+    true = same(retrieval.nearest(base.where("id <> 'z'"), "id", "v", asked, "q", "v", 5, 8))
+    assert same(retrieval.nearest_approximate(base, "id", "v", asked, "q", "v", 5, 8, probes=16, cells=16)) == true
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 20)
+    found = same(retrieval.nearest_approximate(base, "id", "v", asked, "q", "v", 5, 8, probes=4, cells=16))
+    assert len(found) == len(true) == 200 and len(set(found) & set(true)) >= 0.9 * len(true)
+    assert retrieval.nearest_approximate(base.limit(0), "id", "v", asked, "q", "v", 5, 8).count() == 0
+
+
+def test_strong_results_and_rerank_by_vectors(spark):
+    rows = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.1), (2, "a", 0.2), (2, "b", 0.1), (2, "c", None), (3, "a", 0.1)], "g int, r string, s double")
+    assert sorted((x.g, x.r) for x in retrieval.strong(rows, "g", "r", "s", 0.5, F.col("g") < 3, 2).collect()) == [(1, "a"), (2, "a"), (2, "b"), (3, "a")]
+    v = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0], None), ([1.0, 0.0], [], [0.0, 1.0]), ([1.0, 0.0], None, None), (None, [1.0], [1.0])], "q array<double>, s array<double>, e array<double>")
+    assert [r[0] for r in v.select(answers.embedding_rerank(F.col("q"), F.col("s"), F.col("e"))).collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_store_checks_sizes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "id string, v array<double>")
+    store.upsert(rows, "id", {"v": 2})
+    with pytest.raises(Exception, match="has not 3 values"):
+        store.write(rows, sizes={"v": 3})
+    assert len(store.versions()) == 1 and store.read().count() == 2
