@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,10 @@ def top(results: DataFrame, group: str, score: str, item: str, k: int) -> DataFr
     return results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: int = 500, candidates: int = 15) -> DataFrame:
+def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: int = 500, candidates: int = 15, similarity: Callable[[Column], Column] | None = None) -> DataFrame:
     """key and the sentences of body that share most words with query, as many as fit the budget of words, and what share of the text they are.
 
+    similarity: of a sentence to the question (such as the cosine of their vectors); with it the `candidates` of most shared words are taken in its order.
     The first sentence beyond the budget ends the choice. Sentences of one text stay together in a row.
     """
     clean = lambda w: F.regexp_replace(w, r"[^a-zа-яіїєґ]", "")
@@ -58,7 +61,12 @@ def compress(pairs: DataFrame, key: list[str], query: str, body: str, budget: in
     letters = lambda s: F.regexp_replace(F.lower(s), r"[^a-zа-яіїєґ\s]", "")
     shared = lambda s: F.size(F.filter(F.split(letters(s), r"\s+"), lambda w: F.array_contains(F.col("__q"), w)))
     ranked = F.array_sort(F.transform("__s", lambda s, i: F.struct((-shared(s)).alias("m"), i.alias("i"), s.alias("s"), F.size(F.split(s, r"\s+")).alias("n"))))
-    rows = rows.withColumn("__r", F.slice(ranked, 1, candidates))
+    chosen = F.slice(ranked, 1, candidates)
+    if similarity is not None:
+        nearest = F.array_sort(F.transform("__r", lambda s: F.struct(F.round(-similarity(s["s"]), 9).alias("d"), s["i"].alias("i"), s["s"].alias("s"), s["n"].alias("n"))))
+        rows = pairs.select(*key, F.col(query).alias("__query"), F.col(body).alias("__b"), asked.alias("__q"), T.marked_sentences(F.col(body)).alias("__s")).withColumn("__r", chosen).withColumn("__r", nearest)
+    else:
+        rows = rows.withColumn("__r", chosen)
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -183,6 +183,28 @@ COMPRESSED_SQL = """WITH t AS (SELECT result_id, query_id, text, CASE WHEN len(r
   SELECT result_id, md5(CASE WHEN query_id % 5 = 0 OR coalesce(z, '') = '' THEN text ELSE z END) AS digest FROM c"""
 
 
+def _letters(text):
+    """How often each of LETTERS occurs, as a vector that SQL can have as well."""
+    return F.array(*((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+
+
+def similar_sentences(spark, d):
+    """The sentences of results nearest to a question by letters, of those that share most words with it."""
+    rows = table(spark, d, "search_results").where("text is not null").withColumn("query", F.lit("team leads must confirm the travel report"))
+    found = A.compress(rows, ["result_id"], "query", "text", 40, 5, lambda s: vectors.cosine(_letters(F.col("__query")), _letters(s)))
+    return found.select("result_id", F.md5(F.col("compressed").cast("binary")).alias("digest"))
+
+
+def _similar_sql() -> str:
+    counts = lambda x: "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+    return rf"""WITH t AS (SELECT result_id, text, CASE WHEN len(regexp_extract_all(text, '[^.!?]+[.!?]+')) > 0 THEN regexp_extract_all(text, '[^.!?]+[.!?]+') ELSE [text] END AS l, {counts("'team leads must confirm the travel report'")} AS q FROM search_results WHERE text IS NOT NULL),
+  s AS (SELECT result_id, q, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM t),
+  m AS (SELECT *, len(list_filter(regexp_split_to_array(regexp_replace(lower(s), '[^a-zа-яіїєґ\s]', '', 'g'), '\s+'), lambda w: w IN ('team', 'leads', 'must', 'confirm', 'the', 'travel', 'report'))) AS m, len(regexp_split_to_array(s, '\s+')) AS n, {counts('s')} AS v FROM s),
+  c AS (SELECT *, round(CASE WHEN list_sum(v) = 0 THEN 0 ELSE list_cosine_similarity(q, v) END, 9) AS d FROM m QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY m DESC, i) <= 5),
+  o AS (SELECT *, sum(n) OVER (PARTITION BY result_id ORDER BY d DESC, i ROWS UNBOUNDED PRECEDING) AS upto FROM c)
+  SELECT result_id, md5(coalesce(string_agg(s, ' ' ORDER BY d DESC, i) FILTER (upto <= 40), '')) AS digest FROM o GROUP BY result_id"""
+
+
 def _first_model(prompts):
     """Fails for a batch with a long prompt, and knows nothing of some."""
     if any(len(p) > 400 for p in prompts):
@@ -410,7 +432,7 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in [
         (question_variants, _variants_sql()), (reranked_results, RERANKED_SQL), (pointwise_scores, POINTWISE_SQL), (name_ordered_results, NAME_ORDER_SQL), (entity_results, ENTITY_SQL), (links_for_questions, _links_sql(4, True)), (links_for_context, _links_sql(0, False)),
-        (reindexed_links, REINDEXED_SQL), (compressed_contexts, COMPRESSED_SQL), (model_keywords, MODEL_KEYWORDS_SQL), (image_list, f"SELECT id, label, url FROM {LINKS} WHERE lower(link_type) = 'file' ORDER BY id LIMIT 1000"), (fallback_events, FALLBACK_SQL), (settled_answers, SETTLED_SQL),
+        (reindexed_links, REINDEXED_SQL), (compressed_contexts, COMPRESSED_SQL), (similar_sentences, _similar_sql()), (model_keywords, MODEL_KEYWORDS_SQL), (image_list, f"SELECT id, label, url FROM {LINKS} WHERE lower(link_type) = 'file' ORDER BY id LIMIT 1000"), (fallback_events, FALLBACK_SQL), (settled_answers, SETTLED_SQL),
         (cleared_turns, CLEARED_SQL), (created_feedback, CREATED_SQL), (session_number, f"SELECT count(DISTINCT session_id) AS sessions FROM {TURNS}"), (chunks_without_files, f"SELECT id, file_id FROM {CHUNKS} WHERE file_id NOT IN (SELECT file_id FROM split_options WHERE file_id IS NOT NULL)"), (grounded_answers, GROUNDED_SQL),
         (repository_chunks, REPOSITORY_SQL), (approximate_recall, RECALL_SQL), (embedding_scores, EMBEDDING_SQL), (cached_answers, CACHED_SQL), (stream_deltas, DELTAS_SQL), (relevance_scores, RELEVANCE_SQL), (coerced_vectors, COERCED_SQL),
         (graph_without_parents, f"WITH {GRAPH} SELECT src, dst, type FROM ed WHERE length(src) % 3 <> 0 AND length(dst) % 3 <> 0"), (graph_blocks, BLOCKS_SQL), (entity_lookup, f"WITH {GRAPH} SELECT id, name, type FROM ent WHERE id IN (SELECT parent_id FROM {CHUNKS})"),

@@ -60,3 +60,16 @@ def test_stream_equals_table(spark, tmp_path):
     dup = answers.deduplicated(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", "user", "30 days").writeStream.format("memory").queryName("u").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     dup.awaitTermination(120)
     assert spark.table("u").count() == 3
+
+
+def test_pdf_fonts_and_object_streams():
+    import zlib
+
+    from quillspark.sources.files import pdf_text
+
+    cmap = b"1 beginbfchar <0001> <0414> endbfchar 1 beginbfrange <0002> <0004> <0430> <0005> <0005> [<0442>] endbfrange"
+    shown = zlib.compress(b"BT /F1 12 Tf <00010002> Tj 0 -14 Td [(\\000\\003) -300 <0005>] TJ ET BT /F2 9 Tf (Plain \\(x\\) \\101) Tj T* (next) Tj ET")
+    packed = zlib.compress(b"6 0 7 36 " + b"<< /Type /Font /ToUnicode 5 0 R >> ".ljust(36) + b"<< /Font << /F1 6 0 R >> >>")
+    pdf = b"%PDF-1.5\n4 0 obj << /Filter /FlateDecode >> stream\n" + shown + b"\nendstream endobj\n5 0 obj << >> stream\n" + cmap + b"\nendstream endobj\n8 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj\n"
+    assert pdf_text(pdf) == "Да\nб т\nPlain (x) A\nnext"
+    assert pdf_text(b"") == "" and pdf_text(b"%PDF-1.4 broken stream") == ""
