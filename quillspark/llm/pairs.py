@@ -92,7 +92,9 @@ def _kinds(low: Column) -> Column:
     """What each sentence of an answer is: 1 declines, 2 is a courtesy, 0 is anything else; [0] where no word of a refusal occurs."""
     decline, courtesy = _with_latin(DECLINE), _with_latin(COURTESY)
     sentences = F.filter(F.split(F.regexp_replace(low, r"[*_>\"“”„]", ""), r"(?<=[.!?…])\s+"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    kinds = F.transform(sentences, lambda s: F.when(s.rlike(decline), 1).when(s.rlike(courtesy), 2).otherwise(0))
+    # the long expression is tried only on sentences that hold a cue
+    cue = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(CUES)})(?:[^\p{{L}}\p{{N}}]|$)"
+    kinds = F.transform(sentences, lambda s: F.when(s.rlike(cue) & s.rlike(decline), 1).when(s.rlike(courtesy), 2).otherwise(0))
     return F.when(F.arrays_overlap(_tokens(low), F.array(*map(F.lit, CUES))), kinds).otherwise(F.array(F.lit(0)))
 
 
