@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_turn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with a usable vector against all turns, without itself."""
     turns = table(spark, sf_dir, "turns").select("id", "embedding")
-    found = vectors.nearest(turns, "id", "embedding", turns, "id", "embedding", k=10, size=96, out_id="turn_id", skip_self=True)
+    found = vectors.nearest(turns, "id", "embedding", turns, "id", "embedding", k=10, size=96, out_id="turn_id", skip_self=True, half=True)
     return found.select("id", "turn_id", F.round("cosine", 4).alias("cosine"), "rank")
 
 

@@ -144,13 +144,15 @@ class VantageTree:
 
 def nearest(
     base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 10, size: int = 96,
-    shard_factor: float = SHARD_FACTOR, tree_factor: float = TREE_FACTOR, max_vantages: int = MAX_VANTAGES, out_id: str = "neighbor_id", skip_self: bool = False,
+    shard_factor: float = SHARD_FACTOR, tree_factor: float = TREE_FACTOR, max_vantages: int = MAX_VANTAGES, out_id: str = "neighbor_id", skip_self: bool = False, half: bool = False,
 ) -> DataFrame:
     """query_id, out_id, cosine, rank of the k nearest base rows of each usable query vector.
 
     skip_self: the queries are base rows themselves, and none is its own neighbour.
+    half: unit vectors travel in half precision, which halves what is shuffled; cosines are off by some 0.00005, so neighbours that differ by less may change places.
     """
     wanted, k = k, k + skip_self
+    form = np.float16 if half else np.float32
     spark = base.sparkSession
     id_type, q_type = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     b = base.select(F.col(base_id).alias("id"), F.col(base_vector).alias("v")).where(F.col("id").isNotNull() & usable("v", size))
@@ -174,7 +176,7 @@ def nearest(
             for batch in batches:
                 x = _matrix(batch.column(1), size)
                 near = np.concatenate([(x[i : i + 4096] @ v.T).argmax(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, int)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "shard", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int32()), pa.array([r.tobytes() for r in x.astype(form)], pa.binary())], names=["id", "shard", "x"])
 
         placed = b.mapInArrow(assign, f"id {id_type}, shard int, x binary")
         sizes = np.zeros(len(vantage), np.int64)
@@ -222,7 +224,7 @@ def nearest(
                 for i in range(0, len(x), 4096):
                     some = x[i : i + 4096]
                     at, to, part = repeated(np.arange(len(some)), layout.value[0][(some @ shared.value.T).argmax(axis=1)])
-                    raw = [r.tobytes() for r in some]
+                    raw = [r.tobytes() for r in some.astype(form)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(i + at)), pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array([raw[a] for a in at], pa.binary()), turns(to)], names=["qid", "grp", "part", "x", "turns"]
                     )
@@ -233,7 +235,7 @@ def nearest(
                 for i in range(0, whole.num_rows, 1024):
                     batch = whole.slice(i, 1024)
                     home, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
-                    x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float32).reshape(-1, size)
+                    x = np.frombuffer(b"".join(batch.column(3).to_pylist()), form).astype(np.float32).reshape(-1, size)
                     kth = batch.column(4).to_numpy(zero_copy_only=False)
                     go = visited(distances(x)[0], np.where(np.isfinite(kth), _chord(kth), np.inf))
                     go[np.arange(len(go)), home] = False
@@ -265,11 +267,11 @@ def nearest(
         def best_of(left: pd.DataFrame, right: pd.DataFrame, again: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
             """Slices of the queries with cosines and ids' places of up to k nearest rows, and the ids; again: another group was searched before, up to kth."""
             left = left.sort_values(["id", "x"]).drop_duplicates("id", ignore_index=True)
-            rows = np.frombuffer(b"".join(left["x"]), np.float32).reshape(-1, size)
+            rows = np.frombuffer(b"".join(left["x"]), form).astype(np.float32).reshape(-1, size)
             trees = {int(s): (VantageTree(rows[at]), at) for s, at in left.groupby("shard").indices.items()}
             for i in range(0, len(right), 8192):
                 part = right.iloc[i : i + 8192]
-                x = np.frombuffer(b"".join(part["x"]), np.float32).reshape(-1, size)
+                x = np.frombuffer(b"".join(part["x"]), form).astype(np.float32).reshape(-1, size)
                 d, bound = distances(x)
                 nearest_shard, d0 = d.argmin(axis=1), d.min(axis=1)
                 if again:

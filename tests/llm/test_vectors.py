@@ -117,7 +117,7 @@ def test_recall_on_real_vectors(spark, asked, vector, own):
     d, key = "/root/testdata/sf0.01", "id" if own else "query_id"
     base, queries = spark.read.parquet(f"{d}/turns.parquet"), spark.read.parquet(f"{d}/{asked}.parquet")
     found = {}
-    for r in vectors.nearest(base, "id", "embedding", queries, key, vector, out_id="turn_id", skip_self=own).collect():
+    for r in vectors.nearest(base, "id", "embedding", queries, key, vector, out_id="turn_id", skip_self=own, half=own).collect():
         found.setdefault(r[key], set()).add(r["turn_id"])
 
     def unit(df, k, v):
