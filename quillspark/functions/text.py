@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,20 +163,24 @@ def sane_keywords(keywords: Column) -> Column:
 
 
 def frequent_words(text: Column, most: int = 15, stop: list[str] | None = None) -> Column:
-    """The most frequent words (of more than four characters) of a whole text as structs (n, word), earlier ones first at equal counts.
+    """The most frequent words (of more than four characters) of a whole text as structs (n, word), earlier ones first at equal counts; none for null.
 
-    Counted within the row: words are sorted, and the bounds of their runs give the counts, so nothing is shuffled.
+    Counted within the row in Arrow batches, so nothing is shuffled.
     """
-    barred = FREQUENCY_STOP if stop is None else stop
-    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(barred))
-    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    # the first occurrence of each word, and where its run begins among the sorted ones
-    marked = F.transform(placed, lambda p, k: F.struct(p["w"].alias("w"), p["i"].alias("i"), k.alias("k")))
-    before = F.concat(F.array(F.lit("")), F.transform(placed, lambda p: p["w"]))
-    heads = F.filter(F.zip_with(marked, F.slice(before, 1, F.size(placed)), lambda m, b: F.struct(m["w"].alias("w"), m["i"].alias("i"), m["k"].alias("k"), (m["w"] != b).alias("new"))), lambda m: m["new"])
-    ends = F.concat(F.slice(F.transform(heads, lambda m: m["k"]), 2, F.greatest(F.size(heads), F.lit(1))), F.array(F.size(placed)))
-    counted = F.zip_with(heads, F.slice(ends, 1, F.size(heads)), lambda m, e: F.struct((m["k"] - e).alias("neg"), m["i"].alias("i"), m["w"].alias("w")))
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: F.struct((-s["neg"]).alias("n"), s["w"].alias("word")))
+    barred = frozenset(FREQUENCY_STOP if stop is None else stop)
+    blank = re.compile(r"\s+", re.ASCII)
+
+    @F.pandas_udf("array<struct<n:int,word:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            counts = Counter(blank.split(t)) if t else {}
+            # words are in the order of their first occurrence, which the sort keeps
+            kept = sorted(((w, n) for w, n in counts.items() if len(w) > 4 and w not in barred), key=lambda x: -x[1])
+            return [{"n": n, "word": w} for w, n in kept[:most]]
+
+        return texts.map(one)
+
+    return run(F.lower(text))
 
 
 def header_keywords(text: Column, most: int = 40) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring, text, vectors
 from quillspark.operators.tables import keep_or_all, meaningful, not_parent
+from quillspark.session import cut
 
 #: Rows of one block of queries, and of stored vectors; a task multiplies one of each.
 QUERY_BLOCK, BASE_BLOCK = 4096, 65_536
@@ -206,13 +207,14 @@ def keyword_features(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Pairs are distinct first, so a chunk and a word are looked at once, however many queries ask for them, and no others are.
     """
-    low = chunks.select("id", F.lower("text").alias("__t"), F.transform("context_keywords", F.lower).alias("__k")).dropDuplicates(["id"])
+    low = chunks.select("id", F.lower("text").alias("__t"), F.transform("context_keywords", F.lower).alias("__k"))
     joined = pairs.select("id", "needle").where("trim(needle) <> ''").distinct().join(low, "id")
     tf = F.coalesce(scoring.occurrences(F.col("__t"), F.col("needle")), F.lit(0))
     held = F.coalesce(F.exists("__k", lambda k: k.contains(F.col("needle"))), F.lit(False))
     urls = F.regexp_extract_all("__t", F.lit(r"https?://\S+|\b[\w-]+\.[\w.-]+\.\w{2,}\b"), F.lit(0))
-    found = joined.select("id", "needle", tf.alias("tf"), held.alias("held"), F.when(tf > 0, F.exists(urls, lambda u: u.contains(F.col("needle")))).otherwise(False).alias("in_url"))
-    return found.where("tf > 0 or held").drop("held")
+    found = joined.select("id", "needle", "__t", tf.alias("tf"), held.alias("held")).where("tf > 0 or held")
+    rated = found.select("id", "needle", "tf", F.when(F.col("tf") > 0, F.exists(urls, lambda u: u.contains(F.col("needle")))).otherwise(False).alias("in_url"))
+    return rated.groupBy("id", "needle").agg(F.max("tf").alias("tf"), F.max("in_url").alias("in_url"))
 
 
 def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, mode: str = "balanced", least: int = 80, phrases: dict[str, list[str]] | None = None) -> DataFrame:
@@ -224,7 +226,8 @@ def hybrid_scores(candidates: DataFrame, chunks: DataFrame, queries: DataFrame,
     """
     wv, wk, wanted, _ = scoring.MODES[mode]
     sizes = chunks.select("id", F.size(F.split("text", r"\s+")).alias("__len"), F.coalesce(meaningful(F.col("text"), least), F.lit(False)).alias("__ok")).dropDuplicates(["id"])
-    rows = keep_or_all(candidates.join(sizes, "id"), F.col("__ok"), "query_id").withColumn("__mean", F.avg("__len").over(Window.partitionBy("query_id")))
+    # read twice below, so candidates (numbers and ids) are written down
+    rows = cut(keep_or_all(candidates.join(sizes, "id"), F.col("__ok"), "query_id").withColumn("__mean", F.avg("__len").over(Window.partitionBy("query_id"))))
     asked = queries.select("query_id", F.explode(expanded_keywords(F.col("keywords"), phrases)).alias("needle"))
     wishes = rows.select("query_id", "id").distinct().join(asked, "query_id")
     hits = wishes.join(keyword_features(wishes, chunks), ["id", "needle"]).select("query_id", "id", "tf", "in_url")

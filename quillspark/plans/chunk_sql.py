@@ -67,7 +67,7 @@ def semantic_chunks(letters: str) -> str:
 
 
 def _cut(text: str, want: str, window: str) -> str:
-    """Where a text is best cut for a size wanted: see chunking.cut_places."""
+    """Where a text is best cut for a size wanted: see chunking.CutPlaces."""
     low = f"greatest(0, {want} - {window})"
     part = f"substr({text}, {low} + 1, {want} - {low})"
     solid = f"regexp_replace({part}, '[{BLANK[2:]} \\t\\r\\f]*$', '')"
