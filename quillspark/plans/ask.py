@@ -17,13 +17,13 @@ def retrieve(chunks: DataFrame, variants: DataFrame, limit: int = 10, mode: str
     mark = F.to_json(F.struct("query_id", "variant"))
     asked = variants.withColumn("vid", mark)
     one = asked.select(F.col("vid").alias("query_id"), "vector", "keywords")
-    found = cut(retrieval.hybrid_search(chunks, one, limit, mode, size).select(F.col("query_id").alias("vid"), "id", "hybrid_score"))
+    found = cut(retrieval.hybrid_search(chunks, one, limit, mode, size, shown={}).select(F.col("query_id").alias("vid"), "id", "hybrid_score"))
     named = asked.select("vid", "query_id", "variant")
     lists = named.join(found, "vid")
     missing = named.join(lists.select("query_id").distinct(), "query_id", "left_anti").select("vid")
     again = one.join(missing, F.col("query_id") == F.col("vid"), "left_semi")
     if not again.isEmpty():
-        wide = retrieval.hybrid_search(chunks, again, limit, "wide", size, least=0).select(F.col("query_id").alias("vid"), "id", "hybrid_score")
+        wide = retrieval.hybrid_search(chunks, again, limit, "wide", size, least=0, shown={}).select(F.col("query_id").alias("vid"), "id", "hybrid_score")
         lists = lists.unionByName(named.join(wide, "vid"))
     fused = retrieval.reciprocal_rank_fusion(lists, "query_id", "variant", "id", "hybrid_score")
     w = Window.partitionBy("query_id").orderBy(F.round("fused", 12).desc(), "id")
@@ -46,7 +46,7 @@ def adaptive(chunks: DataFrame, queries: DataFrame, limit: int = 10, trust: floa
         sure = sure.join(asked.select("query_id").join(held, "query_id", "left_anti"), "query_id", "left_anti")
     plain = near.join(sure, "query_id", "left_semi").select("query_id", "id", "score", F.lit(False).alias("hybrid"))
     rest = queries.join(sure, "query_id", "left_anti")
-    other = retrieval.hybrid_search(chunks, rest, limit, "balanced", size).select("query_id", "id", F.col("hybrid_score").alias("score"), F.lit(True).alias("hybrid"))
+    other = retrieval.hybrid_search(chunks, rest, limit, "balanced", size, shown={}).select("query_id", "id", F.col("hybrid_score").alias("score"), F.lit(True).alias("hybrid"))
     return plain.unionByName(other)
 
 

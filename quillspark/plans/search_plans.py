@@ -107,8 +107,8 @@ _SHOWN = "SELECT query_id, id, round(vs, 5) AS vector_score, round(ks, 5) AS key
 
 def _hybrid_in(mode: str, cap: int | None = None, phrases: dict | None = None):
     def run(spark, d):
-        found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, mode, keyword_limit=cap, phrases=phrases)
-        return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", F.length("text").alias("length"))
+        found = retrieval.hybrid_search(table(spark, d, "chunks"), asked_of(spark, d), 10, mode, keyword_limit=cap, phrases=phrases, shown={"length": F.length(F.concat_ws(" ", "text", "parent_text"))})
+        return found.select("query_id", "id", *(F.round(c, 5).alias(c) for c in ("vector_score", "keyword_score", "hybrid_score")), "rank", "length")
 
     return run, f"WITH {hybrid_sql(mode, cap=cap, phrases=phrases)} {_SHOWN}"
 

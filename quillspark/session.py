@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> str:
+    """Write df once to the shared checkpoint folder; tasks read it with stored_batches, so rows that many tasks need are not shuffled to each."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def stored_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """What stored wrote, in batches of at most `rows`; runs in tasks, on the folder that all executors share."""
+    local = re.match(r"^(file:)?/+(?=[^/])", path)
+    system, root = (fs.LocalFileSystem(), "/" + path[local.end() :]) if local else fs.FileSystem.from_uri(path)
+    for name in sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with system.open_input_file(name) as file:
+            yield from parquet.ParquetFile(file).iter_batches(rows)
+
+
 def remove_checkpoints(spark: SparkSession) -> None:
     """Delete all that this application has checkpointed; for the end of a job, when its results are written.
 
