@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.fixed import ABBREVIATIONS, LINK_STOP
 from quillspark.operators.matching import contains
+from quillspark.session import cut
 
+#: Sets of keywords up to which what is found for them goes to every task.
+MOST_SETS = 2000
 #: The four forms of links, in the order in which a label is taken from: image, labelled, automatic, bare.
 FORMS = [(r"!\[([^\]]*)\]\(([^)]+)\)", "labelled"), (r"(?<!!)\[([^\]]+)\]\(([^)]+)\)", "labelled"), (r"<(https?://[^>]+)>", "plain"), (r"(?<![(\[\"'])(https?://[^\s\"'<>)\[\]]+)", "plain")]
 
@@ -76,24 +79,31 @@ def find_by_keywords(links: DataFrame, queries: DataFrame, limit: int = 30) -> D
     then newest, then id); the first `limit` urls by name, then ranked by relevance.
     links: id, url, label, context, source_file, keywords, created_at; queries: query_id, keywords (few, given by the caller).
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("w")).where("w <> ''")
-    wanted = asked.select("w").distinct()
+    low = F.filter(F.array_distinct(F.transform("keywords", F.lower)), lambda w: F.coalesce(w != "", F.lit(False)))
+    # queries with the same keywords find the same links, so links are sought once for each set of keywords
+    every = queries.where("keywords is not null").groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(low)))).alias("k"))
+    every = every.where(F.size("k") > 0).withColumn("kid", F.to_json("k"))
+    sets = cut(every.groupBy("kid").agg(F.first("k").alias("k")))
+    few = F.broadcast if sets.count() <= MOST_SETS else (lambda df: df)
+    asked = few(sets.select("kid", F.explode("k").alias("w")))
+    wanted = sets.select(F.explode("k").alias("w")).distinct()
     fields = ["label", "context", "source_file"]
     hits = []
     for f in fields:
         found = contains(wanted.select(F.col("w").alias("needle")), links.select("id", F.col(f).alias("text")))
         hits.append(found.select("id", F.col("needle").alias("w"), F.lit(f).alias("f"), F.lit(1).alias("points")))
     listed = links.select("id", F.explode(F.array_distinct("keywords")).alias("w"), F.lit("keywords").alias("f"), F.lit(2).alias("points"))
-    every = listed.join(wanted, "w", "left_semi").select("id", "w", "f", "points")
+    held = listed.join(few(wanted), "w", "left_semi").select("id", "w", "f", "points")
     for h in hits:
-        every = every.unionByName(h)
-    scored = asked.join(every, "w").select("query_id", "id", "f", "points").distinct().groupBy("query_id", "id").agg(F.sum("points").cast("int").alias("relevance"))
+        held = held.unionByName(h)
+    scored = held.join(asked, "w").select("kid", "id", "f", "points").distinct().groupBy("kid", "id").agg(F.sum("points").cast("int").alias("relevance"))
     full = scored.join(links.select("id", "url", "created_at"), "id")
-    w = Window.partitionBy("query_id", "url").orderBy(F.desc("relevance"), F.desc("created_at"), "id")
+    w = Window.partitionBy("kid", "url").orderBy(F.desc("relevance"), F.desc("created_at"), "id")
     one = full.withColumn("__r", F.row_number().over(w)).where("__r = 1")
-    one = one.withColumn("__u", F.row_number().over(Window.partitionBy("query_id").orderBy("url"))).where(F.col("__u") <= limit)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "url"))
-    return one.select("query_id", "url", "id", "relevance", rank.alias("rank"))
+    one = one.withColumn("__u", F.row_number().over(Window.partitionBy("kid").orderBy("url"))).where(F.col("__u") <= limit)
+    rank = F.row_number().over(Window.partitionBy("kid").orderBy(F.desc("relevance"), "url"))
+    best = one.select("kid", "url", "id", "relevance", rank.alias("rank"))  # `limit` a set at most
+    return every.select("query_id", "kid").join(few(best), "kid").select("query_id", "url", "id", "relevance", "rank")
 
 
 def score(query: Column, keywords: Column, label: Column, near: Column, file: Column, own: Column, kind: Column) -> Column:

@@ -1,6 +1,6 @@
 """What is shuffled grows with chunks and queries, not with their product."""
 
-from quillspark.operators import retrieval
+from quillspark.operators import links, retrieval
 from quillspark.plans import ask
 
 CHUNKS, QUERIES = 600, 400
@@ -27,3 +27,11 @@ def test_multi_query(spark):
     chunks, asked = tables(spark)
     n, rows = shuffled(spark, lambda: ask.retrieve(chunks, asked.selectExpr("query_id", "0 AS variant", "vector", "keywords"), 2, size=3))
     assert len(rows) == 2 * QUERIES and n < CHUNKS * QUERIES / 4
+
+
+def test_links(spark):
+    rows = [(f"l{i:04d}", f"https://x.org/{i}", "alpha", "beta", "gamma", ["alpha"], i) for i in range(CHUNKS)]
+    stored = spark.createDataFrame(rows, "id string, url string, label string, context string, source_file string, keywords array<string>, created_at int")
+    asked = spark.createDataFrame([(i, ["Alpha"]) for i in range(QUERIES)] + [(-1, [None, ""]), (-2, None)], "query_id int, keywords array<string>")
+    n, rows = shuffled(spark, lambda: links.find_by_keywords(stored, asked, 2))
+    assert len(rows) == 2 * QUERIES and {r["relevance"] for r in rows} == {3} and n < CHUNKS * QUERIES / 4
