@@ -35,3 +35,9 @@ def test_links(spark):
     asked = spark.createDataFrame([(i, ["Alpha"]) for i in range(QUERIES)] + [(-1, [None, ""]), (-2, None)], "query_id int, keywords array<string>")
     n, rows = shuffled(spark, lambda: links.find_by_keywords(stored, asked, 2))
     assert len(rows) == 2 * QUERIES and {r["relevance"] for r in rows} == {3} and n < CHUNKS * QUERIES / 4
+
+
+def test_entity(spark):
+    chunks, asked = tables(spark)
+    n, rows = shuffled(spark, lambda: retrieval.hybrid_search(chunks, asked, 2, "entity", size=3))
+    assert len(rows) == 2 * QUERIES and n < CHUNKS * QUERIES / 4
