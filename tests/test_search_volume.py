@@ -41,3 +41,9 @@ def test_entity(spark):
     chunks, asked = tables(spark)
     n, rows = shuffled(spark, lambda: retrieval.hybrid_search(chunks, asked, 2, "entity", size=3))
     assert len(rows) == 2 * QUERIES and n < CHUNKS * QUERIES / 4
+
+
+def test_wide(spark):
+    chunks, asked = tables(spark)
+    n, rows = shuffled(spark, lambda: retrieval.hybrid_search(chunks, asked, 2, "wide", size=3, phrases={"alpha": ["beta"]}))
+    assert len(rows) == 2 * QUERIES and n < CHUNKS * QUERIES / 4
