@@ -328,7 +328,7 @@ REPOSITORY_SQL = f"""WITH q AS (SELECT query_id, vector::DOUBLE[] AS v FROM vect
 
 def approximate_recall(spark, d):
     """Approximate search of the turns against the exact one: for how many queries, and whether nine of ten neighbours at least are found."""
-    base, asked = turns_of(spark, d), table(spark, d, "vector_queries")
+    base, asked = table(spark, d, "turns"), table(spark, d, "vector_queries")  # both searches take an id once
     usable = lambda c: F.exists(c, lambda x: x != 0)
     base, asked = base.where(usable("embedding")), asked.where(usable("vector"))
     true = retrieval.nearest(base, "id", "embedding", asked, "query_id", "vector", 10, 96).select("query_id", "id")

@@ -47,3 +47,9 @@ def test_wide(spark):
     chunks, asked = tables(spark)
     n, rows = shuffled(spark, lambda: retrieval.hybrid_search(chunks, asked, 2, "wide", size=3, phrases={"alpha": ["beta"]}))
     assert len(rows) == 2 * QUERIES and n < CHUNKS * QUERIES / 4
+
+
+def test_approximate(spark):
+    chunks, asked = tables(spark)
+    n, rows = shuffled(spark, lambda: retrieval.nearest_approximate(chunks, "id", "embedding", asked, "query_id", "vector", 2, 3, probes=8, cells=16))
+    assert len(rows) == 2 * QUERIES and n < 8 * QUERIES  # queries aren't sent to each of their cells
