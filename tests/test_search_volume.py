@@ -53,3 +53,9 @@ def test_approximate(spark):
     chunks, asked = tables(spark)
     n, rows = shuffled(spark, lambda: retrieval.nearest_approximate(chunks, "id", "embedding", asked, "query_id", "vector", 2, 3, probes=8, cells=16))
     assert len(rows) == 2 * QUERIES and n < 8 * QUERIES  # queries aren't sent to each of their cells
+
+
+def test_adaptive(spark):
+    chunks, asked = tables(spark)
+    n, rows = shuffled(spark, lambda: ask.adaptive(chunks, asked, 2, trust=2.0, size=3))
+    assert len(rows) == 2 * QUERIES and all(r["hybrid"] for r in rows) and n < CHUNKS * QUERIES / 4
