@@ -166,7 +166,7 @@ def _vectors_of(base: DataFrame, base_id: str, base_vector: str, size: int) -> D
 def _nearest_of(b: DataFrame, q: DataFrame, k: int, size: int, threshold: float | None = None, metric: str = "cosine", shared: bool = False) -> DataFrame:
     """qid, id, score, rank of the k nearest rows of b (id, v packed, each id once) for each row of q (qid, v).
 
-    shared: each qid has one row, and those with the same vector, up to SHARED, are searched once.
+    shared: each qid has one row, and those with the same vector, up to SHARED, are searched once; the result is qid and the lists ids and scores.
     """
     q = q.where(F.col("qid").isNotNull() & vectors.valid(F.col("v"), size))
     parts = max(math.ceil(q.count() / QUERY_BLOCK), b.sparkSession.sparkContext.defaultParallelism)
@@ -194,6 +194,11 @@ def _nearest_of(b: DataFrame, q: DataFrame, k: int, size: int, threshold: float
             for _, n in near:
                 n.look(ids[order], x, x32)
         for i, n in near:
+            if shared:
+                some, at = np.unique(n.row, return_index=True)
+                at = pa.array(np.append(at, len(n.row)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own.column("qid").combine_chunks().take(pa.array(some + i)), pa.ListArray.from_arrays(at, pa.array(n.id.tolist(), id_arrow)), pa.ListArray.from_arrays(at, pa.array(n.score))], names=["qid", "ids", "scores"])
+                continue
             rank = np.arange(len(n.row)) - np.searchsorted(n.row, n.row) + 1
             yield pa.RecordBatch.from_arrays([own.column("qid").combine_chunks().take(pa.array(n.row + i)), pa.array(n.id.tolist(), id_arrow), pa.array(n.score), pa.array(rank.astype(np.int32))], names=["qid", "id", "score", "rank"])
 
@@ -207,8 +212,9 @@ def _nearest_of(b: DataFrame, q: DataFrame, k: int, size: int, threshold: float
         if sum(h.num_rows for h in held):
             yield from search(pa.Table.from_batches(held))
 
-    found = asked.mapInArrow(run, f"qid {q_type}, id {id_type}, score double, rank int")
-    return found.withColumn("qid", F.explode("qid")) if shared else found
+    if shared:
+        return asked.mapInArrow(run, f"qid {q_type}, ids array<{id_type}>, scores array<double>").withColumn("qid", F.explode("qid"))
+    return asked.mapInArrow(run, f"qid {q_type}, id {id_type}, score double, rank int")
 
 
 #: Cells that rows are parted into, rows of the sample that they are fitted on, rows of the index that a task holds at once, and cells that a query looks into.
@@ -501,25 +507,40 @@ def hybrid_search(
     Queries with the same keywords list the same chunks. These are counted in classes that always score alike (length, frequencies, address), each
     with its first ids, so queries meet classes and not all chunks; only a query's near chunks are rows of its own.
     """
-    more = limit * scoring.MODES[mode][3]
-    able = chunks.where(not_parent())
+    able, more = chunks.where(not_parent()), limit * scoring.MODES[mode][3]
+    asked, sets, facts = prepared(able, queries, size, least, phrases, listing=mode != "precise")
+    near = near_lists(able, asked, facts, more, size)
+    return ranked(able, sets, facts, near, asked.select("qid.*"), limit, mode, keyword_limit, shown)
+
+
+def prepared(able: DataFrame, queries: DataFrame, size: int, least: int = 80, phrases: dict[str, list[str]] | None = None, listing: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a hybrid search needs: queries (qid: query_id, set and part of it; v), sets of keywords (kid, parts, k, words, needles), and the facts of chunks."""
     low = F.coalesce(F.array_sort(F.array_distinct(F.transform("keywords", F.lower))), F.array().cast("array<string>"))
     said = queries.where("query_id is not null").select("query_id", low.alias("k"), F.when(vectors.valid(F.col("vector"), size), F.col("vector")).alias("v"))
     asked = cut(said.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("k")))).alias("k"), F.first("v", ignorenulls=True).alias("v")).withColumn("kid", F.to_json("k")))
     empty = F.array().cast("array<string>")
     sets = asked.groupBy("kid").agg(F.first("k").alias("k"), F.ceil(F.count("*") / SAME_QUERIES).cast("int").alias("parts"))
-    sets = cut(sets.select("kid", "parts", F.coalesce(_list_words(F.col("k")), empty).alias("words"), F.coalesce(expanded_keywords(F.col("k"), phrases), empty).alias("needles")))
-    facts = _facts(able, sets if mode != "precise" else sets.withColumn("words", empty), least)
-    known = _small(sets)
-
+    words = F.coalesce(_list_words(F.col("k")), empty) if listing else empty
+    sets = cut(sets.select("kid", "parts", "k", words.alias("words"), F.coalesce(expanded_keywords(F.col("k"), phrases), empty).alias("needles")))
     # (query, set, part) goes along with the query's near chunks
-    own = asked.join(known.select("kid", "parts"), "kid").select(F.struct("query_id", "kid", F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part")).alias("qid"), "v")
+    own = asked.join(_small(sets.select("kid", "parts")), "kid").select(F.struct("query_id", "kid", F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part")).alias("qid"), "v")
+    return own, sets, _facts(able, sets, least)
+
+
+def near_lists(able: DataFrame, asked: DataFrame, facts: DataFrame, k: int, size: int) -> DataFrame:
+    """query_id, kid, part, ns, vs: the numbers and similarities of the k nearest chunks of each query, in order; a query without any has no row."""
     packed = _vectors_of(able, "id", "embedding", size).join(facts.select("id", "n"), "id").select(F.col("n").alias("id"), "v")
-    near = _nearest_of(packed, own, more, size, shared=True).select("qid.*", F.col("id").alias("n"), F.col("score").alias("vs"))
+    return _nearest_of(packed, asked, k, size, shared=True).select("qid.*", F.col("ids").alias("ns"), F.col("scores").alias("vs"))
+
+
+def ranked(able: DataFrame, sets: DataFrame, facts: DataFrame, near: DataFrame, asked: DataFrame, limit: int, mode: str, keyword_limit: int | None = None, shown: dict[str, Column] | None = None) -> DataFrame:
+    """The result of hybrid_search for the queries asked (query_id, kid, part) from their near chunks (near_lists)."""
+    more, known = limit * scoring.MODES[mode][3], _small(sets)
     set_words = known.select("kid", "needles", F.col("words").alias("set_words"))
+    near = near.select("query_id", "kid", "part", F.explode(F.arrays_zip("ns", "vs")).alias("x")).select("query_id", "kid", "part", F.col("x.ns").alias("n"), "x.vs")
     near = near.join(facts.drop("id"), "n").join(set_words, "kid").select("kid", "part", "query_id", "n", "vs", *_profile(), F.coalesce(F.arrays_overlap("words", "set_words"), F.lit(False)).alias("overlap"))
     # a query without near chunks has a row too
-    near = near.unionByName(own.select("qid.*"), allowMissingColumns=True)
+    near = near.unionByName(asked, allowMissingColumns=True)
 
     listed = facts.select("n", "len", "ok", "hits", F.explode("words").alias("word"))
     if keyword_limit is not None:

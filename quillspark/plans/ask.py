@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import scoring
 from quillspark.operators import retrieval
+from quillspark.operators.tables import not_parent
 from quillspark.session import cut
 
 
@@ -35,21 +37,38 @@ def adaptive(chunks: DataFrame, queries: DataFrame, limit: int = 10, trust: floa
 
     entity: a column that marks questions for a name; of these, one with keywords is sure only if a text of its best three holds one.
     """
-    able = chunks.where(~F.col("level").eqNullSafe(F.lit(0)))
-    near = cut(retrieval.nearest(able, "id", "embedding", queries, "query_id", "vector", limit, size))
-    best = near.where("rank <= 3")
-    sure = best.groupBy("query_id").agg(F.avg("score").alias("m")).where(F.col("m") >= trust).select("query_id")
+    able, more = chunks.where(not_parent()), limit * scoring.MODES["balanced"][3]
+    asked, sets, facts = retrieval.prepared(able, queries, size)
+    # one search serves both: the nearest ones are the first of what hybrid search takes
+    near = cut(retrieval.near_lists(able, asked, facts, more, size))
+    mean = F.aggregate(F.slice("vs", 1, 3), F.lit(0.0), lambda acc, v: acc + v) / F.least(F.size("vs"), F.lit(3))
+    close = near.where(mean >= trust)
+    rest = near.where(mean < trust)
     if entity:
-        asked = queries.where(F.col(entity) & (F.size("keywords") > 0)).select("query_id", "keywords")
-        texts = best.join(asked, "query_id").join(able.select("id", F.lower("text").alias("__t")), "id")
-        held = texts.where(F.exists("keywords", lambda k: F.col("__t").contains(F.lower(k)))).select("query_id")
-        sure = sure.join(asked.select("query_id").join(held, "query_id", "left_anti"), "query_id", "left_anti")
-    plain = near.join(sure, "query_id", "left_semi").select("query_id", "id", "score", F.lit(False).alias("hybrid"))
-    rest = queries.join(sure, "query_id", "left_anti")
-    other = retrieval.hybrid_search(chunks, rest, limit, "balanced", size, shown={}).select("query_id", "id", F.col("hybrid_score").alias("score"), F.lit(True).alias("hybrid"))
+        barred = cut(_nameless(able, queries.where(F.col(entity) & (F.size("keywords") > 0)).select("query_id").distinct(), close, sets, facts))
+        rest, close = rest.unionByName(close.join(barred, "query_id", "left_semi")), close.join(barred, "query_id", "left_anti")
+    first = close.select("query_id", F.explode(F.slice(F.arrays_zip("ns", "vs"), 1, limit)).alias("x"))
+    plain = first.select("query_id", F.col("x.ns").alias("n"), F.col("x.vs").alias("score")).join(facts.select("n", "id"), "n").select("query_id", "id", "score", F.lit(False).alias("hybrid"))
+    others = asked.select("qid.*").join(close.select("query_id"), "query_id", "left_anti")
+    other = retrieval.ranked(able, sets, facts, rest, others, limit, "balanced", shown={}).select("query_id", "id", F.col("hybrid_score").alias("score"), F.lit(True).alias("hybrid"))
     return plain.unionByName(other)
 
 
+def _nameless(able: DataFrame, named: DataFrame, near: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
+    """query_id of the queries named of which no text of the best three holds a keyword; what texts hold is known from the facts, so no texts are shuffled."""
+    best = near.join(named, "query_id", "left_semi").select("query_id", "kid", F.explode(F.slice("ns", 1, 3)).alias("n"))
+    said = facts.select("n", "id", F.transform(F.filter("hits", lambda h: h["tf"] > 0), lambda h: h["needle"]).alias("said"))
+    best = best.join(said, "n").join(sets.select("kid", "k"), "kid")
+    held = best.where(F.arrays_overlap("said", "k")).select("query_id")
+    blank = lambda k: F.trim(k) == ""
+    if not sets.where(F.exists("k", blank)).isEmpty():
+        # blank keywords are no needles: they are sought in the texts themselves
+        texts = able.select("id", F.lower("text").alias("__t"))
+        odd = best.where(F.exists("k", blank)).join(texts, "id").where(F.exists("k", lambda k: blank(k) & F.col("__t").contains(k)))
+        held = held.unionByName(odd.select("query_id"))
+    return near.join(named, "query_id", "left_semi").select("query_id").join(held, "query_id", "left_anti")
+
+
 def prompt(question: Column, context: Column, history: Column | None = None, facts: Column | None = None, links: Column | None = None) -> Column:
     """The blocks that are there, each under its title, and the question last; context is an array of texts."""
     block = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"{title}:\n"), body))
