@@ -1,7 +1,7 @@
 """Defective question-answer pairs (problem 5).
 
 Several noisy labelling functions vote on each defect (1 defect, 0 none, -1 where their evidence is silent). Their evidence is of
-different kinds: patterns of declining, odds of words learnt from a bounded sample, whether anything specific is said; likeness of words, of letters and
+different kinds: patterns of declining, odds of words learnt from all turns, whether anything specific is said; likeness of words, of letters and
 of their order, and whether the answer asks; the mark at the end, broken structure, and whether the last word ever
 ends a sentence; n-grams and function words of languages. Per defect, expectation-maximisation fits a label model: the share of
 defective rows and each function's rates of votes given the true state, starting from the share of positive votes. Only the numbers of rows
@@ -19,7 +19,7 @@ and has no language. Rows delivered twice give one result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.conversations import visible
 from quillspark.llm.language import Filter, Units, slices, to_latin
 from quillspark.llm.readability import function_words
-from quillspark.llm.samples import below, smallest
 from quillspark.llm.words import Words, likeness
-from quillspark.session import cut
+from quillspark.session import cut, stored
 
 DEFECTS = ["empty", "copy", "refusal", "truncated", "other_language"]
 #: Chosen on one half of planted defects and validated on the other (tests/llm/test_pairs.py); the posteriors lie so far apart that all from 0.3 to 0.8 do alike.
@@ -68,8 +67,8 @@ ASKS_LANGUAGE = {
 }
 #: Marks of a question repeated.
 REPEATS = re.compile(r"^\W*(question|query|re|q|frage|питання|вопрос|pytanie)\b\W*", re.I)
-#: Rows of the sample that word statistics are fitted on, slots of their tables, and the seeds that a statistic of refusals needs at least.
-STATISTICS_ROWS, WORD_BITS, SEEDS = 8000, 18, 10
+#: The seeds that a statistic of refusals needs at least, the parts that answers are dealt into for its limits, the scores of answers a unit and the farthest, and the words that a task holds at once while counting.
+SEEDS, PARTS, STEPS, FARTHEST, HELD = 10, 8, 256, 64, 2**20
 CYRILLIC = re.compile("[\u0400-\u04ff]")
 #: Closing marks and blanks that may follow the last word.
 CLOSERS = " \t\r\n\u00a0*_\"'”“»)]`~"
@@ -107,12 +106,12 @@ def _low(text: str) -> Column:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """rows with the forms of the answer that the functions look at, each made once."""
+    """rows (with _kinds) with the forms of the answer that the functions look at, each made once."""
     a = F.coalesce("answer", F.lit(""))
     one = rows.withColumns({"_a": a, "_vis": F.coalesce(visible(F.col("answer")), F.lit("")), "_low": _low("answer"), "_end": _tail(a)})
     one = one.withColumn("_tokens", _tokens(F.col("_low")))
     return one.withColumns({
-        "_kinds": _kinds(F.col("_low")), "_words": F.size("_tokens"),
+        "_words": F.size("_tokens"),
         "_lines": F.size(F.split("_end", "\n")), "_prior": F.coalesce(F.get(F.split("_end", "\n"), F.size(F.split("_end", "\n")) - 2), F.lit("")),
         "_last": F.trim(F.element_at(F.split(F.regexp_replace("_a", r"\s+$", ""), "\n"), -1)),
     })
@@ -171,55 +170,32 @@ def cells_of(text: Column, mark: str) -> Column:
 
 
 class Statistics:
-    """What words tell, from a bounded sample of turns.
+    """What words tell, from all turns.
 
-    odds: log-odds of a word (in a slot of 2^WORD_BITS) in answers that decline by pattern against those that don't; final, inner: how
-    often a word ends a sentence, and stands within one; low, high: limits of the odds of an answer, from the half of the sample that the
-    odds were not fitted on.
+    words: hashes in order; odds: log-odds of each in answers that decline by pattern against those that don't, 0 for any other word; said: 0
+    where it often ends a sentence, -1 where that isn't known, 1 (as for any other word) where it hardly ever does; low, high: limits of the
+    odds of an answer.
     """
 
-    def __init__(self, queries: list[str | None], answers: list[str | None], declines: list[bool]):
-        slots = 2**WORD_BITS
-        self.odds, self.final, self.inner = np.zeros(slots, np.float32), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.low, self.high = -np.inf, np.inf
-        for texts in (queries, answers):
-            w = Words(texts)
-            ends = np.isin(w.follows, [ord(c) for c in ".!?…"])
-            np.add.at(self.final, self.slot(w.hash[ends]), 1)
-            np.add.at(self.inner, self.slot(w.hash[~ends]), 1)
-        w, yes = Words(answers), np.array(declines, bool)
-        if min(yes.sum(), (~yes).sum()) < SEEDS:
-            return  # no say
-        fit = np.arange(len(answers)) % 2 == 0
-        self.odds = self._fitted(w, yes, fit)
-        score = self.score(w)
-        held = ~fit & (w.count > 0)
-        good, rest = np.sort(score[held & yes]), np.sort(score[held & ~yes])
-        if len(good) and len(rest):
-            # the limit of fewest errors on the other half, each class with the same weight; near it there is no say
-            at = np.unique(score[held])
-            wrong = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(rest, at) / len(rest)
-            limit, margin = at[int(np.argmin(wrong))], 0.1 * (np.median(good) - np.median(rest))
-            self.low, self.high = limit - margin, limit + margin
-        self.odds = self._fitted(w, yes, np.ones(len(answers), bool))
-
-    @staticmethod
-    def slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-
-    def _fitted(self, w: Words, yes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        once = np.unique(w.row.astype(np.int64) << WORD_BITS | self.slot(w.hash))
-        row, slot = once >> WORD_BITS, once & (2**WORD_BITS - 1)
-        count = [np.bincount(slot[(yes[row] == state) & rows[row]], minlength=2**WORD_BITS) for state in (True, False)]
-        n = [max(1, int((rows & (yes == state)).sum())) for state in (True, False)]
-        odds = np.log((count[0] + 0.2) / (n[0] + 0.4)) - np.log((count[1] + 0.2) / (n[1] + 0.4))
-        # a word that is rare in both tells nothing yet
-        return np.where(count[0] + count[1] >= 3, np.clip(odds, -3, 3), 0).astype(np.float32)
-
-    def score(self, w: Words) -> np.ndarray:
-        """The odds of each text's words, added and set in proportion to the root of their number."""
-        total = np.bincount(w.row, weights=self.odds[self.slot(w.hash)], minlength=w.n)
-        return total / np.sqrt(np.maximum(1, w.count))
+    def __init__(self, words: np.ndarray, odds: np.ndarray, said: np.ndarray, low: float = -np.inf, high: float = np.inf):
+        order = np.argsort(words)
+        self.words, self.odds, self.said = words[order], odds[order], said[order]
+        self.low, self.high = low, high
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are, and whether they are there."""
+        if not len(self.words):
+            return np.zeros(len(words), int), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at, self.words[at] == words
+
+    def score(self, w: Words, part: np.ndarray | None = None) -> np.ndarray:
+        """The odds of each text's words, added and set in proportion to the root of their number, in steps of 1 / STEPS. part: whose odds each text has, where there are several."""
+        at, known = self.places(w.hash)
+        odds = np.zeros(len(at))
+        odds[known] = self.odds[at[known]] if part is None else self.odds[at[known], part[w.row[known]]]
+        total = np.bincount(w.row, weights=odds, minlength=w.n)
+        return np.rint(np.clip(total / np.sqrt(np.maximum(1, w.count)), -FARTHEST, FARTHEST) * STEPS) / STEPS
 
     def declining(self, w: Words) -> np.ndarray:
         score = self.score(w)
@@ -228,24 +204,152 @@ class Statistics:
     def unfinished(self, w: Words, texts: list[str | None]) -> np.ndarray:
         """1 where a text ends in a word that is unknown or hardly ever final, 0 where it often is, -1 if it doesn't end in a word."""
         out = np.full(w.n, -1)
-        last = np.flatnonzero(np.r_[w.row[1:] != w.row[:-1], True]) if len(w.row) else np.zeros(0, int)
-        slot = self.slot(w.hash[last])
-        final, every = self.final[slot], self.final[slot] + self.inner[slot]
-        said = np.where(every == 0, 1, np.where((final == 0) & (every >= 3), 1, np.where(final >= 0.1 * every, 0, -1)))
-        ends = np.array([bool(t) and t.rstrip(CLOSERS)[-1:].isalpha() for t in texts], bool)
+        last = _last(w)
+        at, known = self.places(w.hash[last])
+        said = np.ones(len(last), int)
+        said[known] = self.said[at[known]]
         out[w.row[last]] = said
-        return np.where(ends, out, -1)
+        return np.where(_open(texts), out, -1)
+
+
+def _last(w: Words) -> np.ndarray:
+    """The places of the last words of texts."""
+    return np.flatnonzero(np.r_[w.row[1:] != w.row[:-1], True]) if len(w.row) else np.zeros(0, int)
+
+
+def _open(texts: list[str | None]) -> np.ndarray:
+    """Whether each text ends in a word without a mark."""
+    return np.array([bool(t) and t.rstrip(CLOSERS)[-1:].isalpha() for t in texts], bool)
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their rows of counts."""
+    once, place = np.unique(hashes, return_inverse=True)
+    out = [np.bincount(place, weights=c, minlength=len(once)).astype(np.int64) for c in counts.T]
+    return once, np.stack(out, axis=1) if len(once) else np.zeros((0, counts.shape[1]), np.int64)
+
+
+def word_counts(queries: list[str | None], answers: list[str | None], part: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and COUNTS of each: how often it ends a sentence, and stands within one; the answers with it of each part that decline, and don't."""
+    found = []
+    for texts in (queries, answers):
+        w = Words(texts)
+        column = np.where(np.isin(w.follows, [ord(c) for c in ".!?…"]), 0, 1)
+        asked = np.zeros(len(column), bool)
+        last = _last(w)
+        asked[last] = _open(texts)[w.row[last]]  # whether a word may stand there is what is asked
+        some = (column == 0) | ~asked
+        found.append((w.hash[some], column[some]))
+    order = np.lexsort((w.hash, w.row))  # a word counts once an answer
+    row, word = w.row[order], w.hash[order]
+    once = np.r_[True, (row[1:] != row[:-1]) | (word[1:] != word[:-1])] if len(row) else np.zeros(0, bool)
+    row, word = row[once], word[once]
+    found.append((word, 2 + 2 * part[row] + ~seed[row]))
+    words, place = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+    column = np.concatenate([c for _, c in found]).astype(np.int64)
+    return words, np.bincount(place * len(COUNTS) + column, minlength=len(words) * len(COUNTS)).reshape(len(words), len(COUNTS))
+
+
+COUNTS = ["final", "inner", *(f"{state}{i}" for i in range(PARTS) for state in ("yes", "no"))]
 
 
-def statistics(turns: DataFrame) -> Statistics:
-    """Fitted on some STATISTICS_ROWS turns of smallest hash; seeds are the answers that decline by pattern and say nothing else."""
-    h = F.xxhash64(F.lit(11), "id")
-    n = turns.agg(F.approx_count_distinct(h, 0.02)).first()[0]
-    kinds = _kinds(_low("answer"))
-    seed = F.array_contains(kinds, 1) & ~F.array_contains(kinds, 0)
-    rows = turns.where(below(h, smallest(n, STATISTICS_ROWS))).select(h.alias("h"), "query", "answer", seed.alias("seed")).groupBy("h").agg(F.min(F.struct("query", "answer", "seed")).alias("s")).select("h", "s.*").collect()
-    rows = sorted(rows, key=lambda r: r["h"])
-    return Statistics([r["query"] for r in rows], [r["answer"] for r in rows], [bool(r["seed"]) for r in rows])
+def _counted(rows: DataFrame) -> DataFrame:
+    """A row for each word of rows (query, answer, part, seed): its hash and COUNTS. Tasks add up their own words first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        every = lambda: _summed(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
+        send = lambda h, c: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, c.T)], names=["word", *COUNTS])
+        for batch in (some for whole in batches for some in slices(whole, 1)):
+            query, answer, part, seed = (batch.column(i) for i in range(4))
+            held.append(word_counts(query.to_pylist(), answer.to_pylist(), part.to_numpy(), seed.to_numpy(zero_copy_only=False)))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [every()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield send(*held[0])
+                    held, size = [], 0
+        if held:
+            yield send(*every())
+
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    each = rows.select("query", "answer", "part", "seed").mapInArrow(run, f"word long, {counts}")
+    return each.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _scores(rows: DataFrame, stats: Statistics) -> dict[bool, dict[float, int]]:
+    """How many answers have each score, by the odds that stand for their part, of those that are seeds and of those that aren't."""
+    shared = rows.sparkSession.sparkContext.broadcast(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (some for whole in batches for some in slices(whole, 0)):
+            w = Words(batch.column(0).to_pylist())
+            seed = batch.column(2).to_numpy(zero_copy_only=False)
+            scores = shared.value.score(w, batch.column(1).to_numpy())
+            for state in (True, False):
+                score, n = np.unique(scores[(w.count > 0) & (seed == state)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), state)), pa.array(score), pa.array(n)], names=["seed", "score", "n"])
+
+    counted = rows.select("answer", "part", "seed").mapInArrow(run, "seed boolean, score double, n long").groupBy("seed", "score").agg(F.sum("n").alias("n")).collect()  # scores, not rows: 4 * FARTHEST * STEPS at most
+    return {state: {r["score"]: r["n"] for r in counted if r["seed"] == state} for state in (True, False)}
+
+
+def limits(good: dict[float, int], rest: dict[float, int]) -> tuple[float, float]:
+    """The limits of the odds of an answer, from the numbers of seeds (good) and of other answers with each score.
+
+    Between them is the limit of fewest errors, each class with the same weight; near it there is no say.
+    """
+    if not good or not rest:
+        return -np.inf, np.inf
+
+    def under(n: dict[float, int], at: np.ndarray) -> np.ndarray:
+        """The share with a score below each of at."""
+        score = np.array(sorted(n))
+        sums = np.r_[0, np.cumsum([n[x] for x in score])]
+        return sums[np.searchsorted(score, at)] / sums[-1]
+
+    def middle(n: dict[float, int]) -> float:
+        score = np.array(sorted(n))
+        sums = np.cumsum([n[x] for x in score])
+        return float(score[np.searchsorted(sums, [(sums[-1] - 1) // 2, sums[-1] // 2], side="right")].mean())
+
+    at = np.array(sorted({*good, *rest}))
+    missed, wrong = under(good, at), 1 - under(rest, at)
+    least = int(np.argmin(missed + wrong))
+    # few seeds leave it uncertain by a standard error; of the limits within it, the one that takes the fewest other answers for refusals
+    error = np.sqrt(max(missed[least] * (1 - missed[least]), 1 / sum(good.values())) / sum(good.values()))
+    limit, margin = at[np.flatnonzero(missed + wrong <= missed[least] + wrong[least] + error)[-1]], 0.1 * (middle(good) - middle(rest))
+    return float(limit - margin), float(limit + margin)
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Fitted on all rows (id, query, answer, _kinds); seeds are the answers that decline by pattern and say nothing else.
+
+    The words of all rows are counted by their hashes, and only words that tell something reach the driver. For the limits, the answers of each of PARTS
+    parts have the scores by odds that were fitted on all other parts; then the odds are fitted on all.
+    """
+    seed = F.array_contains("_kinds", 1) & ~F.array_contains("_kinds", 0)
+    rows = rows.select("query", "answer", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(PARTS)).cast("int").alias("part"), seed.alias("seed"))
+    n = {(r["part"], r["seed"]): r["count"] for r in rows.groupBy("part", "seed").count().collect()}
+    of = lambda state, parts: sum(n.get((i, state), 0) for i in parts)
+    every = range(PARTS)
+    enough = min(of(True, every), of(False, every)) >= SEEDS
+
+    def odds(parts: Iterable[int]) -> Column:
+        yes, no = (sum((F.col(f"{state}{i}") for i in parts), F.lit(0)) for state in ("yes", "no"))
+        x = F.log((yes + 0.2) / (max(1, of(True, parts)) + 0.4)) - F.log((no + 0.2) / (max(1, of(False, parts)) + 0.4))
+        # a word that is rare in both tells nothing yet
+        return F.when(F.lit(enough) & (yes + no >= 3), F.least(F.greatest(x, F.lit(-3.0)), F.lit(3.0))).otherwise(0.0).cast("float")
+
+    seen = F.col("final") + F.col("inner")
+    said = F.when((seen == 0) | ((F.col("final") == 0) & (seen >= 3)), 1).when(F.col("final") >= 0.1 * seen, 0).otherwise(-1)
+    others = [odds([j for j in every if j != i]).alias(f"but{i}") for i in every]
+    told = _counted(rows).select("word", said.cast("byte").alias("said"), odds(every).alias("odds"), *others).where(f"said != 1 OR odds != 0 OR {' OR '.join(f'but{i} != 0' for i in every)}").toArrow()
+    word, said, both, *others = (column.to_numpy() for column in told.columns)
+    word = word.view(np.uint64)
+    low, high = limits(*_scores(rows, Statistics(word, np.stack(others, axis=1), said)).values()) if enough else (-np.inf, np.inf)
+    return Statistics(word, both, said, low, high)
 
 
 #: Numbers of letters of question and answer that are alike enough for a copy.
@@ -364,7 +468,8 @@ def _combination(place: int, n: int) -> tuple[int, ...]:
 
 def label(turns: DataFrame, model: Filter) -> DataFrame:
     """id and the posterior of each defect (a column each) of each row."""
-    rows = turns.select("id", "query", "answer").where(F.col("id").isNotNull())
+    once = turns.select("id", "query", "answer").where(F.col("id").isNotNull()).distinct().withColumn("_kinds", _kinds(_low("answer")))
+    rows = turns.sparkSession.read.schema(once.schema).parquet(stored(once))  # read three times: words, limits, votes
     found = _evidence(rows, model, statistics(rows))
     asked = F.lower(F.coalesce("query", F.lit("")))
     excused = F.coalesce(F.exists(F.array(*(F.when(asked.rlike(p), F.lit(l)) for l, p in ASKS_LANGUAGE.items())), lambda l: l == F.col("said")), F.lit(False))

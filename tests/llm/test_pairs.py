@@ -1,6 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import pairs, queries
+from quillspark.llm.words import Words, hash_of
 
 
 def planted(spark, rows, sf="/root/testdata/sf0.01"):
@@ -101,3 +103,35 @@ def test_label_model():
     patterns = {(1, 1, 1): 50, (0, 0, 0): 900, (1, 0, -1): 20, (0, 1, -1): 10, (-1, -1, -1): 5}
     post = pairs.fit_labels(patterns)
     assert post[(1, 1, 1)] > 0.9 > 0.1 > post[(0, 0, 0)] and pairs.fit_labels({}) == {}
+
+
+def test_statistics_are_of_all_turns(spark):
+    """Of 20,000 turns, each word that a single one has is counted, and a text that breaks off isn't its own evidence."""
+    letters = "abcdefghijklmnopqrst"
+    rare = [f"zu{a}{b}e" for a in letters for b in "klm"]
+    i = F.col("id").cast("int")
+    word = F.get(F.array(*map(F.lit, rare)), (i / 400).cast("int") % 60)
+    answer = F.when(i % 400 == 0, F.concat(F.lit("It ends with "), word, F.lit("."))).when(i % 400 == 1, F.concat(F.lit("It breaks off in half"), word)).when(i % 400 == 2, F.lit("I cannot answer this question.")).otherwise("It is fine now.")
+    rows = spark.range(20_000).select(F.col("id").cast("string"), F.lit("What is it?").alias("query"), answer.alias("answer")).withColumn("_kinds", pairs._kinds(pairs._low("answer")))
+    stats = pairs.statistics(rows)
+    whole, cut = [f"It ends with {w}" for w in rare[:50]], [f"It breaks off in half{w}" for w in rare[:50]]
+    assert stats.unfinished(Words(whole), whole).tolist() == [0] * 50
+    assert stats.unfinished(Words(cut), cut).tolist() == [1] * 50
+    assert stats.declining(Words(["It is fine now.", None])).tolist() == [0, -1] and stats.score(Words(["I cannot answer this question."]))[0] > stats.low
+
+
+def test_word_counts():
+    counts = lambda w: dict(zip(pairs.COUNTS, n[list(h).index(hash_of(w))]))
+    h, n = pairs.word_counts(["so?", None, ""], ["So it is. It", "it was so", None], np.array([0, 3, 1]), np.array([True, False, True]))
+    assert {k: v for k, v in counts("so").items() if v} == {"final": 1, "inner": 1, "yes0": 1, "no3": 1}  # the last one breaks off
+    assert {k: v for k, v in counts("it").items() if v} == {"inner": 2, "yes0": 1, "no3": 1} and {k: v for k, v in counts("is").items() if v} == {"final": 1, "yes0": 1}
+    h, n = pairs.word_counts([], [], np.zeros(0, int), np.zeros(0, bool))
+    assert len(h) == 0 and n.shape == (0, len(pairs.COUNTS))
+    both, sums = pairs._summed(np.array([5, 3, 5], np.uint64), np.array([[1, 0], [2, 2], [3, 4]]))
+    assert both.tolist() == [3, 5] and sums.tolist() == [[2, 2], [4, 4]]
+
+
+def test_limits():
+    low, high = pairs.limits({2.0: 500, 4.0: 500}, {-3.0: 9000, -1.0: 9000, 1.0: 2})
+    assert low < high and 1 < (low + high) / 2 <= 2 and abs(high - low - 0.2 * (3.0 - -1.0)) < 1e-9
+    assert pairs.limits({}, {1.0: 3}) == (-np.inf, np.inf)
